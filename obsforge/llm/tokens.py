@@ -7,7 +7,7 @@ import os
 import numpy as np
 
 #: Words that an encoder keeps the ids of; beyond it begins anew. About 0.2 KB each.
-ROOM = 600_000
+ROOM = 1_000_000
 
 
 class WordEncoder:
@@ -29,7 +29,7 @@ class WordEncoder:
     def _learn(self, words: set[bytes]) -> None:
         if len(self.known) > self.room:
             self.known.clear()
-        new = sorted(words - self.known.keys())
+        new = [w for w in words if w not in self.known]
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
