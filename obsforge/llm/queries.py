@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op1_lines import op1_lines
+from .op2_decontaminate import op2_decontaminate
 from .op4_simhash import op4_simhash
 from .op5_rules import op5_rules
 from .op8_packing import op8_packing
@@ -13,7 +15,14 @@ from .op9_quality import op9_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_simhash": op4_simhash, "op5_rules": op5_rules, "op8_packing": op8_packing, "op9_quality": op9_quality}
+    return {
+        "op1_lines": op1_lines,
+        "op2_decontaminate": op2_decontaminate,
+        "op4_simhash": op4_simhash,
+        "op5_rules": op5_rules,
+        "op8_packing": op8_packing,
+        "op9_quality": op9_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
