@@ -79,7 +79,7 @@ class Binary:
 
 _TOKEN = re.compile(
     r"""\s*(?:\#[^\n]*\n)?\s*(?:(?P<dur>\d+(?:\.\d+)?(?:ms|[smhdwy])(?:\d+(?:ms|[smhdwy]))*)|(?P<num>0x[0-9a-fA-F]+|\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)
-    |(?P<id>[A-Za-z_:][A-Za-z0-9_:]*)|(?P<str>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`)|(?P<op>=~|!~|!=|==|<=|>=|[-+*/%^<>=(){}\[\],:@]))""",
+    |(?P<id>(?:[A-Za-z_]|:(?=[A-Za-z_:]))[A-Za-z0-9_:]*)|(?P<str>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`)|(?P<op>=~|!~|!=|==|<=|>=|[-+*/%^<>=(){}\[\],:@]))""",
     re.VERBOSE,
 )
 _PRECEDENCE = {"or": 1, "and": 2, "unless": 2, **dict.fromkeys(COMPARE, 3), "+": 4, "-": 4, "*": 5, "/": 5, "%": 5, "^": 6}
