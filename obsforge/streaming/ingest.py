@@ -14,13 +14,13 @@ LATENESS = "10 minutes"
 def append_once(table: str, path: str, stream_id: str):
     """A ``foreachBatch`` sink whose batches are written at most once.
 
-    A batch's rows carry its name in a partition of their own, so writing it again replaces the same rows.
+    A batch has a folder of its own name, so writing it again replaces all of it.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         keys = SORT_KEYS[table]
-        rows = with_hour(batch, keys[0]).withColumn("ingest", F.lit(f"{stream_id}-{batch_id}"))
-        rows.sortWithinPartitions(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest", "hour_bucket").parquet(path)
+        rows = with_hour(batch, keys[0]).sortWithinPartitions("hour_bucket", *keys)
+        rows.write.mode("overwrite").partitionBy("hour_bucket").parquet(f"{path}/ingest={stream_id}-{batch_id}")
 
     return sink
 
