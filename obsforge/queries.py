@@ -12,7 +12,7 @@ from .functions import histogram
 from .operators import lifecycle, profiles, stats, transforms
 from .operators import matrix as mx
 from .plans import ir, logql, promql, traceql
-from .sources import signals
+from .sources import scratch, signals
 from .sources.signals import ORACLE
 
 DAY = 86400 * 10**9
@@ -326,6 +326,84 @@ _add("s10_remote_write_kind", lambda s, d: signals.metrics_sum(s, d).select("met
 _add("h04_arrays", lambda s, d: signals.metrics_histogram(s, d).select("timestamp_ns", "service_name", F.aggregate(histogram.number_array(F.col("bucket_counts")), F.lit(0.0), lambda a, x: a + x).alias("n")), "SELECT timestamp_ns, service_name, cnt::DOUBLE AS n FROM hist", "hist")
 
 
+# --- Wire formats, trees, promotion and storage ---------------------------------------------------
+
+
+def _otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = signals._read(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    line = F.concat(F.lit('{"resourceSpans":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"shop"}}]},"scopeSpans":[{"scope":{"name":"lib"},"spans":[{"traceId":"t'), key, F.lit('","spanId":"s'), key, F.lit('","name":"order","startTimeUnixNano":"'), key, F.lit('000","endTimeUnixNano":"'), key, F.lit('500","attributes":[{"key":"priority","value":{"stringValue":"'), "o_orderpriority", F.lit('"}}]}]}]}]}'))
+    spans = transforms.spans_from_otlp(o.select(line.alias("value")))
+    return spans.select("trace_id", "span_id", "service_name", "scope_name", "start_ns", "duration_nanos", "is_root", F.col("span_attributes")["priority"].alias("priority"))
+
+
+_add("s09_otlp", _otlp, "SELECT 't' || o_orderkey AS trace_id, 's' || o_orderkey AS span_id, 'shop' AS service_name, 'lib' AS scope_name, o_orderkey * 1000 AS start_ns, CASE WHEN o_orderkey = 0 THEN 500 ELSE 500 END::BIGINT AS duration_nanos, true AS is_root, o_orderpriority AS priority FROM orders")
+
+
+def _le_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = signals.metrics_histogram(spark, sf_dir).withColumn("c", histogram.running(histogram.number_array(F.col("bucket_counts"))))
+    le = F.array(*[F.lit(str(b)) for b in signals.BOUNDS], F.lit("+Inf"))
+    each = h.select("timestamp_ns", F.lit("quantity_bucket").alias("metric_name"), "service_name", F.explode(F.arrays_zip(le.alias("le"), F.col("c").alias("value"))).alias("x"))
+    return transforms.assemble_histograms(each.select("timestamp_ns", "metric_name", "service_name", "x.le", "x.value"))
+
+
+_add("s11_assemble", _le_samples, "SELECT timestamp_ns, 'quantity' AS metric_name, service_name, cnt AS count, '[' || concat_ws(',', c0, c1, c2, c3, c4) || ']' AS bucket_counts, '[10.0,20.0,30.0,40.0]' AS explicit_bounds FROM hist", "hist")
+
+
+def _wire_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = signals.traces(spark, sf_dir).select("trace_id", "span_id", F.col("span_name").alias("name"), F.col("start_ns").cast("decimal(20,0)").alias("start_time_unix_nano"), F.to_json("span_attributes").alias("attributes_json"))
+    t = transforms.traces(o)
+    return t.select("trace_id", "span_id", "span_name", "start_time_unix_nano", F.date_format("date_day", "yyyy-MM-dd").alias("day"), F.col("hour").cast("long").alias("hour"), F.col("span_attributes")["part"].alias("part"))
+
+
+_add("t01_traces", _wire_spans, "SELECT trace_id, span_id, span_name, start_ns AS start_time_unix_nano, strftime(make_timestamp(start_ns // 1000), '%Y-%m-%d') AS day, hour(make_timestamp(start_ns // 1000)) AS hour, part FROM traces", "traces")
+_add("t02_logs", lambda s, d: transforms.logs(signals._events(s, d).select(F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("timestamp_ns")).alias("time_unix_nano"), F.col("timestamp_ns").alias("observed_time_unix_nano"), "event_id", F.col("k").cast("binary").alias("trace_id"))).select("event_id", "timestamp_ns", "trace_id"), "SELECT event_id, timestamp_ns, lower(hex(k)) AS trace_id FROM ev", "logs")
+_add("t03_points", lambda s, d: transforms.number_points(signals._events(s, d).select(F.col("event_type").alias("metric_name"), "service_name", F.concat(F.lit('[{"time_unix_nano":'), F.col("timestamp_ns").cast("string"), F.lit(',"value":'), F.col("value").cast("string"), F.lit("}]")).alias("data_json"))).select("timestamp_ns", "metric_name", "service_name", "value"), "SELECT timestamp_ns, event_type AS metric_name, service_name, value FROM ev", "logs")
+
+
+def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def tree(pdf):
+        import pandas as pd
+
+        spans = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+        return pd.DataFrame([(spans[0]["trace_id"], i, d) for i, d in traceql.hierarchy(spans)], columns=["trace_id", "span_id", "depth"])
+
+    spans = signals.traces(spark, sf_dir).select("trace_id", "span_id", "parent_span_id", "start_ns", "is_root")
+    return spans.groupBy("trace_id").applyInPandas(tree, "trace_id string, span_id string, depth long")
+
+
+_add("r07_hierarchy", _trees, "SELECT DISTINCT t.trace_id, t.span_id, (r.span_id IS NOT NULL)::INT::BIGINT AS depth FROM traces t LEFT JOIN (SELECT trace_id, span_id FROM traces WHERE is_root) r ON t.trace_id = r.trace_id AND t.parent_span_id = r.span_id", "traces")
+_add("f01_search", lambda s, d: signals.profiles(s, d).groupBy("service_name", "timestamp_ns").agg(F.sum("value").alias("total")).orderBy(F.desc("timestamp_ns"), "service_name").limit(50), "SELECT service_name, timestamp_ns, sum(value)::BIGINT AS total FROM profiles GROUP BY 1, 2 ORDER BY 2 DESC, 1 LIMIT 50", "profiles")
+_add("f03_label_values", lambda s, d: signals.profiles(s, d).select("service_name").distinct(), "SELECT DISTINCT service_name FROM profiles", "profiles")
+
+
+def _promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = signals.logs(spark, sf_dir)
+    demand = spark.createDataFrame([("k", 50), ("event.type", 20), ("deployment.environment", 5), ("gone", 99)], "key string, hits long")
+    found = stats.promotion(stats.attribute_stats(logs, ("log_attributes", "resource_attributes")), demand, logs.count())
+    return found.withColumns({c: F.round(c, 4) for c in ("presence", "score")})
+
+
+_add("as2_promotion", _promoted, "SELECT 'k' AS key, 50 AS hits, round(count(k) / count(*), 4) AS presence, round(50 * count(k) / count(*), 4) AS score FROM logs UNION ALL SELECT 'event.type', 20, 1.0::DOUBLE, 20.0::DOUBLE", "logs")
+_add("d01_describe_fields", lambda s, d: (lambda lg: stats.describe_fields(stats.attribute_stats(lg, ("log_attributes", "resource_attributes")), {"body": "string", "severity_number": "int64"}, lg.count()).withColumn("coverage", F.round("coverage", 4)))(signals.logs(s, d)), "SELECT 'body' AS name, 'string' AS type, 'declared' AS origin, NULL::DOUBLE AS coverage UNION ALL SELECT 'severity_number', 'int64', 'declared', NULL UNION ALL SELECT 'k', 'string', 'observed', round(count(k) / count(*), 4) FROM logs UNION ALL SELECT 'event.type', 'string', 'observed', 1.0::DOUBLE UNION ALL SELECT 'deployment.environment', 'string', 'observed', round(count(env) / count(*), 4) FROM logs", "logs")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by the hour, compacted where hours are many small files, and read back within bounds."""
+    path = scratch.folder(spark, "logs")
+    rows = signals.logs(spark, sf_dir).select("timestamp_ns", "service_name", "severity_text", "body")
+    lifecycle.write(rows, "logs", path)
+    for plan in lifecycle.plan_compaction(spark, path, END + 10 * DAY, min_files=4)[:8]:  # one run takes so many hours
+        lifecycle.compact(spark, path, "logs", plan)
+    back = lifecycle.read(spark, path, START + DAY, END)
+    return back.groupBy("service_name", "severity_text").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp_ns").alias("newest_ns"))
+
+
+_add("c05_stored", _stored, f"SELECT service_name, severity_text, count(*) AS n, max(timestamp_ns) AS newest_ns FROM logs WHERE timestamp_ns BETWEEN {START + DAY} AND {END} GROUP BY 1, 2", "logs")
+_add("s05_union_scan", lambda s, d: signals.catalog(s, d).union("acme", "prod", ("metrics_gauge", "metrics_sum")).groupBy("metric_name", "label_env").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")), "SELECT metric_name, label_env, count(*) AS n, round(sum(value), 2) AS total FROM metrics GROUP BY 1, 2", "metrics")
+_add("a18_series", lambda s, d: mx.series(promql.query_range(s, signals.catalog(s, d), "sum by (service) (view)", START, END, DAY)).select("metric_name", "service_name", F.size("points").cast("long").alias("n_points")), f"SELECT metric_name, service_name, count(DISTINCT {_B}) AS n_points FROM metrics WHERE {_W} AND metric_name = 'view' GROUP BY 1, 2", "metrics")
+
+
 def _sql_query(text: str, most: int = 1_000_000):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
