@@ -7,8 +7,8 @@ meet where variants are equal: without-a-word and whole (one word more or less),
 without-a-word at the same place (one word replaced). Each variant names its earliest line, which
 costs a row a variant, not a row a pair. Edit distances to it are then verified on the words.
 
-Only lines that could have a partner emit variants: one edit leaves the first or the last half of
-the shorter line as it is, so lines are first counted by their halves.
+Only lines that could have a partner emit variants: one edit falls into one half of a line and leaves
+the other half as it is, so lines are first counted by their halves.
 """
 
 from __future__ import annotations
@@ -22,21 +22,32 @@ from .common import Durable, table
 MIN_WORDS = 2
 #: Lines of fewer words have equals only, no lines alike.
 MIN_ALIKE = 10
+#: Zones that an edit can fall into, of equal numbers of words.
+ZONES = 2
+#: Rows that a join broadcasts at most (about 100 bytes each at most), counted beforehand; with more of them both sides are shuffled.
+BROADCAST_ROWS = 200_000
 _SPACE = r" \t\r\x0B\f"
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(line, f"[{_SPACE}]+"), lambda w: w != "")
+    """The words of a line; one empty word if it has none."""
+    return F.split(F.trim(line, F.lit(" \t\r\x0b\f")), f"[{_SPACE}]+")
 
 
 def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _half(side: int, length: Column, w: Column) -> Column:
-    """The first (0) or last (1) half, short of the edit, of lines with ``length`` or one word fewer."""
-    c = F.floor((length - 2) / 2).cast("int")
-    return F.xxhash64(F.lit(side), length, F.slice(w, 1, c) if side == 0 else F.slice(w, F.size(w) - c + 1, c))
+def _zoned(i: int, length: Column, w: Column) -> Column:
+    """For lines of ``length`` words or one fewer: what stands before and after zone ``i`` of ZONES."""
+    before, after = _around(i, length)
+    return F.xxhash64(F.lit(i), length, F.slice(w, F.lit(1), before), F.slice(w, F.size(w) - after + 1, after))
+
+
+def _around(i: int, length: Column) -> tuple[Column, Column]:
+    """How many words stand before and after a zone."""
+    c = F.floor((length - 2) / ZONES).cast("int")
+    return c * i, c * (ZONES - 1 - i)
 
 
 def edited_once(a: Column, b: Column) -> Column:
@@ -50,6 +61,29 @@ def edited_once(a: Column, b: Column) -> Column:
     return alike(a, b) + alike(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
+def _running_xor(x: Column, block: int = 128) -> Column:
+    """The exclusive or of the first elements up to each; within blocks, then over them."""
+
+    def run(part: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        return F.aggregate(part, none, lambda acc, y: F.concat(acc, F.array(y.bitwiseXOR(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0).cast("long"))))))
+
+    last = F.floor((F.size(x) - 1) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: run(F.slice(x, b * block + 1, F.lit(block))))
+
+    def joined(parts: Column) -> Column:
+        ends = run(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return F.flatten(F.zip_with(parts, F.concat(F.array(F.lit(0).cast("long")), F.slice(ends, F.lit(1), F.size(ends) - 1)), lambda p, before: F.transform(p, lambda y: y.bitwiseXOR(before))))
+
+    # An array of one element, so that the blocks are worked out once.
+    return F.transform(F.array(blocks), joined)[0]
+
+
+def _sized(written: DataFrame) -> DataFrame:
+    """A written table for the right of a join: to be broadcast if it is counted to be small."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 #: Where a line stands: rows without an id last, then by id, text and place. A long in each field.
 ORDER = ("o_none", "o_id", "o_print", "o_line")
 
@@ -57,42 +91,71 @@ ORDER = ("o_none", "o_id", "o_print", "o_line")
 def kept_lines(documents: DataFrame, durable: Durable, min_words: int = MIN_WORDS, min_alike: int = MIN_ALIKE) -> DataFrame:
     """ORDER of each line that stays, one row for each different line of at least ``min_words`` words."""
     each = documents.select(F.col("doc_id").isNull().cast("long").alias("o_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("o_id"), F.xxhash64("text").alias("o_print"), F.posexplode(F.transform(lines(F.col("text")), words)).alias("o_line", "w"))
-    each = each.withColumn("o_line", F.col("o_line").cast("long")).where(F.size("w") >= min_words)
+    each = each.withColumn("o_line", F.col("o_line").cast("long")).where((F.size("w") >= min_words) & (F.col("w")[0] != ""))
     n = F.size("w")
-    halves = [F.when(n >= min_alike, _half(side, n + more, F.col("w"))) for more in (0, 1) for side in (0, 1)]
+    zoned = [F.when(n >= min_alike, _zoned(i, n + more, F.col("w"))) for more in (0, 1) for i in range(ZONES)]
+    keys = [f"k{i}" for i in range(len(zoned))]
     # One row for equal lines. All but their place follows from the words, so any of it will do.
-    keyed = each.select(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.struct(*ORDER).alias("o"), *[k.alias(f"k{i}") for i, k in enumerate(halves)])
-    classes = durable.keep(keyed.groupBy("h1", "h2").agg(F.min("o").alias("o"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)]), "classes")
-    halved = classes.where("k0 is not null").select("h1", "h2", F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("k"))
-    shared = durable.keep(halved.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k"), "halves")
-    asked = durable.keep(halved.join(shared, "k", "left_semi").select("h1", "h2").distinct(), "asked")
-    wanted = classes.join(asked, ["h1", "h2"]).select("h1", "h2", "o")
-    by_doc = wanted.groupBy("o.o_none", "o.o_id", "o.o_print").agg(F.collect_list(F.struct("h1", "h2", "o")).alias("x"))
+    keyed = each.select(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.struct(*ORDER).alias("o"), *[z.alias(k) for z, k in zip(zoned, keys, strict=True)])
+    classes = durable.keep(keyed.groupBy("h1", "h2").agg(F.min("o").alias("o"), *[F.min(k).alias(k) for k in keys]), "classes")
+    # Half of a line's hash names it here: an equal half but asks for a line too many.
+    parts = classes.where("k0 is not null").select("h1", F.posexplode(F.array(*keys)).alias("j", "k"))
+    shared = durable.keep(parts.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k"), "shared")
+    asked = durable.keep(parts.join(_sized(shared), "k", "left_semi").groupBy("h1").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("j"))).alias("zones")), "asked")
+    few = asked.count() <= BROADCAST_ROWS
+    wanted = classes.join(F.broadcast(asked) if few else asked, "h1").select("h1", "h2", "o", "zones")
+    by_doc = wanted.groupBy("o.o_none", "o.o_id", "o.o_print").agg(F.collect_list(F.struct("h1", "h2", "o", "zones")).alias("x"))
     texts = documents.select(F.col("doc_id").isNull().cast("long").alias("o_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("o_id"), F.xxhash64("text").alias("o_print"), "text")
-    found = texts.join(by_doc, list(ORDER[:3])).select(lines(F.col("text")).alias("ls"), F.explode("x").alias("x")).select("x.*", words(F.get("ls", F.col("x.o.o_line").cast("int"))).alias("w"))
-    found = durable.keep(found.dropDuplicates(["h1", "h2"]), "lines")  # repeated rows of a document bring a line more than once
-    gone = _alike(found, durable)
-    return classes.join(gone, ["h1", "h2"], "left_anti").select("o.*")
+    found = texts.join(F.broadcast(by_doc) if few else by_doc, list(ORDER[:3])).select(lines(F.col("text")).alias("ls"), F.explode("x").alias("x")).select("x.*", words(F.get("ls", F.col("x.o.o_line").cast("int"))).alias("w"))
+    # Repeated rows of a document bring a line more than once. The number follows the order of lines.
+    found = found.dropDuplicates(["h1", "h2"]).repartitionByRange("o").sortWithinPartitions("o")
+    found = durable.keep(found.select("h1", "h2", F.monotonically_increasing_id().alias("r"), "zones", "w"), "lines")
+    gone = durable.keep(found.join(_alike(found.select("r", "zones", "w"), durable), "r", "left_semi").select("h1", "h2"), "gone")
+    return classes.join(_sized(gone), ["h1", "h2"], "left_anti").select("o.*")
 
 
 def _alike(found: DataFrame, durable: Durable) -> DataFrame:
-    """``h1``, ``h2`` of the lines that an earlier one of ``found`` is alike to."""
-    places = F.sequence(F.lit(1), F.size("w"))
+    """The numbers ``r`` of the lines ``w`` that one of a smaller number is alike to.
+
+    A line's hash is the exclusive or of its words' hashes, each with its place, so that variants
+    cost a step each, however long the line: those without a word follow from running values over
+    the words before it and, a place earlier, the words after it. Only words in a zone that the line
+    may share all around it (a bit of ``zones``) are left out or taken for replaced.
+    """
+    whole, less, gap = 0, 1, 2
+    n = F.size("w")
+    hashed = found.select("r", "zones", F.transform("w", lambda x, i: F.xxhash64(i, x)).alias("here"), F.transform("w", lambda x, i: F.xxhash64(i - 1, x)).alias("earlier"), n.alias("n"))
+    running = hashed.select("r", "zones", "n", "here", _running_xor(F.col("here")).alias("upto"), _running_xor(F.col("earlier")).alias("upto_earlier"))
+    total, total_earlier = F.element_at("upto", -1), F.element_at("upto_earlier", -1)
+
+    def variant(kind: int, *parts: Column) -> Column:
+        return F.struct(F.xxhash64(*parts).alias("v"), F.lit(kind).cast("byte").alias("kind"))
 
     def without(i: Column) -> Column:
-        return F.concat(F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, F.size("w")))
-
-    whole = F.array(F.struct(F.xxhash64("w").alias("v"), F.lit("whole").alias("kind")))
-    less = F.transform(places, lambda i: F.struct(F.xxhash64(without(i)).alias("v"), F.lit("less").alias("kind")))
-    gap = F.transform(places, lambda i: F.struct(F.xxhash64(i, without(i)).alias("v"), F.lit("gap").alias("kind")))
-    variants = durable.keep(found.select("h1", "h2", "o", F.explode(F.concat(whole, less, gap)).alias("x")).select("h1", "h2", "o", "x.*"), "variants")
-    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("o", "h1", "h2"))).alias(f"first_{kind}")
-    firsts = durable.keep(variants.groupBy("v").agg(first("whole"), first("less"), first("gap"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "firsts")
-    partner = F.when(F.col("kind") == "whole", F.col("first_less")).when(F.col("kind") == "less", F.col("first_whole")).otherwise(F.col("first_gap"))
-    met = variants.join(firsts, "v").select("h1", "h2", "o", partner.alias("by")).where(F.col("by.o") < F.col("o")).select("h1", "h2", F.col("by.h1").alias("b1"), F.col("by.h2").alias("b2")).distinct()
-    met = durable.keep(met, "met")
-    a, b = found.select("h1", "h2", F.col("w").alias("wa")), found.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("w").alias("wb"))
-    return met.join(a, ["h1", "h2"]).join(b, ["b1", "b2"]).where(edited_once(F.col("wa"), F.col("wb"))).select("h1", "h2").distinct()
+        before = F.when(i > 0, F.get("upto", i - 1)).otherwise(F.lit(0).cast("long"))
+        return variant(less, F.col("n") - 1, before.bitwiseXOR(total_earlier).bitwiseXOR(F.get("upto_earlier", i)))
+
+    def in_zone(i: Column) -> Column:
+        out = F.lit(False)
+        for j in range(2 * ZONES):
+            before, after = _around(j % ZONES, F.col("n") + j // ZONES)
+            out = out | ((F.col("zones").bitwiseAND(1 << j) != 0) & (i >= before) & (i < F.col("n") - after))
+        return out
+
+    running = running.withColumn("places", F.filter(F.sequence(F.lit(0), F.col("n") - 1), in_zone))
+    each = F.concat(
+        F.array(variant(whole, F.col("n"), total)),
+        F.transform("places", without),
+        F.transform("places", lambda i: variant(gap, F.col("n"), total.bitwiseXOR(F.get("here", i)), i)),
+    )
+    variants = durable.keep(running.select("r", F.explode(each).alias("x")).select("r", "x.*"), "variants")
+    first = [F.min(F.when(F.col("kind") == k, F.col("r"))).alias(f"first{k}") for k in (whole, less, gap)]
+    firsts = durable.keep(variants.groupBy("v").agg(*first, F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "firsts")
+    partner = F.when(F.col("kind") == whole, F.col(f"first{less}")).when(F.col("kind") == less, F.col(f"first{whole}")).otherwise(F.col(f"first{gap}"))
+    met = durable.keep(variants.join(_sized(firsts), "v").select("r", partner.alias("by")).where("by < r").distinct(), "met")
+    durable.drop("variants", "firsts")
+    met = met.join(found, "r").join(found.select(F.col("r").alias("by"), F.col("w").alias("wb")), "by")
+    return met.where(edited_once(F.col("w"), F.col("wb"))).select("r").distinct()
 
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, min_alike: int = MIN_ALIKE, counts: bool = False) -> DataFrame:

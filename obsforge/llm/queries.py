@@ -16,6 +16,7 @@ from .op7_secrets import op7_secrets
 from .op8_packing import op8_packing
 from .op9_quality import op9_quality
 from .op10_urls import op10_urls
+from .oracles import OP1, OP2
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_lines": OP1, "op2_decontaminate": OP2}

@@ -57,12 +57,12 @@ def test_line_dedup_against_all_pairs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in op1_lines.dedup_lines(docs).collect()}
     assert got == brute_lines(rows)
-    fetched = op1_lines.BROADCAST_LINES
+    fetched = op1_lines.BROADCAST_ROWS
     try:  # the way without broadcasting gives the same
-        op1_lines.BROADCAST_LINES = 0
+        op1_lines.BROADCAST_ROWS = 0
         assert {r.doc_id: r.text for r in op1_lines.dedup_lines(docs).collect()} == got
     finally:
-        op1_lines.BROADCAST_LINES = fetched
+        op1_lines.BROADCAST_ROWS = fetched
 
 
 def test_line_dedup_over_odd_rows(spark):
