@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,6 +139,35 @@ def hierarchy(spans: list[dict]) -> list[tuple[str, int]]:
     return out
 
 
+def span_trees(spans: DataFrame) -> DataFrame:
+    """``trace_id``, ``span_id`` and ``depth`` of every span, see ``hierarchy``; a task holds one trace at a time."""
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trace: list[dict] = []
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["trace_id", "span_id", "depth"])
+
+        for batch in batches:
+            for span in batch.to_pylist():
+                if trace and span["trace_id"] != trace[0]["trace_id"]:
+                    out += [(trace[0]["trace_id"], i, d) for i, d in hierarchy(trace)]
+                    trace = []
+                trace.append(span)
+            if len(out) >= 4096:
+                yield flush()
+        if trace:
+            out += [(trace[0]["trace_id"], i, d) for i, d in hierarchy(trace)]
+        if out:
+            yield flush()
+
+    spans = spans.select("trace_id", "span_id", "parent_span_id", "start_ns", "is_root")
+    return spans.repartition("trace_id").sortWithinPartitions("trace_id").mapInArrow(trees, "trace_id string, span_id string, depth long")
+
+
 def tag_values(catalog: Catalog, name: str, tenant: str = "acme", dataset: str = "prod") -> DataFrame | None:
     frame = catalog.find(tenant, dataset, "traces")
     if frame is None:

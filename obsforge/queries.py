@@ -118,6 +118,11 @@ _HQ = f", {_H.replace('PHI', '0.7')} SELECT bucket_ns, metric_name, service_name
 _add("a15_histogram_quantile", _ir("metrics_histogram", [{"histogram_quantile": {"phi": 0.7, "by": ["service.name"], "step": "30d"}}], "series", start=ALL_START, end=ALL_END, round_=("value",)), _HQ.replace("SELECT bucket_ns, metric", "SELECT bucket_ns, metric").removeprefix(", "), "hist")
 _ALL["a15_histogram_quantile"] = (_ALL["a15_histogram_quantile"][0], f"WITH {ORACLE['hist']}{_HQ.replace('VALUE', 'value')}")
 
+def _rounded(column: str):
+    """To four places, as the SQL does it: ties, which the engines round apart, are nudged up, and zero has no sign."""
+    return F.round(F.col(column) + 1e-7, 4) + 0.0
+
+
 # --- PromQL -------------------------------------------------------------------------------------
 
 
@@ -125,7 +130,7 @@ def _prom(text: str, step: int = DAY, start: int = START, end: int = END, instan
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = signals.catalog(spark, sf_dir)
         m = promql.query(spark, c, text, end) if instant else promql.query_range(spark, c, text, start, end, step)
-        return m.frame.withColumn("value", F.round("value", 4))
+        return m.frame.withColumn("value", _rounded("value"))
 
     return query
 
@@ -136,7 +141,7 @@ _LAST = f"SELECT {_B} AS bucket_ns, {_SER}, arg_max(value, timestamp_ns) AS valu
 
 
 def _p(name: str, text: str, select: str, where: str = "'view'", group: str = _SER, tail: str = "") -> None:
-    sql = f"SELECT {_B} AS bucket_ns, {group + ', ' if group else ''}round({select}, 4) AS value {_PM}{where} GROUP BY ALL{tail}"
+    sql = f"SELECT {_B} AS bucket_ns, {group + ', ' if group else ''}round({select} + 1e-7, 4) + 0.0 AS value {_PM}{where} GROUP BY ALL{tail}"
     _add(name, _prom(text), sql, "metrics")
 
 
@@ -146,16 +151,16 @@ _p("m02_ne_absent", 'view{deployment_environment!="prod"}', "arg_max(value, time
 _p("m02_label_ne", 'view{env!="prod"}', "arg_max(value, timestamp_ns)", "'view' AND (label_env IS NULL OR label_env <> 'prod')")
 _p("m02_regex", 'view{k=~"^1"}', "arg_max(value, timestamp_ns)", "'view' AND k LIKE '1%'")
 _p("m02_not_regex", 'view{job!~"svc-[0-4]"}', "arg_max(value, timestamp_ns)", "'view' AND NOT regexp_matches(service_name, 'svc-[0-4]')")
-_add("m03_offset", _prom("view offset 1d"), f"SELECT (timestamp_ns + {DAY}) - (timestamp_ns + {DAY}) % {DAY} AS bucket_ns, {_SER}, round(arg_max(value, timestamp_ns), 4) AS value FROM metrics WHERE timestamp_ns BETWEEN {START - DAY} AND {END - DAY} AND metric_name = 'view' GROUP BY ALL", "metrics")
+_add("m03_offset", _prom("view offset 1d"), f"SELECT (timestamp_ns + {DAY}) - (timestamp_ns + {DAY}) % {DAY} AS bucket_ns, {_SER}, round(arg_max(value, timestamp_ns) + 1e-7, 4) + 0.0 AS value FROM metrics WHERE timestamp_ns BETWEEN {START - DAY} AND {END - DAY} AND metric_name = 'view' GROUP BY ALL", "metrics")
 _AT = START + 10 * DAY
-_add("m04_at", _prom(f'{{__name__=~"^[a-z]+$"}} @ {_AT // 10**9}'), f"SELECT s.b AS bucket_ns, {_SER}, round(value, 4) AS value FROM (SELECT {_SER}, arg_max(value, timestamp_ns) AS value FROM metrics WHERE timestamp_ns BETWEEN {_AT - 300 * 10**9} AND {_AT} AND NOT contains(metric_name, '_') GROUP BY ALL), (SELECT unnest(range({START}::BIGINT, {END}::BIGINT, {DAY}::BIGINT)) AS b) s", "metrics")
+_add("m04_at", _prom(f'{{__name__=~"^[a-z]+$"}} @ {_AT // 10**9}'), f"SELECT s.b AS bucket_ns, {_SER}, round(value + 1e-7, 4) + 0.0 AS value FROM (SELECT {_SER}, arg_max(value, timestamp_ns) AS value FROM metrics WHERE timestamp_ns BETWEEN {_AT - 300 * 10**9} AND {_AT} AND NOT contains(metric_name, '_') GROUP BY ALL), (SELECT unnest(range({START}::BIGINT, {END}::BIGINT, {DAY}::BIGINT)) AS b) s", "metrics")
 _SUBWIN = f"FROM (SELECT unnest(range({START}::BIGINT, {END}::BIGINT, {DAY}::BIGINT)) AS b), (SELECT timestamp_ns - timestamp_ns % {DAY // 4} AS t, service_name, sum(value) AS v FROM metrics WHERE timestamp_ns BETWEEN {START - 2 * DAY} AND {END} AND metric_name = 'view' GROUP BY ALL) WHERE t > b - {2 * DAY} AND t <= b GROUP BY ALL"
-_add("m05_subquery", _prom("max_over_time((sum by (service) (view))[2d:6h])"), f"SELECT b AS bucket_ns, '' AS metric_name, service_name, round(max(v), 4) AS value {_SUBWIN}", "metrics")
+_add("m05_subquery", _prom("max_over_time((sum by (service) (view))[2d:6h])"), f"SELECT b AS bucket_ns, '' AS metric_name, service_name, round(max(v) + 1e-7, 4) + 0.0 AS value {_SUBWIN}", "metrics")
 _p("m06_rate", "rate(view[1m])", "(arg_max(value, timestamp_ns) - arg_min(value, timestamp_ns)) / 60.0")
 _p("m06_increase", "increase(view_total[5m])", "arg_max(value, timestamp_ns) - arg_min(value, timestamp_ns)", "'view_total'")
 _p("m06_delta", "delta(view[1h])", "arg_max(value, timestamp_ns) - arg_min(value, timestamp_ns)")
 _p("m07_deriv", "deriv(view_total[1d])", "CASE WHEN count(*) > 1 THEN regr_slope(value, (timestamp_ns / 1000000000.0) - 1704067200) END", "'view_total'")
-_TWO = f"WITH {ORACLE['metrics']}, o AS (SELECT {_B} AS bucket_ns, {_SER}, value, timestamp_ns, row_number() OVER (PARTITION BY {_B}, {_SER} ORDER BY timestamp_ns DESC) AS k {_PM}'view'), w AS (SELECT bucket_ns, {_SER}, max(value) FILTER (k = 1) - max(value) FILTER (k = 2) AS d, (max(timestamp_ns) FILTER (k = 1) - max(timestamp_ns) FILTER (k = 2)) / 1e9 AS s, count(*) AS n FROM o WHERE k <= 2 GROUP BY ALL) SELECT bucket_ns, {_SER}, round(EXPR, 4) AS value FROM w WHERE n = 2"
+_TWO = f"WITH {ORACLE['metrics']}, o AS (SELECT {_B} AS bucket_ns, {_SER}, value, timestamp_ns, row_number() OVER (PARTITION BY {_B}, {_SER} ORDER BY timestamp_ns DESC) AS k {_PM}'view'), w AS (SELECT bucket_ns, {_SER}, max(value) FILTER (k = 1) - max(value) FILTER (k = 2) AS d, (max(timestamp_ns) FILTER (k = 1) - max(timestamp_ns) FILTER (k = 2)) / 1e9 AS s, count(*) AS n FROM o WHERE k <= 2 GROUP BY ALL) SELECT bucket_ns, {_SER}, round(EXPR + 1e-7, 4) + 0.0 AS value FROM w WHERE n = 2"
 _add("m08_idelta", _prom("idelta(view[1d])"), _TWO.replace("EXPR", "d"))
 _add("m08_irate", _prom("irate(view[1d])"), _TWO.replace("EXPR", "d / s"))
 for _fn, _sql in {"avg": "avg(value)", "sum": "sum(value)", "min": "min(value)", "max": "max(value)", "count": "count(*)::DOUBLE", "last": "arg_max(value, timestamp_ns)", "stddev": "stddev_pop(value)", "stdvar": "var_pop(value)", "present": "1.0::DOUBLE"}.items():
@@ -174,46 +179,46 @@ _p("m13_without", "sum without (env) (view)", "sum(value)", group="metric_name,
 _p("m13_by_label", "sum by (env) (view)", "sum(value)", group="metric_name, label_env")
 _p("m14_quantile", "quantile(0.9, view)", "quantile_cont(value, 0.9)", group="metric_name")
 for _fn, _dir in {"topk": "DESC", "bottomk": "ASC"}.items():
-    _add(f"m15_{_fn}", _prom(f"{_fn}(3, view)"), f"SELECT bucket_ns, {_SER}, round(value, 4) AS value FROM ({_LAST}) QUALIFY row_number() OVER (PARTITION BY bucket_ns ORDER BY value {_dir}, metric_name, service_name, label_env NULLS FIRST) <= 3", "metrics")
+    _add(f"m15_{_fn}", _prom(f"{_fn}(3, view)"), f"SELECT bucket_ns, {_SER}, round(value + 1e-7, 4) + 0.0 AS value FROM ({_LAST}) QUALIFY row_number() OVER (PARTITION BY bucket_ns ORDER BY value {_dir}, metric_name, service_name, label_env NULLS FIRST) <= 3", "metrics")
 _add("m16_count_values", _prom('count_values("v", floor(view))'), f"SELECT bucket_ns, floor(value)::BIGINT::VARCHAR AS service_name, count(*)::DOUBLE AS value FROM ({_LAST}) GROUP BY 1, 2", "metrics")
-_add("m17_outer", _prom("sum by (service) (avg_over_time(view[1d]))"), f"SELECT bucket_ns, metric_name, service_name, round(sum(value), 4) AS value FROM (SELECT {_B} AS bucket_ns, {_SER}, avg(value) AS value {_PM}'view' GROUP BY ALL) GROUP BY 1, 2, 3", "metrics")
+_add("m17_outer", _prom("sum by (service) (avg_over_time(view[1d]))"), f"SELECT bucket_ns, metric_name, service_name, round(sum(value) + 1e-7, 4) + 0.0 AS value FROM (SELECT {_B} AS bucket_ns, {_SER}, avg(value) AS value {_PM}'view' GROUP BY ALL) GROUP BY 1, 2, 3", "metrics")
 for _n, (_text, _sql) in {"add": ("view + 1", "value + 1"), "sub_left": ("100 - view", "100 - value"), "mul": ("view * 2.5", "value * 2.5"), "div_zero": ("view / 0", "CASE WHEN value > 0 THEN 'inf'::DOUBLE WHEN value < 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END"), "mod": ("view % 7", "fmod(value, 7)"), "pow": ("view ^ 2", "pow(value, 2)"), "precedence": ("view * 2 + 3 ^ 2", "value * 2 + 9"), "negated": ("-view", "-value")}.items():
-    _add(f"m18_{_n}", _prom(_text), f"SELECT bucket_ns, {_SER}, round({_sql}, 4) AS value FROM ({_LAST})", "metrics")
-_add("m19_filter", _prom("view > 20"), f"SELECT bucket_ns, {_SER}, round(value, 4) AS value FROM ({_LAST}) WHERE value > 20", "metrics")
+    _add(f"m18_{_n}", _prom(_text), f"SELECT bucket_ns, {_SER}, round({_sql} + 1e-7, 4) + 0.0 AS value FROM ({_LAST})", "metrics")
+_add("m19_filter", _prom("view > 20"), f"SELECT bucket_ns, {_SER}, round(value + 1e-7, 4) + 0.0 AS value FROM ({_LAST}) WHERE value > 20", "metrics")
 _add("m19_bool", _prom("view > bool 20"), f"SELECT bucket_ns, {_SER}, (value > 20)::INT::DOUBLE AS value FROM ({_LAST})", "metrics")
 _SUMS = lambda metric, cond="": f"(SELECT {_B} AS bucket_ns, metric_name, service_name, sum(value) AS value FROM metrics WHERE {_W} AND metric_name = '{metric}'{cond} GROUP BY ALL)"
 _L, _R = "sum by (service) (view)", "sum by (service) (click)"
 _J = f"FROM {_SUMS('view')} l JOIN {_SUMS('click')} r USING (bucket_ns, service_name)"
 for _n, _op in {"add": "+", "sub": "-", "mul": "*", "div": "/"}.items():
-    _add(f"m20_{_n}", _prom(f"{_L} {_op} {_R}"), f"SELECT bucket_ns, service_name, round(l.value {_op} r.value, 4) AS value {_J}", "metrics")
-_add("m21_compare", _prom(f"{_L} > {_R}"), f"SELECT bucket_ns, l.metric_name, service_name, round(l.value, 4) AS value {_J} WHERE l.value > r.value", "metrics")
+    _add(f"m20_{_n}", _prom(f"{_L} {_op} {_R}"), f"SELECT bucket_ns, service_name, round(l.value {_op} r.value + 1e-7, 4) + 0.0 AS value {_J}", "metrics")
+_add("m21_compare", _prom(f"{_L} > {_R}"), f"SELECT bucket_ns, l.metric_name, service_name, round(l.value + 1e-7, 4) + 0.0 AS value {_J} WHERE l.value > r.value", "metrics")
 _add("m21_bool", _prom(f"{_L} > bool {_R}"), f"SELECT bucket_ns, service_name, (l.value > r.value)::INT::DOUBLE AS value {_J}", "metrics")
 _SPARSE, _SPSQL = 'sum by (service) (click{k=~"^[1-3]$"})', _SUMS("click", " AND k IN ('1', '2', '3')")
-_add("m22_and", _prom(f"{_L} and {_SPARSE}"), f"SELECT l.bucket_ns, l.metric_name, l.service_name, round(l.value, 4) AS value FROM {_SUMS('view')} l SEMI JOIN {_SPSQL} r USING (bucket_ns, service_name)", "metrics")
-_add("m22_unless", _prom(f"{_L} unless {_SPARSE}"), f"SELECT l.bucket_ns, l.metric_name, l.service_name, round(l.value, 4) AS value FROM {_SUMS('view')} l ANTI JOIN {_SPSQL} r USING (bucket_ns, service_name)", "metrics")
-_add("m22_or", _prom(f"{_SPARSE} or {_L}"), f"SELECT bucket_ns, metric_name, service_name, round(value, 4) AS value FROM {_SPSQL} UNION ALL SELECT l.bucket_ns, l.metric_name, l.service_name, round(l.value, 4) FROM {_SUMS('view')} l ANTI JOIN {_SPSQL} r USING (bucket_ns, service_name)", "metrics")
+_add("m22_and", _prom(f"{_L} and {_SPARSE}"), f"SELECT l.bucket_ns, l.metric_name, l.service_name, round(l.value + 1e-7, 4) + 0.0 AS value FROM {_SUMS('view')} l SEMI JOIN {_SPSQL} r USING (bucket_ns, service_name)", "metrics")
+_add("m22_unless", _prom(f"{_L} unless {_SPARSE}"), f"SELECT l.bucket_ns, l.metric_name, l.service_name, round(l.value + 1e-7, 4) + 0.0 AS value FROM {_SUMS('view')} l ANTI JOIN {_SPSQL} r USING (bucket_ns, service_name)", "metrics")
+_add("m22_or", _prom(f"{_SPARSE} or {_L}"), f"SELECT bucket_ns, metric_name, service_name, round(value + 1e-7, 4) + 0.0 AS value FROM {_SPSQL} UNION ALL SELECT l.bucket_ns, l.metric_name, l.service_name, round(l.value + 1e-7, 4) + 0.0 FROM {_SUMS('view')} l ANTI JOIN {_SPSQL} r USING (bucket_ns, service_name)", "metrics")
 for _fn, _sql in {"abs": "abs(value - 20)", "ceil": "ceil(value - 20)", "floor": "floor(value - 20)", "round": "floor(value - 20 + 0.5)", "sgn": "sign(value - 20)"}.items():
-    _add(f"m23_{_fn}", _prom(f"{_fn}(view - 20)"), f"SELECT bucket_ns, {_SER}, round({_sql}, 4)::DOUBLE AS value FROM ({_LAST})", "metrics")
+    _add(f"m23_{_fn}", _prom(f"{_fn}(view - 20)"), f"SELECT bucket_ns, {_SER}, round({_sql} + 1e-7, 4)::DOUBLE + 0.0 AS value FROM ({_LAST})", "metrics")
 for _fn, _sql in {"sqrt": "sqrt(value)", "exp": "exp(value / 100)", "ln": "ln(value + 1)", "log2": "log2(value + 1)", "log10": "log10(value + 1)"}.items():
     _text = {"sqrt": "sqrt(view)", "exp": "exp(view / 100)"}.get(_fn, f"{_fn}(view + 1)")
-    _add(f"m23_{_fn}", _prom(_text), f"SELECT bucket_ns, {_SER}, round({_sql}, 4) AS value FROM ({_LAST})", "metrics")
+    _add(f"m23_{_fn}", _prom(_text), f"SELECT bucket_ns, {_SER}, round({_sql} + 1e-7, 4) + 0.0 AS value FROM ({_LAST})", "metrics")
 for _fn, _sql in {"clamp(view, 5, 30)": "least(greatest(value, 5), 30)", "clamp_min(view, 5)": "greatest(value, 5)", "clamp_max(view, 30)": "least(value, 30)"}.items():
-    _add("m23_" + _fn.split("(")[0], _prom(_fn), f"SELECT bucket_ns, {_SER}, round({_sql}, 4) AS value FROM ({_LAST})", "metrics")
-_add("m24_sort", _prom("sort_desc(view)"), f"SELECT bucket_ns, {_SER}, round(value, 4) AS value FROM ({_LAST})", "metrics")
-_add("m25_label_replace", _prom('label_replace(view, "service", "team-$1", "service", "svc-([0-4])")'), f"SELECT bucket_ns, metric_name, CASE WHEN regexp_full_match(service_name, 'svc-([0-4])') THEN 'team-' || substr(service_name, 5) ELSE service_name END AS service_name, label_env, round(value, 4) AS value FROM ({_LAST})", "metrics")
-_add("m25_label_join", _prom('label_join(view, "service", "/", "__name__", "service")'), f"SELECT bucket_ns, metric_name, metric_name || '/' || service_name AS service_name, label_env, round(value, 4) AS value FROM ({_LAST})", "metrics")
+    _add("m23_" + _fn.split("(")[0], _prom(_fn), f"SELECT bucket_ns, {_SER}, round({_sql} + 1e-7, 4) + 0.0 AS value FROM ({_LAST})", "metrics")
+_add("m24_sort", _prom("sort_desc(view)"), f"SELECT bucket_ns, {_SER}, round(value + 1e-7, 4) + 0.0 AS value FROM ({_LAST})", "metrics")
+_add("m25_label_replace", _prom('label_replace(view, "service", "team-$1", "service", "svc-([0-4])")'), f"SELECT bucket_ns, metric_name, CASE WHEN regexp_full_match(service_name, 'svc-([0-4])') THEN 'team-' || substr(service_name, 5) ELSE service_name END AS service_name, label_env, round(value + 1e-7, 4) + 0.0 AS value FROM ({_LAST})", "metrics")
+_add("m25_label_join", _prom('label_join(view, "service", "/", "__name__", "service")'), f"SELECT bucket_ns, metric_name, metric_name || '/' || service_name AS service_name, label_env, round(value + 1e-7, 4) + 0.0 AS value FROM ({_LAST})", "metrics")
 _STEPS = f"(SELECT unnest(range({START}::BIGINT, {END}::BIGINT, {DAY}::BIGINT)) AS bucket_ns)"
 _add("m26_vector", _prom("vector(3)"), f"SELECT bucket_ns, '' AS metric_name, '' AS service_name, 3.0::DOUBLE AS value FROM {_STEPS}")
 _add("m26_time", _prom("time()"), f"SELECT bucket_ns, '' AS metric_name, '' AS service_name, bucket_ns / 1e9 AS value FROM {_STEPS}")
-_add("m27_scalar", _prom("scalar(sum(view))"), f"SELECT {_B} AS bucket_ns, '' AS metric_name, '' AS service_name, round(sum(value), 4) AS value {_PM}'view' GROUP BY 1", "metrics")
+_add("m27_scalar", _prom("scalar(sum(view))"), f"SELECT {_B} AS bucket_ns, '' AS metric_name, '' AS service_name, round(sum(value) + 1e-7, 4) + 0.0 AS value {_PM}'view' GROUP BY 1", "metrics")
 _p("m28_timestamp", "timestamp(view)", "max(timestamp_ns) / 1e9")
 for _fn, _sql in {"day_of_week": "dayofweek(t)", "day_of_month": "day(t)", "day_of_year": "dayofyear(t)", "days_in_month": "day(last_day(t))", "hour": "hour(t)", "minute": "minute(t)", "month": "month(t)", "year": "year(t)"}.items():
     _add(f"m29_{_fn}", _prom(f"{_fn}()"), f"SELECT bucket_ns, '' AS metric_name, '' AS service_name, ({_sql})::DOUBLE AS value FROM (SELECT bucket_ns, make_timestamp(bucket_ns // 1000) AS t FROM {_STEPS})")
 _WIDE = {"step": DAY * 30, "start": ALL_START, "end": ALL_END}
 for _fn, _c in {"count": "cnt", "sum": "total"}.items():
-    _add(f"m30_histogram_{_fn}", _prom(f"histogram_{_fn}(quantity)", **_WIDE), f"SELECT timestamp_ns - timestamp_ns % {DAY * 30} AS bucket_ns, 'quantity' AS metric_name, service_name, round(sum({_c})::DOUBLE, 4) AS value FROM hist WHERE timestamp_ns BETWEEN {ALL_START} AND {ALL_END} GROUP BY 1, 2, 3", "hist")
+    _add(f"m30_histogram_{_fn}", _prom(f"histogram_{_fn}(quantity)", **_WIDE), f"SELECT timestamp_ns - timestamp_ns % {DAY * 30} AS bucket_ns, 'quantity' AS metric_name, service_name, round(sum({_c})::DOUBLE + 1e-7, 4) + 0.0 AS value FROM hist WHERE timestamp_ns BETWEEN {ALL_START} AND {ALL_END} GROUP BY 1, 2, 3", "hist")
 _add("m31_histogram_quantile", _prom("histogram_quantile(0.7, quantity)", **_WIDE), f"WITH {ORACLE['hist']}{_HQ.replace('VALUE', 'value')}")
-_add("m32_histogram_fraction", _prom("histogram_fraction(5, 25, quantity)", **_WIDE), f"WITH {ORACLE['hist']}, {_H.replace('PHI', '0.5')} SELECT bucket_ns, metric_name, service_name, round((c0 * 0.5 + c1 + c2 * 0.5) / t, 4) AS value FROM q")
+_add("m32_histogram_fraction", _prom("histogram_fraction(5, 25, quantity)", **_WIDE), f"WITH {ORACLE['hist']}, {_H.replace('PHI', '0.5')} SELECT bucket_ns, metric_name, service_name, round((c0 * 0.5 + c1 + c2 * 0.5) / t + 1e-7, 4) + 0.0 AS value FROM q")
 _add("m34_instant", _prom("sum by (service) (view)", instant=True), None)
 _add("m35_labels", lambda s, d: promql.labels(signals.catalog(s, d)), "SELECT unnest(['__name__', 'job', 'service_name', 'k', 'deployment.environment']) AS label")
 _add("m35_label_values", lambda s, d: promql.label_values(signals.catalog(s, d), "__name__"), "SELECT DISTINCT metric_name AS value FROM metrics", "metrics")
@@ -224,7 +229,7 @@ _add("m35_label_values", lambda s, d: promql.label_values(signals.catalog(s, d),
 def _logql(text: str, step: int = DAY):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = logql.query_range(spark, signals.catalog(spark, sf_dir), text, START, END, step)
-        return m.frame.withColumn("value", F.round("value", 4))
+        return m.frame.withColumn("value", _rounded("value"))
 
     return query
 
@@ -257,21 +262,21 @@ for _n, (_text, _sql) in {
     **{f"l09_{f}": (f'{f}_over_time({{job=~".+"}} | unwrap duration [1d])', q) for f, q in {"sum": "sum(duration)", "avg": "avg(duration)", "min": "min(duration)", "max": "max(duration)", "stddev": "stddev_pop(duration)", "stdvar": "var_pop(duration)", "first": "arg_min(duration, timestamp_ns)", "last": "arg_max(duration, timestamp_ns)"}.items()},
     "l10_quantile": ('quantile_over_time(0.9, {job=~".+"} | unwrap duration [1d])', "quantile_cont(duration, 0.9)"),
 }.items():
-    _add(_n, _logql(_text), f"SELECT {_B} AS bucket_ns, {_LS}, round({_sql}, 4) AS value {_LQ} GROUP BY ALL", "logs")
+    _add(_n, _logql(_text), f"SELECT {_B} AS bucket_ns, {_LS}, round({_sql} + 1e-7, 4) + 0.0 AS value {_LQ} GROUP BY ALL", "logs")
 _add("l11_sum_by", _logql('sum by (job) (count_over_time({job=~".+"}[1d]))'), f"SELECT {_B} AS bucket_ns, service_name, count(*)::DOUBLE AS value {_LQ} GROUP BY ALL", "logs")
 _COUNTED = f"(SELECT {_B} AS bucket_ns, {_LS}, count(*)::DOUBLE AS value {_LQ} GROUP BY ALL)"
 for _fn, _sql in {"avg": "avg(value)", "min": "min(value)", "max": "max(value)", "count": "count(*)::DOUBLE", "stddev": "stddev_pop(value)", "stdvar": "var_pop(value)"}.items():
-    _add(f"l12_{_fn}", _logql(f'{_fn}(count_over_time({{job=~".+"}}[1d]))'), f"SELECT bucket_ns, round({_sql}, 4) AS value FROM {_COUNTED} GROUP BY 1", "logs")
+    _add(f"l12_{_fn}", _logql(f'{_fn}(count_over_time({{job=~".+"}}[1d]))'), f"SELECT bucket_ns, round({_sql} + 1e-7, 4) + 0.0 AS value FROM {_COUNTED} GROUP BY 1", "logs")
 for _fn, _dir in {"topk": "DESC", "bottomk": "ASC"}.items():
     _add(f"l13_{_fn}", _logql(f'{_fn}(3, count_over_time({{job=~".+"}}[1d]))'), f"SELECT bucket_ns, {_LS}, value FROM {_COUNTED} QUALIFY row_number() OVER (PARTITION BY bucket_ns ORDER BY value {_dir}, service_name, severity_text) <= 3", "logs")
 _add("l14_sort", _logql('sort_desc(count_over_time({job=~".+"}[1d]))'), f"SELECT * FROM {_COUNTED}", "logs")
 for _n, (_text, _sql) in {"mul": ('count_over_time({job=~".+"}[1d]) * 2', "value * 2"), "left": ('100 - count_over_time({job=~".+"}[1d])', "100 - value"), "div": ('count_over_time({job=~".+"}[1d]) / 4', "value / 4")}.items():
-    _add(f"l15_{_n}", _logql(_text), f"SELECT bucket_ns, {_LS}, round({_sql}, 4) AS value FROM {_COUNTED}", "logs")
+    _add(f"l15_{_n}", _logql(_text), f"SELECT bucket_ns, {_LS}, round({_sql} + 1e-7, 4) + 0.0 AS value FROM {_COUNTED}", "logs")
 _BYJOB = lambda cond: f"(SELECT {_B} AS bucket_ns, service_name, count(*)::DOUBLE AS value {_LQ} AND {cond} GROUP BY ALL)"
 _E, _N = 'sum by (job) (count_over_time({level="ERROR"}[1d]))', 'sum by (job) (count_over_time({level="WARN"}[1d]))'
 _LJ = f"FROM {_BYJOB(chr(115) + 'everity_text = ' + chr(39) + 'ERROR' + chr(39))} l JOIN {_BYJOB('severity_text = ' + chr(39) + 'WARN' + chr(39))} r USING (bucket_ns, service_name)"
 for _n, _op in {"add": "+", "sub": "-", "mul": "*", "div": "/"}.items():
-    _add(f"l16_{_n}", _logql(f"{_E} {_op} {_N}"), f"SELECT bucket_ns, service_name, round(l.value {_op} r.value, 4) AS value {_LJ}", "logs")
+    _add(f"l16_{_n}", _logql(f"{_E} {_op} {_N}"), f"SELECT bucket_ns, service_name, round(l.value {_op} r.value + 1e-7, 4) + 0.0 AS value {_LJ}", "logs")
 _add("l17_compare", _logql(f"{_E} > {_N}"), f"SELECT bucket_ns, service_name, l.value AS value {_LJ} WHERE l.value > r.value", "logs")
 _add("l17_bool", _logql(f"{_E} >= bool {_N}"), f"SELECT bucket_ns, service_name, (l.value >= r.value)::INT::DOUBLE AS value {_LJ}", "logs")
 _RARE, _RSQL = 'sum by (job) (count_over_time({k="7"}[1d]))', _BYJOB("k = '7'")
@@ -362,14 +367,7 @@ _add("t03_points", lambda s, d: transforms.number_points(signals._events(s, d).s
 
 
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def tree(pdf):
-        import pandas as pd
-
-        spans = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        return pd.DataFrame([(spans[0]["trace_id"], i, d) for i, d in traceql.hierarchy(spans)], columns=["trace_id", "span_id", "depth"])
-
-    spans = signals.traces(spark, sf_dir).select("trace_id", "span_id", "parent_span_id", "start_ns", "is_root")
-    return spans.groupBy("trace_id").applyInPandas(tree, "trace_id string, span_id string, depth long")
+    return traceql.span_trees(signals.traces(spark, sf_dir))
 
 
 _add("r07_hierarchy", _trees, "SELECT DISTINCT t.trace_id, t.span_id, (r.span_id IS NOT NULL)::INT::BIGINT AS depth FROM traces t LEFT JOIN (SELECT trace_id, span_id FROM traces WHERE is_root) r ON t.trace_id = r.trace_id AND t.parent_span_id = r.span_id", "traces")
