@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsforge.llm import op1_lines, op2_decontaminate, op4_simhash, op8_packing, op9_quality
+from obsforge.llm import near_copies, op1_lines, op2_decontaminate, op8_packing, op9_quality
 from obsforge.llm.common import Durable, table
 from obsforge.llm.tokens import vocabulary
 
@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return op4_simhash.keep_first(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    return near_copies.keep_first(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
