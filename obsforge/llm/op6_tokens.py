@@ -1,17 +1,21 @@
 """Token counts as delta-maintained rollups by source, language and tokenizer version.
 
 Totals are additive, so a batch of changes is a few signed sums: inserts add a document and its
-tokens, deletes take them away, revised counts move the difference. A batch is written under its
-name by one rename; a batch whose name is there already is not written again, so a retry after a
-failure changes nothing. Totals are the sums over the batches.
+tokens, deletes take them away, revised counts move the difference. A batch's sums are written to a
+folder of their own; then a small marker with the batch's name is created, only if there is none,
+and tells the folder: that is the commit. A writer that finds a marker takes its own folder away, so
+a retry, or a second writer at the same time, changes nothing. Totals are the sums over the folders
+that markers tell; what a crash left without one is never read, and ``sweep`` deletes it.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,8 @@ from .tokens import encoder, vocabulary
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 VOCABULARY = "word_bpe_49k.json"
+#: Characters of the name of a folder of sums.
+NAME = len("sums-") + 32
 
 
 def inserts(docs: DataFrame) -> DataFrame:
@@ -53,9 +59,25 @@ class TokenRollup:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _markers(self) -> list[tuple[object, str, str]]:
+        """Each marker's status, its batch and the folder that it tells (none if a crash cut it short)."""
+        path, fs = self._path("")
+        found = []
+        for status in fs.listStatus(path) if fs.exists(path) else []:
+            name = status.getPath().getName()
+            if name.startswith("batch="):
+                stream = fs.open(status.getPath())
+                told = bytes(stream.readAllBytes()).decode()
+                stream.close()
+                found.append((status, name.removeprefix("batch="), told if len(told) == NAME else ""))
+        return found
+
     def committed(self, batch: str) -> bool:
-        path, fs = self._path(f"batch={batch}")
-        return fs.exists(path)
+        """Whether a batch is there. A marker without content is a commit under way or one that broke off: an error."""
+        told = {b: folder for _, b, folder in self._markers()}
+        if told.get(batch) == "":
+            raise RuntimeError(f"the marker of batch {batch!r} is empty: another writer is at it, or broke off and is to be swept")
+        return batch in told
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch; False, and nothing changes, if it is there already."""
@@ -63,24 +85,45 @@ class TokenRollup:
             raise ValueError(f"not a batch name: {batch!r}")
         if self.committed(batch):
             return False
-        staged = f"staged-{uuid.uuid4().hex}"
+        folder = f"sums-{uuid.uuid4().hex}"
         sums = changes.groupBy(*KEYS).agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
-        sums.write.parquet(f"{self.folder}/{staged}")
-        path, fs = self._path(staged)
-        final, _ = self._path(f"batch={batch}")
-        # A folder renamed onto one that another writer has just put there would go into it.
-        if fs.exists(final) or not fs.rename(path, final):
-            delete_folder(self.spark, f"{self.folder}/{staged}")
+        sums.write.parquet(f"{self.folder}/{folder}")
+        if not self._mark(batch, folder):
+            delete_folder(self.spark, f"{self.folder}/{folder}")
             return False
         return True
 
+    def _mark(self, batch: str, folder: str) -> bool:
+        """Create a batch's marker; False if it is there, whoever created it."""
+        path, fs = self._path(f"batch={batch}")
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError:
+            if fs.exists(path):
+                return False
+            raise
+        out.write(bytearray(folder.encode()))
+        out.close()
+        return True
+
+    def sweep(self, older_than_ms: int) -> list[str]:
+        """Delete folders that no marker tells, and empty markers, older than so many milliseconds; returns their names."""
+        path, fs = self._path("")
+        markers, old = self._markers(), time.time() * 1000 - older_than_ms
+        live = {folder for *_, folder in markers}
+        loose = [s for s, _, folder in markers if not folder]
+        loose += [s for s in (fs.listStatus(path) if fs.exists(path) else []) if s.getPath().getName().startswith("sums-") and s.getPath().getName() not in live]
+        gone = [s.getPath() for s in loose if s.getModificationTime() <= old]
+        for p in gone:
+            fs.delete(p, True)
+        return sorted(p.getName() for p in gone)
+
     def totals(self) -> DataFrame:
         """``source``, ``lang``, ``tokenizer``, ``n_docs`` and ``n_tokens`` over all batches."""
-        path, fs = self._path("")
-        names = sorted(s.getPath().toString() for s in (fs.listStatus(path) if fs.exists(path) else []) if s.getPath().getName().startswith("batch="))
-        if not names:
+        folders = sorted(folder for *_, folder in self._markers() if folder)
+        if not folders:
             return self.spark.createDataFrame([], SCHEMA)
-        sums = self.spark.read.schema(SCHEMA).parquet(*names).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums = self.spark.read.schema(SCHEMA).parquet(*[f"{self.folder}/{f}" for f in folders]).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
 

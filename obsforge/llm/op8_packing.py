@@ -1,11 +1,15 @@
 """Packing into token windows by Karmarkar-Karp multiway differencing.
 
 Documents become pieces: whole windows are cut off long ones, and what is left goes into blocks
-of some tens of windows. In a block, the differencing method merges partial partitions with
-opposing imbalances until one partition into windows is left, its windows nearly equal; if one is
-over capacity, the block is partitioned anew into one window more. The windows that the tokens
-can fill are then topped up from the least of them, cutting pieces where needed, and what is left
-goes on to the next block. A task ends with sequences at powers of two, so nothing is padded.
+of some tens of windows. Pieces far smaller than a window are tied into bundles first, so that a
+block has a bounded number of items however short its documents are. In a block, the differencing
+method merges partial partitions with opposing imbalances until one partition into windows is left,
+its windows nearly equal; if one is over capacity, the block is partitioned anew into one window more.
+
+The windows that go out are full, though: what the differencing leaves nearly equal and short of
+capacity is topped up from the least windows, the only ones whose pieces are cut or moved, and what
+is left of those goes on to the next block. A task ends with sequences at powers of two, so nothing
+is padded.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ WINDOW = 4096
 END_ID = 2
 #: Windows of a block: bounds what a task holds, and the cost of a merge.
 BLOCK_WINDOWS = 64
+#: Pieces are tied into bundles of at most this share of a window: at most so many twice over for each window of a block.
+BUNDLES = 64
 VOCABULARY = "word_bpe_49k.json"
 
 #: doc_id, the document's tokens, where the piece starts in it, and its ids in little-endian 32-bit bytes.
@@ -77,6 +83,24 @@ def partition(sizes: list[int], capacity: int) -> list[list[int]]:
         parts += 1
 
 
+def bundles(sizes: list[int], most: int) -> list[list[int]]:
+    """Items in their order, tied together as long as a bundle is no larger than ``most``; larger ones stay alone.
+
+    Any two bundles next to each other are larger than ``most`` together, so there are at most
+    twice as many, and one, as ``most`` goes into all.
+    """
+    out: list[list[int]] = []
+    total = 0
+    for i, size in enumerate(sizes):
+        if out and total + size <= most:
+            out[-1].append(i)
+            total += size
+        else:
+            out.append([i])
+            total = size
+    return out
+
+
 class Packer:
     """Takes documents one by one and gives out full sequences, each a list of pieces."""
 
@@ -98,8 +122,10 @@ class Packer:
 
     def pack(self) -> Iterator[list[Piece]]:
         """The block's full windows; keeps what they leave over."""
-        groups = partition([len(p[3]) // 4 for p in self.pieces], self.window)
-        windows = sorted(([self.pieces[i] for i in g] for g in groups), key=_length, reverse=True)
+        sizes = [len(p[3]) // 4 for p in self.pieces]
+        tied = bundles(sizes, max(1, self.window // BUNDLES))
+        groups = partition([sum(sizes[i] for i in b) for b in tied], self.window)
+        windows = sorted(([self.pieces[i] for b in g for i in tied[b]] for g in groups), key=_length, reverse=True)
         full = self.held // self.window
         rest = [p for w in windows[full:] for p in w]
         for window in windows[:full]:

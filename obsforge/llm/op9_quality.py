@@ -149,5 +149,5 @@ def keep_good(documents: DataFrame, model: RuleEnsemble, cut: float = CUT) -> Da
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = fit(documents, table(spark, sf_dir, "labels"))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD[0] == FOLD[1]
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD[0] == FOLD[1], F.lit(False))  # a row without an id is in no fold
     return score(documents, model, "doc_id").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, utf8
+from .common import hashed_share, map_batches, utf8
 
 WINDOW_WORDS = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -77,18 +77,22 @@ def text_statistics(documents: DataFrame, *keep: str) -> DataFrame:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, most: int, fold: tuple[int, int] | None = None) -> DataFrame:
-    """``doc_id``, ``y`` and ``text`` of about ``most`` rows with a label, or of all if there are fewer.
+    """``doc_id``, ``y`` and ``text`` of about ``most`` ids with a label, or of all if there are fewer.
 
     Labels are 0 or 1; null ids and labels are left out, several of one id are averaged and tied ones
-    left out. Of more rows than ``most``, those whose id has a small hash are taken, a share that
-    their count sets, so the sample is bounded, repeatable and small enough to broadcast.
+    left out. Of more ids than ``most``, those with a small hash are taken, a share of all 2^64 that
+    their number sets, so the sample is bounded, repeatable, as large as asked for at any size and
+    small enough to broadcast. Of several rows of an id, the one with the least text counts.
     ``fold=(m, r)`` leaves out ids whose crc32, as text, is ``r`` modulo ``m``.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
     if fold:
         known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold[0] != fold[1])
     known = known.groupBy("doc_id").agg(F.avg("y").alias("y")).where("y <> 0.5").withColumn("y", (F.col("y") > 0.5).cast("int"))
-    share = min(1.0, most / max(known.count(), 1))
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    n = known.count()
+    if n > most:
+        known = known.where(hashed_share(F.xxhash64("doc_id"), most / n))
+        if known.isEmpty():
+            raise RuntimeError(f"a sample of {most} out of {n} labelled ids came out empty")
+    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
