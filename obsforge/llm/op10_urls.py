@@ -18,7 +18,11 @@ from .common import Durable, table
 #: (verdict, rule): a rule is a host and a path, put together.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
-ROUNDS = 12
+#: Rounds go on until no host's trust or distrust moves by more than this share of a whole seed's, up to a number that the damping makes enough.
+TOLERANCE = 1e-3
+ROUNDS = 60
+#: After so many rounds, scores are written to the shared folder and looked at.
+TURN = 4
 #: Distrust that blocks, as a share of what a host has whose pages are all blocked and that links to none.
 THRESHOLD = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,13 +61,15 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.unionByName(both).where("src <> dst and src <> '' and dst <> ''").distinct()
 
 
-def propagate(links: DataFrame, seeds: DataFrame, durable: Durable, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """``host``, ``trust`` and ``distrust`` after so many rounds.
+def propagate(links: DataFrame, seeds: DataFrame, durable: Durable, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``host``, ``trust``, ``distrust`` and ``residual``: by how much any of them moved in the last round.
 
     ``seeds`` has ``host``, ``allowed`` and ``blocked`` (0 to 1). Each round, a host keeps
     ``1 - damping`` of its seed and gets ``damping`` of what neighbours have, who share it equally:
     trust from those that link to it, distrust from those that it links to. What a host without
-    such links has goes nowhere. Every four rounds are written to the shared folder.
+    such links has stays with it and goes no further, so scores do not depend on hosts that are not
+    connected. Rounds end when the residual is within ``tolerance`` of a whole seed's, or after
+    ``rounds``. Every TURN rounds are written to the shared folder.
     """
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
     into = links.groupBy("dst").agg(F.count(F.lit(1)).alias("n_in"))
@@ -75,15 +81,21 @@ def propagate(links: DataFrame, seeds: DataFrame, durable: Durable, damping: flo
     hosts = links.select(F.explode(F.array("src", "dst")).alias("host")).unionByName(seeds.select("host")).distinct()
     start = hosts.join(seeds, "host", "left").select("host", ((1 - damping) * F.coalesce("allowed", F.lit(0.0))).alias("trust0"), ((1 - damping) * F.coalesce("blocked", F.lit(0.0))).alias("distrust0"))
     start = durable.keep(start, "start")
-    now = start.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
-    if moves.isEmpty():
-        return now
-    for k in range(1, rounds + 1):
+    now = start.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"), F.lit(0.0).alias("moved"))
+    residual = 0.0
+    for k in range(1, rounds + 1) if not moves.isEmpty() else ():
         sent = moves.join(now, F.col("a") == F.col("host")).groupBy("b").agg(F.sum(F.col("t") * F.col("trust")).alias("t"), F.sum(F.col("d") * F.col("distrust")).alias("d"))
-        now = start.join(sent, F.col("host") == F.col("b"), "left").select("host", (F.col("trust0") + F.coalesce("t", F.lit(0.0))).alias("trust"), (F.col("distrust0") + F.coalesce("d", F.lit(0.0))).alias("distrust"))
-        if k % 4 == 0 or k == rounds:
-            now = durable.keep(now, "now")
-    return now
+        before = now.select("host", F.col("trust").alias("old_t"), F.col("distrust").alias("old_d"))
+        new = start.join(sent, F.col("host") == F.col("b"), "left").select("host", (F.col("trust0") + F.coalesce("t", F.lit(0.0))).alias("trust"), (F.col("distrust0") + F.coalesce("d", F.lit(0.0))).alias("distrust"))
+        if k % TURN == 0 or k == rounds:
+            moved = F.greatest(F.abs(F.col("trust") - F.col("old_t")), F.abs(F.col("distrust") - F.col("old_d")))
+            now = durable.keep(new.join(before, "host").select("host", "trust", "distrust", moved.alias("moved")), "now")
+            residual = float(now.agg(F.max("moved")).first()[0] or 0.0)
+            if residual <= tolerance * (1 - damping):
+                break
+        else:
+            now = new
+    return now.select("host", "trust", "distrust", F.lit(residual).alias("residual"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, damping: float = DAMPING) -> DataFrame:
@@ -91,7 +103,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold:
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest
     decides. Other pages are blocked if their host is: its distrust is above ``threshold`` times
-    that of a host whose pages are all blocked, and above its trust. Null urls and those without
+    that of a host whose pages are all blocked, and above its trust. A very long page costs a scan of its
+    text for links and no more. Null urls and those without
     ``://`` have empty host and path, fit no rule and are allowed. A null html has no links. Null
     ids and repeated rows stay as rows; other columns are not looked at; no rows, no result.
     """
