@@ -1,7 +1,7 @@
 """Line dedup over all documents by a deletion neighbourhood, in DataFrame functions alone.
 
-Lines are sequences of words; two are alike if one edit (a word put in, taken out or replaced)
-makes them equal. Of equal lines the earliest stays. Each line left emits hashed variants within
+Lines are sequences of words, or of letters where their script sets no spaces; two are alike if one
+edit (a word put in, taken out or replaced) makes them equal. Of equal lines the earliest stays. Each line left emits hashed variants within
 the edit bound: itself, itself without each word, and the same with the place of the word. Lines
 meet where variants are equal: without-a-word and whole (one word more or less), or two
 without-a-word at the same place (one word replaced). Each variant names its earliest line, which
@@ -16,22 +16,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Durable, table
-
-#: Lines of fewer words are not looked at; they stay.
-MIN_WORDS = 2
-#: Lines of fewer words have equals only, no lines alike.
-MIN_ALIKE = 10
+from . import common
+from .common import Durable, sized, table
+
+#: Lines of fewer words are not looked at; they stay. Blank lines always do.
+MIN_WORDS = 1
+#: Lines of fewer words have equals only, no lines alike: an edit may touch a fifth of a line, no more.
+MIN_ALIKE = 5
+#: Edits between lines that are alike: none or one. Two would take a variant for each two words of a line.
+EDITS = 1
+#: A line that is one word of so many letters at least, of a script without spaces, is a sequence of letters.
+MIN_LETTERS = 10
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
 #: Zones that an edit can fall into, of equal numbers of words.
 ZONES = 2
-#: Rows that a join broadcasts at most (about 100 bytes each at most), counted beforehand; with more of them both sides are shuffled.
-BROADCAST_ROWS = 200_000
 _SPACE = r" \t\r\x0B\f"
 
 
 def words(line: Column) -> Column:
-    """The words of a line; one empty word if it has none."""
-    return F.split(F.trim(line, F.lit(" \t\r\x0b\f")), f"[{_SPACE}]+")
+    """The words of a line, or its letters if it is one long word without spaces; one empty word if it has none."""
+    w = F.split(F.trim(line, F.lit(" \t\r\x0b\f")), f"[{_SPACE}]+")
+    letters = (F.size(w) == 1) & (F.char_length(w[0]) >= MIN_LETTERS) & F.rlike(w[0], F.lit(_UNSPACED))
+    return F.when(letters, F.split(w[0], "")).otherwise(w)
 
 
 def lines(text: Column) -> Column:
@@ -46,7 +52,7 @@ def _zoned(i: int, length: Column, w: Column) -> Column:
 
 def _around(i: int, length: Column) -> tuple[Column, Column]:
     """How many words stand before and after a zone."""
-    c = F.floor((length - 2) / ZONES).cast("int")
+    c = F.floor(length / ZONES).cast("int")
     return c * i, c * (ZONES - 1 - i)
 
 
@@ -79,16 +85,11 @@ def _running_xor(x: Column, block: int = 128) -> Column:
     return F.transform(F.array(blocks), joined)[0]
 
 
-def _sized(written: DataFrame) -> DataFrame:
-    """A written table for the right of a join: to be broadcast if it is counted to be small."""
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
-
-
 #: Where a line stands: rows without an id last, then by id, text and place. A long in each field.
 ORDER = ("o_none", "o_id", "o_print", "o_line")
 
 
-def kept_lines(documents: DataFrame, durable: Durable, min_words: int = MIN_WORDS, min_alike: int = MIN_ALIKE) -> DataFrame:
+def kept_lines(documents: DataFrame, durable: Durable, min_words: int = MIN_WORDS, min_alike: int = MIN_ALIKE, edits: int = EDITS) -> DataFrame:
     """ORDER of each line that stays, one row for each different line of at least ``min_words`` words."""
     each = documents.select(F.col("doc_id").isNull().cast("long").alias("o_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("o_id"), F.xxhash64("text").alias("o_print"), F.posexplode(F.transform(lines(F.col("text")), words)).alias("o_line", "w"))
     each = each.withColumn("o_line", F.col("o_line").cast("long")).where((F.size("w") >= min_words) & (F.col("w")[0] != ""))
@@ -97,12 +98,14 @@ def kept_lines(documents: DataFrame, durable: Durable, min_words: int = MIN_WORD
     keys = [f"k{i}" for i in range(len(zoned))]
     # One row for equal lines. All but their place follows from the words, so any of it will do.
     keyed = each.select(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.struct(*ORDER).alias("o"), *[z.alias(k) for z, k in zip(zoned, keys, strict=True)])
-    classes = durable.keep(keyed.groupBy("h1", "h2").agg(F.min("o").alias("o"), *[F.min(k).alias(k) for k in keys]), "classes")
+    classes = durable.keep(keyed.groupBy("h1", "h2").agg(F.min("o").alias("o"), *[F.min(k).alias(k) for k in keys if edits]), "classes")
+    if not edits:
+        return classes.select("o.*")
     # Half of a line's hash names it here: an equal half but asks for a line too many.
     parts = classes.where("k0 is not null").select("h1", F.posexplode(F.array(*keys)).alias("j", "k"))
     shared = durable.keep(parts.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k"), "shared")
-    asked = durable.keep(parts.join(_sized(shared), "k", "left_semi").groupBy("h1").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("j"))).alias("zones")), "asked")
-    few = asked.count() <= BROADCAST_ROWS
+    asked = durable.keep(parts.join(sized(shared), "k", "left_semi").groupBy("h1").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("j"))).alias("zones")), "asked")
+    few = asked.count() <= common.BROADCAST_ROWS
     wanted = classes.join(F.broadcast(asked) if few else asked, "h1").select("h1", "h2", "o", "zones")
     by_doc = wanted.groupBy("o.o_none", "o.o_id", "o.o_print").agg(F.collect_list(F.struct("h1", "h2", "o", "zones")).alias("x"))
     texts = documents.select(F.col("doc_id").isNull().cast("long").alias("o_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("o_id"), F.xxhash64("text").alias("o_print"), "text")
@@ -111,7 +114,7 @@ def kept_lines(documents: DataFrame, durable: Durable, min_words: int = MIN_WORD
     found = found.dropDuplicates(["h1", "h2"]).repartitionByRange("o").sortWithinPartitions("o")
     found = durable.keep(found.select("h1", "h2", F.monotonically_increasing_id().alias("r"), "zones", "w"), "lines")
     gone = durable.keep(found.join(_alike(found.select("r", "zones", "w"), durable), "r", "left_semi").select("h1", "h2"), "gone")
-    return classes.join(_sized(gone), ["h1", "h2"], "left_anti").select("o.*")
+    return classes.join(sized(gone), ["h1", "h2"], "left_anti").select("o.*")
 
 
 def _alike(found: DataFrame, durable: Durable) -> DataFrame:
@@ -152,39 +155,50 @@ def _alike(found: DataFrame, durable: Durable) -> DataFrame:
     first = [F.min(F.when(F.col("kind") == k, F.col("r"))).alias(f"first{k}") for k in (whole, less, gap)]
     firsts = durable.keep(variants.groupBy("v").agg(*first, F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "firsts")
     partner = F.when(F.col("kind") == whole, F.col(f"first{less}")).when(F.col("kind") == less, F.col(f"first{whole}")).otherwise(F.col(f"first{gap}"))
-    met = durable.keep(variants.join(_sized(firsts), "v").select("r", partner.alias("by")).where("by < r").distinct(), "met")
+    met = durable.keep(variants.join(sized(firsts), "v").select("r", partner.alias("by")).where("by < r").distinct(), "met")
     durable.drop("variants", "firsts")
     met = met.join(found, "r").join(found.select(F.col("r").alias("by"), F.col("w").alias("wb")), "by")
     return met.where(edited_once(F.col("w"), F.col("wb"))).select("r").distinct()
 
 
-def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, min_alike: int = MIN_ALIKE, counts: bool = False) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, min_alike: int = MIN_ALIKE, edits: int = EDITS, counts: bool = False) -> DataFrame:
     """``documents`` without the lines that an earlier line of any document equals or is alike to.
 
-    Lines end at line feeds; words are runs without white space. Lines stand in the order of
-    doc_id (nulls last), text and place. Of equal lines (the same words) the first stays; a line of
-    ``min_alike`` or more words also goes if an earlier different line, itself kept or not, becomes
-    equal to it by one word put in, taken out or replaced. Lines of fewer than ``min_words`` words
-    stay. Every row stays, some with fewer lines or an empty text; null texts stay null, a text
-    that loses nothing stays as it is. Rows with the same id and text keep the same lines. An
-    ``n_chars`` column is set to the new length; others are as they were. With ``counts``, columns
-    ``n_lines`` and ``n_kept`` are set too.
+    Lines end at line feeds; words are runs without white space, or single letters (``words``).
+    Lines stand in the order of doc_id (nulls last), text and place. Of equal lines (the same words)
+    the first stays; a line of ``min_alike`` or more words also goes if an earlier different line,
+    itself kept or not, becomes equal to it by one word put in, taken out or replaced (``edits`` 0:
+    equal lines only). Blank lines, and those of fewer than ``min_words`` words, stay. Every row
+    stays, some with fewer lines or an empty text; null texts stay null, a text that loses nothing
+    stays as it is. Rows with the same id and text keep the same lines. An ``n_chars`` column is set
+    to the new length; others are as they were, whatever their names. A very long line has as many
+    variants as words, whose hashes follow from running values. With ``counts``, columns ``n_lines``
+    and ``n_kept`` are set too.
     """
+    if edits not in (0, 1):
+        raise ValueError("a bound of no edit or one")
     durable = Durable(documents.sparkSession)
-    stay = kept_lines(documents, durable, min_words, min_alike)
-    stay = durable.keep(stay.groupBy(*ORDER[:3]).agg(F.collect_list(F.col("o_line").cast("int")).alias("__stay")).toDF("__none", "__id", "__print", "__stay"), "stay")
-    docs = documents.withColumns({"__none": F.col("doc_id").isNull().cast("long"), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__print": F.xxhash64("text")})
-    docs = docs.join(stay, ["__none", "__id", "__print"], "left").withColumn("__lines", lines(F.col("text")))
+    # The rows' own columns travel under other names, so that none of theirs can clash.
+    own = [f"c{i}" for i in range(len(documents.columns))]
+    doc_id, text = (F.col(own[documents.columns.index(c)]) for c in ("doc_id", "text"))
+    docs = documents.toDF(*own)
+    stay = kept_lines(docs.select(doc_id.alias("doc_id"), text.alias("text")), durable, min_words, min_alike, edits)
+    stay = durable.keep(stay.groupBy(*ORDER[:3]).agg(F.collect_list(F.col("o_line").cast("int")).alias("stay")), "stay")
+    docs = docs.withColumns({"o_none": doc_id.isNull().cast("long"), "o_id": F.coalesce(doc_id.cast("long"), F.lit(0)), "o_print": F.xxhash64(text)})
+    docs = docs.join(stay, list(ORDER[:3]), "left").withColumn("lines", lines(text))
     enough = rf"(?:[^{_SPACE}]+[{_SPACE}]+){{{min_words - 1}}}[^{_SPACE}]"
-    short = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: ~F.rlike(F.get("__lines", i), F.lit(enough)))
-    docs = docs.withColumn("__at", F.array_sort(F.concat(F.coalesce("__stay", F.array().cast("array<int>")), short)))
-    whole = F.size("__at") == F.size("__lines")
-    text = F.when(F.col("text").isNull() | whole, F.col("text")).otherwise(F.array_join(F.transform("__at", lambda i: F.get("__lines", i)), "\n"))
-    more = {"n_lines": F.size("__lines").cast("long"), "n_kept": F.size("__at").cast("long")} if counts else {}
-    docs = docs.withColumns({"text": text, **more})
+    short = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~F.rlike(F.get("lines", i), F.lit(enough)))
+    docs = docs.withColumn("at", F.array_sort(F.concat(F.coalesce("stay", F.array().cast("array<int>")), short)))
+    whole = F.size("at") == F.size("lines")
+    left = F.when(text.isNull() | whole, text).otherwise(F.array_join(F.transform("at", lambda i: F.get("lines", i)), "\n"))
+    docs = docs.withColumn("left", left)
+    out = [F.col("left" if name == "text" else c).alias(name) for name, c in zip(documents.columns, own, strict=True)]
     if "n_chars" in documents.columns:
-        docs = docs.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
-    return docs.drop("__none", "__id", "__print", "__stay", "__lines", "__at")
+        out[documents.columns.index("n_chars")] = F.char_length("left").cast(documents.schema["n_chars"].dataType).alias("n_chars")
+    if counts:
+        out = [c for c, name in zip(out, documents.columns, strict=True) if name not in ("n_lines", "n_kept")]
+        out += [F.size("lines").cast("long").alias("n_lines"), F.size("at").cast("long").alias("n_kept")]
+    return docs.select(*out)
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

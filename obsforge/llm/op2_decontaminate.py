@@ -1,10 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions alone.
 
-Fixed masks read six of seven or nine tokens and ignore the rest. Hashes of what they read, at
-every position of benchmark items and of documents, are joined, and each hit is verified along its
-diagonal, where substituted tokens cost and others must be equal. The two masks are lossless for
-the rule that is verified: of a window of 13 tokens with two substitutions, wherever they are, at
-least one mask at one position reads none (``tests/llm`` tries all).
+Fixed masks read some tokens of a window and ignore the rest. Hashes of what they read, at every
+position of benchmark items and of documents, are joined, and each hit is verified along its
+diagonal, where substituted tokens cost and others must be equal. The masks are lossless for the
+rules that are verified (``tests/llm`` tries all substitutions):
+
+* items of 13 tokens or more: of a window of 13 tokens with two substitutions, wherever they are, at
+  least one of two masks of weight six at one position reads none;
+* items of 8 to 12 tokens, which must be there as a whole with one substitution at most: a mask of
+  half the item, at its first and at its last tokens, which ignores the other half;
+* items of 5 to 7 tokens, which must be there as a whole: a mask of the item's length.
+
+Masks for short items are used only where the benchmark has items of that length.
 """
 
 from __future__ import annotations
@@ -19,37 +26,71 @@ MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
 #: An overlap: so many aligned tokens with no more than so many substitutions.
 WINDOW = 13
 SUBSTITUTIONS = 2
-#: Items with fewer tokens than this are no evidence and never match; those of fewer than WINDOW match as a whole and exactly.
-MIN_ITEM = 8
-#: Seeds that are broadcast at a time (about 100 bytes each); a larger benchmark takes several passes.
-BLOCK_SEEDS = 100_000
+#: Shorter items are there as a whole: with one substitution at most, from so many tokens on.
+MIN_SUBSTITUTED = 8
+#: Items with fewer tokens than this are no evidence and never match: they are phrases that any text may have.
+MIN_ITEM = 5
+#: Seeds, and items' tokens, that are broadcast at most (about 100 bytes each); those of a larger benchmark are joined by a shuffle.
+BROADCAST_SEEDS = 100_000
+#: Scripts that set no spaces between words: each of their letters is a token.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits in lower case."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Runs of letters and digits in lower case; letters of scripts without spaces one by one."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    apart = F.when(F.rlike(low, F.lit(_UNSPACED)), F.regexp_replace(low, f"({_UNSPACED})", " $1 ")).otherwise(low)
+    return F.filter(F.split(apart, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(h: Column) -> Column:
+def allowed(size: Column) -> Column:
+    """Substitutions that an item of so many tokens tolerates."""
+    return F.when(size >= WINDOW, SUBSTITUTIONS).when(size >= MIN_SUBSTITUTED, 1).otherwise(0)
+
+
+def short_mask(size: int) -> int:
+    """The length of the mask, a run of tokens, for items of so many tokens, fewer than WINDOW."""
+    return size // 2 if size >= MIN_SUBSTITUTED else size
+
+
+def _seeds(h: Column, masks: tuple[tuple[int, ...], ...]) -> Column:
     """For each mask, what it reads at each position where it fits."""
 
-    def at(mask: int) -> Column:
-        fits = F.size(h) - MASKS[mask][-1]
-        return F.when(fits > 0, F.transform(F.sequence(F.lit(0), fits - 1), lambda i: F.xxhash64(F.lit(mask), *[h[i + k] for k in MASKS[mask]]))).otherwise(F.array().cast("array<bigint>"))
+    def at(mask: tuple[int, ...]) -> Column:
+        fits = F.size(h) - mask[-1]
+        read = F.transform(F.sequence(F.lit(0), fits - 1), lambda i: F.xxhash64(F.lit(str(mask)), *[h[i + k] for k in mask]))
+        return F.when(fits > 0, read).otherwise(F.array().cast("array<bigint>"))
 
-    return F.array(*[at(m) for m in range(len(MASKS))])
+    return F.array(*[at(m) for m in masks])
 
 
-def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
-    """``seed``, ``mask``, ``q`` (its place in the item), ``before`` (the seed one place earlier), ``item_id``."""
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """``item_id`` and ``b``, the hashes of its tokens, of all different items that are evidence."""
     items = benchmark.where("item_id is not null").select("item_id", tokens(F.col("text")).alias("w")).where(F.size("w") >= MIN_ITEM).distinct()
-    s = items.select("item_id", _seeds(_hashes(F.col("w"))).alias("s"))
-    each = s.select("item_id", F.posexplode("s").alias("mask", "s"))
-    return each.select("item_id", "mask", F.col("s"), F.posexplode("s").alias("q", "seed")).select("item_id", "mask", "q", "seed", F.when(F.col("q") > 0, F.get("s", F.col("q") - 1)).alias("before"))
+    return items.select("item_id", _hashes(F.col("w")).alias("b"))
+
+
+def benchmark_seeds(items: DataFrame, short: list[int]) -> DataFrame:
+    """``seed``, ``mask``, ``q`` (its place in the item), ``before`` (the seed one place earlier), ``item_id``."""
+    masks = _masks(short)
+    long = items.where(F.size("b") >= WINDOW).select("item_id", _seeds(F.col("b"), MASKS).alias("s"))
+    each = long.select("item_id", F.posexplode("s").alias("mask", "s"))
+    out = each.select("item_id", "mask", F.col("s"), F.posexplode("s").alias("q", "seed")).select("item_id", "mask", "q", "seed", F.when(F.col("q") > 0, F.get("s", F.col("q") - 1)).alias("before"))
+    for k in range(len(MASKS), len(masks)):
+        width = len(masks[k])
+        sizes = [m for m in range(MIN_ITEM, WINDOW) if short_mask(m) == width]
+        some = items.where(F.size("b").isin(sizes)).select("item_id", F.explode(F.array_distinct(F.array(F.lit(0), F.when(F.size("b") >= MIN_SUBSTITUTED, F.size("b") - width).otherwise(0)))).alias("q"), "b")
+        seed = F.xxhash64(F.lit(str(masks[k])), *[F.get("b", F.col("q") + i) for i in range(width)])
+        out = out.unionByName(some.select("item_id", F.lit(k).alias("mask"), "q", seed.alias("seed"), F.lit(None).cast("bigint").alias("before")))
+    return out
+
+
+def _masks(short: list[int]) -> tuple[tuple[int, ...], ...]:
+    return MASKS + tuple(tuple(range(w)) for w in short)
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame:
@@ -57,43 +98,53 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, *keep: str) -> DataFram
 
     Returns ``keep`` columns of ``documents``, ``item_id``, ``overlap`` (tokens of the longest
     stretch with at most SUBSTITUTIONS substitutions, at least WINDOW; or of the whole item, if
-    shorter), ``matches`` in it, and where it starts in the document's tokens, ``doc_start``, and
-    the item's, ``item_start``; of equals the first. Null or empty texts, documents of fewer than
-    MIN_ITEM tokens and items without an id overlap with nothing. Repeated items count once, repeated
-    rows of ``documents`` that agree in ``keep`` once. Either table empty: no rows.
+    shorter, with as many as ``allowed``), ``matches`` in it, and where it starts in the document's
+    tokens, ``doc_start``, and the item's, ``item_start``; of equals the first. Null or empty texts,
+    documents of fewer than MIN_ITEM tokens and items without an id overlap with nothing. Repeated
+    items count once, repeated rows of ``documents`` that agree in ``keep`` once. A very long text is
+    one row's work, in proportion to its length. Either table empty: no rows.
     """
-    seeds = benchmark_seeds(benchmark)
-    items = benchmark.where("item_id is not null").select("item_id", tokens(F.col("text")).alias("w")).where(F.size("w") >= MIN_ITEM).distinct().select("item_id", _hashes(F.col("w")).alias("b"))
-    blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
+    items = benchmark_items(benchmark)
+    about = items.agg(F.sum(F.size("b")).alias("n"), F.collect_set(F.when(F.size("b") < WINDOW, F.size("b"))).alias("short")).first()
+    short = sorted({short_mask(m) for m in about["short"]})
+    masks = _masks(short)
+    seeds = benchmark_seeds(items, short)
     own = [f"__{i}" for i in range(len(keep))]
     docs = documents.select(*[F.col(c).alias(o) for c, o in zip(keep, own, strict=True)], _hashes(tokens(F.col("text"))).alias("h"))
-    docs = docs.select(*own, "h", _seeds(F.col("h")).alias("s"))
-    found = None
-    for k in range(blocks):  # items go to blocks as a whole
-        part = F.pmod(F.xxhash64(F.col("item_id")), F.lit(blocks)) == k
-        hits = _hits(docs, seeds.where(part), items.where(part), own)
-        found = hits if found is None else found.unionByName(hits)
+    if (about["n"] or 0) * len(MASKS) <= BROADCAST_SEEDS:
+        found = _verified(_hits(docs.select(*own, "h", _seeds(F.col("h"), masks).alias("s")), F.broadcast(seeds), len(masks), [*own, "h"]), F.broadcast(items), own)
+    else:
+        # Only a key of the tokens travels with a document's seeds; the tokens are met again at a hit.
+        keyed = docs.withColumn("__key", F.xxhash64("h"))
+        hits = _hits(keyed.select("__key", _seeds(F.col("h"), masks).alias("s")), seeds, len(masks), ["__key"]).distinct()
+        found = _verified(hits.join(keyed, "__key"), items, own)
     best = found.groupBy(*own, "item_id").agg(F.max("rank").alias("rank"))
     return best.select(*[F.col(o).alias(c) for c, o in zip(keep, own, strict=True)], "item_id", F.col("rank.overlap").alias("overlap"), F.col("rank.matches").alias("matches"), (-F.col("rank.p")).alias("doc_start"), (-F.col("rank.q")).alias("item_start"))
 
 
-def _hits(docs: DataFrame, seeds: DataFrame, items: DataFrame, own: list[str]) -> DataFrame:
-    """Verified overlaps: a rank (overlap, matches, -doc_start, -item_start) for each seed that begins a run of hits."""
-    first = F.size(F.col("s")[0])
-    each = docs.select(*own, "h", "s", F.posexplode(F.flatten("s")).alias("k", "seed"))
-    place = F.when(F.col("k") < first, F.col("k")).otherwise(F.col("k") - first)
-    each = each.join(F.broadcast(seeds), "seed").withColumn("p", place).where(F.col("mask") == (F.col("k") >= first).cast("int"))
+def _hits(docs: DataFrame, seeds: DataFrame, masks: int, carry: list[str]) -> DataFrame:
+    """``carry``, ``item_id``, ``p`` and ``q`` of each seed that documents and items share and that begins a run of them."""
+    ends = [F.lit(0)]
+    for m in range(masks - 1):
+        ends.append(ends[-1] + F.size(F.col("s")[m]))
+    each = docs.select(*carry, "s", F.posexplode(F.flatten("s")).alias("k", "seed"))
+    mask = sum(((F.col("k") >= e).cast("int") for e in ends[1:]), F.lit(0))
+    first = F.get(F.array(*ends), F.col("m"))
+    each = each.join(seeds, "seed").withColumn("m", mask).withColumn("p", F.col("k") - first).where(F.col("mask") == F.col("m"))
     # The hit one place earlier on this diagonal, if there is one, is verified in its stead.
     earlier = F.when(F.col("p") > 0, F.get(F.get("s", F.col("mask")), F.col("p") - 1))
-    each = each.where(F.coalesce(earlier != F.col("before"), F.lit(True)))
-    each = each.select(*own, "h", "item_id", "p", "q").join(F.broadcast(items), "item_id")
+    return each.where(F.coalesce(earlier != F.col("before"), F.lit(True))).select(*carry, "item_id", "p", "q")
+
+
+def _verified(hits: DataFrame, items: DataFrame, own: list[str]) -> DataFrame:
+    """Verified overlaps of hits, which have ``h``: a rank (overlap, matches, -doc_start, -item_start) for each that holds."""
+    each = hits.join(items, "item_id")
     back = F.least("p", "q")
     each = each.withColumns({"p": F.col("p") - back, "q": F.col("q") - back})
     n = F.least(F.size("h") - F.col("p"), F.size("b") - F.col("q"))
     each = each.withColumn("n", n)
     each = each.withColumn("off", F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("h", F.col("p") + i) != F.get("b", F.col("q") + i)), F.array(F.col("n"))))
-    allowed = F.when(F.size("b") >= WINDOW, SUBSTITUTIONS).otherwise(0)
-    each = each.withColumn("allowed", F.least(allowed, F.size("off") - 2))
+    each = each.withColumn("allowed", F.least(allowed(F.size("b")), F.size("off") - 2))
     starts = F.sequence(F.lit(0), F.size("off") - F.col("allowed") - 2)
     stretch = F.transform(
         starts,
@@ -114,9 +165,12 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows are told apart by id and text, so a null or repeated id takes no other row along.
     """
-    rows = documents.withColumns({"__id": F.col("doc_id"), "__print": F.xxhash64("text")})
-    gone = overlaps(rows, benchmark, "__id", "__print").select(F.col("__id").alias("__gone"), F.col("__print").alias("__gone_print")).distinct()
-    return rows.join(gone, F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__print") == F.col("__gone_print")), "left_anti").drop("__id", "__print")
+    # The rows' own columns travel under other names, so that none of theirs can clash.
+    own = [f"c{i}" for i in range(len(documents.columns))]
+    rows = documents.toDF(*own)
+    doc_id, text = (F.col(own[documents.columns.index(c)]) for c in ("doc_id", "text"))
+    gone = overlaps(rows.select(doc_id.alias("id"), F.xxhash64(text).alias("print"), text.alias("text")), benchmark, "id", "print").select("id", "print").distinct()
+    return rows.join(gone, doc_id.eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("print")), "left_anti").toDF(*documents.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

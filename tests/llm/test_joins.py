@@ -8,14 +8,15 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from obsforge.llm import op1_lines, op2_decontaminate, op3_chat, op10_urls
+from obsforge.llm import common, op1_lines, op2_decontaminate, op3_chat, op10_urls
 
 
 # --- lines --------------------------------------------------------------------------------------
 
 
 def words(line):
-    return tuple(w for w in re.split(r"[ \t\r\x0b\f]+", line) if w)
+    w = tuple(w for w in re.split(r"[ \t\r\x0b\f]+", line) if w)
+    return tuple(w[0]) if len(w) == 1 and len(w[0]) >= 10 and re.search("[\u4e00-\u9fff\u3040-\u30ff\u0e00-\u0e7f]", w[0]) else w
 
 
 def alike(a, b):
@@ -27,7 +28,7 @@ def alike(a, b):
     return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
 
 
-def brute_lines(rows, min_words=2, min_alike=10):
+def brute_lines(rows, min_words=1, min_alike=5):
     """All pairs of different lines, by definition."""
     first = {}
     for doc_id, text in rows:
@@ -40,10 +41,10 @@ def brute_lines(rows, min_words=2, min_alike=10):
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) in keep or len(words(x)) < min_words) for d, t in rows}
 
 
-def test_line_dedup_against_all_pairs(spark):
+def test_line_dedup_against_all_pairs(spark, monkeypatch):
     rng = random.Random(8)
     vocabulary = "abcdef"
-    base = [[rng.choice(vocabulary) for _ in range(rng.choice((9, 10, 11, 14, 30, 300)))] for _ in range(14)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.choice((1, 4, 5, 6, 7, 9, 10, 11, 14, 30, 300)))] for _ in range(24)]
     rows = []
     for d in range(60):
         text = []
@@ -53,22 +54,27 @@ def test_line_dedup_against_all_pairs(spark):
                 i = rng.randrange(len(w))
                 w[i : i + rng.choice((0, 1))] = rng.choice(([], [rng.choice(vocabulary)]))
             text.append(rng.choice((" ", "  ", "\t")).join(w))
-        rows.append((d, "\n".join([*text, *rng.choice(([], [""], ["x"], ["two words"]))])))
+        rows.append((d, "\n".join([*text, *rng.choice(([], [""], ["x"], ["two words"], [f"这是第{rng.choice('一二三')}个没有空格的句子"], ["短句"]))])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in op1_lines.dedup_lines(docs).collect()}
     assert got == brute_lines(rows)
-    fetched = op1_lines.BROADCAST_ROWS
-    try:  # the way without broadcasting gives the same
-        op1_lines.BROADCAST_ROWS = 0
-        assert {r.doc_id: r.text for r in op1_lines.dedup_lines(docs).collect()} == got
-    finally:
-        op1_lines.BROADCAST_ROWS = fetched
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)  # the way without broadcasting gives the same
+    assert {r.doc_id: r.text for r in op1_lines.dedup_lines(docs).collect()} == got
+    assert {r.doc_id: r.text for r in op1_lines.dedup_lines(docs, edits=0).collect()} == brute_lines(rows, min_alike=1000)
+    with pytest.raises(ValueError):
+        op1_lines.dedup_lines(docs, edits=2)
+
+
+def test_short_lines_with_one_word_changed_go(spark):
+    line = "nine words stand in this line of the text"
+    docs = spark.createDataFrame([(1, line), (2, line.replace("nine", "some")), (3, "one\none"), (4, "four words stand here"), (5, "four words stood here")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in op1_lines.dedup_lines(docs).collect()} == {1: line, 2: "", 3: "one", 4: "four words stand here", 5: "four words stood here"}
 
 
 def test_line_dedup_over_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(40_000))
     rows = [(1, None), (2, ""), (3, "same line here\nsame line here"), (4, "same line here"), (None, "same line here\nnew line"), (5, long), (6, long.replace("w777 ", "")), (7, "tie tie"), (7, "tie tie"), (8, " \n\n x")]
-    docs = spark.createDataFrame([(*r, "n", 5) for r in rows], "doc_id long, text string, w string, n_chars long")
+    docs = spark.createDataFrame([(*r, "n", 5, "s") for r in rows], "doc_id long, text string, w string, n_chars long, stay string")
     got = op1_lines.dedup_lines(docs)
     assert got.columns == docs.columns
     texts = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
@@ -84,17 +90,19 @@ def test_line_dedup_over_odd_rows(spark):
 def test_masks_are_lossless():
     for off in itertools.combinations(range(op2_decontaminate.WINDOW), op2_decontaminate.SUBSTITUTIONS):
         assert any(not {i + m for m in mask} & set(off) for mask in op2_decontaminate.MASKS for i in range(op2_decontaminate.WINDOW - mask[-1]))
-    for n in range(op2_decontaminate.MIN_ITEM, op2_decontaminate.WINDOW):
-        assert any(mask[-1] < n for mask in op2_decontaminate.MASKS)
+    for n in range(op2_decontaminate.MIN_SUBSTITUTED, op2_decontaminate.WINDOW):  # of an item's two halves one is left
+        half = op2_decontaminate.short_mask(n)
+        assert all(any(off not in range(q, q + half) for q in (0, n - half)) for off in range(n))
 
 
 def brute_overlap(doc, item):
-    """The longest aligned stretch of at least 13 tokens with at most two substitutions."""
+    """The longest aligned stretch of at least 13 tokens with at most two substitutions; short items as a whole, with one from 8 on."""
     best = 0
-    if len(item) < 8:
+    if len(item) < 5:
         return 0
     if len(item) < 13:
-        return len(item) if any(doc[i : i + len(item)] == item for i in range(len(doc))) else 0
+        most = 1 if len(item) >= 8 else 0
+        return len(item) if any(sum(x != y for x, y in zip(doc[i : i + len(item)], item, strict=True)) <= most for i in range(len(doc) - len(item) + 1)) else 0
     for shift in range(-len(item), len(doc)):
         same = [doc[i] == item[i - shift] for i in range(max(0, shift), min(len(doc), len(item) + shift))]
         for a in range(len(same)):
@@ -108,15 +116,15 @@ def brute_overlap(doc, item):
 
 
 def test_overlaps_against_brute_force(spark, monkeypatch):
-    rng = random.Random(9)
+    rng = random.Random(12)
     vocabulary = [f"w{i}" for i in range(12)]
-    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (7, 8, 12, 13, 20, 40, 20)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (4, 5, 7, 8, 9, 11, 12, 13, 20, 40, 20)]
     docs = []
-    for d in range(70):
+    for d in range(300):
         text = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))]
         if d % 2:
-            piece = list(rng.choice(items))[rng.randrange(4) :]
-            for _ in range(rng.randrange(5)):
+            piece = list(rng.choice(items))[rng.choice((0, 0, 1, 3)) :]
+            for _ in range(rng.choice((0, 0, 1, 1, 2, 4))):
                 if piece:
                     piece[rng.randrange(len(piece))] = "zz"
             at = rng.randrange(len(text) + 1)
@@ -126,16 +134,23 @@ def test_overlaps_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     toks = {d: [w for w in re.split(r"[^a-z0-9]+", t.lower()) if w] for d, t in docs}
     want = {(d, k): n for d in toks for k, t in enumerate(items) if (n := brute_overlap(toks[d], t))}
-    for blocks in (100_000, 20):
-        monkeypatch.setattr(op2_decontaminate, "BLOCK_SEEDS", blocks)
+    assert {len(items[k]) for _, k in want} >= {5, 7, 8, 9, 11, 12, 13, 20, 40}
+    for most in (100_000, 20):  # by a broadcast, and by a shuffle
+        monkeypatch.setattr(op2_decontaminate, "BROADCAST_SEEDS", most)
         got = {(r.doc_id, r.item_id): r.overlap for r in op2_decontaminate.overlaps(df, b, "doc_id").collect()}
         assert got == want
     assert {r.doc_id for r in op2_decontaminate.keep_clean(df, b).collect()} == set(toks) - {d for d, _ in want}
 
 
+def test_short_and_unspaced_items(spark):
+    bench = spark.createDataFrame([(1, "what is the capital of france now"), (2, "日本の首都はどこですか"), (3, "yes it is")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Q: What is the capital of France, now? yes it is"), (2, "答えてください日本の首都はどこですか。"), (3, "what is the capital of spain now")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in op2_decontaminate.overlaps(docs, bench, "doc_id").collect()} == {(1, 1), (2, 2)}
+
+
 def test_decontamination_over_odd_rows(spark):
     item = " ".join(f"token{i}" for i in range(20))
-    docs = spark.createDataFrame([(1, None, "q"), (2, "", "q"), (3, item, None), (3, item, None), (None, "before " + item, "q"), (None, "clean", "q"), (4, "x y " * 50_000, "q")], "doc_id long, text string, seed string")
+    docs = spark.createDataFrame([(1, None, "q"), (2, "", "q"), (3, item, None), (3, item, None), (None, "before " + item, "q"), (None, "clean", "q"), (4, "x y " * 50_000, "q")], "doc_id long, text string, __id string")
     bench = spark.createDataFrame([(1, item, 0), (1, item, 0), (None, item, 0), (2, None, 0), (3, "short one", 0)], "item_id long, text string, h int")
     clean = op2_decontaminate.keep_clean(docs, bench)
     assert clean.columns == docs.columns
@@ -251,6 +266,31 @@ def test_propagation_against_power_iteration(spark):
         assert got[h] == (pytest.approx(t[h]), pytest.approx(s[h]))
 
 
+def test_rounds_go_on_until_scores_settle(spark):
+    from obsforge.llm.common import Durable
+
+    links = spark.createDataFrame([(f"h{i}", f"h{(i + 1) % 9}") for i in range(9)], "src string, dst string")
+    seeds = spark.createDataFrame([("h0", 1.0, 0.0), ("h4", 0.0, 1.0)], "host string, allowed double, blocked double")
+    got = {r.host: r for r in op10_urls.propagate(links, seeds, Durable(spark), tolerance=1e-4).collect()}
+    d, loop = op10_urls.DAMPING, 1 - op10_urls.DAMPING**9
+    for i in range(9):  # once round the ring and round again: a geometric series
+        assert got[f"h{i}"].trust == pytest.approx((1 - d) * d**i / loop, abs=1e-4)
+        assert got[f"h{i}"].distrust == pytest.approx((1 - d) * d ** ((4 - i) % 9) / loop, abs=1e-4)
+        assert got[f"h{i}"].residual <= 1e-4 * (1 - d)
+    assert got["h0"].residual < op10_urls.propagate(links, seeds, Durable(spark), rounds=4).first().residual
+
+
+def test_trust_overrides_distrust_over_real_links(spark):
+    """Both link to a blocked host, but allowed hosts link to one of them."""
+    to_bad = '<a href="http://bad.net/x">'
+    pages = [(1, "http://bad.net/x", ""), (2, "http://cited.com/", to_bad), (3, "http://farm.com/", to_bad)]
+    pages += [(10 + i, f"http://good{i}.org/fr/", '<a href="http://cited.com/a">') for i in range(4)]
+    df = spark.createDataFrame([*pages, (99, "http://long.com/", "x" * 400_000 + to_bad)], "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.trust > r.distrust) for r in op10_urls.judge(df, threshold=0.2).collect()}
+    assert got[2] == ("allow", True) and got[3] == ("block", False) and got[1][0] == "block" and got[10][0] == "allow"
+    assert got[99] == got[3]
+
+
 def test_bad_neighbours_are_blocked(spark):
     pages = [(1, "http://bad.net/x", ""), (2, "http://farm.com/", '<a href="http://bad.net/x">'), (3, "http://good.com/", "<a href=/local>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
