@@ -1,11 +1,12 @@
 """Near copies by an exact join of shingle sets: documents whose Jaccard similarity is 0.8 or more link.
 
-Fingerprints of a fixed radius lose such pairs, so none are used here. Of two sets that are so
-similar, the first few shingles by any common order (a fifth of them and one more) have one in
-common; documents meet at those. A sketch of parity bits bounds how many shingles part a pair from
-below, and each pair that it leaves is verified on the whole sets. The order
-puts shingles last that many documents of a bounded sample have. It sets the cost only: the links
-are the same in any order.
+The groups that SimHash fingerprints find come first (``op4_simhash.set_links``), verified on the
+sets; a fingerprint of a fixed radius loses most pairs at 0.8, and this join finds those. Of two sets
+that are so similar, the first few shingles by any common order (a fifth of them and one more) have
+one in common; documents meet at those, unless they are in one group already. A sketch of parity bits
+bounds how many shingles part a pair from below, and each pair that it leaves is verified on the whole
+sets. The order puts shingles last that many documents of a bounded sample have. It sets the cost
+only: the links are the same in any order.
 
 Where more than CROWD sets meet at a shingle, they are compared with one of them first, and those
 that are linked already need no comparison among each other. Only what PIVOTS such rounds leave in
@@ -14,15 +15,16 @@ different groups is compared pair by pair, so no link between groups is lost.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Durable, map_batches, utf8
+from .common import Durable, hashed_share, map_batches, sized, utf8
 from .graph import connected_components
-from .op1_lines import _sized
 
 SHINGLE_WORDS = 5
 #: Sets that meet at a shingle are compared pair by pair up to so many.
@@ -31,7 +33,11 @@ PIVOTS = 3
 #: Documents, about so many at most, and shingles that tell which shingles are common.
 SAMPLE_DOCUMENTS = 10_000
 COMMON = 200_000
-KEY = ("__none", "__id", "__print")
+
+
+def key(doc_id: Column, text: Column) -> Column:
+    """What tells rows apart, in their order: rows without an id last, then by id and text."""
+    return F.struct(doc_id.isNull().cast("long").alias("none"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("print"))
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -44,6 +50,14 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(p, 42) for p in parts], "<u8").view(np.int64))
 
 
+def sketched_fingerprint(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        counts += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def first_shingles(of: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """As many of a set as must share one with the first of any set that is similar, rare ones first."""
     n = len(of)
@@ -64,14 +78,10 @@ def similar(both: Column, a: Column, b: Column) -> Column:
     return 9 * both >= 4 * (a + b)
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.withColumns({"__none": F.col("doc_id").isNull().cast("long"), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__print": F.xxhash64("text")})
-
-
 def _common(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several documents of the sample have, sorted, and in how many."""
     share = min(1.0, SAMPLE_DOCUMENTS / max(documents.count(), 1))
-    some = documents.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).select(utf8("text").alias("t")).distinct()
+    some = documents.where(hashed_share(F.xxhash64("text"), share)).select(utf8("text").alias("t")).distinct()
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(x.as_py()) for x in batch.column(0)]))], ["s"])
@@ -81,17 +91,18 @@ def _common(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(documents: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """Each row's key with its set: a hash ``node`` that names it, its ``size``, sketch and first shingles."""
+    """Each row's key with its set: a hash ``node`` that names it, its fingerprint, ``size``, sketch and first shingles."""
     long = pa.list_(pa.int64())
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(x.as_py()) for x in batch.column(3)]
+        sets = [shingles(x.as_py()) for x in batch.column(1)]
         node = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
+        fp = pa.array(np.array([sketched_fingerprint(s) for s in sets], "<u8").view(np.int64))
         first = pa.array([first_shingles(s, common, rank) for s in sets], long)
         bits = pa.array([sketch(s) for s in sets], long)
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], node, pa.array([len(s) for s in sets], pa.int64()), bits, first], [*KEY, "node", "size", "bits", "first"])
+        return pa.RecordBatch.from_arrays([batch.column(0), node, fp, pa.array([len(s) for s in sets], pa.int64()), bits, first], ["k", "node", "fp", "size", "bits", "first"])
 
-    return map_batches(_keyed(documents).select(*KEY, utf8("text").alias("t")), each, "__none long, __id long, __print long, node long, size long, bits array<long>, first array<long>")
+    return map_batches(documents.select("k", utf8("text").alias("t")), each, "k struct<none: long, id: long, print: long>, node long, fp long, size long, bits array<long>, first array<long>")
 
 
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -100,84 +111,81 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py()) for x in batch.column(1)], pa.list_(pa.int64()))], ["node", "all"])
 
-    texts = _keyed(documents).join(wanted, list(KEY)).select("node", utf8("text").alias("t"))
+    texts = documents.join(wanted, "k").select("node", utf8("text").alias("t"))
     return map_batches(texts, each, "node long, all array<long>").dropDuplicates(["node"])
 
 
-def links(documents: DataFrame, rows: DataFrame, durable: Durable) -> DataFrame:
-    """Links ``a``, ``b`` between nodes that are similar; all that part the groups, not all in a crowd."""
-    nodes = durable.keep(rows.select("node", "size", "bits", "first").dropDuplicates(["node"]), "nodes")
-    posts = nodes.select("node", "size", F.explode("first").alias("s"))
-    shared = durable.keep(posts.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
-    met = durable.keep(posts.join(_sized(shared), "s"), "met")
+def groups(documents: DataFrame, durable: Durable, near: Callable[[DataFrame, Durable], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows as members of sets (``k``, ``node``), and sets that have links with their group (``node``, ``component``).
+
+    ``documents`` has a key ``k`` and ``text``. ``near`` gives pairs of sets to look at first.
+    """
+    rows = durable.keep(_rows(documents, *_common(documents)), "rows")
+    nodes = durable.keep(rows.select("node", "fp", "size", "bits", "first").dropDuplicates(["node"]), "nodes")
+    members = durable.keep(rows.select("k", "node"), "members")
+    durable.drop("rows")
+    found = links(documents, members, nodes, durable, near)
+    durable.drop("nodes")
+    return members, durable.keep(connected_components(found, durable), "groups")
+
+
+def links(documents: DataFrame, members: DataFrame, nodes: DataFrame, durable: Durable, near: Callable[[DataFrame, Durable], DataFrame] | None = None) -> DataFrame:
+    """Links ``a``, ``b`` between nodes that are similar; all that part the groups, not all in a group."""
+    slim = nodes.select("node", "size", "bits")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = (nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
+        left, right = (slim.toDF(k, f"n{k}", f"bits{k}") for k in "ab")
         parted = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
         close = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").where(9 * parted <= F.col("na") + F.col("nb"))
         close = durable.keep(close.select("a", "b"), "close")
         wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-        firsts = durable.keep(rows.join(_sized(durable.keep(wanted, "wanted")), "node", "left_semi").groupBy("node").agg(F.min(F.struct(*KEY)).alias("k")).select("node", "k.*"), "firsts")
-        sets = durable.keep(_sets(documents, _sized(firsts)), "sets")
-        left, right = (sets.select(F.col("node").alias(k), F.col("all").alias(f"all{k}")) for k in "ab")
+        firsts = durable.keep(members.join(sized(durable.keep(wanted, "wanted")), "node", "left_semi").groupBy("node").agg(F.min("k").alias("k")), "firsts")
+        sets = durable.keep(_sets(documents, sized(firsts)), "sets")
+        left, right = (sets.toDF(k, f"all{k}") for k in "ab")
         both = F.size(F.array_intersect("alla", "allb"))
-        return close.join(left, "a").join(right, "b").where(similar(both, F.size("alla"), F.size("allb"))).select("a", "b")
+        out = durable.keep(close.join(left, "a").join(right, "b").where(similar(both, F.size("alla"), F.size("allb"))).select("a", "b"), "similar")
+        durable.drop("close", "wanted", "firsts", "sets")
+        return out
 
-    def pairs(members: DataFrame, keys: list[str], also: str) -> DataFrame:
-        a = members.select(*keys, F.col("node").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"))
-        b = members.select(*keys, F.col("node").alias("b"), F.col("size").alias("nb"), F.col("label").alias("lb"))
+    def pairs(of: DataFrame, keys: list[str], also: str) -> DataFrame:
+        a = of.select(*keys, F.col("node").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"))
+        b = of.select(*keys, F.col("node").alias("b"), F.col("size").alias("nb"), F.col("label").alias("lb"))
         return a.join(b, keys).where(f"5 * na >= 4 * nb and 5 * nb >= 4 * na and {also}")
 
-    few = met.where(F.col("c") <= CROWD).withColumn("label", F.col("node"))
-    found = durable.keep(verified(pairs(few, ["s"], "a < b")), "found0")
+    def in_groups(of: DataFrame) -> DataFrame:
+        grouped = durable.keep(connected_components(found, durable), "groups")
+        return of.join(sized(grouped), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+    none = documents.sparkSession.createDataFrame([], "a long, b long")
+    found = durable.keep(verified(near(nodes, durable)) if near else none, "found")
+    posts = nodes.select("node", "size", F.explode("first").alias("s"))
+    shared = durable.keep(posts.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    met = durable.keep(in_groups(posts.join(sized(shared), "s")), "met")
+    found = durable.keep(found.unionByName(verified(pairs(met.where(F.col("c") <= CROWD), ["s"], "la < lb"))), "found")
     # Crowds are told apart by size: similar sets are in the same class or the next, so they share one of two.
     kind = F.floor(F.log("size") / F.log(F.lit(1.26)))
     crowds = durable.keep(met.where(F.col("c") > CROWD).select("node", "size", "s", F.explode(F.array(kind, kind + 1)).alias("kind")), "crowds")
+    durable.drop("shared", "met")
     if crowds.isEmpty():
         return found
     keys = ["s", "kind"]
     for turn in range(PIVOTS + 1):
-        groups = durable.keep(connected_components(found, durable), "groups")
-        labelled = crowds.join(_sized(groups), "node", "left").select("node", "size", *keys, F.coalesce("component", "node").alias("label"))
-        labelled = durable.keep(labelled, "labelled")
-        sizes = durable.keep(labelled.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")), "sizes")
-        apart = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
+        labelled = durable.keep(in_groups(crowds), "labelled")
+        counts = durable.keep(labelled.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n")), "counts")
+        apart = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
         apart = durable.keep(apart, "apart")
         if apart.isEmpty():
             break
-        left = labelled.join(_sized(apart.select(*keys)), keys)
+        left = labelled.join(sized(apart.select(*keys)), keys)
         if turn == PIVOTS:
             more = verified(pairs(left, keys, "la < lb"))
         else:
             # After the first turn, from those outside of the largest group: the others are linked by now.
-            pivots = left.join(_sized(apart), keys)
+            pivots = left.join(sized(apart), keys)
             least = F.min_by(F.struct("node", "size", "label"), F.xxhash64("node", F.lit(turn)))
             pivots = durable.keep((pivots if turn == 0 else pivots.where("label <> main")).groupBy(*keys).agg(least.alias("p")), "pivots")
-            with_pivot = left.join(_sized(pivots), keys).where("label <> p.label and 5 * size >= 4 * p.size and 5 * p.size >= 4 * size")
+            with_pivot = left.join(sized(pivots), keys).where("label <> p.label and 5 * size >= 4 * p.size and 5 * p.size >= 4 * size")
             more = verified(with_pivot.select(F.col("node").alias("a"), F.col("p.node").alias("b")))
-        found = durable.keep(found.unionByName(more), f"found{turn + 1}")
+        found = durable.keep(found.unionByName(more), "found")
+    durable.drop("crowds", "labelled", "counts", "apart", "pivots")
     return found
-
-
-def keep_first(documents: DataFrame) -> DataFrame:
-    """One row of each group of ``documents`` that are linked: the first by id, nulls last, then by text.
-
-    Lower-cases A-Z; words are runs without ASCII white space. Rows whose texts have the same
-    shingles are one group (all empty texts are), with an id or without, repeated or not. All
-    columns are kept as they are.
-    """
-    durable = Durable(documents.sparkSession)
-    docs = documents.select("doc_id", "text")
-    rows = durable.keep(_rows(docs, *_common(docs)), "rows")
-    found = links(docs, rows, durable)
-    groups = durable.keep(connected_components(found, durable), "groups")
-    durable.drop("nodes", "shared", "met", "sets", "crowds", "labelled")
-    each = rows.select(F.struct(*KEY).alias("k"), "node").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-    each = durable.keep(each.join(_sized(groups), "node", "left").select("k", "n", F.coalesce("component", "node").alias("group")), "each")
-    stay = each.groupBy("group").agg(F.min("k").alias("k")).select("k")
-    gone = durable.keep(each.join(stay, "k", "left_anti").select("k.*"), "gone")
-    twice = durable.keep(each.where("n > 1").join(stay, "k", "left_semi").select("k.*"), "twice")
-    kept = _keyed(documents).join(_sized(gone), list(KEY), "left_anti")
-    once = kept.join(_sized(twice), list(KEY), "left_anti")
-    again = kept.join(_sized(twice), list(KEY), "left_semi").dropDuplicates(list(KEY))
-    return once.unionByName(again).drop(*KEY)

@@ -7,10 +7,16 @@ in some partition ``i`` then ``x`` differs from ``q`` in no more than ``t_i`` bi
 programming picks the cheapest thresholds from estimated candidate counts, fingerprint by
 fingerprint; every value that its balls hold is probed and each candidate verified.
 
-Where even the cheapest thresholds cost more than ``radius 1`` variants of the whole word do (a
-crowd of near copies), the fingerprint is linked by those: two of them are within two bits if and
-only if they have a word within one bit in common. A crowd costs 65 rows a fingerprint then, not
-its square, and no link is lost. Rows grow with the number of fingerprints at any size.
+The same programming picks the number of partitions, from the number of fingerprints and how evenly
+their bits are spread: three of 21 bits for millions, two of 32 bits for billions. One partition
+belongs to them too, the whole word: there both sides of a pair share the radius, since two words are
+within two bits if and only if they have a word within one bit in common. That costs 65 rows a
+fingerprint whatever the others are, so it links the crowds of near copies, where any thresholds cost
+more, and no link is lost. Rows grow with the number of fingerprints at any size.
+
+``keep_first`` takes sets of five-word shingles and a Jaccard similarity of 0.8, exactly. Fingerprints
+find the closest pairs, each verified on the sets; as most pairs at 0.8 are more than two bits apart,
+the join of ``near_copies`` goes on from their groups to the links that fingerprints cannot find.
 """
 
 from __future__ import annotations
@@ -24,13 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Durable, map_batches, table, unsigned_hex, utf8
+from . import near_copies
+from .common import Durable, map_batches, sized, table, unsigned_hex, utf8
 from .graph import connected_components
+from .near_copies import sketched_fingerprint
 
 BITS = 64
 SHINGLE_WORDS = 3
 RADIUS = 2
-PARTITIONS = 3
+#: Numbers of partitions to choose from, besides one.
+PARTITIONS = (2, 3, 4)
 #: Fingerprints that share a partition's value count one by one from here on; below it, the bound is used.
 CROWD = 20
 #: Names of nodes for fingerprints that no document with an id has.
@@ -49,11 +58,7 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     else:
         parts = [words[i : n + i] for i in range(shingle_words)]
         hashes = [digest(s, 42) for s in map(b" ".join, zip(*parts, strict=True))]
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 14):
-        some = np.array(hashes[at : at + (1 << 14)], dtype="<u8")
-        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return sketched_fingerprint(np.array(hashes, dtype="<u8"))
 
 
 def fingerprints(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -81,7 +86,7 @@ def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
     return int(flat[-1]), flat[:-1].reshape(BITS, BITS)
 
 
-def group_bits(n: int, both: np.ndarray, partitions: int = PARTITIONS) -> list[list[int]]:
+def group_bits(n: int, both: np.ndarray, partitions: int) -> list[list[int]]:
     """Bits in groups of nearly equal width, each grown by the bit most correlated with those in it."""
     p = np.diag(both) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
@@ -142,16 +147,37 @@ def allocate(costs: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     return out, best[total]
 
 
-def linked(prints: DataFrame, durable: Durable, partitions: int = PARTITIONS, radius: int = RADIUS) -> DataFrame:
+def choose_groups(n: int, both: np.ndarray, radius: int = RADIUS) -> list[list[int]]:
+    """The bits in as many partitions as make the cheapest thresholds cheapest, for bits independent but as uneven as they are."""
+    p = np.diag(both) / max(n, 1)
+    same = np.clip(p * p + (1 - p) * (1 - p), 0.5, 1)
+
+    def cost(groups: list[list[int]]) -> float:
+        costs = np.zeros((1, len(groups), radius + 2))
+        for i, g in enumerate(groups):
+            at = [np.prod(same[g]), 0.0, 0.0]  # two values of the partition differ in no bit, one or two
+            odds = (1 - same[g]) / same[g]
+            at[1] = at[0] * odds.sum()
+            at[2] = at[0] * (odds.sum() ** 2 - (odds**2).sum()) / 2
+            for t in range(radius + 1):
+                costs[0, i, t + 1] = sum(comb(len(g), k) + n * at[k] for k in range(t + 1))
+        return float(allocate(costs, radius - len(groups) + 1)[1][0])
+
+    return min((group_bits(n, both, m) for m in PARTITIONS), key=cost)
+
+
+def linked(prints: DataFrame, durable: Durable, partitions: int | None = None, radius: int = RADIUS) -> DataFrame:
     """Links ``a``, ``b`` between the names of fingerprints at ``radius`` (2) or fewer differing bits.
 
     ``prints`` has distinct ``fp`` with a ``name`` each. Links between the same two may repeat;
     in a crowd, each fingerprint is linked to the least one around a word, which joins the same.
+    Without ``partitions``, their number is the one that costs least.
     """
     if radius != 2:
         raise ValueError("crowds are linked by words within one bit, which holds for a radius of 2")
     n, both = bit_counts(prints)
-    groups = group_bits(n, both, partitions)
+    groups = group_bits(n, both, partitions) if partitions else choose_groups(n, both, radius)
+    partitions = len(groups)
     masks = [_mask(g) for g in groups]
     total = radius - partitions + 1
     # Values that more than CROWD fingerprints share, and what they add to a ball of radius one or two around another value.
@@ -210,7 +236,7 @@ def linked(prints: DataFrame, durable: Durable, partitions: int = PARTITIONS, ra
     return found.unionByName(close).distinct()
 
 
-def simhash_groups(documents: DataFrame, partitions: int = PARTITIONS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+def simhash_groups(documents: DataFrame, partitions: int | None = None, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row of ``documents``.
 
     Lower-cases A-Z, takes shingles of ``shingle_words`` words (fewer words: all of them). Null and
@@ -231,17 +257,40 @@ def simhash_groups(documents: DataFrame, partitions: int = PARTITIONS, shingle_w
     return prints.join(least, "fp").select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), F.when(F.col("component_id") < NAMELESS, F.col("component_id")).alias("component_id"))
 
 
-def keep_first(documents: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
-    """The rows of ``documents`` whose id names their component: one document of each group.
+def set_links(nodes: DataFrame, durable: Durable) -> DataFrame:
+    """Pairs ``a``, ``b`` of sets whose fingerprints are equal or linked, each set with the first of its fingerprint."""
+    first = durable.keep(nodes.groupBy("fp").agg(F.min("node").alias("name")), "firsts_of_prints")
+    same = nodes.select("node", "fp").join(first, "fp").where("node <> name").select(F.col("name").alias("a"), F.col("node").alias("b"))
+    near = linked(first, durable)
+    return durable.keep(same.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "print_links")
+
 
-    Rows with a null id stay, as nothing tells them apart. A repeated row of an id that stays,
-    stays too. All columns are kept as they are.
+def keep_first(documents: DataFrame) -> DataFrame:
+    """One row of each group of near copies: the first by id, nulls last, then by text.
+
+    Near copies have a Jaccard similarity of 0.8 or more of their sets of five-word shingles (fewer
+    words: all of them); groups are what such pairs join. Lower-cases A-Z; words are runs without
+    ASCII white space. Rows whose texts have the same shingles are one group (all empty and null
+    texts are), with an id or without, repeated or not; rows are told apart by id and text, so a
+    repeated id takes no other text along. A very long text is a set of as many shingles as words,
+    one row's work. No rows, no result. All columns are kept as they are, whatever their names.
     """
-    spark = documents.sparkSession
-    groups = simhash_groups(documents.select("doc_id", "text"), partitions)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = Durable(spark).keep(gone, "gone")
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    durable = Durable(documents.sparkSession)
+    # The rows' own columns travel under other names, so that none of theirs can clash.
+    own = [f"c{i}" for i in range(len(documents.columns))]
+    doc_id, text = (F.col(own[documents.columns.index(c)]) for c in ("doc_id", "text"))
+    docs = documents.toDF(*own)
+    keyed = docs.select(near_copies.key(doc_id, text).alias("k"), text.alias("text"))
+    members, groups = near_copies.groups(keyed, durable, set_links)
+    each = members.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    each = durable.keep(each.join(sized(groups), "node", "left").select("k", "n", F.coalesce("component", "node").alias("group")), "each")
+    stay = each.groupBy("group").agg(F.min("k").alias("k")).select("k")
+    gone = durable.keep(each.join(stay, "k", "left_anti").select("k"), "gone")
+    twice = durable.keep(each.where("n > 1").join(stay, "k", "left_semi").select("k"), "twice")
+    kept = docs.withColumn("k", near_copies.key(doc_id, text)).join(sized(gone), "k", "left_anti")
+    once = kept.join(sized(twice), "k", "left_anti")
+    again = kept.join(sized(twice), "k", "left_semi").dropDuplicates(["k"])
+    return once.unionByName(again).drop("k").toDF(*documents.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

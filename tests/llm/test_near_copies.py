@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from obsforge.llm import near_copies
+from obsforge.llm import near_copies, op4_simhash
 
 
 def shingle_set(text):
@@ -47,15 +47,45 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, crowd, pivots):
     passage = " ".join(f"p{i}" for i in range(40))
     rows += [(1000 + i, passage + " " + " ".join(f"q{rng.randrange(900)}" for _ in range(30))) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((tuple(r) for r in near_copies.keep_first(docs).collect()), key=str) == brute(rows)
+    assert sorted((tuple(r) for r in op4_simhash.keep_first(docs).collect()), key=str) == brute(rows)
 
 
 def test_one_row_of_each_group_stays(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(5, text), (5, "the clean one with the same id"), (3, text.upper()), (None, text), (None, "alone here"), (None, "alone here"), (9, None), (8, ""), (7, " \t"), (7, " \t")]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string")
-    kept = near_copies.keep_first(docs)
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, k string")
+    kept = op4_simhash.keep_first(docs)
     assert kept.columns == docs.columns
     want = [(3, text.upper(), "x"), (5, "the clean one with the same id", "x"), (7, " \t", "x"), (None, "alone here", "x")]
     assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted(want, key=str)
-    assert near_copies.keep_first(docs.limit(0)).count() == 0
+    assert op4_simhash.keep_first(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_find_the_closest_pairs(spark):
+    """What fingerprints link is looked at first; without them the groups are the same."""
+    from obsforge.llm.common import Durable
+
+    rng = random.Random(3)
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(900)}" for _ in range(400)]
+        for _ in range(4):
+            w = list(base)
+            w[rng.randrange(len(w))] = "changed"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.select(near_copies.key(docs.doc_id, docs.text).alias("k"), "text")
+    durable = Durable(spark)
+    nodes = durable.keep(near_copies._rows(keyed, *near_copies._common(keyed)).dropDuplicates(["node"]), "n")
+    assert op4_simhash.set_links(nodes, durable).count() >= 10
+    for near in (op4_simhash.set_links, None):
+        members, groups = near_copies.groups(keyed, Durable(spark), near)
+        assert members.join(groups, "node").groupBy("component").count().where("count = 4").count() == 12
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, long.replace("w5000 ", "other ")), (3, "x" * 300_000)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in op4_simhash.keep_first(docs).collect()) == [1, 3]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in op4_simhash.simhash_groups(docs).collect()}
+    assert got[2][1] == 1 and got[3][1] == 3

@@ -1,7 +1,10 @@
 import random
+import re
+from math import comb
 
 import numpy as np
 import pytest
+import xxhash
 
 from obsforge.llm import op4_simhash as op
 from obsforge.llm.common import Durable
@@ -73,5 +76,46 @@ def test_groups_of_edge_cases(spark):
     assert {f for d, f, _ in got if d in (7, 8, 9)} == {"0" * 16}
     kept = op.keep_first(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 7, 7, 1, None, None], key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 7, 1, None], key=str)
+    assert op.keep_first(docs.limit(0)).count() == 0
     assert op.simhash_groups(docs.where("doc_id > 100")).count() == 0
+
+
+def brute_fingerprint(text, width=3):
+    """By the definition, a shingle at a time."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    grams = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints_against_the_definition(spark):
+    rng = random.Random(11)
+    texts = ["", " \t", "One", "Éa TWO", "a b c", "ÀB\u00a0c d", "x\x0by z w"] + [" ".join(rng.choice(["Alpha", "beta", "γ", "d\x85e", "中文", "f,"]) for _ in range(rng.randrange(1, 60))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: int(r.fingerprint, 16) for r in op.simhash_groups(docs).collect()}
+    assert got == {i: brute_fingerprint(t) for i, t in enumerate(texts)}
+
+
+def test_the_number_of_partitions_follows_the_size():
+    """Even bits: three partitions for millions, two for billions, and the thresholds stay cheaper than one word's 65."""
+    for n, partitions in ((10_000, 3), (10**7, 3), (10**8, 2), (10**9, 2)):
+        both = np.full((64, 64), n / 4) + np.diag(np.full(64, n / 4))
+        groups = op.choose_groups(n, both)
+        assert len(groups) == partitions and sorted(b for g in groups for b in g) == list(range(64))
+        widths = [len(g) for g in groups]
+        costs = np.array([[[0] + [sum(comb(w, k) * (1 + n / 2**w) for k in range(t + 1)) for t in range(3)] for w in widths]])
+        assert op.allocate(costs, 3 - partitions)[1][0] <= 65
+    skewed = np.outer(np.full(64, 0.95), np.full(64, 0.95)) * 10**6 + np.diag(np.full(64, 0.0475)) * 10**6
+    assert len(op.choose_groups(10**6, skewed)) == 2  # uneven bits tell less apart
+
+
+@pytest.mark.parametrize("partitions", [2, 4])
+def test_links_by_other_numbers_of_partitions(spark, partitions):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = sorted({int(b) ^ sum(1 << int(k) for k in set(rng.integers(0, 64, int(rng.integers(0, 4))))) for b in base for _ in range(4)})
+    rows = [(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(fps)]
+    durable = Durable(spark)
+    edges = {tuple(sorted(r)) for r in op.linked(spark.createDataFrame(rows, "fp long, name long"), durable, partitions).collect()}
+    assert edges == {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 2}
