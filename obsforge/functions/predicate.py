@@ -100,30 +100,3 @@ def lower(node: dict, resolve: Callable[[str], tuple[Column, str]], now_ns: int
         return column.between(*values) if op == "between" else column.isin(*values)
     want = F.lit(literal(value, kind, now_ns))
     return {"eq": column == want, "ne": column != want, "gt": column > want, "gte": column >= want, "lt": column < want, "lte": column <= want}[op]
-
-
-def evaluate(node: dict, row: dict) -> bool | None:
-    """What a predicate says of one record, by its definition: the measure that columns are held against."""
-    if "and" in node:
-        got = [evaluate(c, row) for c in node["and"]]
-        return False if False in got else None if None in got else True
-    if "or" in node:
-        got = [evaluate(c, row) for c in node["or"]]
-        return True if True in got else None if None in got else False
-    if "not" in node:
-        got = evaluate(node["not"], row)
-        return None if got is None else not got
-    held, op, value = row.get(node["field"]), node["op"], node.get("value")
-    if op == "exists":
-        return held is not None
-    if held is None:
-        return None
-    if op == "contains":
-        return str(value) in str(held)
-    if op == "regex":
-        return re.search(value, str(held)) is not None
-    if op == "in":
-        return held in value
-    if op == "between":
-        return value[0] <= held <= value[1]
-    return {"eq": held == value, "ne": held != value, "gt": held > value, "gte": held >= value, "lt": held < value, "lte": held <= value}[op]

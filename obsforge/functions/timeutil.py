@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from datetime import UTC, datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput
 
+HOUR_NS = 3600 * 10**9
 _UNITS = {"ns": 1, "us": 1_000, "µs": 1_000, "ms": 1_000_000, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9, "d": 86400 * 10**9, "w": 7 * 86400 * 10**9, "y": 365 * 86400 * 10**9}
 _PART = re.compile(r"(\d+(?:\.\d+)?)(ns|us|µs|ms|s|m|h|d|w|y)")
 
@@ -63,6 +64,20 @@ def window(column: Column, start_ns: int, end_ns: int) -> Column:
     return (column >= F.lit(start_ns)) & (column <= F.lit(end_ns))
 
 
+def within(frame: DataFrame, time: str, start_ns: int, end_ns: int) -> DataFrame:
+    """The rows of a window. Of a stored table, whose folders are hours, only those of the window are read."""
+    if "hour_bucket" in frame.columns:
+        frame = frame.where(F.col("hour_bucket").between(start_ns // HOUR_NS, end_ns // HOUR_NS))
+    return frame.where(window(F.col(time), start_ns, end_ns))
+
+
+def seconds_ns(seconds: int) -> int:
+    """Epoch seconds as nanoseconds; numbers that must be milliseconds or finer are refused."""
+    if isinstance(seconds, bool) or not isinstance(seconds, int) or abs(seconds) >= 10**11:
+        raise InvalidInput(f"not a time in seconds: {seconds!r}")
+    return seconds * 10**9
+
+
 def steps(start_ns: int, end_ns: int, step_ns: int) -> Column:
     """All bucket starts of a window, as an array."""
     return F.sequence(F.lit(start_ns - start_ns % step_ns), F.lit(end_ns), F.lit(step_ns))

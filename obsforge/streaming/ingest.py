@@ -6,26 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.lifecycle import SORT_KEYS, with_hour
+from ..operators import lifecycle
 
 LATENESS = "10 minutes"
 
 
 def append_once(table: str, path: str, stream_id: str):
-    """A ``foreachBatch`` sink whose batches are written at most once.
+    """A ``foreachBatch`` sink into a stored table, whose batches are written at most once.
 
-    A batch has a folder of its own name, so writing it again replaces all of it.
+    A batch is one commit that carries its number; a number that the table has, of this stream, is
+    left out. A batch that broke off before its commit left nothing that is read, and is written anew.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        keys = SORT_KEYS[table]
-        rows = with_hour(batch, keys[0]).sortWithinPartitions("hour_bucket", *keys)
-        rows.write.mode("overwrite").partitionBy("hour_bucket").parquet(f"{path}/ingest={stream_id}-{batch_id}")
+        lifecycle.write(batch, table, path, batch=(stream_id, batch_id))
 
     return sink
 
 
 def ingest(stream: DataFrame, table: str, path: str, checkpoint: str, stream_id: str = "main") -> StreamingQuery:
+    """All that is there, into a stored table; a later call goes on from the checkpoint."""
     return stream.writeStream.foreachBatch(append_once(table, path, stream_id)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
