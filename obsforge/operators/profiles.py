@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InvalidInput
+from ..functions.timeutil import within
+from .transforms import profile_samples
+
 
 def frame_name(function: Column, address: Column) -> Column:
     """The function, else its address, else ``<unknown>``."""
@@ -83,5 +87,62 @@ def flamegraph_diff(left: DataFrame, right: DataFrame) -> dict:
     return {"names": names, "levels": levels, "left_total": levels[0][1], "right_total": levels[0][4], "max_self": max((max(v[1], v[3]) for _, v in rows), default=0)}
 
 
+# --- the stored table ---------------------------------------------------------------------------
+
+#: What a search tells of a profile: all but its payload.
+SUMMARY = ("profile_id", "timestamp_ns", "duration_nano", "sample_type", "sample_unit", "period", "service_name", "trace_id", "span_id")
+MAX_SEARCH = 1000
+
+
+def search(stored: DataFrame, start: int | None = None, end: int | None = None, service: str | None = None, sample_type: str | None = None, limit: int | None = None) -> DataFrame:
+    """The newest profiles of a service and type in a window, without their payload; of equal times by id."""
+    for column, value in (("service_name", service), ("sample_type", sample_type)):
+        stored = stored if value is None else stored.where(F.col(column) == value)
+    if start is not None and end is not None:
+        stored = within(stored, "timestamp_ns", start, end)
+    most = min(limit, MAX_SEARCH) if limit and limit > 0 else MAX_SEARCH
+    return stored.select(*[c for c in SUMMARY if c in stored.columns]).orderBy(F.desc("timestamp_ns"), "profile_id").limit(most)
+
+
+def _hex(text: str) -> str:
+    if not text or not all(c in "0123456789abcdefABCDEF" for c in text):
+        raise InvalidInput(f"not an id in hex digits: {text!r}")
+    return text.lower()
+
+
+def by_id(stored: DataFrame, profile_id: str) -> DataFrame:
+    return stored.where(F.col("profile_id") == _hex(profile_id)).drop("hour_bucket")
+
+
+def by_trace(stored: DataFrame, trace_id: str, span_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """The profiles that point to a trace, or to one of its spans, newest first."""
+    found = stored.where(F.col("trace_id") == _hex(trace_id))
+    found = found if span_id is None else found.where(F.col("span_id") == _hex(span_id))
+    return search(found, limit=limit)
+
+
+def label_names(stored: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """``label``: the service and the keys of profiles' attributes."""
+    frame = within(stored, "timestamp_ns", start, end) if start is not None and end is not None else stored
+    own = stored.sparkSession.createDataFrame([("service_name",)], "label string")
+    return own.unionByName(frame.select(F.explode(F.map_keys("attributes")).alias("label")).distinct()).distinct()
+
+
+def label_values(stored: DataFrame, name: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    frame = within(stored, "timestamp_ns", start, end) if start is not None and end is not None else stored
+    column = F.col("service_name") if name == "service_name" else F.col("attributes")[name]
+    return frame.select(column.alias("value")).where("value is not null").distinct()
+
+
+def capped_flamegraph(rows: DataFrame, most: int) -> dict:
+    """The flame graph of the newest ``most`` rows, profiles or samples, and whether there were more."""
+    ordered = rows.orderBy(F.desc("timestamp_ns"), *[c for c in ("profile_id", "service_name") if c in rows.columns]).limit(most + 1)
+    spark = rows.sparkSession
+    held = ordered.collect()
+    first = spark.createDataFrame(held[:most], ordered.schema)
+    samples = profile_samples(first) if "samples_json" in rows.columns else first
+    return flamegraph(samples) | {"truncated": len(held) > most}
+
+
 def types(samples: DataFrame) -> DataFrame:
     return samples.select(F.concat_ws(":", "sample_type", "sample_unit").alias("profile_type")).where("profile_type <> ':'").distinct()

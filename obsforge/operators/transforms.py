@@ -1,104 +1,139 @@
-"""What arrives on the wire, turned into the rows that are stored."""
+"""Wire rows turned into the rows that are stored."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.histogram import number_array
-
-_SCOPES = ("resource_attributes", "scope_attributes", "log_attributes")
+_SCOPES = ("resource_attributes", "scope_attributes", "log_attributes", "span_attributes", "attributes")
+#: Columns of a metric that each of its points keeps, where the wire row has them.
+_METRIC = ("description", "unit", "aggregation_temporality", "is_monotonic", "resource_attributes", "scope_attributes")
+UNKNOWN = "unknown"
 
 
 def empty_map(c: str) -> Column:
     return F.coalesce(F.col(c), F.create_map().cast("map<string,string>"))
 
 
+def instant(ns: Column) -> Column:
+    """Nanoseconds as a timestamp, rounded down to microseconds in whole numbers, also before the epoch."""
+    return F.timestamp_micros(F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000)))
+
+
+def _dated(frame: DataFrame, ns: str) -> DataFrame:
+    """``date_day`` and ``hour`` of a time in nanoseconds."""
+    at = instant(F.col(ns))
+    return frame.withColumns({"date_day": F.to_date(at), "hour": F.hour(at)})
+
+
+def hex_id(c: str) -> Column:
+    """Bytes of an id in lower-case hex digits; none, or no bytes, is null."""
+    return F.nullif(F.lower(F.hex(c)), F.lit(""))
+
+
 def traces(wire: DataFrame) -> DataFrame:
     """Wire spans: new names, signed numbers, day and hour of the start, events and links as JSON."""
-    at = F.timestamp_micros((F.col("start_time_unix_nano") / 1000).cast("long"))
     out = wire.withColumnsRenamed({"name": "span_name", "attributes_json": "span_attributes", "resource_json": "resource_attributes"})
     cast = {c: F.col(c).cast("long") for c in ("start_time_unix_nano", "end_time_unix_nano", "duration_nanos") if c in out.columns}
     json = {c: F.coalesce(F.to_json(c), F.lit("[]")) for c, kind in out.dtypes if c in ("events", "links") and kind.startswith("array")}
     maps = {c: F.from_json(c, "map<string,string>") for c, kind in out.dtypes if c in ("span_attributes", "resource_attributes") and kind == "string"}
-    return out.withColumns(cast | json | maps | {"date_day": F.to_date(at), "hour": F.hour(at)})
+    return _dated(out.withColumns(cast | json | maps), "start_time_unix_nano")
 
 
 def logs(wire: DataFrame) -> DataFrame:
     """Wire log records: the time, or when it is zero the time of observation; ids in hex, empty ones null."""
     at = F.when(F.col("time_unix_nano") == 0, F.col("observed_time_unix_nano")).otherwise(F.col("time_unix_nano")).cast("long")
-    ids = {c: F.nullif(F.lower(F.hex(c)), F.lit("")) for c, kind in wire.dtypes if c in ("trace_id", "span_id") and kind == "binary"}
-    when = F.timestamp_micros((F.col("timestamp_ns") / 1000).cast("long"))
-    return wire.withColumn("timestamp_ns", at).withColumns(ids).withColumns({"date_day": F.to_date(when), "hour": F.hour(when)})
+    ids = {c: hex_id(c) for c, kind in wire.dtypes if c in ("trace_id", "span_id") and kind == "binary"}
+    return _dated(wire.withColumn("timestamp_ns", at).withColumns(ids), "timestamp_ns")
+
+
+# --- metrics: a row for each data point ---------------------------------------------------------
+
+
+def _points(wire: DataFrame, fields: str, *columns: Column) -> DataFrame:
+    """The points of ``data_json`` with their metric; a point without service is ``unknown``."""
+    kept = [c for c in _METRIC if c in wire.columns]
+    points = F.from_json("data_json", f"array<struct<time_unix_nano:bigint,start_time_unix_nano:bigint,flags:bigint,attributes:map<string,string>,{fields}>>")
+    each = wire.select("metric_name", F.coalesce("service_name", F.lit(UNKNOWN)).alias("service_name"), *kept, F.explode(points).alias("p"))
+    return each.select(F.col("p.time_unix_nano").alias("timestamp_ns"), F.col("p.start_time_unix_nano").alias("start_timestamp_ns"), "metric_name", "service_name", *columns, F.col("p.attributes").alias("attributes"), F.col("p.flags").alias("flags"), *kept)
+
+
+def _or_nan(field: str) -> Column:
+    return F.coalesce(F.col(f"p.{field}"), F.lit(float("nan"))).alias(field)
 
 
 def number_points(wire: DataFrame) -> DataFrame:
-    """Gauge and sum metrics: a row a data point; a point without value is NaN, one without service is ``unknown``."""
-    points = F.from_json("data_json", "array<struct<time_unix_nano:bigint,value:double,attributes:map<string,string>>>")
-    each = wire.select("metric_name", F.coalesce("service_name", F.lit("unknown")).alias("service_name"), F.explode(points).alias("p"))
-    return each.select(F.col("p.time_unix_nano").alias("timestamp_ns"), "metric_name", "service_name", F.coalesce("p.value", F.lit(float("nan"))).alias("value"), F.col("p.attributes").alias("attributes"))
+    """Gauge and sum metrics; a point without value is NaN."""
+    return _points(wire, "value:double", _or_nan("value"))
 
 
 def histogram_points(wire: DataFrame) -> DataFrame:
-    points = F.from_json("data_json", "array<struct<time_unix_nano:bigint,count:bigint,sum:double,bucket_counts:array<bigint>,explicit_bounds:array<double>,attributes:map<string,string>>>")
-    each = wire.select("metric_name", F.coalesce("service_name", F.lit("unknown")).alias("service_name"), F.explode(points).alias("p"))
-    return each.select(F.col("p.time_unix_nano").alias("timestamp_ns"), "metric_name", "service_name", F.col("p.count").alias("count"), F.coalesce("p.sum", F.lit(float("nan"))).alias("sum"), F.to_json("p.bucket_counts").alias("bucket_counts"), F.to_json("p.explicit_bounds").alias("explicit_bounds"), F.col("p.attributes").alias("attributes"))
+    """Classic histograms, whose bounds and counts are JSON arrays; without a sum it is NaN, without min or max null."""
+    fields = "count:bigint,sum:double,min:double,max:double,bucket_counts:array<bigint>,explicit_bounds:array<double>"
+    arrays = [F.coalesce(F.to_json(f"p.{c}"), F.lit("[]")).alias(c) for c in ("bucket_counts", "explicit_bounds")]
+    return _points(wire, fields, F.col("p.count").alias("count"), _or_nan("sum"), F.col("p.min").alias("min"), F.col("p.max").alias("max"), *arrays)
 
 
 def summary_points(wire: DataFrame) -> DataFrame:
-    points = F.from_json("data_json", "array<struct<time_unix_nano:bigint,count:bigint,sum:double,quantile_values:array<struct<quantile:double,value:double>>>>")
-    each = wire.select("metric_name", F.coalesce("service_name", F.lit("unknown")).alias("service_name"), F.explode(points).alias("p"))
-    return each.select(F.col("p.time_unix_nano").alias("timestamp_ns"), "metric_name", "service_name", F.col("p.count").alias("count"), F.col("p.sum").alias("sum"), F.to_json("p.quantile_values").alias("quantile_values"))
+    fields = "count:bigint,sum:double,quantile_values:array<struct<quantile:double,value:double>>"
+    return _points(wire, fields, F.col("p.count").alias("count"), _or_nan("sum"), F.coalesce(F.to_json("p.quantile_values"), F.lit("[]")).alias("quantile_values"))
 
 
 def exponential_points(wire: DataFrame) -> DataFrame:
     side = "struct<offset:int,bucket_counts:array<bigint>>"
-    points = F.from_json("data_json", f"array<struct<time_unix_nano:bigint,count:bigint,sum:double,scale:int,zero_count:bigint,positive:{side},negative:{side}>>")
-    each = wire.select("metric_name", F.coalesce("service_name", F.lit("unknown")).alias("service_name"), F.explode(points).alias("p"))
-    half = lambda s: [F.col(f"p.{s}.offset").alias(f"{s}_offset"), F.to_json(f"p.{s}.bucket_counts").alias(f"{s}_bucket_counts")]
-    return each.select(F.col("p.time_unix_nano").alias("timestamp_ns"), "metric_name", "service_name", F.col("p.count").alias("count"), F.col("p.sum").alias("sum"), F.col("p.scale").alias("scale"), F.col("p.zero_count").alias("zero_count"), *half("positive"), *half("negative"))
+    fields = f"count:bigint,sum:double,scale:int,zero_count:bigint,zero_threshold:double,positive:{side},negative:{side}"
+    halves = [c for s in ("positive", "negative") for c in (F.col(f"p.{s}.offset").alias(f"{s}_offset"), F.coalesce(F.to_json(f"p.{s}.bucket_counts"), F.lit("[]")).alias(f"{s}_bucket_counts"))]
+    return _points(wire, fields, F.col("p.count").alias("count"), _or_nan("sum"), F.col("p.scale").alias("scale"), F.col("p.zero_count").alias("zero_count"), F.col("p.zero_threshold").alias("zero_threshold"), *halves)
 
 
-def label_name(key: str) -> str:
-    return "label_" + "".join(c if c.isalnum() else "_" for c in key)
+# --- profiles -----------------------------------------------------------------------------------
 
+_FRAMES = "array<struct<frames:array<struct<function_name:string,address:bigint>>>>"
+_SAMPLES = "array<struct<stacktrace_index:int,values:array<bigint>,timestamps_unix_nano:array<bigint>>>"
 
-def materialised(frame: DataFrame, keys: list[str], scopes: tuple[str, ...] = _SCOPES) -> DataFrame:
-    """A ``label_`` column for each key: of resource, scope and record, the first that has it."""
-    held = [c for c in scopes if c in frame.columns]
-    return frame.withColumns({label_name(k): F.coalesce(*[F.col(c)[k] for c in held]) for k in keys})
 
+def profiles(wire: DataFrame) -> DataFrame:
+    """Wire profiles: the time, ids in hex (an absent profile id is empty, others are null), day and hour."""
+    ids = {c: hex_id(c) for c, kind in wire.dtypes if c in ("profile_id", "trace_id", "span_id") and kind == "binary"}
+    out = wire.withColumns(ids).withColumn("timestamp_ns", F.coalesce(F.col("time_unix_nano").cast("long"), F.lit(0).cast("long"))).drop("time_unix_nano")
+    return _dated(out.withColumn("profile_id", F.coalesce("profile_id", F.lit(""))).withColumn("service_name", F.coalesce(F.nullif("service_name", F.lit("")), F.lit(UNKNOWN))), "timestamp_ns")
 
-def attr_tokens(frame: DataFrame, scopes: tuple[str, ...] = _SCOPES) -> DataFrame:
-    """``attr_tokens``: the different ``key=value`` of all scopes, an empty array if there are none."""
-    entries = [F.transform(F.map_entries(empty_map(c)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))) for c in scopes if c in frame.columns]
-    return frame.withColumn("attr_tokens", F.array_distinct(F.flatten(F.array(*entries))) if entries else F.array().cast("array<string>"))
+
+def profile_samples(stored: DataFrame) -> DataFrame:
+    """``stack`` (root first) and ``value`` of each sample of stored profiles, with their other columns.
+
+    A sample's value is its first, or how many times it was seen; one whose stack is not there is left out.
+    """
+    from .profiles import frame_name, sample_value
+
+    others = [c for c in stored.columns if c not in ("stacktraces_json", "samples_json", "stack", "value")]
+    traces_ = F.from_json("stacktraces_json", _FRAMES)
+    each = stored.select(*others, traces_.alias("__traces"), F.explode(F.from_json("samples_json", _SAMPLES)).alias("__s"))
+    found = each.withColumn("__stack", F.get("__traces", F.col("__s.stacktrace_index"))).where(F.col("__stack").isNotNull())
+    named = F.transform(F.reverse(F.coalesce(F.col("__stack.frames"), F.array().cast("array<struct<function_name:string,address:bigint>>"))), lambda f: frame_name(f["function_name"], f["address"]))
+    return found.select(*others, named.alias("stack"), sample_value(F.col("__s.values"), F.col("__s.timestamps_unix_nano")).alias("value"))
 
 
-def remote_write_kind(name: Column) -> Column:
-    """What a sample of this name is taken for."""
-    return F.when(name.endswith("_bucket"), "histogram").when(name.rlike("_(total|count|sum|created)$"), "sum").when(name.endswith("_info"), "gauge").otherwise("gauge")
+# --- labels -------------------------------------------------------------------------------------
 
 
-def assemble_histograms(samples: DataFrame) -> DataFrame:
-    """Cumulative ``le`` samples of a series and time (``timestamp_ns, metric_name, service_name, le, value``) as bounds and counts."""
-    rows = samples.withColumn("edge", F.when(F.col("le").isin("+Inf", "Inf"), F.lit(float("inf"))).otherwise(F.col("le").try_cast("double"))).where("edge is not null")
-    one = rows.groupBy("timestamp_ns", F.regexp_replace("metric_name", "_bucket$", "").alias("metric_name"), "service_name").agg(F.array_sort(F.collect_list(F.struct("edge", "value"))).alias("b"))
-    counts = F.transform("b", lambda x, i: (x["value"] - F.when(i == 0, F.lit(0.0)).otherwise(F.get("b", i - 1)["value"])).cast("long"))
-    bounds = F.filter(F.transform("b", lambda x: x["edge"]), lambda e: e < float("inf"))
-    return one.select("timestamp_ns", "metric_name", "service_name", F.element_at("b", -1)["value"].cast("long").alias("count"), F.to_json(counts).alias("bucket_counts"), F.to_json(bounds).alias("explicit_bounds"))
+def label_name(key: str) -> str:
+    return "label_" + "".join(c if c.isascii() and c.isalnum() else "_" for c in key)
+
 
+def materialised(frame: DataFrame, keys: list[str], scopes: tuple[str, ...] = _SCOPES) -> DataFrame:
+    """A ``label_`` column for each key: of resource, scope and record, the first that has it.
 
-def valid_histograms(frame: DataFrame) -> DataFrame:
-    return frame.where(F.size(number_array(F.col("bucket_counts"))) == F.size(number_array(F.col("explicit_bounds"))) + 1)
+    Values that are no text, in containers that hold JSON text, are told as JSON.
+    """
+    held = {c: kind for c, kind in frame.dtypes if c in scopes}
+    if not held:
+        return frame.withColumns({label_name(k): F.lit(None).cast("string") for k in keys})
+    value = lambda c, k: F.col(c)[k] if held[c].startswith("map") else F.from_json(c, "map<string,string>")[k]
+    return frame.withColumns({label_name(k): F.coalesce(*[value(c, k) for c in scopes if c in held]) for k in keys})
 
 
-def spans_from_otlp(lines: DataFrame) -> DataFrame:
-    """OTLP JSON lines (``value``) as one row a span: resource, scope and span unfolded."""
-    attrs = "array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>>>"
-    span = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{attrs},status:struct<code:int,message:string>>"
-    doc = F.from_json("value", f"struct<resourceSpans:array<struct<resource:struct<attributes:{attrs}>,scopeSpans:array<struct<scope:struct<name:string,version:string>,spans:array<{span}>>>>>>")
-    as_map = lambda c: F.map_from_entries(F.transform(F.coalesce(F.col(c), F.array().cast(attrs)), lambda a: F.struct(a["key"], F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["doubleValue"].cast("string"), a["value"]["boolValue"].cast("string")))))
-    r = lines.select(F.explode(doc["resourceSpans"]).alias("r")).select("r.resource", F.explode("r.scopeSpans").alias("s")).select("resource", "s.scope", F.explode("s.spans").alias("x"))
-    out = r.select(F.col("x.traceId").alias("trace_id"), F.col("x.spanId").alias("span_id"), F.nullif("x.parentSpanId", F.lit("")).alias("parent_span_id"), F.col("x.name").alias("span_name"), F.col("scope.name").alias("scope_name"), F.col("x.startTimeUnixNano").cast("long").alias("start_ns"), F.col("x.endTimeUnixNano").cast("long").alias("end_ns"), F.col("x.status.code").alias("status_code_number"), as_map("x.attributes").alias("span_attributes"), as_map("resource.attributes").alias("resource_attributes"))
-    return out.withColumns({"service_name": F.coalesce(F.col("resource_attributes")["service.name"], F.lit("unknown")), "duration_nanos": F.col("end_ns") - F.col("start_ns"), "is_root": F.col("parent_span_id").isNull()})
+def attr_tokens(frame: DataFrame, scopes: tuple[str, ...] = _SCOPES) -> DataFrame:
+    """``attr_tokens``: the different ``key=value`` of all scopes, an empty array if there are none."""
+    entries = [F.transform(F.map_entries(empty_map(c)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))) for c in scopes if c in frame.columns]
+    return frame.withColumn("attr_tokens", F.array_distinct(F.flatten(F.array(*entries))) if entries else F.array().cast("array<string>"))
