@@ -35,12 +35,57 @@ def aggregate(op: str, x: Column, param: float | None = None) -> Column:
         "group": lambda _: F.max(F.lit(1.0)), "present": lambda _: F.max(F.lit(1.0)),
     }
     if op == "quantile":
-        return F.percentile(x, F.lit(float(param)))
+        return approximate_quantile(x, float(param))
     if op not in simple:
         raise Unsupported(f"aggregation {op}")
     return simple[op](x)
 
 
+#: A quantile's rank is off by a share of 1 / ACCURACY at most; the state of a group is bounded by it.
+ACCURACY = 10_000
+
+
+def approximate_quantile(x: Column, phi: float) -> Column:
+    """A value of the group whose rank is within n / ACCURACY of phi * n, from a sketch of bounded size."""
+    return F.percentile_approx(x, F.lit(phi), F.lit(ACCURACY)).cast("double")
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys that may be null; the keys of the left side stay."""
+    named = b.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] or [F.lit(True)]
+    return a.join(named, on, how).drop(*[f"__{k}" for k in keys])
+
+
+def exact_quantile(frame: DataFrame, keys: list[str], value: str, phi: float) -> DataFrame:
+    """``keys`` and ``value``: the phi-quantile, linear between the two values next to its rank.
+
+    A sketch tells two values that the rank lies between; of the rows, those below are counted and
+    only those in between, some n / ACCURACY of a group, are put in order. Nulls do not count; groups of
+    nothing else are null. The frame is read twice.
+    """
+    rows = frame.select(*keys, F.col(value).cast("double").alias("__v"))
+    edge = lambda at: F.percentile_approx("__v", F.lit(at), F.lit(ACCURACY)).cast("double")
+    margin = 2.0 / ACCURACY
+    # A group so small that the margin is no more than a few rows is put in order as a whole.
+    many = F.count("__v") > 4 * ACCURACY
+    low, high = edge(max(phi - margin, 0.0)), edge(min(phi + margin, 1.0))
+    bracket = rows.groupBy(*keys).agg(F.count("__v").alias("__n"), F.when(many & F.lit(phi > margin), low).otherwise(F.min("__v")).alias("__low"), F.when(many & F.lit(phi < 1 - margin), high).otherwise(F.max("__v")).alias("__high"))
+    rank = F.lit(float(phi)) * (F.col("__n") - 1)
+    bracket = bracket.withColumns({"__floor": F.floor(rank).cast("long"), "__part": rank - F.floor(rank)})
+    placed = same_keys(rows, F.broadcast(bracket), keys).where("__v <= __high")
+    inside = F.when(F.col("__v") >= F.col("__low"), F.col("__v"))  # null: below
+    counted = placed.groupBy(*keys, inside.alias("__v"), "__floor", "__part", "__n").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ordered = counted.withColumn("__upto", upto).where((F.col("__upto") > F.col("__floor")) & F.col("__v").isNotNull())
+    at = F.min(F.struct("__upto", "__v"))
+    after = F.min(F.when(F.col("__upto") > F.col("__floor") + 1, F.struct("__upto", "__v")))
+    found = ordered.groupBy(*keys, "__part").agg(at.alias("__a"), after.alias("__b"))
+    low, high = F.col("__a.__v"), F.coalesce(F.col("__b.__v"), F.col("__a.__v"))
+    found = found.select(*keys, F.when(F.col("__part") == 0, low).otherwise(low + (high - low) * F.col("__part")).alias(value))
+    return same_keys(bracket.select(*keys), found, keys, "left").select(*keys, value)
+
+
 def divided(a: Column, b: Column) -> Column:
     """Division as floating point does it: by zero gives an infinity of the dividend's sign, or NaN."""
     zero = F.when(a > 0, F.lit(_INF)).when(a < 0, F.lit(-_INF)).otherwise(F.lit(float("nan")))
@@ -64,9 +109,16 @@ COMPARE = {"==", "!=", ">", "<", ">=", "<="}
 
 
 def fold(m: Matrix, op: str, labels: tuple[str, ...], param: float | None = None) -> Matrix:
+    if op == "quantile":
+        return Matrix(exact_quantile(m.frame, ["bucket_ns", *labels], "value", _phi(param)), labels) if 0 <= param <= 1 else Matrix(m.frame.groupBy("bucket_ns", *labels).agg(F.lit(_phi(param)).alias("value")), labels)
     return Matrix(m.frame.groupBy("bucket_ns", *labels).agg(aggregate(op, F.col("value"), param).cast("double").alias("value")), labels)
 
 
+def _phi(param: float) -> float:
+    """Quantiles below 0 and above 1 are infinite."""
+    return param if 0 <= param <= 1 else -_INF if param < 0 else _INF if param > 1 else float("nan")
+
+
 def top(m: Matrix, n: int, largest: bool, by: tuple[str, ...] = ()) -> Matrix:
     """The n largest or smallest series of each bucket; ties fall to the smaller labels."""
     v = F.col("value")
@@ -125,9 +177,9 @@ def set_operation(left: Matrix, right: Matrix, on: tuple[str, ...], op: str) ->
 
 def by_series(m: Matrix, descending: bool) -> Matrix:
     """Series in order of their value in their latest bucket."""
-    over = Window.partitionBy(*m.labels)
-    last = F.max_by("value", "bucket_ns").over(over)
-    return Matrix(m.frame.withColumn("__last", last).orderBy(F.desc("__last") if descending else F.asc("__last"), *m.labels, "bucket_ns").drop("__last"), m.labels)
+    last = m.frame.groupBy(*m.labels).agg(F.max_by("value", "bucket_ns").alias("__last"))
+    joined = same_keys(m.frame, last, list(m.labels))
+    return Matrix(joined.orderBy(F.desc("__last") if descending else F.asc("__last"), *m.labels, "bucket_ns").drop("__last"), m.labels)
 
 
 def constant(spark, value: float | Column, start: int, end: int, step: int, labels: dict[str, str]) -> Matrix:

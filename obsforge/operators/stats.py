@@ -12,15 +12,22 @@ TOP_VALUES = 100
 def attribute_stats(frame: DataFrame, containers: tuple[str, ...], cap: int = DISTINCT_CAP, top: int = TOP_VALUES) -> DataFrame:
     """``key``, ``present`` (rows that have it), ``n_distinct`` (up to ``cap``), ``capped`` and ``top``.
 
-    ``top`` has the most frequent values with their counts, by count and then value; none if capped.
+    A key that a row has in several containers is one row's; all its values there count. ``top`` has
+    the most frequent values with their counts, by count and then value; none if capped. Values are
+    counted apart before they meet by key, and of each task's values only the ``top`` first are ranked.
     """
-    both = F.map_concat(*[F.coalesce(F.col(c), F.create_map().cast("map<string,string>")) for c in containers]) if len(containers) > 1 else F.col(containers[0])
-    each = frame.select(F.explode(both).alias("key", "v"))
-    counted = each.groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))
+    held = [F.transform(F.map_entries(F.coalesce(F.col(c), F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))) for c in containers]
+    entries = F.array_distinct(F.flatten(F.array(*held)))
+    # Of a key's entries in a row, the first stands for the row.
+    marked = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("v"), (F.array_position(F.transform(entries, lambda x: x["key"]), e["key"]) == i + 1).cast("int").alias("first")))
+    each = frame.select(F.explode(marked).alias("e")).select("e.*")
+    counted = each.groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("rows"))
+    totals = counted.groupBy("key").agg(F.sum("rows").alias("present"), F.count("v").alias("distinct"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "v"))
-    ranked = counted.withColumn("rank", rank)
-    found = ranked.groupBy("key").agg(F.sum("n").alias("present"), F.count(F.lit(1)).alias("distinct"), F.array_sort(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", F.col("v").alias("value"), F.col("n").alias("count"))))).alias("top"))
-    capped = F.col("distinct") > cap
+    ranked = counted.where(F.col("v").isNotNull()).select("key", "v", "n", rank.alias("rank")).where(F.col("rank") <= top)
+    tops = ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("v").alias("value"), F.col("n").alias("count")))).alias("top"))
+    capped = F.col("distinct") >= cap
+    found = totals.join(tops, "key", "left").withColumn("top", F.coalesce("top", F.array().cast("array<struct<rank:int,value:string,count:bigint>>")))
     return found.select("key", "present", F.least("distinct", F.lit(cap)).alias("n_distinct"), capped.alias("capped"), F.when(capped, F.slice("top", 1, 0)).otherwise(F.col("top")).alias("top"))
 
 
@@ -29,11 +36,30 @@ def generated_key(key: Column) -> Column:
     return key.rlike(r"[0-9]{8}|[0-9a-fA-F]{12}")
 
 
-def promotion(stats: DataFrame, demand: DataFrame, rows: int, min_hits: int = 10, min_presence: float = 0.005, budget: int = 32) -> DataFrame:
-    """The keys to promote: asked for and present often enough, not capped, not generated; by hits times presence."""
-    joined = stats.join(demand, "key").withColumn("presence", F.col("present") / F.lit(max(rows, 1)))
-    fit = joined.where(~F.col("capped") & ~generated_key(F.col("key")) & (F.col("hits") >= min_hits) & (F.col("presence") >= min_presence))
-    return fit.withColumn("score", F.col("hits") * F.col("presence")).orderBy(F.desc("score"), "key").limit(budget).select("key", "hits", "presence", "score")
+def promotion(
+    stats: DataFrame, demand: DataFrame, rows: int, materialized: tuple[str, ...] = (), pinned: tuple[str, ...] = (), streaks: DataFrame | None = None,
+    min_hits: int = 10, min_presence: float = 0.005, min_streak: int = 1, budget: int = 32, most: int = 32,
+) -> DataFrame:
+    """What to do with each key of ``stats``, or that is materialized: ``key, hits, presence, score, streak, decision``.
+
+    A key that is neither materialized nor pinned, not capped, not generated and asked for (``demand``:
+    ``key, hits``) and present often enough has passed once more than ``streaks`` (``key, streak``) tells;
+    others begin anew. From ``min_streak`` on it may be promoted: as many as the budget of columns,
+    less those there are, leaves, and ``most`` at a time, by hits times presence. A materialized key
+    that is not pinned and that no one asked for is demoted. ``decision`` is ``promote``,
+    ``building``, ``demote``, ``keep`` or ``none``.
+    """
+    spark = stats.sparkSession
+    there = spark.createDataFrame([(k, k in pinned) for k in sorted({*materialized, *pinned})], "key string, pinned boolean")
+    known = stats.join(demand, "key", "left").join(there, "key", "full").withColumns({"hits": F.coalesce("hits", F.lit(0)), "presence": F.coalesce(F.col("present") / F.lit(max(rows, 1)), F.lit(0.0))})
+    known = known.join(streaks.select("key", F.col("streak").alias("before")), "key", "left") if streaks is not None else known.withColumn("before", F.lit(0))
+    passed = F.col("pinned").isNull() & ~F.coalesce("capped", F.lit(True)) & ~generated_key(F.col("key")) & (F.col("hits") >= min_hits) & (F.col("presence") >= min_presence)
+    known = known.withColumn("streak", F.when(passed, F.coalesce("before", F.lit(0)) + 1).otherwise(0)).withColumn("score", F.col("hits") * F.col("presence"))
+    left = min(max(budget - len({*materialized, *pinned}), 0), most)
+    first = known.where(F.col("streak") >= max(min_streak, 1)).orderBy(F.desc("score"), "key").limit(left).select("key", F.lit("promote").alias("chosen"))
+    idle = F.col("key").isin(*[k for k in materialized if k not in pinned] or [""]) & (F.col("hits") == 0)
+    decision = F.coalesce("chosen", F.when(F.col("streak") > 0, "building").when(idle, "demote").when(F.col("pinned").isNotNull(), "keep").otherwise("none"))
+    return known.join(F.broadcast(first), "key", "left").select("key", "hits", "presence", "score", "streak", decision.alias("decision"))
 
 
 def candidates(stats: DataFrame, rows: int, min_presence: float = 0.005, most: int = 32) -> DataFrame:
@@ -42,15 +68,43 @@ def candidates(stats: DataFrame, rows: int, min_presence: float = 0.005, most: i
     return stats.where(~F.col("capped") & (presence >= min_presence)).select("key", presence.alias("presence")).orderBy(F.desc("presence"), "key").limit(most)
 
 
-def describe_fields(stats: DataFrame, declared: dict[str, str], rows: int) -> DataFrame:
-    """Declared fields first, then keys that were seen, those that cover most rows first."""
-    spark = stats.sparkSession
-    known = spark.createDataFrame([(k, t, "declared") for k, t in declared.items()], "name string, type string, origin string").withColumn("coverage", F.lit(None).cast("double"))
-    seen = stats.select(F.col("key").alias("name"), F.lit("string").alias("type"), F.lit("observed").alias("origin"), (F.col("present") / F.lit(max(rows, 1))).alias("coverage"))
-    seen = seen.join(known.select("name"), "name", "left_anti")
-    return known.unionByName(seen).orderBy("origin", F.desc_nulls_last("coverage"), "name")
-
+def describe_fields(stats: DataFrame, declared: dict[str, str], rows: int, registry: DataFrame | None = None) -> DataFrame:
+    """Declared fields first, then those of a registry (``name, type``), then keys that were seen; by coverage, highest first.
 
-def describe_values(stats: DataFrame, key: str, most: int = 20) -> DataFrame:
-    """The most frequent values of a key, from its statistics."""
-    return stats.where(F.col("key") == key).select(F.explode(F.slice("top", 1, most)).alias("t")).select(F.col("t.value").alias("value"), F.col("t.count").alias("count"))
+    A name stands once, with the first of these origins, and with its coverage if it was seen.
+    """
+    spark = stats.sparkSession
+    seen = stats.select(F.col("key").alias("name"), (F.col("present") / F.lit(max(rows, 1))).alias("coverage"))
+    known = spark.createDataFrame([(k, t, "declared", 0) for k, t in declared.items()], "name string, type string, origin string, tier int")
+    if registry is not None:
+        more = registry.select("name", "type", F.lit("registry").alias("origin"), F.lit(1).alias("tier")).dropDuplicates(["name"])
+        known = known.unionByName(more.join(known.select("name"), "name", "left_anti"))
+    observed = seen.select("name", F.lit("string").alias("type"), F.lit("observed").alias("origin"), F.lit(2).alias("tier")).join(known.select("name"), "name", "left_anti")
+    out = known.unionByName(observed).join(seen, "name", "left")
+    return out.orderBy("tier", F.desc_nulls_last("coverage"), "name").select("name", "type", "origin", "coverage")
+
+
+def describe_values(stats: DataFrame, key: str, most: int = 20, declared: dict[str, tuple[str, ...]] | None = None, sample: DataFrame | None = None, column: Column | None = None, sample_rows: int = 10_000) -> DataFrame:
+    """``value``, ``count`` and ``origin`` of a field's values, from the first of four tiers that has any.
+
+    ``declared``: a set that is fixed (no counts); ``sketch``: the most frequent values of its
+    statistics; ``hint``: there are too many values to list, so none is, with how many as count;
+    ``sample``: counted over the first ``sample_rows`` rows of ``sample``, where a caller asks for a scan.
+    """
+    spark = stats.sparkSession
+    if declared and key in declared:
+        return spark.createDataFrame([(v, None, "declared") for v in declared[key][:most]], "value string, count long, origin string")
+    of = stats.where(F.col("key") == key)
+    found = of.select("capped", "n_distinct", F.size("top").alias("n")).first()
+    if found is not None and found["n"] > 0:
+        return of.select(F.explode(F.slice("top", 1, most)).alias("t")).select(F.col("t.value").alias("value"), F.col("t.count").alias("count"), F.lit("sketch").alias("origin"))
+    if sample is not None and column is not None:
+        rows = sample.limit(sample_rows).select(column.cast("string").alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+        return rows.orderBy(F.desc("count"), "value").limit(most).withColumn("origin", F.lit("sample"))
+    hint = [(None, found["n_distinct"], "hint")] if found is not None and found["capped"] else []
+    return spark.createDataFrame(hint, "value string, count long, origin string")
+
+
+def label_stats(stats: DataFrame, rows: int) -> DataFrame:
+    """``name``, ``distinct_estimate``, ``presence`` and ``capped`` of each label, to warn of groups by one with many values."""
+    return stats.select(F.col("key").alias("name"), F.col("n_distinct").cast("long").alias("distinct_estimate"), (F.col("present") / F.lit(max(rows, 1))).alias("presence"), "capped")
