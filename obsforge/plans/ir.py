@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import difflib
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput, Unsupported
 from ..functions import histogram
 from ..functions.fields import SOURCES, Resolver, ident
 from ..functions.predicate import literal, lower
-from ..functions.timeutil import bucket, duration_ns, instant_ns, window
+from ..functions.timeutil import bucket, duration_ns, instant_ns, within
+from ..operators import profiles, stats
+from ..operators.matrix import approximate_quantile, exact_quantile, same_keys
 from ..sources.catalog import Catalog
 
-STAGES = {"where", "extract", "aggregate", "topk", "bottomk", "order", "limit", "heatmap", "histogram_quantile"}
+STAGES = {"where", "extract", "aggregate", "topk", "bottomk", "order", "limit", "heatmap", "histogram_quantile", "describe"}
 FUNCTIONS = {"count": 1, "sum": 1, "avg": 1, "min": 1, "max": 1, "quantile": 1, "stddev": 5, "stdvar": 5, "first": 5, "last": 5}
 RESULTS = {"rows", "table", "series", "heatmap", "flamegraph", "metadata"}
 MAX_BOUNDS, MAX_BUCKETS = 32, 512
@@ -33,6 +34,36 @@ class Relation:
     measures: list[str] = field(default_factory=list)
     window: tuple[int, int] = (0, 0)
     warnings: list[dict] = field(default_factory=list)
+    #: Group keys that no schema names, with names like them: a warning if all their values are null.
+    doubtful: dict[str, list[str]] = field(default_factory=dict)
+
+
+#: Values of fields that are written from a fixed set.
+DECLARED = {"span.kind": ("Client", "Consumer", "Internal", "Producer", "Server", "Unspecified"), "status.code": ("Error", "Ok", "Unspecified")}
+
+
+def _nothing(spark: SparkSession, source) -> DataFrame:
+    kinds = {"int64": "long", "float64": "double", "bool": "boolean", "timestamp_ns": "long", "duration_ns": "long"}
+    columns = {c: kinds.get(t, "string") for c, t in source.fields.values()} | {c: "map<string,string>" for _, c in source.containers}
+    if "metrics_histogram" in source.tables:
+        columns |= {"bucket_counts": "string", "explicit_bounds": "string"}
+    return spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in columns.items()))
+
+
+def closest(name: str, names: list[str], most: int = 3) -> list[str]:
+    """Names that differ from this one in a third of their length or in two characters at most, signs and case aside."""
+    plain = lambda s: "".join(c for c in s.lower() if c.isascii() and c.isalnum())
+    scored = sorted({(_edits(plain(name), plain(n)), n) for n in names})
+    return [n for d, n in scored if d <= max(len(n) // 3, 2)][:most]
+
+
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+    return row[-1]
 
 
 def _only(stage: str, value: dict, allowed: set[str], needed: set[str] = frozenset()) -> None:
@@ -41,7 +72,7 @@ def _only(stage: str, value: dict, allowed: set[str], needed: set[str] = frozens
 
 
 class _Lowering:
-    def __init__(self, doc: dict, catalog: Catalog, tenant: str, dataset: str, now_ns: int) -> None:
+    def __init__(self, doc: dict, catalog: Catalog, tenant: str, dataset: str, now_ns: int, exact: bool = False) -> None:
         _only("document", doc, {"irVersion", "from", "range", "result", "fields", "pipeline"}, {"irVersion", "from", "range", "result"})
         self.version, self.result = doc["irVersion"], doc["result"]
         if self.version not in range(1, 6):
@@ -49,7 +80,7 @@ class _Lowering:
         if self.result not in RESULTS:
             raise InvalidInput(f"unknown result {self.result!r}")
         if doc["from"] not in SOURCES:
-            near = difflib.get_close_matches(str(doc["from"]), SOURCES, 1)
+            near = closest(str(doc["from"]), list(SOURCES), 1)
             raise InvalidInput(f"unknown source {doc['from']!r}" + (f"; did you mean {near[0]!r}?" if near else ""))
         self.name, self.source, self.now = doc["from"], SOURCES[doc["from"]], now_ns
         self.start, self.end = (instant_ns(doc["range"][k], now_ns) for k in ("from", "to"))
@@ -58,11 +89,16 @@ class _Lowering:
         self.fields = doc.get("fields")
         if self.fields is not None and self.result not in ("rows", "table"):
             raise InvalidInput(f"fields does not go with {self.result}")
+        self.exact = exact
         self.frame = catalog.union(tenant, dataset, self.source.tables)
+        self.missing = self.frame is None
+        if self.missing and (spark := SparkSession.getActiveSession()) is not None:
+            self.frame = _nothing(spark, self.source)  # so that a document over no table is held to the same rules
         self.derived: dict[str, str] = {}
         self.outputs: dict[str, str] | None = None
         self.kind, self.labels, self.measures = "rows", [], []
         self.warnings: list[dict] = []
+        self.doubtful: dict[str, list[str]] = {}
         self.pipeline = doc.get("pipeline", [])
 
     def resolve(self, name: str) -> tuple[Column, str]:
@@ -78,7 +114,10 @@ class _Lowering:
 
     def run(self) -> Relation:
         if self.frame is not None:
-            self.frame = self.frame.where(window(F.col(self.source.time), self.start, self.end))
+            self.frame = within(self.frame, self.source.time, self.start, self.end)
+        described = [s for s in self.pipeline if isinstance(s, dict) and "describe" in s]
+        if (self.result == "metadata") != bool(described) or described and (len(self.pipeline) != 1 or self.version < 4):
+            raise InvalidInput("metadata is what a describe stage alone makes, from irVersion 4")
         for stage in self.pipeline:
             if not isinstance(stage, dict) or len(stage) != 1 or (name := next(iter(stage))) not in STAGES:
                 raise InvalidInput(f"unknown stage {stage!r}")
@@ -88,20 +127,41 @@ class _Lowering:
                 getattr(self, name)(stage[name])
         if self.frame is None:
             return Relation(None, "empty", window=(self.start, self.end))
-        if self.result not in ("metadata", "flamegraph") and self.result != self.kind:
+        if self.result != "flamegraph" and self.result != self.kind:
             raise InvalidInput(f"the query makes {self.kind}, not {self.result}")
-        if self.result == "flamegraph" and (self.name != "profiles" or any("where" not in s for s in self.pipeline)):
-            raise InvalidInput("a flamegraph takes profiles and where stages only")
-        if self.kind == "rows" and self.result == "rows":
-            if not any(k in s for s in self.pipeline for k in ("extract",)) or self.fields:
+        if self.result == "flamegraph":
+            if self.name != "profiles" or self.kind != "rows" or any("where" not in s for s in self.pipeline):
+                raise InvalidInput("a flamegraph takes profiles and where stages only")
+            self.kind = "flamegraph"
+        elif self.kind == "rows":
+            if not any("extract" in s for s in self.pipeline) or self.fields:
                 names = self.fields or list(self.source.rows)
                 if len({ident(n) for n in names}) < len(names):
                     raise InvalidInput("fields collide")
                 r = Resolver(self.source, self.frame, self.derived)
                 self.frame = self.frame.select(*[r.column(n)[0].alias(ident(n)) for n in names])
+            self.frame = self.frame.drop("hour_bucket")
         elif self.kind == "table" and self.fields:
             self.frame = self.frame.select(*[self.resolve(n)[0].alias(ident(n)) for n in self.fields])
-        return Relation(self.frame, self.kind, self.labels, self.measures, (self.start, self.end), self.warnings)
+        if self.missing and self.kind != "metadata":
+            return Relation(None, "empty", window=(self.start, self.end))
+        return Relation(self.frame, self.kind, self.labels, self.measures, (self.start, self.end), self.warnings, self.doubtful)
+
+    def describe(self, spec: dict) -> None:
+        """What fields there are, or what values a field takes, from the statistics of the window's attributes."""
+        _only("describe", spec, {"target", "field", "limit", "sample"}, {"target"})
+        target, name, most = spec["target"], spec.get("field"), spec.get("limit", 50)
+        if target not in ("fields", "values") or (target == "values") != (name is not None) or isinstance(most, bool) or not isinstance(most, int) or most <= 0:
+            raise InvalidInput(f"describe: {spec!r}")
+        held = tuple(c for _, c in self.source.containers if c in self.frame.columns)
+        found = stats.attribute_stats(self.frame, held) if held else stats.attribute_stats(self.frame.select(F.create_map().cast("map<string,string>").alias("m")), ("m",))
+        if target == "fields":
+            declared = {n: t for n, (_, t) in self.source.fields.items()}
+            self.frame = stats.describe_fields(found, declared, self.frame.count()).limit(most)
+        else:
+            column = self.resolve(name)[0]
+            self.frame = stats.describe_values(found, name, most, DECLARED, self.frame if spec.get("sample") else None, column)
+        self.kind = "metadata"
 
     def where(self, node: dict) -> None:
         self.frame = self.frame.where(lower(node, self.resolve, self.now))
@@ -147,7 +207,7 @@ class _Lowering:
             "avg": lambda: (F.avg(number), "float64"),
             "min": lambda: (F.min(held), kind),
             "max": lambda: (F.max(held), kind),
-            "quantile": lambda: (F.percentile(number, F.lit(float(agg["arg"]))), "float64"),
+            "quantile": lambda: (approximate_quantile(number, float(agg["arg"])), "float64"),
             "stddev": lambda: (F.stddev_pop(number), "float64"),
             "stdvar": lambda: (F.var_pop(number), "float64"),
             "first": lambda: (F.min_by(held, F.struct(at, held)), kind),
@@ -171,18 +231,28 @@ class _Lowering:
         resolver = Resolver(self.source, self.frame, self.derived)
         for name in by:
             if not resolver.known(name):
-                near = difflib.get_close_matches(name, [*self.source.fields, *self.derived], 3)
-                self.warnings.append({"code": "unknown_group_by_field", "field": name, "suggestions": near})
+                self.doubtful[name] = closest(name, list(self.source.fields))
         keys = [self.resolve(n)[0].alias(ident(n)) for n in by]
         outputs = {n: self.resolve(n)[1] for n in by}
         if step:
             keys.insert(0, bucket(F.col(self.source.time), duration_ns(step)).alias("bucket_ns"))
-        aggs = []
+        aggs, apart = [], []
         for a in spec["aggs"]:
             out, kind = self._aggregate(a)
             aggs.append(out)
             outputs[a["as"]] = kind
-        self.frame = self.frame.groupBy(*keys).agg(*aggs)
+            if self.exact and a["fn"] == "quantile":
+                apart.append(a)
+        names = (["bucket_ns"] if step else []) + [ident(n) for n in by]
+        grouped = self.frame.groupBy(*keys).agg(*aggs)
+        for a in apart:
+            of, kind = self.resolve(a["of"])
+            held = F.when(lower(a["where"], self.resolve, self.now), of) if "where" in a else of
+            name = ident(a["as"])
+            values = self.frame.select(*keys, (held.try_cast("double") if kind == "string" else held.cast("double")).alias(name))
+            found = exact_quantile(values, names, name, float(a["arg"])).withColumn(name, F.col(name) / F.lit(float(a.get("divisor", 1))))
+            grouped = same_keys(grouped.drop(name), found, names)
+        self.frame = grouped.select(*names, *[ident(a["as"]) for a in spec["aggs"]])
         self.labels, self.measures, self.outputs = list(by), [a["as"] for a in spec["aggs"]], outputs
         self.kind = "series" if step else "table"
         if step:
@@ -255,15 +325,22 @@ def merged_histograms(frame: DataFrame, step_ns: int, by: list[tuple[str, Column
         own = list(dict.fromkeys([*keys, "service_name"]))
         rows = rows.groupBy(*own).agg(F.min_by("counts", "timestamp_ns").alias("first"), F.max_by("counts", "timestamp_ns").alias("last"), F.min_by("bounds", "timestamp_ns").alias("bounds"), F.min("timestamp_ns").alias("timestamp_ns"))
         rows = rows.withColumn("counts", histogram.risen(F.col("first"), F.col("last")))
-    first = rows.groupBy(*keys).agg(F.min_by("bounds", F.struct("timestamp_ns", "bounds")).alias("bounds"))
-    each = rows.select(*keys, F.size("counts").alias("n"), F.posexplode("counts").alias("pos", "c"))
-    sums = each.groupBy(*keys, "n", "pos").agg(F.sum("c").alias("c")).groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]).alias("counts"))
-    return sums.join(first, keys).where(F.col("n") == F.size("bounds") + 1).select(*keys, "bounds", "counts")
+    # Each number of buckets is added up apart, with its earliest bounds; then the earliest number is the group's.
+    each = rows.select(*keys, "timestamp_ns", "bounds", F.size("counts").alias("n"), F.posexplode("counts").alias("pos", "c"))
+    at = F.struct("timestamp_ns", "bounds")
+    sums = each.groupBy(*keys, "n", "pos").agg(F.sum("c").alias("c"), F.min(F.when(F.col("pos") == 0, at)).alias("first"))
+    arrays = sums.groupBy(*keys, "n").agg(F.min("first").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]).alias("counts"))
+    found = arrays.groupBy(*keys).agg(F.min_by(F.struct(F.col("first.bounds").alias("bounds"), "counts"), "first").alias("h"))
+    return found.select(*keys, "h.bounds", "h.counts")
+
 
+def run(doc: dict, catalog: Catalog, tenant: str = "acme", dataset: str = "prod", now_ns: int = 0, exact: bool = False) -> Relation:
+    """A lazy relation for a document; ``empty`` where the source has no table.
 
-def run(doc: dict, catalog: Catalog, tenant: str = "acme", dataset: str = "prod", now_ns: int = 0) -> Relation:
-    """A lazy relation for a document; ``empty`` where the source has no table."""
-    return _Lowering(doc, catalog, tenant, dataset, now_ns).run()
+    Quantiles are values whose rank is off by a ten-thousandth at most, or ``exact``, for which rows
+    are read twice more.
+    """
+    return _Lowering(doc, catalog, tenant, dataset, now_ns, exact).run()
 
 
 def sources(catalog: Catalog, tenant: str = "acme", dataset: str = "prod") -> list[dict]:
@@ -276,18 +353,33 @@ def _json(value):
     return value
 
 
+def warnings_of(relation: Relation) -> list[dict]:
+    """Warnings of group keys that no field of the source has and whose every value came out null."""
+    names = [n for n in relation.doubtful if ident(n) in (relation.frame.columns if relation.frame is not None else ())]
+    if not names:
+        return relation.warnings
+    seen = relation.frame.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(ident(n)).alias(ident(n)) for n in names]).first()
+    empty = [n for n in names if seen["__rows"] and not seen[ident(n)]]
+    return relation.warnings + [{"code": "unknown_group_by_field", "field": n, "suggestions": relation.doubtful[n]} for n in empty]
+
+
 def envelope(relation: Relation) -> dict:
     """The answer's JSON shape; this collects it, so a caller bounds it first."""
     out: dict = {"result": relation.kind, "window": {"start_ns": relation.window[0], "end_ns": relation.window[1]}}
-    if relation.warnings:
-        out["warnings"] = relation.warnings
     if relation.frame is None:
         return out | {"rows": [], "columns": []}
+    if found := warnings_of(relation):
+        out["warnings"] = found
     if relation.kind == "series":
         names = [ident(n) for n in relation.labels]
         value = ident(relation.measures[0])
         grouped = relation.frame.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("bucket_ns", value))).alias("points"))
         return out | {"series": [{"labels": {n: r[ident(n)] for n in relation.labels}, "points": [[p[0], _json(p[1])] for p in r["points"]]} for r in grouped.orderBy(*names).collect()]}
+    if relation.kind == "flamegraph":
+        return out | {"flamegraph": profiles.capped_flamegraph(relation.frame, FLAMEGRAPH_ROWS)}
+    if relation.kind == "metadata":
+        rows = [{k: _json(v) for k, v in r.asDict().items() if v is not None} for r in relation.frame.collect()]
+        return out | {"metadata": {"kind": "fields" if "type" in relation.frame.columns else "values", "items": rows}}
     columns = [{"name": n, "type": t} for n, t in relation.frame.dtypes]
     return out | {"columns": columns, "rows": [[_json(v) for v in r] for r in relation.frame.collect()]}
 

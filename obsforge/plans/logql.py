@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidInput, Unsupported
 from ..functions.predicate import check_regex
-from ..functions.timeutil import bucket, duration_ns, window
+from ..functions.timeutil import HOUR_NS, bucket, duration_ns, within
 from ..operators import matrix as mx
 from ..operators.matrix import COMPARE, Matrix
 from ..sources.catalog import Catalog
@@ -376,7 +376,7 @@ class Evaluation:
         if frame is None:
             empty = self.spark.createDataFrame([], "bucket_ns long, service_name string, severity_text string, value double")
             return Matrix(empty, SERIES)
-        frame = filtered(frame.where(window(F.col("timestamp_ns"), self.start, self.end)), e.query)
+        frame = filtered(within(frame, "timestamp_ns", self.start, self.end), e.query)
         labels = SERIES if by is None else tuple(column_of(frame, b) or b for b in by)
         keys = [F.col(c) if c in frame.columns else F.coalesce(*[F.col(m)[c] for m in MAPS if m in frame.columns]) for c in labels]
         at = F.col("timestamp_ns")
@@ -439,14 +439,28 @@ def lines(catalog: Catalog, text: str, start: int, end: int, limit: int = 100, f
     frame = catalog.find(tenant, dataset, "logs")
     if frame is None:
         return None
-    frame = filtered(frame.where(window(F.col("timestamp_ns"), start, end)), q)
+    frame = filtered(within(frame, "timestamp_ns", start, end), q)
     at = F.col("timestamp_ns").asc_nulls_first() if forward else F.col("timestamp_ns").desc_nulls_first()
-    return frame.orderBy(at, "body", "span_id").limit(limit)
+    return frame.orderBy(at, *[c for c in ("body", "span_id") if c in frame.columns]).limit(limit).drop("hour_bucket")
+
+
+def query(catalog: Catalog, text: str, at: int, limit: int = 100, tenant: str = "acme", dataset: str = "prod") -> DataFrame | None:
+    """An instant query: the newest lines of the hour before; metric queries have no instant form."""
+    if not isinstance(parse(text), LogQuery):
+        raise Unsupported("an instant query takes lines; a metric query takes a range")
+    return lines(catalog, text, at - HOUR_NS, at, limit, tenant=tenant, dataset=dataset)
 
 
 def streams(rows: DataFrame) -> DataFrame:
-    """Lines gathered by service and level; a caller bounds them with ``lines`` first."""
-    return rows.groupBy("service_name", F.col("severity_text").alias("level")).agg(F.array_sort(F.collect_list(F.struct("timestamp_ns", "body"))).alias("entries"))
+    """Lines gathered by service and level, newest first, each with its attributes as JSON; a caller bounds them with ``lines`` first.
+
+    Of a key that several maps have, the record's value is told.
+    """
+    held = [m for m in MAPS if m in rows.columns]
+    entries = F.flatten(F.array(*[F.map_entries(F.coalesce(F.col(m), F.create_map().cast("map<string,string>"))) for m in held])) if held else F.array().cast("array<struct<key:string,value:string>>")
+    first = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda x: x["key"] == e["key"]))
+    entry = F.struct("timestamp_ns", "body", F.to_json(F.map_from_entries(F.array_sort(first))).alias("metadata"))
+    return rows.groupBy("service_name", F.col("severity_text").alias("level")).agg(F.sort_array(F.collect_list(entry), asc=False).alias("entries"))
 
 
 def detected_fields(catalog: Catalog, start: int, end: int, sample: int = 1000, tenant: str = "acme", dataset: str = "prod") -> DataFrame | None:
@@ -454,7 +468,7 @@ def detected_fields(catalog: Catalog, start: int, end: int, sample: int = 1000,
     frame = catalog.find(tenant, dataset, "logs")
     if frame is None:
         return None
-    rows = frame.where(window(F.col("timestamp_ns"), start, end)).orderBy(F.desc("timestamp_ns"), "span_id").limit(sample)
+    rows = within(frame, "timestamp_ns", start, end).orderBy(F.desc("timestamp_ns"), "span_id").limit(sample)
     each = rows.select(F.explode("log_attributes").alias("label", "v"))
     is_ = lambda p: F.bool_and(F.col("v").rlike(p))
     kind = F.when(is_("^(true|false)$"), "bool").when(is_(r"^-?\d+$"), "int").when(is_(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "float").otherwise("string")
@@ -467,4 +481,29 @@ def label_values(catalog: Catalog, name: str, start: int, end: int, tenant: str
         return None
     column = column_of(frame, name)
     value = F.col(column) if column else F.coalesce(*[F.col(m)[name] for m in MAPS])
-    return frame.where(window(F.col("timestamp_ns"), start, end)).select(value.alias("value")).where("value is not null").distinct()
+    return within(frame, "timestamp_ns", start, end).select(value.alias("value")).where("value is not null").distinct()
+
+
+#: Labels that lines always have.
+KNOWN = ("detected_level", "level", "service_name", "span_id", "trace_id")
+
+
+def labels(catalog: Catalog, start: int, end: int, tenant: str = "acme", dataset: str = "prod") -> DataFrame | None:
+    """Label names: the fixed ones and the keys of the lines' and resources' maps."""
+    frame = catalog.find(tenant, dataset, "logs")
+    if frame is None:
+        return None
+    keys = [F.map_keys(F.coalesce(F.col(m), F.create_map().cast("map<string,string>"))) for m in ("log_attributes", "resource_attributes")]
+    found = within(frame, "timestamp_ns", start, end).select(F.explode(F.array_union(*keys)).alias("label"))
+    return found.unionByName(frame.sparkSession.createDataFrame([(k,) for k in KNOWN], "label string")).distinct()
+
+
+def series(catalog: Catalog, selector: str, start: int, end: int, tenant: str = "acme", dataset: str = "prod") -> DataFrame | None:
+    """The different ``service_name`` and ``level`` of the lines that a selector takes."""
+    q = parse(selector)
+    if not isinstance(q, LogQuery):
+        raise InvalidInput("a selector is wanted")
+    frame = catalog.find(tenant, dataset, "logs")
+    if frame is None:
+        return None
+    return filtered(within(frame, "timestamp_ns", start, end), q).select("service_name", F.col("severity_text").alias("level")).distinct()

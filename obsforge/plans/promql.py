@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..errors import InvalidInput, Unsupported
 from ..functions import histogram
 from ..functions.predicate import check_regex
-from ..functions.timeutil import bucket, duration_ns, steps, window
+from ..functions.timeutil import bucket, duration_ns, steps, within
 from ..operators import matrix as mx
+from ..operators import stats
 from ..operators.matrix import COMPARE, Matrix
 from ..sources.catalog import Catalog
 from .ir import merged_histograms
@@ -27,6 +28,8 @@ AGGREGATES = {"sum", "avg", "min", "max", "count", "stddev", "stdvar", "group",
 RANGE = {"rate", "increase", "delta", "deriv", "irate", "idelta", "resets", "changes", "absent_over_time", "quantile_over_time"} | {f"{f}_over_time" for f in ("avg", "sum", "min", "max", "count", "last", "stddev", "stdvar", "present")}
 LOOKBACK_NS = 300 * 10**9
 INSTANT_NS = 3600 * 10**9
+#: Slices of a bucket whose samples are put in order one by one.
+SLICES = 64
 
 
 @dataclass(frozen=True)
@@ -327,7 +330,7 @@ class Evaluation:
             return None
         at = F.col("timestamp_ns") + F.lit(s.offset_ns)
         labels = ("metric_name", "service_name", *sorted(c for c in frame.columns if c.startswith("label_")))
-        rows = frame.where(window(F.col("timestamp_ns"), self.start - s.offset_ns, self.end - s.offset_ns)).where(matcher_column(frame, s.matchers))
+        rows = within(frame, "timestamp_ns", self.start - s.offset_ns, self.end - s.offset_ns).where(matcher_column(frame, s.matchers))
         return Matrix(rows.select(bucket(at, self.step).alias("bucket_ns"), at.alias("ns"), *labels, F.col("value").cast("double").alias("value")), labels)
 
     def empty(self) -> Matrix:
@@ -497,19 +500,32 @@ class Evaluation:
             out = mx.divided(delta, (F.col("b.ns") - F.col("a.ns")) / F.lit(1e9)) if name == "irate" else delta
             return Matrix(two.where("a is not null").select("bucket_ns", *m.labels, out.alias("value")), m.labels)
         elif name in ("resets", "changes"):
-            keys = ("metric_name", "service_name")
-            before = F.lag("value").over(Window.partitionBy("bucket_ns", *keys).orderBy("ns", "value"))
-            event = F.col("before") > v if name == "resets" else F.col("before") != v
-            counted = m.frame.withColumn("before", before).groupBy("bucket_ns", *keys).agg(F.count_if(event).cast("double").alias("value"))
-            return Matrix(counted, keys)
+            return self.events(m, name)
         elif name == "quantile_over_time":
-            out = mx.aggregate("quantile", v, self.number(args[0]))
+            return mx.fold(m, "quantile", m.labels, self.number(args[0]))
         elif name == "last_over_time":
             out = last
         else:
             out = mx.aggregate(name.removesuffix("_over_time"), v)
         return Matrix(m.frame.groupBy("bucket_ns", *m.labels).agg(out.cast("double").alias("value")), m.labels)
 
+    def events(self, m: Matrix, name: str) -> Matrix:
+        """Decreases or changes between samples next to each other, of each metric and service.
+
+        A bucket's samples are looked at in slices of its time, each in order by itself; then the
+        last of a slice is held against the first of the next one that has any.
+        """
+        keys = ["bucket_ns", "metric_name", "service_name"]
+        differs = lambda a, b: a > b if name == "resets" else a != b
+        width = max(1, self.step // SLICES)
+        sliced = m.frame.withColumn("slice", F.call_function("div", F.col("ns") - F.col("bucket_ns"), F.lit(width)))
+        before = F.lag("value").over(Window.partitionBy(*keys, "slice").orderBy("ns", "value"))
+        at = F.struct("ns", "value")
+        each = sliced.withColumn("before", before).groupBy(*keys, "slice").agg(F.count_if(differs(F.col("before"), F.col("value"))).alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+        last = F.lag("last").over(Window.partitionBy(*keys).orderBy("slice"))
+        joined = each.withColumn("n", F.col("n") + F.coalesce(differs(last["value"], F.col("first.value")).cast("long"), F.lit(0)))
+        return Matrix(joined.groupBy(*keys).agg(F.sum("n").cast("double").alias("value")), ("metric_name", "service_name"))
+
     def subquery(self, name: str, q: Subquery, param: float | None) -> Matrix:
         """Each inner point goes to all steps whose window (step - range, step] it is in, then steps are reduced."""
         inner = replace_window(self, self.start - q.range_ns, self.end)
@@ -521,6 +537,9 @@ class Evaluation:
         covered = F.when(low <= high, F.sequence(low, high, F.lit(self.step)))
         points = m.frame.select(F.col("bucket_ns").alias("ns"), "service_name", "value", F.explode(covered).alias("bucket_ns"))
         op = name.removesuffix("_over_time")
+        if op == "quantile":
+            found = mx.exact_quantile(points, ["bucket_ns", "service_name"], "value", param)
+            return Matrix(found.select("bucket_ns", F.lit("").alias("metric_name"), "service_name", "value"), ("metric_name", "service_name"))
         v = F.max_by("value", "ns") if op == "last" else mx.aggregate(op, F.col("value"), param)
         out = points.groupBy("bucket_ns", "service_name").agg(v.cast("double").alias("value"))
         return Matrix(out.select("bucket_ns", F.lit("").alias("metric_name"), "service_name", "value"), ("metric_name", "service_name"))
@@ -554,7 +573,7 @@ class Evaluation:
         frame = self.catalog.find(self.tenant, self.dataset, "metrics_histogram")
         if frame is None:
             return self.empty()
-        frame = frame.where(window(F.col("timestamp_ns"), self.start, self.end)).where(matcher_column(frame, over.matchers))
+        frame = within(frame, "timestamp_ns", self.start, self.end).where(matcher_column(frame, over.matchers))
         labels = ("metric_name", "service_name")
         if name in ("histogram_count", "histogram_sum"):
             out = frame.groupBy(bucket(F.col("timestamp_ns"), self.step).alias("bucket_ns"), *labels).agg(F.sum(name.removeprefix("histogram_")).cast("double").alias("value"))
@@ -585,18 +604,43 @@ def query(spark, catalog: Catalog, text: str, at: int, tenant: str = "acme", dat
     return Matrix(last.select(F.lit(at).alias("bucket_ns"), *m.labels, "value"), m.labels)
 
 
-def labels(catalog: Catalog, tenant: str = "acme", dataset: str = "prod") -> DataFrame | None:
-    """Label names of the metrics: the fixed ones and the keys of both maps."""
+def _metrics(catalog: Catalog, start: int | None, end: int | None, tenant: str, dataset: str) -> DataFrame | None:
     frame = catalog.union(tenant, dataset, ("metrics_gauge", "metrics_sum"))
+    return frame if frame is None or start is None or end is None else within(frame, "timestamp_ns", start, end)
+
+
+def labels(catalog: Catalog, start: int | None = None, end: int | None = None, tenant: str = "acme", dataset: str = "prod") -> DataFrame | None:
+    """Label names of the metrics: the fixed ones and the keys of both maps."""
+    frame = _metrics(catalog, start, end, tenant, dataset)
     if frame is None:
         return None
     keys = frame.select(F.explode(F.array_union(F.map_keys("attributes"), F.map_keys("resource_attributes"))).alias("label"))
     return keys.unionByName(frame.sparkSession.createDataFrame([("__name__",), ("job",), ("service_name",)], "label string")).distinct()
 
 
-def label_values(catalog: Catalog, name: str, tenant: str = "acme", dataset: str = "prod") -> DataFrame | None:
-    frame = catalog.union(tenant, dataset, ("metrics_gauge", "metrics_sum"))
+def label_values(catalog: Catalog, name: str, start: int | None = None, end: int | None = None, tenant: str = "acme", dataset: str = "prod") -> DataFrame | None:
+    frame = _metrics(catalog, start, end, tenant, dataset)
     if frame is None:
         return None
     column = F.col("metric_name") if name == "__name__" else F.col("service_name") if name in _SERVICE else F.coalesce(F.col("attributes")[name], F.col("resource_attributes")[name])
     return frame.select(column.alias("value")).where("value is not null").distinct()
+
+
+def series(catalog: Catalog, selector: str, start: int, end: int, tenant: str = "acme", dataset: str = "prod") -> DataFrame | None:
+    """The different ``metric_name`` and ``service_name`` of the samples that a selector takes; empty ones are null."""
+    e = parse(selector)
+    if not isinstance(e, Selector) or e.range_ns:
+        raise InvalidInput("a selector is wanted")
+    frame = _metrics(catalog, start, end, tenant, dataset)
+    if frame is None:
+        return None
+    named = [F.nullif(c, F.lit("")).alias(c) for c in ("metric_name", "service_name")]
+    return frame.where(matcher_column(frame, e.matchers)).select(*named).where("metric_name is not null or service_name is not null").distinct()
+
+
+def label_stats(catalog: Catalog, start: int | None = None, end: int | None = None, tenant: str = "acme", dataset: str = "prod") -> DataFrame | None:
+    """How many values each label of the metrics has, about how many, and on what share of points it stands."""
+    frame = _metrics(catalog, start, end, tenant, dataset)
+    if frame is None:
+        return None
+    return stats.label_stats(stats.attribute_stats(frame, MAP_COLUMNS), frame.count())

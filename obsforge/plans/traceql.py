@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput, Unsupported
-from ..functions.timeutil import window
+from ..functions.timeutil import seconds_ns, within
 from ..sources.catalog import Catalog
 
 DEFAULT_LIMIT, MAX_LIMIT, SPANS_A_TRACE = 20, 1000, 50
@@ -43,6 +43,14 @@ def parse(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def bounds(start: int | None, end: int | None) -> tuple[int | None, int | None]:
+    """Bounds of a search, in epoch seconds, as nanoseconds; milliseconds are refused, not taken for seconds."""
+    low, high = (None if t is None else seconds_ns(t) for t in (start, end))
+    if low is not None and high is not None and low > high:
+        raise InvalidInput("the range ends before it begins")
+    return low, high
+
+
 def tags(text: str) -> list[tuple[str, str]]:
     """Conditions of a ``key=value key="two words"`` filter."""
     out = [(m[1], m[2].strip('"')) for m in re.finditer(r'([^\s=]+)=("[^"]*"|\S*)', text)]
@@ -74,7 +82,7 @@ def matching_spans(catalog: Catalog, conditions: list[tuple[str, str]], start: i
     frame = catalog.find(tenant, dataset, "traces")
     if frame is None:
         return None
-    frame = frame.where(window(F.col("start_ns"), start, end))
+    frame = within(frame, "start_ns", start, end)
     for name, value in conditions:
         frame = frame.where(condition(name, value))
     if min_duration is not None:
@@ -101,20 +109,23 @@ def trace(catalog: Catalog, trace_id: str, start: int | None = None, end: int |
     if frame is None:
         return None
     frame = frame.where(F.col("trace_id") == trace_id)
-    return frame if start is None or end is None else frame.where(window(F.col("start_ns"), start, end))
+    frame = frame if start is None or end is None else within(frame, "start_ns", start, end)
+    return frame.drop("hour_bucket")
 
 
 def hierarchy(spans: list[dict]) -> list[tuple[str, int]]:
     """(span, depth) of one trace, parents first.
 
-    Roots are marked so, or have no parent, or one that is not there; siblings stand by start and
-    id. A cycle that no root leads to is entered at its earliest member.
+    Roots are marked so, or have no parent, or one that is not there; siblings stand by start and id.
+    Spans that no root leads to hang below a cycle of parents; each cycle is entered at its earliest
+    member, so all that hangs below it keeps its parent. Of rows with the same span id one counts.
     """
     by_id = {s["span_id"]: s for s in spans}
     key = lambda s: (s["start_ns"], s["span_id"])
+    ordered = sorted(by_id.values(), key=key)
     children: dict[str, list[dict]] = {}
     roots = []
-    for s in sorted(spans, key=key):
+    for s in ordered:
         parent = s["parent_span_id"]
         if s.get("is_root") or not parent or not parent.strip("0") or parent not in by_id:
             roots.append(s)
@@ -133,14 +144,28 @@ def hierarchy(spans: list[dict]) -> list[tuple[str, int]]:
 
     for s in roots:
         walk(s)
-    for s in sorted(spans, key=key):
-        if s["span_id"] not in seen:
-            walk(s)
+    # From any span left, the way up ends in a cycle; a way that meets an earlier one ends in the same.
+    entries, climbed = [], set(seen)
+    for s in ordered:
+        way: dict[str, None] = {}
+        at = s["span_id"]
+        while at not in climbed and at not in way:
+            way[at] = None
+            at = by_id[at]["parent_span_id"]
+        if at in way:
+            path = list(way)
+            entries.append(min((by_id[i] for i in path[path.index(at) :]), key=key))
+        climbed |= way.keys()
+    for s in sorted(entries, key=key):
+        walk(s)
     return out
 
 
 def span_trees(spans: DataFrame) -> DataFrame:
-    """``trace_id``, ``span_id`` and ``depth`` of every span, see ``hierarchy``; a task holds one trace at a time."""
+    """``trace_id``, ``span_id`` and ``depth`` of every span, see ``hierarchy``; a task holds one trace at a time.
+
+    Spans without a trace id belong to none: each is a root, in the task that read it.
+    """
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trace: list[dict] = []
@@ -165,7 +190,30 @@ def span_trees(spans: DataFrame) -> DataFrame:
             yield flush()
 
     spans = spans.select("trace_id", "span_id", "parent_span_id", "start_ns", "is_root")
-    return spans.repartition("trace_id").sortWithinPartitions("trace_id").mapInArrow(trees, "trace_id string, span_id string, depth long")
+    known = spans.where(F.col("trace_id").isNotNull()).repartition("trace_id").sortWithinPartitions("trace_id")
+    loose = spans.where(F.col("trace_id").isNull()).select("trace_id", "span_id", F.lit(0).cast("long").alias("depth"))
+    return known.mapInArrow(trees, "trace_id string, span_id string, depth long").unionByName(loose)
+
+
+#: Tags that every trace has, besides the attributes of spans and resources.
+INTRINSIC = ("duration", "kind", "name", "rootName", "rootServiceName", "service.name", "status", "traceDuration")
+
+
+def tag_names(catalog: Catalog, start: int | None = None, end: int | None = None, tenant: str = "acme", dataset: str = "prod") -> DataFrame | None:
+    """``scope`` (intrinsic, span or resource) and ``tag``, each once."""
+    frame = catalog.find(tenant, dataset, "traces")
+    if frame is None:
+        return None
+    if start is not None and end is not None:
+        frame = within(frame, "start_ns", start, end)
+    own = frame.sparkSession.createDataFrame([("intrinsic", t) for t in INTRINSIC], "scope string, tag string")
+
+    def keys(scope: str) -> Column:
+        held = F.coalesce(f"{scope}_attributes", F.create_map().cast("map<string,string>"))
+        return F.transform(F.map_keys(held), lambda k: F.struct(F.lit(scope).alias("scope"), k.alias("tag")))
+
+    found = frame.select(F.explode(F.concat(keys("span"), keys("resource"))).alias("t"))
+    return own.unionByName(found.select("t.*").distinct())
 
 
 def tag_values(catalog: Catalog, name: str, tenant: str = "acme", dataset: str = "prod") -> DataFrame | None:
