@@ -5,14 +5,16 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import histogram
-from .operators import lifecycle, profiles, stats, transforms
+from .operators import lifecycle, otlp, profiles, remote_write, stats, transforms
 from .operators import matrix as mx
 from .plans import ir, logql, promql, traceql
+from .plans import sql as sql_plan
 from .sources import scratch, signals
+from .sources.catalog import Catalog
 from .sources.signals import ORACLE
 
 DAY = 86400 * 10**9
@@ -32,11 +34,11 @@ def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str |
 # --- IR documents -------------------------------------------------------------------------------
 
 
-def _ir(source: str, pipeline: list, result: str, fields: list[str] | None = None, version: int = 5, start: int = START, end: int = END, round_: tuple[str, ...] = ()):
+def _ir(source: str, pipeline: list, result: str, fields: list[str] | None = None, version: int = 5, start: int = START, end: int = END, round_: tuple[str, ...] = (), exact: bool = False):
     doc = {"irVersion": version, "from": source, "range": {"from": start, "to": end}, "result": result, "pipeline": pipeline} | ({"fields": fields} if fields else {})
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = ir.require(ir.run(doc, signals.catalog(spark, sf_dir)))
+        out = ir.require(ir.run(doc, signals.catalog(spark, sf_dir), exact=exact))
         return out.withColumns({c: F.round(c, 4) for c in round_}) if round_ else out
 
     return query
@@ -66,9 +68,9 @@ _PREDICATES = {
     "p07_exists": ({"field": "deployment.environment", "op": "exists"}, "env IS NOT NULL"),
     "p08_kleene_not": ({"not": {"field": "deployment.environment", "op": "eq", "value": "prod"}}, "NOT (env = 'prod')"),
     "p08_and_or": ({"or": [{"and": [{"field": "severity_number", "op": "gte", "value": 17}, {"field": "deployment.environment", "op": "eq", "value": "prod"}]}, {"field": "k", "op": "eq", "value": "7"}]}, "(severity_number >= 17 AND env = 'prod') OR k = '7'"),
-    "p08_empty_or": ({"or": []}, "false"),
+    "p08_empty_or": ({"or": [{"or": []}, {"and": [{"not": {"or": []}}, {"and": []}, {"field": "k", "op": "eq", "value": "9"}]}]}, "false OR (NOT false AND true AND k = '9')"),
     "p10_qualified": ({"field": "resource.deployment.environment", "op": "eq", "value": "staging"}, "env = 'staging'"),
-    "p10_wrong_scope": ({"field": "log.deployment.environment", "op": "exists"}, "false"),
+    "p10_wrong_scope": ({"not": {"field": "log.deployment.environment", "op": "exists"}}, "true"),
 }
 for _name, (_node, _sql) in _PREDICATES.items():
     _add(_name, _ir("logs", [{"where": _node}], "rows", _ROWS), f"SELECT span_id, severity_text FROM logs WHERE {_W} AND ({_sql})", "logs")
@@ -77,10 +79,24 @@ _add("ir_error_logs_by_service", _ir("logs", [{"where": {"and": [{"field": "seve
 _add("s06_window", _ir("logs", [], "rows", _ROWS, start=START + DAY, end=START + 2 * DAY), f"SELECT span_id, severity_text FROM logs WHERE timestamp_ns BETWEEN {START + DAY} AND {START + 2 * DAY}", "logs")
 _add("s03_union", _ir("metrics", [{"aggregate": {"by": ["metric.name"], "aggs": [{"fn": "count", "as": "n"}]}}], "table"), f"SELECT metric_name, count(*) AS n FROM metrics WHERE {_W} GROUP BY 1".replace("metric_name,", "metric_name AS metric_name,"), "metrics")
 _add("p11_exception", _ir("traces", [_where("exception.type", "exists"), {"aggregate": {"by": ["exception.type"], "aggs": [{"fn": "count", "as": "n"}]}}], "table", start=ALL_START, end=ALL_END), f"SELECT 'E' || substr(priority, 1, 1) AS exception_type, count(*) AS n FROM traces WHERE {_T} AND is_root AND status_code = 'Error' GROUP BY 1", "traces")
-_add("p12_span_events", _ir("traces", [], "rows", ["span.id", "span_events"], start=ALL_START, end=ALL_END), None)
+_add("p12_span_events", _ir("traces", [], "rows", ["span.id", "span_events"], start=ALL_START, end=ALL_END), f"""SELECT span_id, CASE WHEN is_root AND status_code = 'Error' THEN '[{{"name":"start","attributes":{{}}}},{{"name":"exception","attributes":{{"exception.type":"E' || substr(priority, 1, 1) || '","exception.message":"failed"}}}}]' END AS span_events FROM traces WHERE {_T}""", "traces")
 _add("p13_fields", _ir("traces", [_where("service.name", "eq", "shop")], "rows", ["trace.id", "duration", "order.priority"], start=ALL_START, end=ALL_END), f"SELECT trace_id, duration_nanos AS duration, priority AS order_priority FROM traces WHERE {_T} AND service_name = 'shop'", "traces")
 _add("p14_extract_json", _ir("logs", [{"extract": {"parser": "json", "as": [{"name": "event", "type": "string"}, {"name": "num", "type": "int64"}]}}, {"aggregate": {"by": ["event"], "aggs": [{"fn": "count", "as": "n"}]}}], "table"), f"SELECT event_type AS event, count(*) AS n FROM logs WHERE {_W} GROUP BY 1", "logs")
-_add("p15_extract_logfmt", _ir("logs", [{"extract": {"parser": "logfmt", "as": [{"name": "level", "type": "string"}]}}, {"aggregate": {"by": ["level"], "aggs": [{"fn": "count", "as": "n"}]}}], "table"), f"SELECT NULL::VARCHAR AS level, count(*) AS n FROM logs WHERE {_W}", "logs")
+
+
+def _logfmt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies in logfmt, with a quoted value, a key that begins another, and keys that are missing."""
+    body = F.concat_ws(" ", F.lit("ts=1"), F.concat(F.lit("levels="), "event_id"), F.when(F.col("k") != "7", F.concat(F.lit('level="'), "event_type", F.lit('"'))), F.concat(F.lit("n="), "k"), F.lit("n=again"))
+    e = signals._events(spark, sf_dir).withColumn("body", body)
+    c = Catalog()
+    c.add("acme", "prod", "logs", lambda: e.withColumn("log_attributes", F.create_map().cast("map<string,string>")))
+    spec = {"parser": "logfmt", "as": [{"name": "level", "type": "string"}, {"name": "n", "type": "int64"}, {"name": "absent", "type": "string"}]}
+    aggs = [{"fn": "count", "as": "rows"}, {"fn": "sum", "of": "n", "as": "total"}, {"fn": "max", "of": "absent", "as": "none"}]
+    doc = {"irVersion": 5, "from": "logs", "range": {"from": START, "to": END}, "result": "table", "pipeline": [{"extract": spec}, {"aggregate": {"by": ["level"], "aggs": aggs}}]}
+    return ir.require(ir.run(doc, c))
+
+
+_add("p15_extract_logfmt", _logfmt, f"SELECT CASE WHEN k <> '7' THEN event_type END AS level, count(*) AS rows, sum(k::DOUBLE) AS total, NULL::VARCHAR AS none FROM ev WHERE {_W} GROUP BY 1", "logs")
 
 _AGGS = {
     "a03_count": ({"fn": "count", "as": "v"}, "count(*)"),
@@ -88,13 +104,13 @@ _AGGS = {
     "a04_avg": ({"fn": "avg", "of": "duration", "as": "v"}, "avg(duration)"),
     "a05_min": ({"fn": "min", "of": "duration", "as": "v"}, "min(duration)"),
     "a05_max_text": ({"fn": "max", "of": "severity_text", "as": "v"}, "max(severity_text)"),
-    "a06_quantile": ({"fn": "quantile", "of": "duration", "arg": 0.95, "as": "v"}, "quantile_cont(duration, 0.95)"),
+    "a06_quantile": ({"fn": "quantile", "of": "duration", "arg": 0.95, "as": "v"}, "quantile_disc(duration, 0.95)"),
     "a07_stddev": ({"fn": "stddev", "of": "duration", "as": "v"}, "stddev_pop(duration)"),
     "a07_stdvar": ({"fn": "stdvar", "of": "duration", "as": "v"}, "var_pop(duration)"),
     "a08_first": ({"fn": "first", "of": "duration", "as": "v"}, "arg_min(duration, timestamp_ns)"),
     "a08_last": ({"fn": "last", "of": "duration", "as": "v"}, "arg_max(duration, timestamp_ns)"),
     "a09_scoped": ({"fn": "count", "as": "v", "where": {"field": "severity_text", "op": "eq", "value": "ERROR"}}, "count(*) FILTER (severity_text = 'ERROR')"),
-    "a09_scoped_quantile": ({"fn": "quantile", "of": "duration", "arg": 0.5, "as": "v", "where": {"field": "k", "op": "lt", "value": 50}}, "quantile_cont(duration, 0.5) FILTER (k::DOUBLE < 50)"),
+    "a09_scoped_quantile": ({"fn": "quantile", "of": "duration", "arg": 0.5, "as": "v", "where": {"field": "k", "op": "lt", "value": 50}}, "quantile_disc(duration, 0.5) FILTER (k::DOUBLE < 50)"),
     "a10_divisor": ({"fn": "count", "as": "v", "divisor": 60}, "count(*) / 60.0::DOUBLE"),
 }
 for _name, (_agg, _sql) in _AGGS.items():
@@ -204,7 +220,19 @@ for _fn, _sql in {"sqrt": "sqrt(value)", "exp": "exp(value / 100)", "ln": "ln(va
     _add(f"m23_{_fn}", _prom(_text), f"SELECT bucket_ns, {_SER}, round({_sql} + 1e-7, 4) + 0.0 AS value FROM ({_LAST})", "metrics")
 for _fn, _sql in {"clamp(view, 5, 30)": "least(greatest(value, 5), 30)", "clamp_min(view, 5)": "greatest(value, 5)", "clamp_max(view, 30)": "least(value, 30)"}.items():
     _add("m23_" + _fn.split("(")[0], _prom(_fn), f"SELECT bucket_ns, {_SER}, round({_sql} + 1e-7, 4) + 0.0 AS value FROM ({_LAST})", "metrics")
-_add("m24_sort", _prom("sort_desc(view)"), f"SELECT bucket_ns, {_SER}, round(value + 1e-7, 4) + 0.0 AS value FROM ({_LAST})", "metrics")
+
+
+def _ranked(query):
+    """Each row's place in its bucket, by the order that rows come in."""
+
+    def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = query(spark, sf_dir).withColumn("at", F.monotonically_increasing_id())
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("bucket_ns").orderBy("at")).cast("long")).drop("at")
+
+    return ordered
+
+
+_add("m24_sort", _ranked(_prom("sort_desc(view)")), f"SELECT bucket_ns, {_SER}, round(value + 1e-7, 4) + 0.0 AS value, row_number() OVER (PARTITION BY bucket_ns ORDER BY value DESC, metric_name, service_name, label_env NULLS FIRST) AS rank FROM ({_LAST})", "metrics")
 _add("m25_label_replace", _prom('label_replace(view, "service", "team-$1", "service", "svc-([0-4])")'), f"SELECT bucket_ns, metric_name, CASE WHEN regexp_full_match(service_name, 'svc-([0-4])') THEN 'team-' || substr(service_name, 5) ELSE service_name END AS service_name, label_env, round(value + 1e-7, 4) + 0.0 AS value FROM ({_LAST})", "metrics")
 _add("m25_label_join", _prom('label_join(view, "service", "/", "__name__", "service")'), f"SELECT bucket_ns, metric_name, metric_name || '/' || service_name AS service_name, label_env, round(value + 1e-7, 4) + 0.0 AS value FROM ({_LAST})", "metrics")
 _STEPS = f"(SELECT unnest(range({START}::BIGINT, {END}::BIGINT, {DAY}::BIGINT)) AS bucket_ns)"
@@ -219,8 +247,8 @@ for _fn, _c in {"count": "cnt", "sum": "total"}.items():
     _add(f"m30_histogram_{_fn}", _prom(f"histogram_{_fn}(quantity)", **_WIDE), f"SELECT timestamp_ns - timestamp_ns % {DAY * 30} AS bucket_ns, 'quantity' AS metric_name, service_name, round(sum({_c})::DOUBLE + 1e-7, 4) + 0.0 AS value FROM hist WHERE timestamp_ns BETWEEN {ALL_START} AND {ALL_END} GROUP BY 1, 2, 3", "hist")
 _add("m31_histogram_quantile", _prom("histogram_quantile(0.7, quantity)", **_WIDE), f"WITH {ORACLE['hist']}{_HQ.replace('VALUE', 'value')}")
 _add("m32_histogram_fraction", _prom("histogram_fraction(5, 25, quantity)", **_WIDE), f"WITH {ORACLE['hist']}, {_H.replace('PHI', '0.5')} SELECT bucket_ns, metric_name, service_name, round((c0 * 0.5 + c1 + c2 * 0.5) / t + 1e-7, 4) + 0.0 AS value FROM q")
-_add("m34_instant", _prom("sum by (service) (view)", instant=True), None)
-_add("m35_labels", lambda s, d: promql.labels(signals.catalog(s, d)), "SELECT unnest(['__name__', 'job', 'service_name', 'k', 'deployment.environment']) AS label")
+_add("m34_instant", _prom("sum by (service) (view)", instant=True), f"SELECT {END}::BIGINT AS bucket_ns, metric_name, service_name, round(value + 1e-7, 4) + 0.0 AS value FROM (SELECT timestamp_ns - timestamp_ns % {DAY // 24} AS b, metric_name, service_name, sum(value) AS value FROM metrics WHERE timestamp_ns BETWEEN {END - DAY // 24} AND {END} AND metric_name = 'view' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY metric_name, service_name ORDER BY b DESC) = 1", "metrics")
+_add("m35_labels", lambda s, d: promql.labels(signals.catalog(s, d)), "SELECT unnest(['__name__', 'job', 'service_name']) AS label UNION SELECT 'k' FROM metrics WHERE k IS NOT NULL UNION SELECT 'deployment.environment' FROM ev WHERE env IS NOT NULL", "metrics")
 _add("m35_label_values", lambda s, d: promql.label_values(signals.catalog(s, d), "__name__"), "SELECT DISTINCT metric_name AS value FROM metrics", "metrics")
 
 # --- LogQL --------------------------------------------------------------------------------------
@@ -260,7 +288,7 @@ for _n, (_text, _sql) in {
     "l07_count": ('count_over_time({job=~".+"}[1d])', "count(*)::DOUBLE"), "l07_rate": ('rate({job=~".+"}[1d])', "count(*) / 86400.0"),
     "l08_bytes": ('bytes_over_time({job=~".+"}[1d])', "sum(length(body))::DOUBLE"), "l08_bytes_rate": ('bytes_rate({job=~".+"}[1d])', "sum(length(body)) / 86400.0"),
     **{f"l09_{f}": (f'{f}_over_time({{job=~".+"}} | unwrap duration [1d])', q) for f, q in {"sum": "sum(duration)", "avg": "avg(duration)", "min": "min(duration)", "max": "max(duration)", "stddev": "stddev_pop(duration)", "stdvar": "var_pop(duration)", "first": "arg_min(duration, timestamp_ns)", "last": "arg_max(duration, timestamp_ns)"}.items()},
-    "l10_quantile": ('quantile_over_time(0.9, {job=~".+"} | unwrap duration [1d])', "quantile_cont(duration, 0.9)"),
+    "l10_quantile": ('quantile_over_time(0.9, {job=~".+"} | unwrap duration [1d])', "quantile_disc(duration, 0.9)"),
 }.items():
     _add(_n, _logql(_text), f"SELECT {_B} AS bucket_ns, {_LS}, round({_sql} + 1e-7, 4) + 0.0 AS value {_LQ} GROUP BY ALL", "logs")
 _add("l11_sum_by", _logql('sum by (job) (count_over_time({job=~".+"}[1d]))'), f"SELECT {_B} AS bucket_ns, service_name, count(*)::DOUBLE AS value {_LQ} GROUP BY ALL", "logs")
@@ -269,7 +297,7 @@ for _fn, _sql in {"avg": "avg(value)", "min": "min(value)", "max": "max(value)",
     _add(f"l12_{_fn}", _logql(f'{_fn}(count_over_time({{job=~".+"}}[1d]))'), f"SELECT bucket_ns, round({_sql} + 1e-7, 4) + 0.0 AS value FROM {_COUNTED} GROUP BY 1", "logs")
 for _fn, _dir in {"topk": "DESC", "bottomk": "ASC"}.items():
     _add(f"l13_{_fn}", _logql(f'{_fn}(3, count_over_time({{job=~".+"}}[1d]))'), f"SELECT bucket_ns, {_LS}, value FROM {_COUNTED} QUALIFY row_number() OVER (PARTITION BY bucket_ns ORDER BY value {_dir}, service_name, severity_text) <= 3", "logs")
-_add("l14_sort", _logql('sort_desc(count_over_time({job=~".+"}[1d]))'), f"SELECT * FROM {_COUNTED}", "logs")
+_add("l14_sort", _ranked(_logql('sort_desc(count_over_time({job=~".+"}[1d]))')), f"SELECT bucket_ns, {_LS}, value, row_number() OVER (PARTITION BY bucket_ns ORDER BY last DESC, service_name, severity_text) AS rank FROM (SELECT *, last_value(value) OVER (PARTITION BY {_LS} ORDER BY bucket_ns ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM {_COUNTED})", "logs")
 for _n, (_text, _sql) in {"mul": ('count_over_time({job=~".+"}[1d]) * 2', "value * 2"), "left": ('100 - count_over_time({job=~".+"}[1d])', "100 - value"), "div": ('count_over_time({job=~".+"}[1d]) / 4', "value / 4")}.items():
     _add(f"l15_{_n}", _logql(_text), f"SELECT bucket_ns, {_LS}, round({_sql} + 1e-7, 4) + 0.0 AS value FROM {_COUNTED}", "logs")
 _BYJOB = lambda cond: f"(SELECT {_B} AS bucket_ns, service_name, count(*)::DOUBLE AS value {_LQ} AND {cond} GROUP BY ALL)"
@@ -288,7 +316,13 @@ _add("l19_label_replace", _logql(f'label_replace({_E}, "team", "t$1", "job", "sv
 _add("l20_vector", _logql("vector(2)"), f"SELECT bucket_ns, 2.0::DOUBLE AS value FROM {_STEPS}")
 _add("l22_label_values", lambda s, d: logql.label_values(signals.catalog(s, d), "level", START, END), f"SELECT DISTINCT severity_text AS value {_LQ}", "logs")
 _add("l23_detected_fields", lambda s, d: logql.detected_fields(signals.catalog(s, d), START, END), f"WITH {ORACLE['logs']}, n AS (SELECT event_type, k {_LQ} ORDER BY timestamp_ns DESC, span_id LIMIT 1000) SELECT 'event.type' AS label, 'string' AS type, count(DISTINCT event_type) AS cardinality FROM n UNION ALL SELECT 'k', 'int', count(DISTINCT k) FROM n")
-_add("l24_streams", lambda s, d: logql.streams(logql.lines(signals.catalog(s, d), '{job=~".+"}', START, END, 200)).select("service_name", "level", F.size("entries").cast("long").alias("n")), f"SELECT service_name, severity_text AS level, count(*) AS n FROM (SELECT * {_LQ} ORDER BY timestamp_ns DESC, body, span_id LIMIT 200) GROUP BY 1, 2", "logs")
+_add(
+    "l24_streams",
+    lambda s, d: logql.streams(logql.lines(signals.catalog(s, d), '{job=~".+"}', START, END, 200)).select("service_name", "level", F.posexplode("entries").alias("place", "e")).select("service_name", "level", F.col("place").cast("long").alias("place"), "e.timestamp_ns", "e.body", "e.metadata"),
+    f"""SELECT service_name, severity_text AS level, row_number() OVER (PARTITION BY service_name, severity_text ORDER BY timestamp_ns DESC, body DESC, metadata DESC) - 1 AS place, timestamp_ns, body, metadata
+    FROM (SELECT *, '{{' || coalesce('"deployment.environment":"' || env || '",', '') || '"event.type":"' || event_type || '"' || coalesce(',"k":"' || k || '"', '') || '}}' AS metadata FROM (SELECT * {_LQ} ORDER BY timestamp_ns DESC, body, span_id LIMIT 200))""",
+    "logs",
+)
 
 # --- Traces -------------------------------------------------------------------------------------
 
@@ -312,22 +346,37 @@ _add("r06_trace", lambda s, d: traceql.trace(signals.catalog(s, d), "t42").selec
 _add("r08_tag_values", lambda s, d: traceql.tag_values(signals.catalog(s, d), "order.priority"), "SELECT DISTINCT priority AS value FROM traces WHERE priority IS NOT NULL", "traces")
 _add("r08_root_names", lambda s, d: traceql.tag_values(signals.catalog(s, d), "rootName"), "SELECT DISTINCT span_name AS value FROM traces WHERE is_root", "traces")
 _RED = [{"aggregate": {"by": ["service.name"], "aggs": [{"fn": "count", "as": "requests"}, {"fn": "count", "as": "errors", "where": {"field": "status.code", "op": "eq", "value": "Error"}}, {"fn": "quantile", "of": "duration", "arg": 0.5, "as": "p50"}, {"fn": "quantile", "of": "duration", "arg": 0.95, "as": "p95"}]}}]
-_add("r09_red", _ir("traces", _RED, "table", start=ALL_START, end=ALL_END, round_=("p50", "p95")), f"SELECT service_name, count(*) AS requests, count(*) FILTER (status_code = 'Error') AS errors, round(quantile_cont(duration_nanos, 0.5), 4) AS p50, round(quantile_cont(duration_nanos, 0.95), 4) AS p95 FROM traces WHERE {_T} GROUP BY 1", "traces")
+_add("r09_red", _ir("traces", _RED, "table", start=ALL_START, end=ALL_END, round_=("p50", "p95"), exact=True), f"SELECT service_name, count(*) AS requests, count(*) FILTER (status_code = 'Error') AS errors, round(quantile_cont(duration_nanos, 0.5), 4) AS p50, round(quantile_cont(duration_nanos, 0.95), 4) AS p95 FROM traces WHERE {_T} GROUP BY 1", "traces")
 
 # --- Profiles, attributes, storage --------------------------------------------------------------
 
-_add("f02_profile_types", lambda s, d: profiles.types(signals.profiles(s, d)), "SELECT 'cpu:count' AS profile_type")
 _add("f04_prefixes", lambda s, d: profiles.prefixes(signals.profiles(s, d)).select(F.concat_ws("/", "path").alias("path"), F.col("depth").cast("long").alias("depth"), "total", "self"), "SELECT array_to_string(stack[1:n], '/') AS path, n AS depth, sum(value)::BIGINT AS total, (sum(value) FILTER (n = 4))::BIGINT AS self FROM profiles, (SELECT unnest(range(1, 5)) AS n) GROUP BY 1, 2".replace("(sum(value) FILTER (n = 4))::BIGINT", "coalesce(sum(value) FILTER (n = 4), 0)::BIGINT"), "profiles")
 _HALF = 900000000 * 10**9
 _add("f06_diff", lambda s, d: profiles.diff(signals.profiles(s, d).where(F.col("timestamp_ns") < _HALF), signals.profiles(s, d).where(F.col("timestamp_ns") >= _HALF)).select(F.concat_ws("/", "path").alias("path"), "left_total", "right_total"), f"SELECT array_to_string(stack[1:n], '/') AS path, coalesce(sum(value) FILTER (timestamp_ns < {_HALF}), 0)::BIGINT AS left_total, coalesce(sum(value) FILTER (timestamp_ns >= {_HALF}), 0)::BIGINT AS right_total FROM profiles, (SELECT unnest(range(1, 5)) AS n) GROUP BY 1", "profiles")
 _STATS = lambda s, d: stats.attribute_stats(signals.logs(s, d), ("log_attributes",), top=3)
-_add("as1_attribute_stats", lambda s, d: _STATS(s, d).select("key", "present", F.col("n_distinct").cast("long").alias("n_distinct"), "capped"), "SELECT 'k' AS key, count(k) AS present, count(DISTINCT k) AS n_distinct, false AS capped FROM logs UNION ALL SELECT 'event.type', count(*), count(DISTINCT event_type), false FROM logs", "logs")
+
+
+def _shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs whose resource and scope have keys that records have too, with the same value or another."""
+    own = F.create_map(F.lit("k"), F.when(F.col("span_id").endswith("3"), F.col("log_attributes")["k"]).otherwise("none"), F.lit("env"), F.col("label_env"))
+    return signals.logs(spark, sf_dir).withColumns({"resource_attributes": own, "scope_attributes": F.create_map(F.lit("env"), F.lit("any"))})
+
+
+def _stats_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.attribute_stats(_shared_keys(spark, sf_dir), ("log_attributes", "scope_attributes", "resource_attributes"), top=3)
+    return found.select("key", "present", F.col("n_distinct").cast("long").alias("n_distinct"), "capped", F.to_json(F.transform("top", lambda t: F.struct(t["value"].alias("value"), t["count"].alias("count")))).alias("top"))
+
+
+_SHARED = """, kv AS (SELECT DISTINCT event_id, key, v FROM (SELECT event_id, 'k' AS key, k AS v FROM logs UNION ALL SELECT event_id, 'event.type', event_type FROM logs UNION ALL SELECT event_id, 'env', 'any' FROM logs UNION ALL SELECT event_id, 'env', env FROM logs
+  UNION ALL SELECT event_id, 'k', CASE WHEN event_id::VARCHAR LIKE '%3' THEN k ELSE 'none' END FROM logs)),
+c AS (SELECT key, v, count(*) AS n FROM kv WHERE v IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, v) AS rank FROM c)"""
+_add("as1_attribute_stats", _stats_rows, f"""WITH {ORACLE['logs']}{_SHARED} SELECT key, (SELECT count(DISTINCT event_id) FROM kv WHERE kv.key = r.key) AS present, count(*) AS n_distinct, false AS capped,
+  '[' || string_agg('{{"value":"' || v || '","count":' || n || '}}', ',' ORDER BY rank) FILTER (rank <= 3) || ']' AS top FROM r GROUP BY key""")
 _add("as3_generated", lambda s, d: signals._read(s, d, "events").select("event_id", stats.generated_key(F.concat(F.lit("key"), F.col("event_id").cast("string"), F.lit("00000"))).alias("generated")), "SELECT event_id, regexp_matches('key' || event_id || '00000', '[0-9]{8}|[0-9a-fA-F]{12}') AS generated FROM events")
 _add("as5_candidates", lambda s, d: (lambda lg: stats.candidates(stats.attribute_stats(lg, ("log_attributes", "resource_attributes")), lg.count()).withColumn("presence", F.round("presence", 4)))(signals.logs(s, d)), "SELECT 'k' AS key, round(count(k) / count(*), 4) AS presence FROM logs UNION ALL SELECT 'event.type', 1.0::DOUBLE UNION ALL SELECT 'deployment.environment', round(count(env) / count(*), 4) FROM logs", "logs")
-_add("d02_describe_values", lambda s, d: stats.describe_values(_STATS(s, d), "event.type", 3), "SELECT event_type AS value, count(*) AS count FROM logs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3", "logs")
 _add("t05_labels", lambda s, d: transforms.materialised(signals.logs(s, d).drop("label_env"), ["deployment.environment", "k"]).select("span_id", "label_deployment_environment", "label_k"), "SELECT span_id, env AS label_deployment_environment, k AS label_k FROM logs", "logs")
 _add("t06_tokens", lambda s, d: transforms.attr_tokens(signals.logs(s, d)).select("span_id", F.array_join(F.array_sort("attr_tokens"), ",").alias("tokens")), "SELECT span_id, concat_ws(',', 'deployment.environment=' || env, 'event.type=' || event_type, 'k=' || k) AS tokens FROM logs", "logs")
-_add("s10_remote_write_kind", lambda s, d: signals.metrics_sum(s, d).select("metric_name", transforms.remote_write_kind(F.col("metric_name")).alias("kind")).distinct(), "SELECT DISTINCT event_type || '_total' AS metric_name, 'sum' AS kind FROM events")
+_add("s10_remote_write_kind", lambda s, d: signals.metrics_sum(s, d).select("metric_name", remote_write.kind(F.col("metric_name")).alias("kind")).distinct(), "SELECT DISTINCT event_type || '_total' AS metric_name, 'sum' AS kind FROM events")
 _add("h04_arrays", lambda s, d: signals.metrics_histogram(s, d).select("timestamp_ns", "service_name", F.aggregate(histogram.number_array(F.col("bucket_counts")), F.lit(0.0), lambda a, x: a + x).alias("n")), "SELECT timestamp_ns, service_name, cnt::DOUBLE AS n FROM hist", "hist")
 
 
@@ -338,7 +387,7 @@ def _otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = signals._read(spark, sf_dir, "orders")
     key = F.col("o_orderkey").cast("string")
     line = F.concat(F.lit('{"resourceSpans":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"shop"}}]},"scopeSpans":[{"scope":{"name":"lib"},"spans":[{"traceId":"t'), key, F.lit('","spanId":"s'), key, F.lit('","name":"order","startTimeUnixNano":"'), key, F.lit('000","endTimeUnixNano":"'), key, F.lit('500","attributes":[{"key":"priority","value":{"stringValue":"'), "o_orderpriority", F.lit('"}}]}]}]}]}'))
-    spans = transforms.spans_from_otlp(o.select(line.alias("value")))
+    spans = otlp.spans(o.select(line.alias("value")))
     return spans.select("trace_id", "span_id", "service_name", "scope_name", "start_ns", "duration_nanos", "is_root", F.col("span_attributes")["priority"].alias("priority"))
 
 
@@ -349,7 +398,7 @@ def _le_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = signals.metrics_histogram(spark, sf_dir).withColumn("c", histogram.running(histogram.number_array(F.col("bucket_counts"))))
     le = F.array(*[F.lit(str(b)) for b in signals.BOUNDS], F.lit("+Inf"))
     each = h.select("timestamp_ns", F.lit("quantity_bucket").alias("metric_name"), "service_name", F.explode(F.arrays_zip(le.alias("le"), F.col("c").alias("value"))).alias("x"))
-    return transforms.assemble_histograms(each.select("timestamp_ns", "metric_name", "service_name", "x.le", "x.value"))
+    return remote_write.classic_histograms(each.select("timestamp_ns", "metric_name", "service_name", "x.le", "x.value"))
 
 
 _add("s11_assemble", _le_samples, "SELECT timestamp_ns, 'quantity' AS metric_name, service_name, cnt AS count, '[' || concat_ws(',', c0, c1, c2, c3, c4) || ']' AS bucket_counts, '[10.0,20.0,30.0,40.0]' AS explicit_bounds FROM hist", "hist")
@@ -371,44 +420,24 @@ def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("r07_hierarchy", _trees, "SELECT DISTINCT t.trace_id, t.span_id, (r.span_id IS NOT NULL)::INT::BIGINT AS depth FROM traces t LEFT JOIN (SELECT trace_id, span_id FROM traces WHERE is_root) r ON t.trace_id = r.trace_id AND t.parent_span_id = r.span_id", "traces")
-_add("f01_search", lambda s, d: signals.profiles(s, d).groupBy("service_name", "timestamp_ns").agg(F.sum("value").alias("total")).orderBy(F.desc("timestamp_ns"), "service_name").limit(50), "SELECT service_name, timestamp_ns, sum(value)::BIGINT AS total FROM profiles GROUP BY 1, 2 ORDER BY 2 DESC, 1 LIMIT 50", "profiles")
-_add("f03_label_values", lambda s, d: signals.profiles(s, d).select("service_name").distinct(), "SELECT DISTINCT service_name FROM profiles", "profiles")
-
-
-def _promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = signals.logs(spark, sf_dir)
-    demand = spark.createDataFrame([("k", 50), ("event.type", 20), ("deployment.environment", 5), ("gone", 99)], "key string, hits long")
-    found = stats.promotion(stats.attribute_stats(logs, ("log_attributes", "resource_attributes")), demand, logs.count())
-    return found.withColumns({c: F.round(c, 4) for c in ("presence", "score")})
-
-
-_add("as2_promotion", _promoted, "SELECT 'k' AS key, 50 AS hits, round(count(k) / count(*), 4) AS presence, round(50 * count(k) / count(*), 4) AS score FROM logs UNION ALL SELECT 'event.type', 20, 1.0::DOUBLE, 20.0::DOUBLE", "logs")
-_add("d01_describe_fields", lambda s, d: (lambda lg: stats.describe_fields(stats.attribute_stats(lg, ("log_attributes", "resource_attributes")), {"body": "string", "severity_number": "int64"}, lg.count()).withColumn("coverage", F.round("coverage", 4)))(signals.logs(s, d)), "SELECT 'body' AS name, 'string' AS type, 'declared' AS origin, NULL::DOUBLE AS coverage UNION ALL SELECT 'severity_number', 'int64', 'declared', NULL UNION ALL SELECT 'k', 'string', 'observed', round(count(k) / count(*), 4) FROM logs UNION ALL SELECT 'event.type', 'string', 'observed', 1.0::DOUBLE UNION ALL SELECT 'deployment.environment', 'string', 'observed', round(count(env) / count(*), 4) FROM logs", "logs")
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written by the hour, compacted where hours are many small files, and read back within bounds."""
-    path = scratch.folder(spark, "logs")
-    rows = signals.logs(spark, sf_dir).select("timestamp_ns", "service_name", "severity_text", "body")
-    lifecycle.write(rows, "logs", path)
-    for plan in lifecycle.plan_compaction(spark, path, END + 10 * DAY, min_files=4)[:8]:  # one run takes so many hours
-        lifecycle.compact(spark, path, "logs", plan)
-    back = lifecycle.read(spark, path, START + DAY, END)
-    return back.groupBy("service_name", "severity_text").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp_ns").alias("newest_ns"))
 
 
-_add("c05_stored", _stored, f"SELECT service_name, severity_text, count(*) AS n, max(timestamp_ns) AS newest_ns FROM logs WHERE timestamp_ns BETWEEN {START + DAY} AND {END} GROUP BY 1, 2", "logs")
 _add("s05_union_scan", lambda s, d: signals.catalog(s, d).union("acme", "prod", ("metrics_gauge", "metrics_sum")).groupBy("metric_name", "label_env").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")), "SELECT metric_name, label_env, count(*) AS n, round(sum(value), 2) AS total FROM metrics GROUP BY 1, 2", "metrics")
 _add("a18_series", lambda s, d: mx.series(promql.query_range(s, signals.catalog(s, d), "sum by (service) (view)", START, END, DAY)).select("metric_name", "service_name", F.size("points").cast("long").alias("n_points")), f"SELECT metric_name, service_name, count(DISTINCT {_B}) AS n_points FROM metrics WHERE {_W} AND metric_name = 'view' GROUP BY 1, 2", "metrics")
 
 
-def _sql_query(text: str, most: int = 1_000_000):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
-            signals._read(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(text).limit(most)
+def _tables_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The driver's tables beside the signal tables."""
+    c = signals.catalog(spark, sf_dir)
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        c.add("acme", "prod", t, lambda t=t: signals._read(spark, sf_dir, t))
+    return c
 
-    return query
+
+def _sql_query(text: str):
+    return lambda spark, sf_dir: sql_plan.query(spark, _tables_catalog(spark, sf_dir), text, most=None)
 
 
 for _n, _text in {
@@ -426,12 +455,19 @@ for _n, _text in {
     _add(_n, _sql_query(_text), _text)
 
 
+def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    from . import queries_storage, queries_wire  # these register with _add
+
+    assert queries_storage and queries_wire
+    return _ALL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q for name, (q, _) in _ALL.items()}
+    return {name: q for name, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
 
 
 @functools.cache
