@@ -75,13 +75,49 @@ _PREDICATES = {
 for _name, (_node, _sql) in _PREDICATES.items():
     _add(_name, _ir("logs", [{"where": _node}], "rows", _ROWS), f"SELECT span_id, severity_text FROM logs WHERE {_W} AND ({_sql})", "logs")
 
-_add("ir_error_logs_by_service", _ir("logs", [{"where": {"and": [{"field": "severity_number", "op": "gte", "value": 17}, {"field": "deployment.environment", "op": "eq", "value": "prod"}]}}, {"aggregate": {"by": ["service.name"], "step": "1h", "aggs": [{"fn": "count", "as": "n"}]}}], "series"), f"SELECT timestamp_ns - timestamp_ns % {DAY // 24} AS bucket_ns, service_name, count(*) AS n FROM logs WHERE {_W} AND severity_number >= 17 AND env = 'prod' GROUP BY 1, 2", "logs")
-_add("s06_window", _ir("logs", [], "rows", _ROWS, start=START + DAY, end=START + 2 * DAY), f"SELECT span_id, severity_text FROM logs WHERE timestamp_ns BETWEEN {START + DAY} AND {START + 2 * DAY}", "logs")
-_add("s03_union", _ir("metrics", [{"aggregate": {"by": ["metric.name"], "aggs": [{"fn": "count", "as": "n"}]}}], "table"), f"SELECT metric_name, count(*) AS n FROM metrics WHERE {_W} GROUP BY 1".replace("metric_name,", "metric_name AS metric_name,"), "metrics")
-_add("p11_exception", _ir("traces", [_where("exception.type", "exists"), {"aggregate": {"by": ["exception.type"], "aggs": [{"fn": "count", "as": "n"}]}}], "table", start=ALL_START, end=ALL_END), f"SELECT 'E' || substr(priority, 1, 1) AS exception_type, count(*) AS n FROM traces WHERE {_T} AND is_root AND status_code = 'Error' GROUP BY 1", "traces")
-_add("p12_span_events", _ir("traces", [], "rows", ["span.id", "span_events"], start=ALL_START, end=ALL_END), f"""SELECT span_id, CASE WHEN is_root AND status_code = 'Error' THEN '[{{"name":"start","attributes":{{}}}},{{"name":"exception","attributes":{{"exception.type":"E' || substr(priority, 1, 1) || '","exception.message":"failed"}}}}]' END AS span_events FROM traces WHERE {_T}""", "traces")
-_add("p13_fields", _ir("traces", [_where("service.name", "eq", "shop")], "rows", ["trace.id", "duration", "order.priority"], start=ALL_START, end=ALL_END), f"SELECT trace_id, duration_nanos AS duration, priority AS order_priority FROM traces WHERE {_T} AND service_name = 'shop'", "traces")
-_add("p14_extract_json", _ir("logs", [{"extract": {"parser": "json", "as": [{"name": "event", "type": "string"}, {"name": "num", "type": "int64"}]}}, {"aggregate": {"by": ["event"], "aggs": [{"fn": "count", "as": "n"}]}}], "table"), f"SELECT event_type AS event, count(*) AS n FROM logs WHERE {_W} GROUP BY 1", "logs")
+_add(
+    "ir_error_logs_by_service",
+    _ir("logs", [{"where": {"and": [{"field": "severity_number", "op": "gte", "value": 17}, {"field": "deployment.environment", "op": "eq", "value": "prod"}]}}, {"aggregate": {"by": ["service.name"], "step": "1h", "aggs": [{"fn": "count", "as": "n"}]}}], "series"),
+    f"SELECT timestamp_ns - timestamp_ns % {DAY // 24} AS bucket_ns, service_name, count(*) AS n FROM logs WHERE {_W} AND severity_number >= 17"
+    f" AND env = 'prod' GROUP BY 1, 2",
+    "logs",
+)
+_add(
+    "s06_window",
+    _ir("logs", [], "rows", _ROWS, start=START + DAY, end=START + 2 * DAY),
+    f"SELECT span_id, severity_text FROM logs WHERE timestamp_ns BETWEEN {START + DAY} AND {START + 2 * DAY}",
+    "logs",
+)
+_add(
+    "s03_union",
+    _ir("metrics", [{"aggregate": {"by": ["metric.name"], "aggs": [{"fn": "count", "as": "n"}]}}], "table"),
+    f"SELECT metric_name, count(*) AS n FROM metrics WHERE {_W} GROUP BY 1".replace("metric_name,", "metric_name AS metric_name,"),
+    "metrics",
+)
+_add(
+    "p11_exception",
+    _ir("traces", [_where("exception.type", "exists"), {"aggregate": {"by": ["exception.type"], "aggs": [{"fn": "count", "as": "n"}]}}], "table", start=ALL_START, end=ALL_END),
+    f"SELECT 'E' || substr(priority, 1, 1) AS exception_type, count(*) AS n FROM traces WHERE {_T} AND is_root AND status_code = 'Error' GROUP BY 1",
+    "traces",
+)
+_add(
+    "p12_span_events",
+    _ir("traces", [], "rows", ["span.id", "span_events"], start=ALL_START, end=ALL_END),
+    f"""SELECT span_id, CASE WHEN is_root AND status_code = 'Error' THEN '[{{"name":"start","attributes":{{}}}},{{"name":"exception","attributes":{{"exception.type":"E' || substr(priority, 1, 1) || '","exception.message":"failed"}}}}]' END AS span_events FROM traces WHERE {_T}""",
+    "traces",
+)
+_add(
+    "p13_fields",
+    _ir("traces", [_where("service.name", "eq", "shop")], "rows", ["trace.id", "duration", "order.priority"], start=ALL_START, end=ALL_END),
+    f"SELECT trace_id, duration_nanos AS duration, priority AS order_priority FROM traces WHERE {_T} AND service_name = 'shop'",
+    "traces",
+)
+_add(
+    "p14_extract_json",
+    _ir("logs", [{"extract": {"parser": "json", "as": [{"name": "event", "type": "string"}, {"name": "num", "type": "int64"}]}}, {"aggregate": {"by": ["event"], "aggs": [{"fn": "count", "as": "n"}]}}], "table"),
+    f"SELECT event_type AS event, count(*) AS n FROM logs WHERE {_W} GROUP BY 1",
+    "logs",
+)
 
 
 def _logfmt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +132,12 @@ def _logfmt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ir.require(ir.run(doc, c))
 
 
-_add("p15_extract_logfmt", _logfmt, f"SELECT CASE WHEN k <> '7' THEN event_type END AS level, count(*) AS rows, sum(k::DOUBLE) AS total, NULL::VARCHAR AS none FROM ev WHERE {_W} GROUP BY 1", "logs")
+_add(
+    "p15_extract_logfmt",
+    _logfmt,
+    f"SELECT CASE WHEN k <> '7' THEN event_type END AS level, count(*) AS rows, sum(k::DOUBLE) AS total, NULL::VARCHAR AS none FROM ev WHERE {_W} GROUP BY 1",
+    "logs",
+)
 
 _AGGS = {
     "a03_count": ({"fn": "count", "as": "v"}, "count(*)"),
@@ -115,23 +156,49 @@ _AGGS = {
 }
 for _name, (_agg, _sql) in _AGGS.items():
     _r = () if _name in ("a03_count", "a05_max_text", "a09_scoped") else ("v",)
-    _add(_name, _ir("logs", [{"aggregate": {"by": ["service.name"], "aggs": [_agg]}}], "table", round_=_r), f"SELECT service_name, {f'round({_sql}, 4)' if _r else _sql} AS v FROM logs WHERE {_W} GROUP BY 1", "logs")
+    _add(
+        _name,
+        _ir("logs", [{"aggregate": {"by": ["service.name"], "aggs": [_agg]}}], "table", round_=_r),
+        f"SELECT service_name, {f'round({_sql}, 4)' if _r else _sql} AS v FROM logs WHERE {_W} GROUP BY 1",
+        "logs",
+    )
 
 _BY = {"aggregate": {"by": ["service.name", "severity_text"], "aggs": [{"fn": "count", "as": "n"}, {"fn": "max", "of": "duration", "as": "top"}]}}
 _BYSQL = f"SELECT service_name, severity_text, count(*) AS n, max(duration) AS top FROM logs WHERE {_W} GROUP BY 1, 2"
 _add("a01_group", _ir("logs", [_BY], "table"), _BYSQL, "logs")
-_add("a02_step", _ir("logs", [{"aggregate": {"by": ["severity_text"], "step": "1d", "aggs": [{"fn": "avg", "of": "duration", "as": "v"}]}}], "series", round_=("v",)), f"SELECT {_B} AS bucket_ns, severity_text, round(avg(duration), 4) AS v FROM logs WHERE {_W} GROUP BY 1, 2", "logs")
+_add(
+    "a02_step",
+    _ir("logs", [{"aggregate": {"by": ["severity_text"], "step": "1d", "aggs": [{"fn": "avg", "of": "duration", "as": "v"}]}}], "series", round_=("v",)),
+    f"SELECT {_B} AS bucket_ns, severity_text, round(avg(duration), 4) AS v FROM logs WHERE {_W} GROUP BY 1, 2",
+    "logs",
+)
 _add("a11_topk", _ir("logs", [_BY, {"topk": {"n": 5, "of": "n"}}], "table"), _BYSQL + " ORDER BY n DESC NULLS LAST, 1, 2 LIMIT 5", "logs")
 _add("a11_bottomk", _ir("logs", [_BY, {"bottomk": {"n": 5, "of": "n"}}], "table"), _BYSQL + " ORDER BY n NULLS LAST, 1, 2 LIMIT 5", "logs")
-_add("a12_order_limit", _ir("logs", [_BY, {"order": [{"of": "n", "dir": "desc"}, {"of": "service.name"}, {"of": "severity_text"}]}, {"limit": 7}], "table"), _BYSQL + " ORDER BY n DESC NULLS FIRST, 1, 2 LIMIT 7", "logs")
+_add(
+    "a12_order_limit",
+    _ir("logs", [_BY, {"order": [{"of": "n", "dir": "desc"}, {"of": "service.name"}, {"of": "severity_text"}]}, {"limit": 7}], "table"),
+    _BYSQL + " ORDER BY n DESC NULLS FIRST, 1, 2 LIMIT 7",
+    "logs",
+)
 _add("a13_limit", _ir("logs", [_BY, {"limit": 1000}], "table"), _BYSQL, "logs")
 _add("a19_having", _ir("logs", [_BY, {"where": {"field": "n", "op": "gt", "value": 150}}], "table"), _BYSQL + " HAVING count(*) > 150", "logs")
-_add("a14_heatmap", _ir("traces", [{"heatmap": {"x": {"step": "30d"}, "y": {"field": "duration", "bounds": ["1ms", "20ms", "100ms", "300ms"]}}}], "heatmap", start=ALL_START, end=ALL_END), f"SELECT {_TB} AS bucket_ns, CASE WHEN duration_nanos < 1000000 THEN 0 WHEN duration_nanos < 20000000 THEN 1 WHEN duration_nanos < 100000000 THEN 2 WHEN duration_nanos < 300000000 THEN 3 ELSE 4 END AS y_bucket, count(*) AS count FROM traces WHERE {_T} GROUP BY 1, 2", "traces")
+_add(
+    "a14_heatmap",
+    _ir("traces", [{"heatmap": {"x": {"step": "30d"}, "y": {"field": "duration", "bounds": ["1ms", "20ms", "100ms", "300ms"]}}}], "heatmap", start=ALL_START, end=ALL_END),
+    f"SELECT {_TB} AS bucket_ns, CASE WHEN duration_nanos < 1000000 THEN 0 WHEN duration_nanos < 20000000 THEN 1 WHEN duration_nanos < 100000000 THEN 2"
+    f" WHEN duration_nanos < 300000000 THEN 3 ELSE 4 END AS y_bucket, count(*) AS count FROM traces WHERE {_T} GROUP BY 1, 2",
+    "traces",
+)
 _H = f"""agg AS (SELECT timestamp_ns - timestamp_ns % {DAY * 30} AS bucket_ns, 'quantity' AS metric_name, service_name, sum(c0)::DOUBLE AS c0, sum(c1)::DOUBLE AS c1, sum(c2)::DOUBLE AS c2, sum(c3)::DOUBLE AS c3, sum(c4)::DOUBLE AS c4 FROM hist WHERE timestamp_ns BETWEEN {ALL_START} AND {ALL_END} GROUP BY 1, 2, 3)
 , q AS (SELECT *, c0+c1+c2+c3+c4 AS t, PHI*(c0+c1+c2+c3+c4) AS r FROM agg)"""
 _QUANTILE = "CASE WHEN t <= 0 THEN 'nan'::DOUBLE WHEN c0 >= r THEN 10*r/c0 WHEN c0+c1 >= r THEN 10+10*(r-c0)/c1 WHEN c0+c1+c2 >= r THEN 20+10*(r-c0-c1)/c2 WHEN c0+c1+c2+c3 >= r THEN 30+10*(r-c0-c1-c2)/c3 ELSE 40 END"
 _HQ = f", {_H.replace('PHI', '0.7')} SELECT bucket_ns, metric_name, service_name, round({_QUANTILE}, 4) AS VALUE FROM q"
-_add("a15_histogram_quantile", _ir("metrics_histogram", [{"histogram_quantile": {"phi": 0.7, "by": ["service.name"], "step": "30d"}}], "series", start=ALL_START, end=ALL_END, round_=("value",)), _HQ.replace("SELECT bucket_ns, metric", "SELECT bucket_ns, metric").removeprefix(", "), "hist")
+_add(
+    "a15_histogram_quantile",
+    _ir("metrics_histogram", [{"histogram_quantile": {"phi": 0.7, "by": ["service.name"], "step": "30d"}}], "series", start=ALL_START, end=ALL_END, round_=("value",)),
+    _HQ.replace("SELECT bucket_ns, metric", "SELECT bucket_ns, metric").removeprefix(", "),
+    "hist",
+)
 _ALL["a15_histogram_quantile"] = (_ALL["a15_histogram_quantile"][0], f"WITH {ORACLE['hist']}{_HQ.replace('VALUE', 'value')}")
 
 def _rounded(column: str):
@@ -167,11 +234,29 @@ _p("m02_ne_absent", 'view{deployment_environment!="prod"}', "arg_max(value, time
 _p("m02_label_ne", 'view{env!="prod"}', "arg_max(value, timestamp_ns)", "'view' AND (label_env IS NULL OR label_env <> 'prod')")
 _p("m02_regex", 'view{k=~"^1"}', "arg_max(value, timestamp_ns)", "'view' AND k LIKE '1%'")
 _p("m02_not_regex", 'view{job!~"svc-[0-4]"}', "arg_max(value, timestamp_ns)", "'view' AND NOT regexp_matches(service_name, 'svc-[0-4]')")
-_add("m03_offset", _prom("view offset 1d"), f"SELECT (timestamp_ns + {DAY}) - (timestamp_ns + {DAY}) % {DAY} AS bucket_ns, {_SER}, round(arg_max(value, timestamp_ns) + 1e-7, 4) + 0.0 AS value FROM metrics WHERE timestamp_ns BETWEEN {START - DAY} AND {END - DAY} AND metric_name = 'view' GROUP BY ALL", "metrics")
+_add(
+    "m03_offset",
+    _prom("view offset 1d"),
+    f"SELECT (timestamp_ns + {DAY}) - (timestamp_ns + {DAY}) % {DAY} AS bucket_ns, {_SER}, round(arg_max(value, timestamp_ns) + 1e-7, 4) + 0.0 AS value"
+    f" FROM metrics WHERE timestamp_ns BETWEEN {START - DAY} AND {END - DAY} AND metric_name = 'view' GROUP BY ALL",
+    "metrics",
+)
 _AT = START + 10 * DAY
-_add("m04_at", _prom(f'{{__name__=~"^[a-z]+$"}} @ {_AT // 10**9}'), f"SELECT s.b AS bucket_ns, {_SER}, round(value + 1e-7, 4) + 0.0 AS value FROM (SELECT {_SER}, arg_max(value, timestamp_ns) AS value FROM metrics WHERE timestamp_ns BETWEEN {_AT - 300 * 10**9} AND {_AT} AND NOT contains(metric_name, '_') GROUP BY ALL), (SELECT unnest(range({START}::BIGINT, {END}::BIGINT, {DAY}::BIGINT)) AS b) s", "metrics")
+_add(
+    "m04_at",
+    _prom(f'{{__name__=~"^[a-z]+$"}} @ {_AT // 10**9}'),
+    f"SELECT s.b AS bucket_ns, {_SER}, round(value + 1e-7, 4) + 0.0 AS value FROM (SELECT {_SER}, arg_max(value, timestamp_ns) AS value FROM metrics"
+    f" WHERE timestamp_ns BETWEEN {_AT - 300 * 10**9} AND {_AT} AND NOT contains(metric_name, '_')"
+    f" GROUP BY ALL), (SELECT unnest(range({START}::BIGINT, {END}::BIGINT, {DAY}::BIGINT)) AS b) s",
+    "metrics",
+)
 _SUBWIN = f"FROM (SELECT unnest(range({START}::BIGINT, {END}::BIGINT, {DAY}::BIGINT)) AS b), (SELECT timestamp_ns - timestamp_ns % {DAY // 4} AS t, service_name, sum(value) AS v FROM metrics WHERE timestamp_ns BETWEEN {START - 2 * DAY} AND {END} AND metric_name = 'view' GROUP BY ALL) WHERE t > b - {2 * DAY} AND t <= b GROUP BY ALL"
-_add("m05_subquery", _prom("max_over_time((sum by (service) (view))[2d:6h])"), f"SELECT b AS bucket_ns, '' AS metric_name, service_name, round(max(v) + 1e-7, 4) + 0.0 AS value {_SUBWIN}", "metrics")
+_add(
+    "m05_subquery",
+    _prom("max_over_time((sum by (service) (view))[2d:6h])"),
+    f"SELECT b AS bucket_ns, '' AS metric_name, service_name, round(max(v) + 1e-7, 4) + 0.0 AS value {_SUBWIN}",
+    "metrics",
+)
 _p("m06_rate", "rate(view[1m])", "(arg_max(value, timestamp_ns) - arg_min(value, timestamp_ns)) / 60.0")
 _p("m06_increase", "increase(view_total[5m])", "arg_max(value, timestamp_ns) - arg_min(value, timestamp_ns)", "'view_total'")
 _p("m06_delta", "delta(view[1h])", "arg_max(value, timestamp_ns) - arg_min(value, timestamp_ns)")
@@ -195,9 +280,26 @@ _p("m13_without", "sum without (env) (view)", "sum(value)", group="metric_name,
 _p("m13_by_label", "sum by (env) (view)", "sum(value)", group="metric_name, label_env")
 _p("m14_quantile", "quantile(0.9, view)", "quantile_cont(value, 0.9)", group="metric_name")
 for _fn, _dir in {"topk": "DESC", "bottomk": "ASC"}.items():
-    _add(f"m15_{_fn}", _prom(f"{_fn}(3, view)"), f"SELECT bucket_ns, {_SER}, round(value + 1e-7, 4) + 0.0 AS value FROM ({_LAST}) QUALIFY row_number() OVER (PARTITION BY bucket_ns ORDER BY value {_dir}, metric_name, service_name, label_env NULLS FIRST) <= 3", "metrics")
-_add("m16_count_values", _prom('count_values("v", floor(view))'), f"SELECT bucket_ns, floor(value)::BIGINT::VARCHAR AS service_name, count(*)::DOUBLE AS value FROM ({_LAST}) GROUP BY 1, 2", "metrics")
-_add("m17_outer", _prom("sum by (service) (avg_over_time(view[1d]))"), f"SELECT bucket_ns, metric_name, service_name, round(sum(value) + 1e-7, 4) + 0.0 AS value FROM (SELECT {_B} AS bucket_ns, {_SER}, avg(value) AS value {_PM}'view' GROUP BY ALL) GROUP BY 1, 2, 3", "metrics")
+    _add(
+        f"m15_{_fn}",
+        _prom(f"{_fn}(3, view)"),
+        f"SELECT bucket_ns, {_SER}, round(value + 1e-7, 4) + 0.0 AS value FROM ({_LAST}) QUALIFY row_number() OVER (PARTITION BY bucket_ns"
+        f" ORDER BY value {_dir}, metric_name, service_name, label_env NULLS FIRST) <= 3",
+        "metrics",
+    )
+_add(
+    "m16_count_values",
+    _prom('count_values("v", floor(view))'),
+    f"SELECT bucket_ns, floor(value)::BIGINT::VARCHAR AS service_name, count(*)::DOUBLE AS value FROM ({_LAST}) GROUP BY 1, 2",
+    "metrics",
+)
+_add(
+    "m17_outer",
+    _prom("sum by (service) (avg_over_time(view[1d]))"),
+    f"SELECT bucket_ns, metric_name, service_name, round(sum(value) + 1e-7, 4) + 0.0 AS value FROM (SELECT {_B} AS bucket_ns, {_SER}, avg(value)"
+    f" AS value {_PM}'view' GROUP BY ALL) GROUP BY 1, 2, 3",
+    "metrics",
+)
 for _n, (_text, _sql) in {"add": ("view + 1", "value + 1"), "sub_left": ("100 - view", "100 - value"), "mul": ("view * 2.5", "value * 2.5"), "div_zero": ("view / 0", "CASE WHEN value > 0 THEN 'inf'::DOUBLE WHEN value < 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END"), "mod": ("view % 7", "fmod(value, 7)"), "pow": ("view ^ 2", "pow(value, 2)"), "precedence": ("view * 2 + 3 ^ 2", "value * 2 + 9"), "negated": ("-view", "-value")}.items():
     _add(f"m18_{_n}", _prom(_text), f"SELECT bucket_ns, {_SER}, round({_sql} + 1e-7, 4) + 0.0 AS value FROM ({_LAST})", "metrics")
 _add("m19_filter", _prom("view > 20"), f"SELECT bucket_ns, {_SER}, round(value + 1e-7, 4) + 0.0 AS value FROM ({_LAST}) WHERE value > 20", "metrics")
@@ -207,12 +309,36 @@ _L, _R = "sum by (service) (view)", "sum by (service) (click)"
 _J = f"FROM {_SUMS('view')} l JOIN {_SUMS('click')} r USING (bucket_ns, service_name)"
 for _n, _op in {"add": "+", "sub": "-", "mul": "*", "div": "/"}.items():
     _add(f"m20_{_n}", _prom(f"{_L} {_op} {_R}"), f"SELECT bucket_ns, service_name, round(l.value {_op} r.value + 1e-7, 4) + 0.0 AS value {_J}", "metrics")
-_add("m21_compare", _prom(f"{_L} > {_R}"), f"SELECT bucket_ns, l.metric_name, service_name, round(l.value + 1e-7, 4) + 0.0 AS value {_J} WHERE l.value > r.value", "metrics")
+_add(
+    "m21_compare",
+    _prom(f"{_L} > {_R}"),
+    f"SELECT bucket_ns, l.metric_name, service_name, round(l.value + 1e-7, 4) + 0.0 AS value {_J} WHERE l.value > r.value",
+    "metrics",
+)
 _add("m21_bool", _prom(f"{_L} > bool {_R}"), f"SELECT bucket_ns, service_name, (l.value > r.value)::INT::DOUBLE AS value {_J}", "metrics")
 _SPARSE, _SPSQL = 'sum by (service) (click{k=~"^[1-3]$"})', _SUMS("click", " AND k IN ('1', '2', '3')")
-_add("m22_and", _prom(f"{_L} and {_SPARSE}"), f"SELECT l.bucket_ns, l.metric_name, l.service_name, round(l.value + 1e-7, 4) + 0.0 AS value FROM {_SUMS('view')} l SEMI JOIN {_SPSQL} r USING (bucket_ns, service_name)", "metrics")
-_add("m22_unless", _prom(f"{_L} unless {_SPARSE}"), f"SELECT l.bucket_ns, l.metric_name, l.service_name, round(l.value + 1e-7, 4) + 0.0 AS value FROM {_SUMS('view')} l ANTI JOIN {_SPSQL} r USING (bucket_ns, service_name)", "metrics")
-_add("m22_or", _prom(f"{_SPARSE} or {_L}"), f"SELECT bucket_ns, metric_name, service_name, round(value + 1e-7, 4) + 0.0 AS value FROM {_SPSQL} UNION ALL SELECT l.bucket_ns, l.metric_name, l.service_name, round(l.value + 1e-7, 4) + 0.0 FROM {_SUMS('view')} l ANTI JOIN {_SPSQL} r USING (bucket_ns, service_name)", "metrics")
+_add(
+    "m22_and",
+    _prom(f"{_L} and {_SPARSE}"),
+    f"SELECT l.bucket_ns, l.metric_name, l.service_name, round(l.value + 1e-7, 4) + 0.0 AS value FROM {_SUMS('view')} l SEMI"
+    f" JOIN {_SPSQL} r USING (bucket_ns, service_name)",
+    "metrics",
+)
+_add(
+    "m22_unless",
+    _prom(f"{_L} unless {_SPARSE}"),
+    f"SELECT l.bucket_ns, l.metric_name, l.service_name, round(l.value + 1e-7, 4) + 0.0 AS value FROM {_SUMS('view')} l ANTI"
+    f" JOIN {_SPSQL} r USING (bucket_ns, service_name)",
+    "metrics",
+)
+_add(
+    "m22_or",
+    _prom(f"{_SPARSE} or {_L}"),
+    f"SELECT bucket_ns, metric_name, service_name, round(value + 1e-7, 4) + 0.0 AS value FROM {_SPSQL}"
+    f" UNION ALL SELECT l.bucket_ns, l.metric_name, l.service_name, round(l.value + 1e-7, 4) + 0.0 FROM {_SUMS('view')} l ANTI"
+    f" JOIN {_SPSQL} r USING (bucket_ns, service_name)",
+    "metrics",
+)
 for _fn, _sql in {"abs": "abs(value - 20)", "ceil": "ceil(value - 20)", "floor": "floor(value - 20)", "round": "floor(value - 20 + 0.5)", "sgn": "sign(value - 20)"}.items():
     _add(f"m23_{_fn}", _prom(f"{_fn}(view - 20)"), f"SELECT bucket_ns, {_SER}, round({_sql} + 1e-7, 4)::DOUBLE + 0.0 AS value FROM ({_LAST})", "metrics")
 for _fn, _sql in {"sqrt": "sqrt(value)", "exp": "exp(value / 100)", "ln": "ln(value + 1)", "log2": "log2(value + 1)", "log10": "log10(value + 1)"}.items():
@@ -232,23 +358,76 @@ def _ranked(query):
     return ordered
 
 
-_add("m24_sort", _ranked(_prom("sort_desc(view)")), f"SELECT bucket_ns, {_SER}, round(value + 1e-7, 4) + 0.0 AS value, row_number() OVER (PARTITION BY bucket_ns ORDER BY value DESC, metric_name, service_name, label_env NULLS FIRST) AS rank FROM ({_LAST})", "metrics")
-_add("m25_label_replace", _prom('label_replace(view, "service", "team-$1", "service", "svc-([0-4])")'), f"SELECT bucket_ns, metric_name, CASE WHEN regexp_full_match(service_name, 'svc-([0-4])') THEN 'team-' || substr(service_name, 5) ELSE service_name END AS service_name, label_env, round(value + 1e-7, 4) + 0.0 AS value FROM ({_LAST})", "metrics")
-_add("m25_label_join", _prom('label_join(view, "service", "/", "__name__", "service")'), f"SELECT bucket_ns, metric_name, metric_name || '/' || service_name AS service_name, label_env, round(value + 1e-7, 4) + 0.0 AS value FROM ({_LAST})", "metrics")
+_add(
+    "m24_sort",
+    _ranked(_prom("sort_desc(view)")),
+    f"SELECT bucket_ns, {_SER}, round(value + 1e-7, 4) + 0.0 AS value, row_number() OVER (PARTITION BY bucket_ns"
+    f" ORDER BY value DESC, metric_name, service_name, label_env NULLS FIRST) AS rank FROM ({_LAST})",
+    "metrics",
+)
+_add(
+    "m25_label_replace",
+    _prom('label_replace(view, "service", "team-$1", "service", "svc-([0-4])")'),
+    f"SELECT bucket_ns, metric_name, CASE"
+    f" WHEN regexp_full_match(service_name, 'svc-([0-4])') THEN 'team-' || substr(service_name, 5) ELSE service_name END AS service_name, label_env"
+    f", round(value + 1e-7, 4) + 0.0 AS value FROM ({_LAST})",
+    "metrics",
+)
+_add(
+    "m25_label_join",
+    _prom('label_join(view, "service", "/", "__name__", "service")'),
+    f"SELECT bucket_ns, metric_name, metric_name || '/' || service_name AS service_name, label_env, round(value + 1e-7, 4) + 0.0 AS value FROM ({_LAST})",
+    "metrics",
+)
 _STEPS = f"(SELECT unnest(range({START}::BIGINT, {END}::BIGINT, {DAY}::BIGINT)) AS bucket_ns)"
 _add("m26_vector", _prom("vector(3)"), f"SELECT bucket_ns, '' AS metric_name, '' AS service_name, 3.0::DOUBLE AS value FROM {_STEPS}")
 _add("m26_time", _prom("time()"), f"SELECT bucket_ns, '' AS metric_name, '' AS service_name, bucket_ns / 1e9 AS value FROM {_STEPS}")
-_add("m27_scalar", _prom("scalar(sum(view))"), f"SELECT {_B} AS bucket_ns, '' AS metric_name, '' AS service_name, round(sum(value) + 1e-7, 4) + 0.0 AS value {_PM}'view' GROUP BY 1", "metrics")
+_add(
+    "m27_scalar",
+    _prom("scalar(sum(view))"),
+    f"SELECT {_B} AS bucket_ns, '' AS metric_name, '' AS service_name, round(sum(value) + 1e-7, 4) + 0.0 AS value {_PM}'view' GROUP BY 1",
+    "metrics",
+)
 _p("m28_timestamp", "timestamp(view)", "max(timestamp_ns) / 1e9")
 for _fn, _sql in {"day_of_week": "dayofweek(t)", "day_of_month": "day(t)", "day_of_year": "dayofyear(t)", "days_in_month": "day(last_day(t))", "hour": "hour(t)", "minute": "minute(t)", "month": "month(t)", "year": "year(t)"}.items():
-    _add(f"m29_{_fn}", _prom(f"{_fn}()"), f"SELECT bucket_ns, '' AS metric_name, '' AS service_name, ({_sql})::DOUBLE AS value FROM (SELECT bucket_ns, make_timestamp(bucket_ns // 1000) AS t FROM {_STEPS})")
+    _add(
+        f"m29_{_fn}",
+        _prom(f"{_fn}()"),
+        f"SELECT bucket_ns, '' AS metric_name, '' AS service_name, ({_sql})::DOUBLE AS value FROM (SELECT bucket_ns, make_timestamp(bucket_ns // 1000) AS t"
+        f" FROM {_STEPS})",
+    )
 _WIDE = {"step": DAY * 30, "start": ALL_START, "end": ALL_END}
 for _fn, _c in {"count": "cnt", "sum": "total"}.items():
-    _add(f"m30_histogram_{_fn}", _prom(f"histogram_{_fn}(quantity)", **_WIDE), f"SELECT timestamp_ns - timestamp_ns % {DAY * 30} AS bucket_ns, 'quantity' AS metric_name, service_name, round(sum({_c})::DOUBLE + 1e-7, 4) + 0.0 AS value FROM hist WHERE timestamp_ns BETWEEN {ALL_START} AND {ALL_END} GROUP BY 1, 2, 3", "hist")
+    _add(
+        f"m30_histogram_{_fn}",
+        _prom(f"histogram_{_fn}(quantity)", **_WIDE),
+        f"SELECT timestamp_ns - timestamp_ns % {DAY * 30} AS bucket_ns, 'quantity' AS metric_name, service_name, round(sum({_c})::DOUBLE + 1e-7, 4) + 0.0"
+        f" AS value FROM hist WHERE timestamp_ns BETWEEN {ALL_START} AND {ALL_END} GROUP BY 1, 2, 3",
+        "hist",
+    )
 _add("m31_histogram_quantile", _prom("histogram_quantile(0.7, quantity)", **_WIDE), f"WITH {ORACLE['hist']}{_HQ.replace('VALUE', 'value')}")
-_add("m32_histogram_fraction", _prom("histogram_fraction(5, 25, quantity)", **_WIDE), f"WITH {ORACLE['hist']}, {_H.replace('PHI', '0.5')} SELECT bucket_ns, metric_name, service_name, round((c0 * 0.5 + c1 + c2 * 0.5) / t + 1e-7, 4) + 0.0 AS value FROM q")
-_add("m34_instant", _prom("sum by (service) (view)", instant=True), f"SELECT {END}::BIGINT AS bucket_ns, metric_name, service_name, round(value + 1e-7, 4) + 0.0 AS value FROM (SELECT timestamp_ns - timestamp_ns % {DAY // 24} AS b, metric_name, service_name, sum(value) AS value FROM metrics WHERE timestamp_ns BETWEEN {END - DAY // 24} AND {END} AND metric_name = 'view' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY metric_name, service_name ORDER BY b DESC) = 1", "metrics")
-_add("m35_labels", lambda s, d: promql.labels(signals.catalog(s, d)), "SELECT unnest(['__name__', 'job', 'service_name']) AS label UNION SELECT 'k' FROM metrics WHERE k IS NOT NULL UNION SELECT 'deployment.environment' FROM ev WHERE env IS NOT NULL", "metrics")
+_add(
+    "m32_histogram_fraction",
+    _prom("histogram_fraction(5, 25, quantity)", **_WIDE),
+    f"WITH {ORACLE['hist']}, {_H.replace('PHI', '0.5')} SELECT bucket_ns, metric_name, service_name, round((c0 * 0.5 + c1 + c2 * 0.5) / t + 1e-7, 4) + 0.0"
+    f" AS value FROM q",
+)
+_add(
+    "m34_instant",
+    _prom("sum by (service) (view)", instant=True),
+    f"SELECT {END}::BIGINT AS bucket_ns, metric_name, service_name, round(value + 1e-7, 4) + 0.0 AS value"
+    f" FROM (SELECT timestamp_ns - timestamp_ns % {DAY // 24} AS b, metric_name, service_name, sum(value) AS value FROM metrics"
+    f" WHERE timestamp_ns BETWEEN {END - DAY // 24} AND {END} AND metric_name = 'view' GROUP BY ALL)"
+    f" QUALIFY row_number() OVER (PARTITION BY metric_name, service_name ORDER BY b DESC) = 1",
+    "metrics",
+)
+_add(
+    "m35_labels",
+    lambda s, d: promql.labels(signals.catalog(s, d)),
+    "SELECT unnest(['__name__', 'job', 'service_name']) AS label UNION SELECT 'k' FROM metrics WHERE k IS NOT NULL UNION SELECT 'deployment.environment'"
+    " FROM ev WHERE env IS NOT NULL",
+    "metrics",
+)
 _add("m35_label_values", lambda s, d: promql.label_values(signals.catalog(s, d), "__name__"), "SELECT DISTINCT metric_name AS value FROM metrics", "metrics")
 
 # --- LogQL --------------------------------------------------------------------------------------
@@ -291,13 +470,35 @@ for _n, (_text, _sql) in {
     "l10_quantile": ('quantile_over_time(0.9, {job=~".+"} | unwrap duration [1d])', "quantile_disc(duration, 0.9)"),
 }.items():
     _add(_n, _logql(_text), f"SELECT {_B} AS bucket_ns, {_LS}, round({_sql} + 1e-7, 4) + 0.0 AS value {_LQ} GROUP BY ALL", "logs")
-_add("l11_sum_by", _logql('sum by (job) (count_over_time({job=~".+"}[1d]))'), f"SELECT {_B} AS bucket_ns, service_name, count(*)::DOUBLE AS value {_LQ} GROUP BY ALL", "logs")
+_add(
+    "l11_sum_by",
+    _logql('sum by (job) (count_over_time({job=~".+"}[1d]))'),
+    f"SELECT {_B} AS bucket_ns, service_name, count(*)::DOUBLE AS value {_LQ} GROUP BY ALL",
+    "logs",
+)
 _COUNTED = f"(SELECT {_B} AS bucket_ns, {_LS}, count(*)::DOUBLE AS value {_LQ} GROUP BY ALL)"
 for _fn, _sql in {"avg": "avg(value)", "min": "min(value)", "max": "max(value)", "count": "count(*)::DOUBLE", "stddev": "stddev_pop(value)", "stdvar": "var_pop(value)"}.items():
-    _add(f"l12_{_fn}", _logql(f'{_fn}(count_over_time({{job=~".+"}}[1d]))'), f"SELECT bucket_ns, round({_sql} + 1e-7, 4) + 0.0 AS value FROM {_COUNTED} GROUP BY 1", "logs")
+    _add(
+        f"l12_{_fn}",
+        _logql(f'{_fn}(count_over_time({{job=~".+"}}[1d]))'),
+        f"SELECT bucket_ns, round({_sql} + 1e-7, 4) + 0.0 AS value FROM {_COUNTED} GROUP BY 1",
+        "logs",
+    )
 for _fn, _dir in {"topk": "DESC", "bottomk": "ASC"}.items():
-    _add(f"l13_{_fn}", _logql(f'{_fn}(3, count_over_time({{job=~".+"}}[1d]))'), f"SELECT bucket_ns, {_LS}, value FROM {_COUNTED} QUALIFY row_number() OVER (PARTITION BY bucket_ns ORDER BY value {_dir}, service_name, severity_text) <= 3", "logs")
-_add("l14_sort", _ranked(_logql('sort_desc(count_over_time({job=~".+"}[1d]))')), f"SELECT bucket_ns, {_LS}, value, row_number() OVER (PARTITION BY bucket_ns ORDER BY last DESC, service_name, severity_text) AS rank FROM (SELECT *, last_value(value) OVER (PARTITION BY {_LS} ORDER BY bucket_ns ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM {_COUNTED})", "logs")
+    _add(
+        f"l13_{_fn}",
+        _logql(f'{_fn}(3, count_over_time({{job=~".+"}}[1d]))'),
+        f"SELECT bucket_ns, {_LS}, value FROM {_COUNTED} QUALIFY row_number() OVER (PARTITION BY bucket_ns ORDER BY value {_dir}, service_name, severity_text) <= 3",
+        "logs",
+    )
+_add(
+    "l14_sort",
+    _ranked(_logql('sort_desc(count_over_time({job=~".+"}[1d]))')),
+    f"SELECT bucket_ns, {_LS}, value, row_number() OVER (PARTITION BY bucket_ns ORDER BY last DESC, service_name, severity_text) AS rank"
+    f" FROM (SELECT *, last_value(value) OVER (PARTITION BY {_LS} ORDER BY bucket_ns ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last"
+    f" FROM {_COUNTED})",
+    "logs",
+)
 for _n, (_text, _sql) in {"mul": ('count_over_time({job=~".+"}[1d]) * 2', "value * 2"), "left": ('100 - count_over_time({job=~".+"}[1d])', "100 - value"), "div": ('count_over_time({job=~".+"}[1d]) / 4', "value / 4")}.items():
     _add(f"l15_{_n}", _logql(_text), f"SELECT bucket_ns, {_LS}, round({_sql} + 1e-7, 4) + 0.0 AS value FROM {_COUNTED}", "logs")
 _BYJOB = lambda cond: f"(SELECT {_B} AS bucket_ns, service_name, count(*)::DOUBLE AS value {_LQ} AND {cond} GROUP BY ALL)"
@@ -310,12 +511,34 @@ _add("l17_bool", _logql(f"{_E} >= bool {_N}"), f"SELECT bucket_ns, service_name,
 _RARE, _RSQL = 'sum by (job) (count_over_time({k="7"}[1d]))', _BYJOB("k = '7'")
 _ERRS = _BYJOB("severity_text = 'ERROR'")
 _add("l18_and", _logql(f"{_E} and {_RARE}"), f"SELECT l.bucket_ns, l.service_name, l.value FROM {_ERRS} l SEMI JOIN {_RSQL} r USING (bucket_ns, service_name)", "logs")
-_add("l18_unless", _logql(f"{_E} unless {_RARE}"), f"SELECT l.bucket_ns, l.service_name, l.value FROM {_ERRS} l ANTI JOIN {_RSQL} r USING (bucket_ns, service_name)", "logs")
-_add("l18_or", _logql(f"{_RARE} or {_E}"), f"SELECT bucket_ns, service_name, value FROM {_RSQL} UNION ALL SELECT l.bucket_ns, l.service_name, l.value FROM {_ERRS} l ANTI JOIN {_RSQL} r USING (bucket_ns, service_name)", "logs")
-_add("l19_label_replace", _logql(f'label_replace({_E}, "team", "t$1", "job", "svc-([0-4])")'), f"SELECT bucket_ns, service_name, value, CASE WHEN regexp_full_match(service_name, 'svc-([0-4])') THEN 't' || substr(service_name, 5) END AS team FROM {_ERRS}", "logs")
+_add(
+    "l18_unless",
+    _logql(f"{_E} unless {_RARE}"),
+    f"SELECT l.bucket_ns, l.service_name, l.value FROM {_ERRS} l ANTI JOIN {_RSQL} r USING (bucket_ns, service_name)",
+    "logs",
+)
+_add(
+    "l18_or",
+    _logql(f"{_RARE} or {_E}"),
+    f"SELECT bucket_ns, service_name, value FROM {_RSQL} UNION ALL SELECT l.bucket_ns, l.service_name, l.value FROM {_ERRS} l ANTI"
+    f" JOIN {_RSQL} r USING (bucket_ns, service_name)",
+    "logs",
+)
+_add(
+    "l19_label_replace",
+    _logql(f'label_replace({_E}, "team", "t$1", "job", "svc-([0-4])")'),
+    f"SELECT bucket_ns, service_name, value, CASE WHEN regexp_full_match(service_name, 'svc-([0-4])') THEN 't' || substr(service_name, 5) END AS team FROM {_ERRS}",
+    "logs",
+)
 _add("l20_vector", _logql("vector(2)"), f"SELECT bucket_ns, 2.0::DOUBLE AS value FROM {_STEPS}")
 _add("l22_label_values", lambda s, d: logql.label_values(signals.catalog(s, d), "level", START, END), f"SELECT DISTINCT severity_text AS value {_LQ}", "logs")
-_add("l23_detected_fields", lambda s, d: logql.detected_fields(signals.catalog(s, d), START, END), f"WITH {ORACLE['logs']}, n AS (SELECT event_type, k {_LQ} ORDER BY timestamp_ns DESC, span_id LIMIT 1000) SELECT 'event.type' AS label, 'string' AS type, count(DISTINCT event_type) AS cardinality FROM n UNION ALL SELECT 'k', 'int', count(DISTINCT k) FROM n")
+_add(
+    "l23_detected_fields",
+    lambda s, d: logql.detected_fields(signals.catalog(s, d), START, END),
+    f"WITH {ORACLE['logs']}, n AS (SELECT event_type, k {_LQ}"
+    f" ORDER BY timestamp_ns DESC, span_id LIMIT 1000) SELECT 'event.type' AS label, 'string' AS type, count(DISTINCT event_type) AS cardinality FROM n"
+    f" UNION ALL SELECT 'k', 'int', count(DISTINCT k) FROM n",
+)
 _add(
     "l24_streams",
     lambda s, d: logql.streams(logql.lines(signals.catalog(s, d), '{job=~".+"}', START, END, 200)).select("service_name", "level", F.posexplode("entries").alias("place", "e")).select("service_name", "level", F.col("place").cast("long").alias("place"), "e.timestamp_ns", "e.body", "e.metadata"),
@@ -340,19 +563,51 @@ for _n, (_text, _sql) in {
     "r02_span_attribute": ('{ span.part = "7" }', "part = '7'"), "r02_any_attribute": ('{ .order.priority = "2-HIGH" }', "priority = '2-HIGH'"), "r02_resource": ('{ resource.service.name = "supp-3" }', "service_name = 'supp-3'"), "r05_all": ("{}", "true"),
 }.items():
     _add(_n, _search(_text), _ssql(_sql), "traces")
-_add("r03_tags", lambda s, d: traceql.search(signals.catalog(s, d), traceql.tags('part=7 service.name="supp-3"'), ALL_START, ALL_END), _ssql("part = '7' AND service_name = 'supp-3'"), "traces")
+_add(
+    "r03_tags",
+    lambda s, d: traceql.search(signals.catalog(s, d), traceql.tags('part=7 service.name="supp-3"'), ALL_START, ALL_END),
+    _ssql("part = '7' AND service_name = 'supp-3'"),
+    "traces",
+)
 _add("r04_duration", _search("{}", min_duration=40_000_000, max_duration=45_000_000), _ssql("duration_nanos BETWEEN 40000000 AND 45000000"), "traces")
-_add("r06_trace", lambda s, d: traceql.trace(signals.catalog(s, d), "t42").select("trace_id", "span_id", "parent_span_id", "span_name", "start_ns", "duration_nanos"), "SELECT trace_id, span_id, parent_span_id, span_name, start_ns, duration_nanos FROM traces WHERE trace_id = 't42'", "traces")
-_add("r08_tag_values", lambda s, d: traceql.tag_values(signals.catalog(s, d), "order.priority"), "SELECT DISTINCT priority AS value FROM traces WHERE priority IS NOT NULL", "traces")
+_add(
+    "r06_trace",
+    lambda s, d: traceql.trace(signals.catalog(s, d), "t42").select("trace_id", "span_id", "parent_span_id", "span_name", "start_ns", "duration_nanos"),
+    "SELECT trace_id, span_id, parent_span_id, span_name, start_ns, duration_nanos FROM traces WHERE trace_id = 't42'",
+    "traces",
+)
+_add(
+    "r08_tag_values",
+    lambda s, d: traceql.tag_values(signals.catalog(s, d), "order.priority"),
+    "SELECT DISTINCT priority AS value FROM traces WHERE priority IS NOT NULL",
+    "traces",
+)
 _add("r08_root_names", lambda s, d: traceql.tag_values(signals.catalog(s, d), "rootName"), "SELECT DISTINCT span_name AS value FROM traces WHERE is_root", "traces")
 _RED = [{"aggregate": {"by": ["service.name"], "aggs": [{"fn": "count", "as": "requests"}, {"fn": "count", "as": "errors", "where": {"field": "status.code", "op": "eq", "value": "Error"}}, {"fn": "quantile", "of": "duration", "arg": 0.5, "as": "p50"}, {"fn": "quantile", "of": "duration", "arg": 0.95, "as": "p95"}]}}]
-_add("r09_red", _ir("traces", _RED, "table", start=ALL_START, end=ALL_END, round_=("p50", "p95"), exact=True), f"SELECT service_name, count(*) AS requests, count(*) FILTER (status_code = 'Error') AS errors, round(quantile_cont(duration_nanos, 0.5), 4) AS p50, round(quantile_cont(duration_nanos, 0.95), 4) AS p95 FROM traces WHERE {_T} GROUP BY 1", "traces")
+_add(
+    "r09_red",
+    _ir("traces", _RED, "table", start=ALL_START, end=ALL_END, round_=("p50", "p95"), exact=True),
+    f"SELECT service_name, count(*) AS requests, count(*) FILTER (status_code = 'Error') AS errors, round(quantile_cont(duration_nanos, 0.5), 4) AS p50"
+    f", round(quantile_cont(duration_nanos, 0.95), 4) AS p95 FROM traces WHERE {_T} GROUP BY 1",
+    "traces",
+)
 
 # --- Profiles, attributes, storage --------------------------------------------------------------
 
-_add("f04_prefixes", lambda s, d: profiles.prefixes(signals.profiles(s, d)).select(F.concat_ws("/", "path").alias("path"), F.col("depth").cast("long").alias("depth"), "total", "self"), "SELECT array_to_string(stack[1:n], '/') AS path, n AS depth, sum(value)::BIGINT AS total, (sum(value) FILTER (n = 4))::BIGINT AS self FROM profiles, (SELECT unnest(range(1, 5)) AS n) GROUP BY 1, 2".replace("(sum(value) FILTER (n = 4))::BIGINT", "coalesce(sum(value) FILTER (n = 4), 0)::BIGINT"), "profiles")
+_add(
+    "f04_prefixes",
+    lambda s, d: profiles.prefixes(signals.profiles(s, d)).select(F.concat_ws("/", "path").alias("path"), F.col("depth").cast("long").alias("depth"), "total", "self"),
+    "SELECT array_to_string(stack[1:n], '/') AS path, n AS depth, sum(value)::BIGINT AS total, (sum(value) FILTER (n = 4))::BIGINT AS self FROM profiles, (SELECT unnest(range(1, 5)) AS n) GROUP BY 1, 2".replace("(sum(value) FILTER (n = 4))::BIGINT", "coalesce(sum(value) FILTER (n = 4), 0)::BIGINT"),
+    "profiles",
+)
 _HALF = 900000000 * 10**9
-_add("f06_diff", lambda s, d: profiles.diff(signals.profiles(s, d).where(F.col("timestamp_ns") < _HALF), signals.profiles(s, d).where(F.col("timestamp_ns") >= _HALF)).select(F.concat_ws("/", "path").alias("path"), "left_total", "right_total"), f"SELECT array_to_string(stack[1:n], '/') AS path, coalesce(sum(value) FILTER (timestamp_ns < {_HALF}), 0)::BIGINT AS left_total, coalesce(sum(value) FILTER (timestamp_ns >= {_HALF}), 0)::BIGINT AS right_total FROM profiles, (SELECT unnest(range(1, 5)) AS n) GROUP BY 1", "profiles")
+_add(
+    "f06_diff",
+    lambda s, d: profiles.diff(signals.profiles(s, d).where(F.col("timestamp_ns") < _HALF), signals.profiles(s, d).where(F.col("timestamp_ns") >= _HALF)).select(F.concat_ws("/", "path").alias("path"), "left_total", "right_total"),
+    f"SELECT array_to_string(stack[1:n], '/') AS path, coalesce(sum(value) FILTER (timestamp_ns < {_HALF}), 0)::BIGINT AS left_total, coalesce(sum(value) FILTER (timestamp_ns >= {_HALF}), 0)::BIGINT AS right_total"
+    f" FROM profiles, (SELECT unnest(range(1, 5)) AS n) GROUP BY 1",
+    "profiles",
+)
 _STATS = lambda s, d: stats.attribute_stats(signals.logs(s, d), ("log_attributes",), top=3)
 
 
@@ -372,12 +627,41 @@ _SHARED = """, kv AS (SELECT DISTINCT event_id, key, v FROM (SELECT event_id, 'k
 c AS (SELECT key, v, count(*) AS n FROM kv WHERE v IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, v) AS rank FROM c)"""
 _add("as1_attribute_stats", _stats_rows, f"""WITH {ORACLE['logs']}{_SHARED} SELECT key, (SELECT count(DISTINCT event_id) FROM kv WHERE kv.key = r.key) AS present, count(*) AS n_distinct, false AS capped,
   '[' || string_agg('{{"value":"' || v || '","count":' || n || '}}', ',' ORDER BY rank) FILTER (rank <= 3) || ']' AS top FROM r GROUP BY key""")
-_add("as3_generated", lambda s, d: signals._read(s, d, "events").select("event_id", stats.generated_key(F.concat(F.lit("key"), F.col("event_id").cast("string"), F.lit("00000"))).alias("generated")), "SELECT event_id, regexp_matches('key' || event_id || '00000', '[0-9]{8}|[0-9a-fA-F]{12}') AS generated FROM events")
-_add("as5_candidates", lambda s, d: (lambda lg: stats.candidates(stats.attribute_stats(lg, ("log_attributes", "resource_attributes")), lg.count()).withColumn("presence", F.round("presence", 4)))(signals.logs(s, d)), "SELECT 'k' AS key, round(count(k) / count(*), 4) AS presence FROM logs UNION ALL SELECT 'event.type', 1.0::DOUBLE UNION ALL SELECT 'deployment.environment', round(count(env) / count(*), 4) FROM logs", "logs")
-_add("t05_labels", lambda s, d: transforms.materialised(signals.logs(s, d).drop("label_env"), ["deployment.environment", "k"]).select("span_id", "label_deployment_environment", "label_k"), "SELECT span_id, env AS label_deployment_environment, k AS label_k FROM logs", "logs")
-_add("t06_tokens", lambda s, d: transforms.attr_tokens(signals.logs(s, d)).select("span_id", F.array_join(F.array_sort("attr_tokens"), ",").alias("tokens")), "SELECT span_id, concat_ws(',', 'deployment.environment=' || env, 'event.type=' || event_type, 'k=' || k) AS tokens FROM logs", "logs")
-_add("s10_remote_write_kind", lambda s, d: signals.metrics_sum(s, d).select("metric_name", remote_write.kind(F.col("metric_name")).alias("kind")).distinct(), "SELECT DISTINCT event_type || '_total' AS metric_name, 'sum' AS kind FROM events")
-_add("h04_arrays", lambda s, d: signals.metrics_histogram(s, d).select("timestamp_ns", "service_name", F.aggregate(histogram.number_array(F.col("bucket_counts")), F.lit(0.0), lambda a, x: a + x).alias("n")), "SELECT timestamp_ns, service_name, cnt::DOUBLE AS n FROM hist", "hist")
+_add(
+    "as3_generated",
+    lambda s, d: signals._read(s, d, "events").select("event_id", stats.generated_key(F.concat(F.lit("key"), F.col("event_id").cast("string"), F.lit("00000"))).alias("generated")),
+    "SELECT event_id, regexp_matches('key' || event_id || '00000', '[0-9]{8}|[0-9a-fA-F]{12}') AS generated FROM events",
+)
+_add(
+    "as5_candidates",
+    lambda s, d: (lambda lg: stats.candidates(stats.attribute_stats(lg, ("log_attributes", "resource_attributes")), lg.count()).withColumn("presence", F.round("presence", 4)))(signals.logs(s, d)),
+    "SELECT 'k' AS key, round(count(k) / count(*), 4) AS presence FROM logs UNION ALL SELECT 'event.type', 1.0::DOUBLE"
+    " UNION ALL SELECT 'deployment.environment', round(count(env) / count(*), 4) FROM logs",
+    "logs",
+)
+_add(
+    "t05_labels",
+    lambda s, d: transforms.materialised(signals.logs(s, d).drop("label_env"), ["deployment.environment", "k"]).select("span_id", "label_deployment_environment", "label_k"),
+    "SELECT span_id, env AS label_deployment_environment, k AS label_k FROM logs",
+    "logs",
+)
+_add(
+    "t06_tokens",
+    lambda s, d: transforms.attr_tokens(signals.logs(s, d)).select("span_id", F.array_join(F.array_sort("attr_tokens"), ",").alias("tokens")),
+    "SELECT span_id, concat_ws(',', 'deployment.environment=' || env, 'event.type=' || event_type, 'k=' || k) AS tokens FROM logs",
+    "logs",
+)
+_add(
+    "s10_remote_write_kind",
+    lambda s, d: signals.metrics_sum(s, d).select("metric_name", remote_write.kind(F.col("metric_name")).alias("kind")).distinct(),
+    "SELECT DISTINCT event_type || '_total' AS metric_name, 'sum' AS kind FROM events",
+)
+_add(
+    "h04_arrays",
+    lambda s, d: signals.metrics_histogram(s, d).select("timestamp_ns", "service_name", F.aggregate(histogram.number_array(F.col("bucket_counts")), F.lit(0.0), lambda a, x: a + x).alias("n")),
+    "SELECT timestamp_ns, service_name, cnt::DOUBLE AS n FROM hist",
+    "hist",
+)
 
 
 # --- Wire formats, trees, promotion and storage ---------------------------------------------------
@@ -391,7 +675,12 @@ def _otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("trace_id", "span_id", "service_name", "scope_name", "start_ns", "duration_nanos", "is_root", F.col("span_attributes")["priority"].alias("priority"))
 
 
-_add("s09_otlp", _otlp, "SELECT 't' || o_orderkey AS trace_id, 's' || o_orderkey AS span_id, 'shop' AS service_name, 'lib' AS scope_name, o_orderkey * 1000 AS start_ns, CASE WHEN o_orderkey = 0 THEN 500 ELSE 500 END::BIGINT AS duration_nanos, true AS is_root, o_orderpriority AS priority FROM orders")
+_add(
+    "s09_otlp",
+    _otlp,
+    "SELECT 't' || o_orderkey AS trace_id, 's' || o_orderkey AS span_id, 'shop' AS service_name, 'lib' AS scope_name, o_orderkey * 1000 AS start_ns, CASE"
+    " WHEN o_orderkey = 0 THEN 500 ELSE 500 END::BIGINT AS duration_nanos, true AS is_root, o_orderpriority AS priority FROM orders",
+)
 
 
 def _le_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,7 +690,13 @@ def _le_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remote_write.classic_histograms(each.select("timestamp_ns", "metric_name", "service_name", "x.le", "x.value"))
 
 
-_add("s11_assemble", _le_samples, "SELECT timestamp_ns, 'quantity' AS metric_name, service_name, cnt AS count, '[' || concat_ws(',', c0, c1, c2, c3, c4) || ']' AS bucket_counts, '[10.0,20.0,30.0,40.0]' AS explicit_bounds FROM hist", "hist")
+_add(
+    "s11_assemble",
+    _le_samples,
+    "SELECT timestamp_ns, 'quantity' AS metric_name, service_name, cnt AS count, '[' || concat_ws(',', c0, c1, c2, c3, c4) || ']' AS bucket_counts, '[10.0,20.0,30.0,40.0]' AS explicit_bounds"
+    " FROM hist",
+    "hist",
+)
 
 
 def _wire_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,22 +705,54 @@ def _wire_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("trace_id", "span_id", "span_name", "start_time_unix_nano", F.date_format("date_day", "yyyy-MM-dd").alias("day"), F.col("hour").cast("long").alias("hour"), F.col("span_attributes")["part"].alias("part"))
 
 
-_add("t01_traces", _wire_spans, "SELECT trace_id, span_id, span_name, start_ns AS start_time_unix_nano, strftime(make_timestamp(start_ns // 1000), '%Y-%m-%d') AS day, hour(make_timestamp(start_ns // 1000)) AS hour, part FROM traces", "traces")
-_add("t02_logs", lambda s, d: transforms.logs(signals._events(s, d).select(F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("timestamp_ns")).alias("time_unix_nano"), F.col("timestamp_ns").alias("observed_time_unix_nano"), "event_id", F.col("k").cast("binary").alias("trace_id"))).select("event_id", "timestamp_ns", "trace_id"), "SELECT event_id, timestamp_ns, lower(hex(k)) AS trace_id FROM ev", "logs")
-_add("t03_points", lambda s, d: transforms.number_points(signals._events(s, d).select(F.col("event_type").alias("metric_name"), "service_name", F.concat(F.lit('[{"time_unix_nano":'), F.col("timestamp_ns").cast("string"), F.lit(',"value":'), F.col("value").cast("string"), F.lit("}]")).alias("data_json"))).select("timestamp_ns", "metric_name", "service_name", "value"), "SELECT timestamp_ns, event_type AS metric_name, service_name, value FROM ev", "logs")
+_add(
+    "t01_traces",
+    _wire_spans,
+    "SELECT trace_id, span_id, span_name, start_ns AS start_time_unix_nano, strftime(make_timestamp(start_ns // 1000), '%Y-%m-%d') AS day, hour(make_timestamp(start_ns // 1000)) AS hour, part"
+    " FROM traces",
+    "traces",
+)
+_add(
+    "t02_logs",
+    lambda s, d: transforms.logs(signals._events(s, d).select(F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("timestamp_ns")).alias("time_unix_nano"), F.col("timestamp_ns").alias("observed_time_unix_nano"), "event_id", F.col("k").cast("binary").alias("trace_id"))).select("event_id", "timestamp_ns", "trace_id"),
+    "SELECT event_id, timestamp_ns, lower(hex(k)) AS trace_id FROM ev",
+    "logs",
+)
+_add(
+    "t03_points",
+    lambda s, d: transforms.number_points(signals._events(s, d).select(F.col("event_type").alias("metric_name"), "service_name", F.concat(F.lit('[{"time_unix_nano":'), F.col("timestamp_ns").cast("string"), F.lit(',"value":'), F.col("value").cast("string"), F.lit("}]")).alias("data_json"))).select("timestamp_ns", "metric_name", "service_name", "value"),
+    "SELECT timestamp_ns, event_type AS metric_name, service_name, value FROM ev",
+    "logs",
+)
 
 
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traceql.span_trees(signals.traces(spark, sf_dir))
 
 
-_add("r07_hierarchy", _trees, "SELECT DISTINCT t.trace_id, t.span_id, (r.span_id IS NOT NULL)::INT::BIGINT AS depth FROM traces t LEFT JOIN (SELECT trace_id, span_id FROM traces WHERE is_root) r ON t.trace_id = r.trace_id AND t.parent_span_id = r.span_id", "traces")
+_add(
+    "r07_hierarchy",
+    _trees,
+    "SELECT DISTINCT t.trace_id, t.span_id, (r.span_id IS NOT NULL)::INT::BIGINT AS depth FROM traces t LEFT JOIN (SELECT trace_id, span_id FROM traces"
+    " WHERE is_root) r ON t.trace_id = r.trace_id AND t.parent_span_id = r.span_id",
+    "traces",
+)
 
 
 
 
-_add("s05_union_scan", lambda s, d: signals.catalog(s, d).union("acme", "prod", ("metrics_gauge", "metrics_sum")).groupBy("metric_name", "label_env").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")), "SELECT metric_name, label_env, count(*) AS n, round(sum(value), 2) AS total FROM metrics GROUP BY 1, 2", "metrics")
-_add("a18_series", lambda s, d: mx.series(promql.query_range(s, signals.catalog(s, d), "sum by (service) (view)", START, END, DAY)).select("metric_name", "service_name", F.size("points").cast("long").alias("n_points")), f"SELECT metric_name, service_name, count(DISTINCT {_B}) AS n_points FROM metrics WHERE {_W} AND metric_name = 'view' GROUP BY 1, 2", "metrics")
+_add(
+    "s05_union_scan",
+    lambda s, d: signals.catalog(s, d).union("acme", "prod", ("metrics_gauge", "metrics_sum")).groupBy("metric_name", "label_env").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")),
+    "SELECT metric_name, label_env, count(*) AS n, round(sum(value), 2) AS total FROM metrics GROUP BY 1, 2",
+    "metrics",
+)
+_add(
+    "a18_series",
+    lambda s, d: mx.series(promql.query_range(s, signals.catalog(s, d), "sum by (service) (view)", START, END, DAY)).select("metric_name", "service_name", F.size("points").cast("long").alias("n_points")),
+    f"SELECT metric_name, service_name, count(DISTINCT {_B}) AS n_points FROM metrics WHERE {_W} AND metric_name = 'view' GROUP BY 1, 2",
+    "metrics",
+)
 
 
 def _tables_catalog(spark: SparkSession, sf_dir: str) -> Catalog:

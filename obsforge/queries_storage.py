@@ -69,11 +69,33 @@ def _pruned_traceql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("s07_ir", _pruned_ir, f"SELECT service_name, count(*) AS n, max(timestamp_ns) AS newest FROM logs WHERE {_DAYS} GROUP BY 1", "logs")
-_add("s07_promql", _pruned_promql, f"SELECT timestamp_ns - timestamp_ns % {DAY // 24} AS bucket_ns, {_SER}, round(arg_max(value, timestamp_ns) + 1e-7, 4) + 0.0 AS value {_PM}'view' AND {_DAYS} GROUP BY ALL", "metrics")
-_add("s07_logql", _pruned_logql, f"SELECT timestamp_ns - timestamp_ns % {DAY // 24} AS bucket_ns, service_name, count(*)::DOUBLE AS value FROM logs WHERE {_DAYS} AND severity_text = 'ERROR' GROUP BY 1, 2", "logs")
+_add(
+    "s07_promql",
+    _pruned_promql,
+    f"SELECT timestamp_ns - timestamp_ns % {DAY // 24} AS bucket_ns, {_SER}, round(arg_max(value, timestamp_ns) + 1e-7, 4) + 0.0 AS value {_PM}'view'"
+    f" AND {_DAYS} GROUP BY ALL",
+    "metrics",
+)
+_add(
+    "s07_logql",
+    _pruned_logql,
+    f"SELECT timestamp_ns - timestamp_ns % {DAY // 24} AS bucket_ns, service_name, count(*)::DOUBLE AS value FROM logs WHERE {_DAYS}"
+    f" AND severity_text = 'ERROR' GROUP BY 1, 2",
+    "logs",
+)
 _FOLDED = f"{ORACLE['traces']}, f AS (SELECT * REPLACE ({START} + start_ns % {30 * DAY} AS start_ns) FROM traces)"
-_add("s07_traceql", _pruned_traceql, f"WITH {_FOLDED} SELECT trace_id, max(start_ns) AS newest_ns, count(*) AS n_spans, max(duration_nanos) AS longest_ns FROM (SELECT * FROM f WHERE start_ns BETWEEN {_FROM} AND {_TO} AND span_kind = 'Client' ORDER BY start_ns DESC, trace_id, span_id LIMIT 750) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
-_add("s07_trace", lambda s, d: traceql.trace(stored_catalog(s, d, "traces"), "t42").select("trace_id", "span_id", "start_ns"), f"WITH {_FOLDED} SELECT trace_id, span_id, start_ns FROM f WHERE trace_id = 't42'")
+_add(
+    "s07_traceql",
+    _pruned_traceql,
+    f"WITH {_FOLDED} SELECT trace_id, max(start_ns) AS newest_ns, count(*) AS n_spans, max(duration_nanos) AS longest_ns FROM (SELECT * FROM f"
+    f" WHERE start_ns BETWEEN {_FROM} AND {_TO} AND span_kind = 'Client' ORDER BY start_ns DESC, trace_id, span_id LIMIT 750) GROUP BY 1"
+    f" ORDER BY 2 DESC, 1 LIMIT 15",
+)
+_add(
+    "s07_trace",
+    lambda s, d: traceql.trace(stored_catalog(s, d, "traces"), "t42").select("trace_id", "span_id", "start_ns"),
+    f"WITH {_FOLDED} SELECT trace_id, span_id, start_ns FROM f WHERE trace_id = 't42'",
+)
 
 
 def _sliced(spark: SparkSession, sf_dir: str, slices: int) -> str:
@@ -97,7 +119,13 @@ def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("fewer_files", F.lit(bool(plans) and len(now.files) < before))
 
 
-_add("c05_stored", _compacted, f"SELECT service_name, env AS label_deployment_environment, count(*) AS n, max(timestamp_ns) AS newest_ns, count(k) AS with_k, true AS fewer_files FROM logs WHERE timestamp_ns BETWEEN {START + DAY} AND {END} GROUP BY 1, 2", "logs")
+_add(
+    "c05_stored",
+    _compacted,
+    f"SELECT service_name, env AS label_deployment_environment, count(*) AS n, max(timestamp_ns) AS newest_ns, count(k) AS with_k, true AS fewer_files"
+    f" FROM logs WHERE timestamp_ns BETWEEN {START + DAY} AND {END} GROUP BY 1, 2",
+    "logs",
+)
 
 
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +134,13 @@ def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(p.hour,) for p in plans], "hour long")
 
 
-_add("c04_plan", _planned, f"SELECT timestamp_ns // {HOUR_NS} AS hour FROM logs GROUP BY 1 HAVING count(DISTINCT event_id % 2) = 2 AND timestamp_ns // {HOUR_NS} + 2 <= {(START + 10 * DAY) // HOUR_NS}", "logs")
+_add(
+    "c04_plan",
+    _planned,
+    f"SELECT timestamp_ns // {HOUR_NS} AS hour FROM logs GROUP BY 1 HAVING count(DISTINCT event_id % 2) = 2"
+    f" AND timestamp_ns // {HOUR_NS} + 2 <= {(START + 10 * DAY) // HOUR_NS}",
+    "logs",
+)
 
 
 def _sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +167,12 @@ def _retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.read(spark, path).groupBy("service_name").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp_ns").alias("oldest_ns"))
 
 
-_add("c06_retention", _retained, f"SELECT service_name, count(*) AS n, min(timestamp_ns) AS oldest_ns FROM logs WHERE timestamp_ns >= {START + 9 * DAY} GROUP BY 1", "logs")
+_add(
+    "c06_retention",
+    _retained,
+    f"SELECT service_name, count(*) AS n, min(timestamp_ns) AS oldest_ns FROM logs WHERE timestamp_ns >= {START + 9 * DAY} GROUP BY 1",
+    "logs",
+)
 
 
 def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +201,11 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(old[0] < old[1], old[1], old[2], lifecycle.read(spark, path).count(), bool(swept), bool(gone), left)], "grew boolean, appended long, rewritten long, now long, swept boolean, expired boolean, only_live boolean")
 
 
-_add("c07_snapshots", _snapshots, "SELECT true AS grew, count(*) AS appended, count(*) AS rewritten, count(*) AS now, true AS swept, true AS expired, true AS only_live FROM events")
+_add(
+    "c07_snapshots",
+    _snapshots,
+    "SELECT true AS grew, count(*) AS appended, count(*) AS rewritten, count(*) AS now, true AS swept, true AS expired, true AS only_live FROM events",
+)
 
 
 def _evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +220,12 @@ def _evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("severity_text", "label_env").agg(F.count(F.lit(1)).alias("n")).withColumn("dropped", F.lit("label_gone" not in back.columns))
 
 
-_add("c08_evolution", _evolved, "SELECT severity_text, CASE WHEN severity_text <> 'INFO' THEN env END AS label_env, count(*) AS n, true AS dropped FROM logs GROUP BY 1, 2", "logs")
+_add(
+    "c08_evolution",
+    _evolved,
+    "SELECT severity_text, CASE WHEN severity_text <> 'INFO' THEN env END AS label_env, count(*) AS n, true AS dropped FROM logs GROUP BY 1, 2",
+    "logs",
+)
 
 
 def _backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,4 +234,9 @@ def _backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.backfilled(rows, ("k", "deployment.environment")).select("span_id", "label_k", "label_deployment_environment")
 
 
-_add("as4_backfill", _backfilled, "SELECT span_id, CASE WHEN severity_text = 'ERROR' THEN 'kept' ELSE k END AS label_k, env AS label_deployment_environment FROM logs", "logs")
+_add(
+    "as4_backfill",
+    _backfilled,
+    "SELECT span_id, CASE WHEN severity_text = 'ERROR' THEN 'kept' ELSE k END AS label_k, env AS label_deployment_environment FROM logs",
+    "logs",
+)

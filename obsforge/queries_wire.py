@@ -55,7 +55,12 @@ def _otlp_metrics(kind: str, data, *columns: str):
 
 
 _POINT = "timestamp_ns, service_name AS metric_name, 'shop' AS service_name, 'x' AS k, 'ms' AS unit"
-_add("s09_metrics", _otlp_metrics("sum", lambda: _json(F.when(F.col("count") % 2 == 0, _json(',"asInt":"', F.col("count"), '"')).otherwise(_json(',"asDouble":', F.col("sum")))), "value", "is_monotonic", "aggregation_temporality"), f"SELECT {_POINT}, CASE WHEN cnt % 2 = 0 THEN cnt ELSE total END::DOUBLE AS value, true AS is_monotonic, 2 AS aggregation_temporality FROM hist", "hist")
+_add(
+    "s09_metrics",
+    _otlp_metrics("sum", lambda: _json(F.when(F.col("count") % 2 == 0, _json(',"asInt":"', F.col("count"), '"')).otherwise(_json(',"asDouble":', F.col("sum")))), "value", "is_monotonic", "aggregation_temporality"),
+    f"SELECT {_POINT}, CASE WHEN cnt % 2 = 0 THEN cnt ELSE total END::DOUBLE AS value, true AS is_monotonic, 2 AS aggregation_temporality FROM hist",
+    "hist",
+)
 _add("s09_metrics_gauge", _otlp_metrics("gauge", lambda: _json(',"asDouble":', F.col("sum")), "value"), f"SELECT {_POINT}, total AS value FROM hist", "hist")
 _add(
     "s09_metrics_histogram",
@@ -93,7 +98,12 @@ def _otlp_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("service_name", "sample_type", "sample_unit", F.concat_ws("/", "stack").alias("stack")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("profile_id").alias("first_id"), F.max("timestamp_ns").alias("newest_ns"))
 
 
-_add("s09_profiles", _otlp_profiles, "SELECT 'shop' AS service_name, 'cpu' AS sample_type, 'ns' AS sample_unit, '<unknown>/0xff/' || o_orderpriority || '/work' AS stack, 2 * count(*) AS n, sum(o_orderkey % 100 + 3)::BIGINT AS total, min(lower(printf('%X', o_orderkey))) AS first_id, max(o_orderkey) AS newest_ns FROM orders GROUP BY o_orderpriority")
+_add(
+    "s09_profiles",
+    _otlp_profiles,
+    "SELECT 'shop' AS service_name, 'cpu' AS sample_type, 'ns' AS sample_unit, '<unknown>/0xff/' || o_orderpriority || '/work' AS stack, 2 * count(*) AS n, sum(o_orderkey % 100 + 3)::BIGINT AS total, min(lower(printf('%X', o_orderkey))) AS first_id, max(o_orderkey) AS newest_ns"
+    " FROM orders GROUP BY o_orderpriority",
+)
 
 # --- metric points ------------------------------------------------------------------------------
 
@@ -110,10 +120,32 @@ def _at(*more) -> Column:
 
 _WIRE = "timestamp_ns, 'm' AS metric_name, CASE WHEN cnt % 2 = 0 THEN service_name ELSE 'unknown' END AS service_name, 'x' AS k, 'ms' AS unit"
 _kept = lambda: ("timestamp_ns", "metric_name", "service_name", F.col("attributes")["k"].alias("k"), "unit")
-_add("t03_histogram", lambda s, d: transforms.histogram_points(_wire_points(s, d, _at(',"count":', F.col("count"), ',"min":1.5,"bucket_counts":', F.col("bucket_counts"), ',"explicit_bounds":[10,20,30,40]'))).select(*_kept(), "count", "sum", "min", "max", "bucket_counts", "explicit_bounds"), f"SELECT {_WIRE}, cnt AS count, 'nan'::DOUBLE AS sum, 1.5::DOUBLE AS min, NULL::DOUBLE AS max, '[' || concat_ws(',', c0, c1, c2, c3, c4) || ']' AS bucket_counts, '[10.0,20.0,30.0,40.0]' AS explicit_bounds FROM hist", "hist")
-_add("t03_summary", lambda s, d: transforms.summary_points(_wire_points(s, d, _at(',"count":', F.col("count"), ',"sum":', F.col("sum"), ',"quantile_values":[{"quantile":0.9,"value":2.5}]'))).select(*_kept(), "count", "sum", "quantile_values"), f"SELECT {_WIRE}, cnt AS count, total AS sum, '[{{\"quantile\":0.9,\"value\":2.5}}]' AS quantile_values FROM hist", "hist")
-_add("t03_exponential", lambda s, d: transforms.exponential_points(_wire_points(s, d, _at(',"count":', F.col("count"), ',"sum":1.0,"scale":-2,"zero_count":4,"positive":{"offset":3,"bucket_counts":', F.col("bucket_counts"), "}"))).select(*_kept(), "count", "scale", "zero_count", "positive_offset", "positive_bucket_counts", "negative_bucket_counts"), f"SELECT {_WIRE}, cnt AS count, -2 AS scale, 4 AS zero_count, 3 AS positive_offset, '[' || concat_ws(',', c0, c1, c2, c3, c4) || ']' AS positive_bucket_counts, '[]' AS negative_bucket_counts FROM hist", "hist")
-_add("t04_missing_value", lambda s, d: transforms.number_points(_wire_points(s, d, _at(F.when(F.col("count") % 3 == 0, _json(',"value":', F.col("sum"))).otherwise("")))).select(*_kept(), "value"), f"SELECT {_WIRE}, CASE WHEN cnt % 3 = 0 THEN total ELSE 'nan'::DOUBLE END AS value FROM hist", "hist")
+_add(
+    "t03_histogram",
+    lambda s, d: transforms.histogram_points(_wire_points(s, d, _at(',"count":', F.col("count"), ',"min":1.5,"bucket_counts":', F.col("bucket_counts"), ',"explicit_bounds":[10,20,30,40]'))).select(*_kept(), "count", "sum", "min", "max", "bucket_counts", "explicit_bounds"),
+    f"SELECT {_WIRE}, cnt AS count, 'nan'::DOUBLE AS sum, 1.5::DOUBLE AS min, NULL::DOUBLE AS max, '[' || concat_ws(',', c0, c1, c2, c3, c4) || ']' AS bucket_counts, '[10.0,20.0,30.0,40.0]' AS explicit_bounds"
+    f" FROM hist",
+    "hist",
+)
+_add(
+    "t03_summary",
+    lambda s, d: transforms.summary_points(_wire_points(s, d, _at(',"count":', F.col("count"), ',"sum":', F.col("sum"), ',"quantile_values":[{"quantile":0.9,"value":2.5}]'))).select(*_kept(), "count", "sum", "quantile_values"),
+    f"SELECT {_WIRE}, cnt AS count, total AS sum, '[{{\"quantile\":0.9,\"value\":2.5}}]' AS quantile_values FROM hist",
+    "hist",
+)
+_add(
+    "t03_exponential",
+    lambda s, d: transforms.exponential_points(_wire_points(s, d, _at(',"count":', F.col("count"), ',"sum":1.0,"scale":-2,"zero_count":4,"positive":{"offset":3,"bucket_counts":', F.col("bucket_counts"), "}"))).select(*_kept(), "count", "scale", "zero_count", "positive_offset", "positive_bucket_counts", "negative_bucket_counts"),
+    f"SELECT {_WIRE}, cnt AS count, -2 AS scale, 4 AS zero_count, 3 AS positive_offset, '[' || concat_ws(',', c0, c1, c2, c3, c4) || ']' AS positive_bucket_counts, '[]' AS negative_bucket_counts"
+    f" FROM hist",
+    "hist",
+)
+_add(
+    "t04_missing_value",
+    lambda s, d: transforms.number_points(_wire_points(s, d, _at(F.when(F.col("count") % 3 == 0, _json(',"value":', F.col("sum"))).otherwise("")))).select(*_kept(), "value"),
+    f"SELECT {_WIRE}, CASE WHEN cnt % 3 = 0 THEN total ELSE 'nan'::DOUBLE END AS value FROM hist",
+    "hist",
+)
 _add(
     "t02_hours",
     lambda s, d: transforms.logs(signals._events(s, d).select("event_id", (F.col("timestamp_ns") - F.col("timestamp_ns") % F.lit(DAY // 24) + F.lit(DAY // 24 - 1)).alias("time_unix_nano"), F.lit(0).cast("long").alias("observed_time_unix_nano"))).select("event_id", F.col("hour").cast("long").alias("hour"), F.date_format("date_day", "yyyy-MM-dd").alias("day")),
@@ -133,7 +165,13 @@ def _two_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remote_write.classic_histograms(samples).select("timestamp_ns", "metric_name", "service_name", F.col("attributes")["path"].alias("path"), "count", "bucket_counts", "explicit_bounds")
 
 
-_add("s11_two_series", _two_series, "SELECT timestamp_ns, 'quantity' AS metric_name, service_name, path, cnt * f AS count, '[' || concat_ws(',', c0 * f, c1 * f, c2 * f, c3 * f, c4 * f) || ']' AS bucket_counts, '[10.0,20.0,30.0,40.0]' AS explicit_bounds FROM hist, (VALUES ('a', 1), ('b', 2)) p(path, f)", "hist")
+_add(
+    "s11_two_series",
+    _two_series,
+    "SELECT timestamp_ns, 'quantity' AS metric_name, service_name, path, cnt * f AS count, '[' || concat_ws(',', c0 * f, c1 * f, c2 * f, c3 * f, c4 * f) || ']' AS bucket_counts, '[10.0,20.0,30.0,40.0]' AS explicit_bounds"
+    " FROM hist, (VALUES ('a', 1), ('b', 2)) p(path, f)",
+    "hist",
+)
 
 
 def _native(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +189,14 @@ def _native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remote_write.native_histograms(rows).select("timestamp_ns", "service_name", "count", "scale", "positive_offset", "positive_bucket_counts", "negative_offset", "negative_bucket_counts")
 
 
-_add("s12_native", _native, "SELECT timestamp_ns, service_name, cnt AS count, 2 AS scale, 3 AS positive_offset, '[' || concat_ws(',', c0, c1, 0, 0, 0, c2, c3, c4) || ']' AS positive_bucket_counts, CASE WHEN cnt % 5 = 0 THEN -1 END AS negative_offset, CASE WHEN cnt % 5 = 0 THEN '[3]' ELSE '[]' END AS negative_bucket_counts FROM hist WHERE cnt % 3 <> 2 AND NOT (cnt % 5 = 0 AND cnt % 2 = 1)", "hist")
+_add(
+    "s12_native",
+    _native,
+    "SELECT timestamp_ns, service_name, cnt AS count, 2 AS scale, 3 AS positive_offset, '[' || concat_ws(',', c0, c1, 0, 0, 0, c2, c3, c4) || ']' AS positive_bucket_counts,"
+    " CASE WHEN cnt % 5 = 0 THEN -1 END AS negative_offset, CASE WHEN cnt % 5 = 0 THEN '[3]' ELSE '[]' END AS negative_bucket_counts FROM hist"
+    " WHERE cnt % 3 <> 2 AND NOT (cnt % 5 = 0 AND cnt % 2 = 1)",
+    "hist",
+)
 
 
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +207,13 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remote_write.summaries(samples).select("timestamp_ns", "metric_name", "service_name", F.col("attributes")["path"].alias("path"), "count", F.round("sum", 4).alias("sum"), F.from_json("quantile_values", "array<struct<quantile:double,value:double>>").alias("q")).select("timestamp_ns", "metric_name", "service_name", "path", "count", "sum", F.get("q", F.lit(0))["quantile"].alias("low"), F.round(F.get("q", F.lit(0))["value"], 4).alias("low_value"), F.round(F.get("q", F.lit(1))["value"], 4).alias("high_value"), F.size("q").cast("long").alias("n"))
 
 
-_add("s12_summary", _summaries, "SELECT timestamp_ns, 'latency' AS metric_name, service_name, '/' AS path, cnt AS count, round(total * 3, 4) AS sum, 0.5::DOUBLE AS low, round(total / 2, 4) AS low_value, round(total, 4) AS high_value, 2 AS n FROM hist", "hist")
+_add(
+    "s12_summary",
+    _summaries,
+    "SELECT timestamp_ns, 'latency' AS metric_name, service_name, '/' AS path, cnt AS count, round(total * 3, 4) AS sum, 0.5::DOUBLE AS low"
+    ", round(total / 2, 4) AS low_value, round(total, 4) AS high_value, 2 AS n FROM hist",
+    "hist",
+)
 
 # --- profiles -----------------------------------------------------------------------------------
 
@@ -189,12 +240,34 @@ def _profile(name: str, query, sql: str) -> None:
     _add(name, query, f"WITH {_PROF} {sql}")
 
 
-_profile("t07_profiles", lambda s, d: stored_profiles(s, d).select("profile_id", "timestamp_ns", "sample_type", "service_name", "trace_id", "span_id", F.date_format("date_day", "yyyy-MM-dd").alias("day"), F.col("hour").cast("long").alias("hour")), "SELECT profile_id, timestamp_ns, sample_type, service_name, profile_id AS trace_id, NULL::VARCHAR AS span_id, strftime(make_timestamp(timestamp_ns // 1000), '%Y-%m-%d') AS day, hour(make_timestamp(timestamp_ns // 1000)) AS hour FROM prof")
-_profile("f01_search", lambda s, d: profiles.search(stored_profiles(s, d), ALL_START, ALL_END, "FRANCE", "cpu", 50).select("profile_id", "timestamp_ns", "service_name", "sample_unit"), f"SELECT profile_id, timestamp_ns, service_name, sample_unit FROM prof WHERE service_name = 'FRANCE' AND sample_type = 'cpu' AND timestamp_ns BETWEEN {ALL_START} AND {ALL_END} ORDER BY timestamp_ns DESC, profile_id LIMIT 50")
-_profile("f01_by_id", lambda s, d: profiles.by_id(stored_profiles(s, d), "0" * 31 + "7").select("profile_id", "timestamp_ns", "service_name"), "SELECT profile_id, timestamp_ns, service_name FROM prof WHERE profile_id = '00000000000000000000000000000007'")
-_profile("f01_by_trace", lambda s, d: profiles.by_trace(stored_profiles(s, d), "0" * 30 + "2A").select("profile_id", "timestamp_ns", "trace_id"), "SELECT profile_id, timestamp_ns, profile_id AS trace_id FROM prof WHERE profile_id = '0000000000000000000000000000002a'")
+_profile(
+    "t07_profiles",
+    lambda s, d: stored_profiles(s, d).select("profile_id", "timestamp_ns", "sample_type", "service_name", "trace_id", "span_id", F.date_format("date_day", "yyyy-MM-dd").alias("day"), F.col("hour").cast("long").alias("hour")),
+    "SELECT profile_id, timestamp_ns, sample_type, service_name, profile_id AS trace_id, NULL::VARCHAR AS span_id, strftime(make_timestamp(timestamp_ns // 1000), '%Y-%m-%d') AS day, hour(make_timestamp(timestamp_ns // 1000)) AS hour"
+    " FROM prof",
+)
+_profile(
+    "f01_search",
+    lambda s, d: profiles.search(stored_profiles(s, d), ALL_START, ALL_END, "FRANCE", "cpu", 50).select("profile_id", "timestamp_ns", "service_name", "sample_unit"),
+    f"SELECT profile_id, timestamp_ns, service_name, sample_unit FROM prof WHERE service_name = 'FRANCE' AND sample_type = 'cpu'"
+    f" AND timestamp_ns BETWEEN {ALL_START} AND {ALL_END} ORDER BY timestamp_ns DESC, profile_id LIMIT 50",
+)
+_profile(
+    "f01_by_id",
+    lambda s, d: profiles.by_id(stored_profiles(s, d), "0" * 31 + "7").select("profile_id", "timestamp_ns", "service_name"),
+    "SELECT profile_id, timestamp_ns, service_name FROM prof WHERE profile_id = '00000000000000000000000000000007'",
+)
+_profile(
+    "f01_by_trace",
+    lambda s, d: profiles.by_trace(stored_profiles(s, d), "0" * 30 + "2A").select("profile_id", "timestamp_ns", "trace_id"),
+    "SELECT profile_id, timestamp_ns, profile_id AS trace_id FROM prof WHERE profile_id = '0000000000000000000000000000002a'",
+)
 _profile("f02_profile_types", lambda s, d: profiles.types(stored_profiles(s, d)), "SELECT DISTINCT sample_type || ':' || sample_unit AS profile_type FROM prof")
-_profile("f03_label_names", lambda s, d: profiles.label_names(stored_profiles(s, d), ALL_START, ALL_END), "SELECT 'service_name' AS label UNION SELECT 'segment' FROM prof")
+_profile(
+    "f03_label_names",
+    lambda s, d: profiles.label_names(stored_profiles(s, d), ALL_START, ALL_END),
+    "SELECT 'service_name' AS label UNION SELECT 'segment' FROM prof",
+)
 _profile("f03_label_values", lambda s, d: profiles.label_values(stored_profiles(s, d), "segment"), "SELECT DISTINCT segment AS value FROM prof")
 _profile("f03_services", lambda s, d: profiles.label_values(stored_profiles(s, d), "service_name"), "SELECT DISTINCT service_name AS value FROM prof")
 _profile(
@@ -223,17 +296,80 @@ SELECT name, sum(v)::BIGINT AS total, any_value(truncated) AS truncated FROM (SE
 
 # --- discovery ----------------------------------------------------------------------------------
 
-_add("m35_series", lambda s, d: promql.series(signals.catalog(s, d), '{service=~"svc-[0-4]", __name__=~"^v"}', START, END), f"SELECT DISTINCT metric_name, service_name FROM metrics WHERE {_W} AND regexp_matches(service_name, 'svc-[0-4]') AND metric_name LIKE 'v%'", "metrics")
-_add("m36_label_stats", lambda s, d: promql.label_stats(signals.catalog(s, d), START, END).withColumn("presence", F.round("presence", 4)), f"WITH {ORACLE['metrics']}, a AS (SELECT k, env FROM ev WHERE {_W} UNION ALL SELECT k, env FROM ev WHERE {_W}) SELECT 'k' AS name, count(DISTINCT k) AS distinct_estimate, round(count(k) / count(*), 4) AS presence, false AS capped FROM a UNION ALL SELECT 'deployment.environment', count(DISTINCT env), round(count(env) / count(*), 4), false FROM a")
-_add("l22_labels", lambda s, d: logql.labels(signals.catalog(s, d), START, END), f"SELECT unnest(['detected_level', 'level', 'service_name', 'span_id', 'trace_id']) AS label UNION SELECT 'event.type' {_LQ} UNION SELECT 'k' {_LQ} AND k IS NOT NULL UNION SELECT 'deployment.environment' {_LQ} AND env IS NOT NULL", "logs")
-_add("l22_series", lambda s, d: logql.series(signals.catalog(s, d), '{job=~"svc-[0-4]", level!="INFO"}', START, END), f"SELECT DISTINCT service_name, severity_text AS level {_LQ} AND regexp_matches(service_name, 'svc-[0-4]') AND severity_text <> 'INFO'", "logs")
-_add("l25_instant", lambda s, d: logql.query(signals.catalog(s, d), '{service_name=~".+"} |= "e"', END, 50).select("timestamp_ns", "service_name", "body", "span_id"), f"SELECT timestamp_ns, service_name, body, span_id FROM logs WHERE timestamp_ns BETWEEN {END - DAY // 24} AND {END} AND contains(body, 'e') ORDER BY timestamp_ns DESC, body, span_id LIMIT 50", "logs")
-_add("l02_forward", lambda s, d: logql.lines(signals.catalog(s, d), '{service_name="svc-1"} != "view"', START, END, 40, forward=True).select("timestamp_ns", "severity_text", "span_id"), f"SELECT timestamp_ns, severity_text, span_id FROM logs WHERE {_W} AND service_name = 'svc-1' AND NOT contains(body, 'view') ORDER BY timestamp_ns, body, span_id LIMIT 40", "logs")
-_add("l21_chain", _logql('topk(2, label_replace(sum by (job) (count_over_time({job=~".+"}[1d])) * 2 + 1, "team", "t$1", "job", "svc-([0-4])"))'), f"SELECT {_B} AS bucket_ns, service_name, CASE WHEN regexp_full_match(service_name, 'svc-([0-4])') THEN 't' || substr(service_name, 5) END AS team, (count(*) * 2 + 1)::DOUBLE AS value {_LQ} GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY {_B} ORDER BY count(*) DESC, service_name) <= 2", "logs")
-_add("l16_ignoring", _logql('count_over_time({level="ERROR"}[1d]) / ignoring(level) sum by (job) (count_over_time({job=~".+"}[1d]))'), f"SELECT e.bucket_ns, e.service_name, 'ERROR' AS severity_text, round(e.n / a.n + 1e-7, 4) + 0.0 AS value FROM (SELECT {_B} AS bucket_ns, service_name, count(*) AS n {_LQ} AND severity_text = 'ERROR' GROUP BY 1, 2) e JOIN (SELECT {_B} AS bucket_ns, service_name, count(*) AS n {_LQ} GROUP BY 1, 2) a USING (bucket_ns, service_name)", "logs")
-_add("r08_tag_names", lambda s, d: traceql.tag_names(signals.catalog(s, d), ALL_START, ALL_END), "SELECT 'intrinsic' AS scope, unnest(['duration', 'kind', 'name', 'rootName', 'rootServiceName', 'service.name', 'status', 'traceDuration']) AS tag UNION SELECT 'span', unnest(['order.priority', 'part']) FROM traces UNION SELECT 'resource', 'service.name' FROM traces", "traces")
-_add("r04_seconds", lambda s, d: traceql.search(signals.catalog(s, d), traceql.parse('{ service.name = "shop" }'), *traceql.bounds(ALL_START // 10**9, ALL_END // 10**9), 10), _ssql("service_name = 'shop'", 10), "traces")
-_add("d03_sources", lambda s, d: s.createDataFrame([(x["source"], x["available"]) for x in ir.sources(_only(signals.catalog(s, d), "logs", "metrics_sum", "profiles"))], "source string, available boolean"), "SELECT unnest(['logs', 'traces', 'metrics', 'metrics_histogram', 'profiles']) AS source, unnest([true, false, true, false, true]) AS available")
+_add(
+    "m35_series",
+    lambda s, d: promql.series(signals.catalog(s, d), '{service=~"svc-[0-4]", __name__=~"^v"}', START, END),
+    f"SELECT DISTINCT metric_name, service_name FROM metrics WHERE {_W} AND regexp_matches(service_name, 'svc-[0-4]') AND metric_name LIKE 'v%'",
+    "metrics",
+)
+_add(
+    "m36_label_stats",
+    lambda s, d: promql.label_stats(signals.catalog(s, d), START, END).withColumn("presence", F.round("presence", 4)),
+    f"WITH {ORACLE['metrics']}, a AS (SELECT k, env FROM ev WHERE {_W} UNION ALL SELECT k, env FROM ev"
+    f" WHERE {_W}) SELECT 'k' AS name, count(DISTINCT k) AS distinct_estimate, round(count(k) / count(*), 4) AS presence, false AS capped FROM a"
+    f" UNION ALL SELECT 'deployment.environment', count(DISTINCT env), round(count(env) / count(*), 4), false FROM a",
+)
+_add(
+    "l22_labels",
+    lambda s, d: logql.labels(signals.catalog(s, d), START, END),
+    f"SELECT unnest(['detected_level', 'level', 'service_name', 'span_id', 'trace_id']) AS label UNION SELECT 'event.type' {_LQ} UNION SELECT 'k' {_LQ}"
+    f" AND k IS NOT NULL UNION SELECT 'deployment.environment' {_LQ} AND env IS NOT NULL",
+    "logs",
+)
+_add(
+    "l22_series",
+    lambda s, d: logql.series(signals.catalog(s, d), '{job=~"svc-[0-4]", level!="INFO"}', START, END),
+    f"SELECT DISTINCT service_name, severity_text AS level {_LQ} AND regexp_matches(service_name, 'svc-[0-4]') AND severity_text <> 'INFO'",
+    "logs",
+)
+_add(
+    "l25_instant",
+    lambda s, d: logql.query(signals.catalog(s, d), '{service_name=~".+"} |= "e"', END, 50).select("timestamp_ns", "service_name", "body", "span_id"),
+    f"SELECT timestamp_ns, service_name, body, span_id FROM logs WHERE timestamp_ns BETWEEN {END - DAY // 24} AND {END} AND contains(body, 'e')"
+    f" ORDER BY timestamp_ns DESC, body, span_id LIMIT 50",
+    "logs",
+)
+_add(
+    "l02_forward",
+    lambda s, d: logql.lines(signals.catalog(s, d), '{service_name="svc-1"} != "view"', START, END, 40, forward=True).select("timestamp_ns", "severity_text", "span_id"),
+    f"SELECT timestamp_ns, severity_text, span_id FROM logs WHERE {_W} AND service_name = 'svc-1' AND NOT contains(body, 'view')"
+    f" ORDER BY timestamp_ns, body, span_id LIMIT 40",
+    "logs",
+)
+_add(
+    "l21_chain",
+    _logql('topk(2, label_replace(sum by (job) (count_over_time({job=~".+"}[1d])) * 2 + 1, "team", "t$1", "job", "svc-([0-4])"))'),
+    f"SELECT {_B} AS bucket_ns, service_name, CASE"
+    f" WHEN regexp_full_match(service_name, 'svc-([0-4])') THEN 't' || substr(service_name, 5) END AS team, (count(*) * 2 + 1)::DOUBLE AS value {_LQ}"
+    f" GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY {_B} ORDER BY count(*) DESC, service_name) <= 2",
+    "logs",
+)
+_add(
+    "l16_ignoring",
+    _logql('count_over_time({level="ERROR"}[1d]) / ignoring(level) sum by (job) (count_over_time({job=~".+"}[1d]))'),
+    f"SELECT e.bucket_ns, e.service_name, 'ERROR' AS severity_text, round(e.n / a.n + 1e-7, 4) + 0.0 AS value"
+    f" FROM (SELECT {_B} AS bucket_ns, service_name, count(*) AS n {_LQ} AND severity_text = 'ERROR' GROUP BY 1, 2) e"
+    f" JOIN (SELECT {_B} AS bucket_ns, service_name, count(*) AS n {_LQ} GROUP BY 1, 2) a USING (bucket_ns, service_name)",
+    "logs",
+)
+_add(
+    "r08_tag_names",
+    lambda s, d: traceql.tag_names(signals.catalog(s, d), ALL_START, ALL_END),
+    "SELECT 'intrinsic' AS scope, unnest(['duration', 'kind', 'name', 'rootName', 'rootServiceName', 'service.name', 'status', 'traceDuration']) AS tag"
+    " UNION SELECT 'span', unnest(['order.priority', 'part']) FROM traces UNION SELECT 'resource', 'service.name' FROM traces",
+    "traces",
+)
+_add(
+    "r04_seconds",
+    lambda s, d: traceql.search(signals.catalog(s, d), traceql.parse('{ service.name = "shop" }'), *traceql.bounds(ALL_START // 10**9, ALL_END // 10**9), 10),
+    _ssql("service_name = 'shop'", 10),
+    "traces",
+)
+_add(
+    "d03_sources",
+    lambda s, d: s.createDataFrame([(x["source"], x["available"]) for x in ir.sources(_only(signals.catalog(s, d), "logs", "metrics_sum", "profiles"))], "source string, available boolean"),
+    "SELECT unnest(['logs', 'traces', 'metrics', 'metrics_histogram', 'profiles']) AS source, unnest([true, false, true, false, true]) AS available",
+)
 
 
 def _only(catalog: Catalog, *tables: str) -> Catalog:
@@ -248,10 +384,28 @@ def _described(spec: dict, source: str = "logs"):
     return lambda s, d: ir.require(ir.run(doc, signals.catalog(s, d)))
 
 
-_add("d02_sketch", _described({"target": "values", "field": "event.type", "limit": 3}), f"SELECT event_type AS value, count(*) AS count, 'sketch' AS origin {_LQ} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3", "logs")
-_add("d02_declared", _described({"target": "values", "field": "span.kind"}, "traces"), "SELECT unnest(['Client', 'Consumer', 'Internal', 'Producer', 'Server', 'Unspecified']) AS value, NULL::BIGINT AS count, 'declared' AS origin")
-_add("d02_sample", _described({"target": "values", "field": "severity_text", "limit": 2, "sample": True}), f"SELECT severity_text AS value, count(*) AS count, 'sample' AS origin {_LQ} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2", "logs")
-_add("d02_hint", lambda s, d: stats.describe_values(stats.attribute_stats(signals.logs(s, d), ("log_attributes",), cap=10), "k"), "SELECT NULL::VARCHAR AS value, 10 AS count, 'hint' AS origin")
+_add(
+    "d02_sketch",
+    _described({"target": "values", "field": "event.type", "limit": 3}),
+    f"SELECT event_type AS value, count(*) AS count, 'sketch' AS origin {_LQ} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3",
+    "logs",
+)
+_add(
+    "d02_declared",
+    _described({"target": "values", "field": "span.kind"}, "traces"),
+    "SELECT unnest(['Client', 'Consumer', 'Internal', 'Producer', 'Server', 'Unspecified']) AS value, NULL::BIGINT AS count, 'declared' AS origin",
+)
+_add(
+    "d02_sample",
+    _described({"target": "values", "field": "severity_text", "limit": 2, "sample": True}),
+    f"SELECT severity_text AS value, count(*) AS count, 'sample' AS origin {_LQ} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2",
+    "logs",
+)
+_add(
+    "d02_hint",
+    lambda s, d: stats.describe_values(stats.attribute_stats(signals.logs(s, d), ("log_attributes",), cap=10), "k"),
+    "SELECT NULL::VARCHAR AS value, 10 AS count, 'hint' AS origin",
+)
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +415,14 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.describe_fields(found, {"body": "string", "severity_number": "int64"}, logs.count(), conventions.attribute_frame(spark)).withColumn("coverage", F.round("coverage", 4))
 
 
-_add("d01_describe_fields", _fields, "SELECT 'body' AS name, 'string' AS type, 'declared' AS origin, NULL::DOUBLE AS coverage UNION ALL SELECT 'severity_number', 'int64', 'declared', NULL UNION ALL SELECT 'k', 'int', 'registry', round(count(k) / count(*), 4) FROM logs UNION ALL SELECT 'event.type', 'string', 'observed', 1.0::DOUBLE UNION ALL SELECT 'deployment.environment', 'string', 'registry', round(count(env) / count(*), 4) FROM logs", "logs")
+_add(
+    "d01_describe_fields",
+    _fields,
+    "SELECT 'body' AS name, 'string' AS type, 'declared' AS origin, NULL::DOUBLE AS coverage UNION ALL SELECT 'severity_number', 'int64', 'declared', NULL"
+    " UNION ALL SELECT 'k', 'int', 'registry', round(count(k) / count(*), 4) FROM logs UNION ALL SELECT 'event.type', 'string', 'observed', 1.0::DOUBLE"
+    " UNION ALL SELECT 'deployment.environment', 'string', 'registry', round(count(env) / count(*), 4) FROM logs",
+    "logs",
+)
 
 
 def _conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +433,12 @@ def _conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.resolve({"namespace": "test", "groups": groups}).entity_frame(spark)
 
 
-_add("as6_registry", _conventions, "SELECT r_name AS entity, n_name AS attribute, 'descriptive' AS role, NULL::VARCHAR AS level FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'host', 'identifying', 'required' FROM region UNION ALL SELECT 'base', 'host', 'identifying', 'required'")
+_add(
+    "as6_registry",
+    _conventions,
+    "SELECT r_name AS entity, n_name AS attribute, 'descriptive' AS role, NULL::VARCHAR AS level FROM nation JOIN region ON n_regionkey = r_regionkey"
+    " UNION ALL SELECT r_name, 'host', 'identifying', 'required' FROM region UNION ALL SELECT 'base', 'host', 'identifying', 'required'",
+)
 
 
 def _promotions(materialized: tuple[str, ...], pinned: tuple[str, ...], **more):
@@ -286,12 +452,34 @@ def _promotions(materialized: tuple[str, ...], pinned: tuple[str, ...], **more):
     return query
 
 
-_add("as2_promotion", _promotions((), (), min_streak=3), "SELECT 'k' AS key, 50 AS hits, round(count(k) / count(*), 4) AS presence, round(50 * count(k) / count(*), 4) AS score, 3 AS streak, 'promote' AS decision FROM logs UNION ALL SELECT 'event.type', 20, 1.0::DOUBLE, 20.0::DOUBLE, 2, 'building' UNION ALL SELECT 'deployment.environment', 5, round(count(env) / count(*), 4), round(5 * count(env) / count(*), 4), 0, 'none' FROM logs", "logs")
-_add("as2_demotion", _promotions(("idle", "kept", "event.type"), ("kept",), budget=4), "SELECT 'k' AS key, 50 AS hits, round(count(k) / count(*), 4) AS presence, round(50 * count(k) / count(*), 4) AS score, 3 AS streak, 'promote' AS decision FROM logs UNION ALL SELECT 'event.type', 20, 1.0::DOUBLE, 20.0::DOUBLE, 0, 'keep' UNION ALL SELECT 'deployment.environment', 5, round(count(env) / count(*), 4), round(5 * count(env) / count(*), 4), 0, 'none' FROM logs UNION ALL SELECT 'idle', 0, 0.0::DOUBLE, 0.0::DOUBLE, 0, 'demote' UNION ALL SELECT 'kept', 0, 0.0::DOUBLE, 0.0::DOUBLE, 0, 'keep'", "logs")
+_add(
+    "as2_promotion",
+    _promotions((), (), min_streak=3),
+    "SELECT 'k' AS key, 50 AS hits, round(count(k) / count(*), 4) AS presence"
+    ", round(50 * count(k) / count(*), 4) AS score, 3 AS streak, 'promote' AS decision FROM logs"
+    " UNION ALL SELECT 'event.type', 20, 1.0::DOUBLE, 20.0::DOUBLE, 2, 'building' UNION ALL SELECT 'deployment.environment', 5"
+    ", round(count(env) / count(*), 4), round(5 * count(env) / count(*), 4), 0, 'none' FROM logs",
+    "logs",
+)
+_add(
+    "as2_demotion",
+    _promotions(("idle", "kept", "event.type"), ("kept",), budget=4),
+    "SELECT 'k' AS key, 50 AS hits, round(count(k) / count(*), 4) AS presence"
+    ", round(50 * count(k) / count(*), 4) AS score, 3 AS streak, 'promote' AS decision FROM logs"
+    " UNION ALL SELECT 'event.type', 20, 1.0::DOUBLE, 20.0::DOUBLE, 0, 'keep' UNION ALL SELECT 'deployment.environment', 5, round(count(env) / count(*), 4)"
+    ", round(5 * count(env) / count(*), 4), 0, 'none' FROM logs UNION ALL SELECT 'idle', 0, 0.0::DOUBLE, 0.0::DOUBLE, 0, 'demote'"
+    " UNION ALL SELECT 'kept', 0, 0.0::DOUBLE, 0.0::DOUBLE, 0, 'keep'",
+    "logs",
+)
 
 # --- other forms of the same queries --------------------------------------------------------------
 
-_add("a06_exact_quantile", lambda s, d: ir.require(ir.run({"irVersion": 5, "from": "logs", "range": {"from": START, "to": END}, "result": "table", "pipeline": [{"aggregate": {"by": ["service.name", "deployment.environment"], "aggs": [{"fn": "quantile", "of": "duration", "arg": 0.95, "as": "v"}, {"fn": "count", "as": "n"}]}}]}, signals.catalog(s, d), exact=True)).withColumn("v", F.round("v", 4)), f"SELECT service_name, env AS deployment_environment, round(quantile_cont(duration, 0.95), 4) AS v, count(*) AS n FROM logs WHERE {_W} GROUP BY 1, 2", "logs")
+_add(
+    "a06_exact_quantile",
+    lambda s, d: ir.require(ir.run({"irVersion": 5, "from": "logs", "range": {"from": START, "to": END}, "result": "table", "pipeline": [{"aggregate": {"by": ["service.name", "deployment.environment"], "aggs": [{"fn": "quantile", "of": "duration", "arg": 0.95, "as": "v"}, {"fn": "count", "as": "n"}]}}]}, signals.catalog(s, d), exact=True)).withColumn("v", F.round("v", 4)),
+    f"SELECT service_name, env AS deployment_environment, round(quantile_cont(duration, 0.95), 4) AS v, count(*) AS n FROM logs WHERE {_W} GROUP BY 1, 2",
+    "logs",
+)
 
 
 def _rank_error(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,17 +492,50 @@ def _rank_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("a06_rank_error", _rank_error, f"SELECT service_name, count(duration) AS n, true AS within_bound FROM logs WHERE {_W} GROUP BY 1", "logs")
-_add("m13_by_nothing", _prom("max(view) - min(view)"), f"SELECT bucket_ns, round(hi - lo + 1e-7, 4) + 0.0 AS value FROM (SELECT {_B} AS bucket_ns, max(value) AS hi, min(value) AS lo FROM metrics WHERE {_W} AND metric_name = 'view' GROUP BY 1)", "metrics")
-_add("m16_fractions", _prom('count_values("v", floor(view) / 4 + 0.125)'), f"SELECT bucket_ns, (floor(value) / 4 + 0.125)::VARCHAR AS service_name, count(*)::DOUBLE AS value FROM (SELECT {_B} AS bucket_ns, {_SER}, arg_max(value, timestamp_ns) AS value FROM metrics WHERE {_W} AND metric_name = 'view' GROUP BY ALL) GROUP BY 1, 2", "metrics")
-_add("m27_scalar_nan", _prom("scalar(sum by (service) (view))"), f"SELECT {_B} AS bucket_ns, '' AS metric_name, '' AS service_name, CASE WHEN count(DISTINCT service_name) = 1 THEN round(sum(value) + 1e-7, 4) + 0.0 ELSE 'nan'::DOUBLE END AS value FROM metrics WHERE {_W} AND metric_name = 'view' GROUP BY 1", "metrics")
+_add(
+    "m13_by_nothing",
+    _prom("max(view) - min(view)"),
+    f"SELECT bucket_ns, round(hi - lo + 1e-7, 4) + 0.0 AS value FROM (SELECT {_B} AS bucket_ns, max(value) AS hi, min(value) AS lo FROM metrics WHERE {_W}"
+    f" AND metric_name = 'view' GROUP BY 1)",
+    "metrics",
+)
+_add(
+    "m16_fractions",
+    _prom('count_values("v", floor(view) / 4 + 0.125)'),
+    f"SELECT bucket_ns, (floor(value) / 4 + 0.125)::VARCHAR AS service_name, count(*)::DOUBLE AS value"
+    f" FROM (SELECT {_B} AS bucket_ns, {_SER}, arg_max(value, timestamp_ns) AS value FROM metrics WHERE {_W} AND metric_name = 'view' GROUP BY ALL)"
+    f" GROUP BY 1, 2",
+    "metrics",
+)
+_add(
+    "m27_scalar_nan",
+    _prom("scalar(sum by (service) (view))"),
+    f"SELECT {_B} AS bucket_ns, '' AS metric_name, '' AS service_name, CASE"
+    f" WHEN count(DISTINCT service_name) = 1 THEN round(sum(value) + 1e-7, 4) + 0.0 ELSE 'nan'::DOUBLE END AS value FROM metrics WHERE {_W}"
+    f" AND metric_name = 'view' GROUP BY 1",
+    "metrics",
+)
 
 _RISE = f"""SELECT * FROM (SELECT timestamp_ns - timestamp_ns % {DAY * 30} AS bucket_ns, service_name, {', '.join(f'greatest(arg_max(c{i}, timestamp_ns) - arg_min(c{i}, timestamp_ns), 0)::DOUBLE AS c{i}' for i in range(5))} FROM hist WHERE timestamp_ns BETWEEN {ALL_START} AND {ALL_END} GROUP BY 1, 2)"""
 _RQ = f"""q AS (SELECT *, c0+c1+c2+c3+c4 AS t, 0.7*(c0+c1+c2+c3+c4) AS r FROM ({_RISE}))"""
 _RV = "round(CASE WHEN t <= 0 THEN 'nan'::DOUBLE WHEN c0 >= r THEN 10*r/c0 WHEN c0+c1 >= r THEN 10+10*(r-c0)/c1 WHEN c0+c1+c2 >= r THEN 20+10*(r-c0-c1)/c2 WHEN c0+c1+c2+c3 >= r THEN 30+10*(r-c0-c1-c2)/c3 ELSE 40 END + 1e-7, 4) + 0.0"
 _WIDE = {"step": DAY * 30, "start": ALL_START, "end": ALL_END}
-_add("m31_rate", _prom("histogram_quantile(0.7, rate(quantity[30d]))", **_WIDE), f"WITH {ORACLE['hist']}, {_RQ} SELECT bucket_ns, 'quantity' AS metric_name, service_name, {_RV} AS value FROM q")
-_add("a15_rate", lambda s, d: _ir("metrics_histogram", [{"histogram_quantile": {"phi": 0.7, "by": ["service.name"], "step": "30d", "mode": "rate"}}], "series", start=ALL_START, end=ALL_END)(s, d).withColumn("value", _rounded("value")), f"WITH {ORACLE['hist']}, {_RQ} SELECT bucket_ns, 'quantity' AS metric_name, service_name, {_RV} AS value FROM q")
-_add("a13_limit", _ir("logs", [{"aggregate": {"by": ["service.name"], "aggs": [{"fn": "count", "as": "n"}]}}, {"order": [{"of": "n"}, {"of": "service.name"}]}, {"limit": 3}], "table"), f"SELECT service_name, count(*) AS n FROM logs WHERE {_W} GROUP BY 1 ORDER BY 2, 1 LIMIT 3", "logs")
+_add(
+    "m31_rate",
+    _prom("histogram_quantile(0.7, rate(quantity[30d]))", **_WIDE),
+    f"WITH {ORACLE['hist']}, {_RQ} SELECT bucket_ns, 'quantity' AS metric_name, service_name, {_RV} AS value FROM q",
+)
+_add(
+    "a15_rate",
+    lambda s, d: _ir("metrics_histogram", [{"histogram_quantile": {"phi": 0.7, "by": ["service.name"], "step": "30d", "mode": "rate"}}], "series", start=ALL_START, end=ALL_END)(s, d).withColumn("value", _rounded("value")),
+    f"WITH {ORACLE['hist']}, {_RQ} SELECT bucket_ns, 'quantity' AS metric_name, service_name, {_RV} AS value FROM q",
+)
+_add(
+    "a13_limit",
+    _ir("logs", [{"aggregate": {"by": ["service.name"], "aggs": [{"fn": "count", "as": "n"}]}}, {"order": [{"of": "n"}, {"of": "service.name"}]}, {"limit": 3}], "table"),
+    f"SELECT service_name, count(*) AS n FROM logs WHERE {_W} GROUP BY 1 ORDER BY 2, 1 LIMIT 3",
+    "logs",
+)
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +547,13 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ir.require(ir.run(doc, c))
 
 
-_add("s04_coerced", _mixed, f"SELECT metric_name, env AS deployment_environment, count(*) AS n FROM (SELECT event_type AS metric_name, k, env, timestamp_ns FROM ev UNION ALL SELECT event_type || '_total', k, env, timestamp_ns FROM ev) WHERE {_W} AND k::DOUBLE < 20 GROUP BY 1, 2", "logs")
+_add(
+    "s04_coerced",
+    _mixed,
+    f"SELECT metric_name, env AS deployment_environment, count(*) AS n FROM (SELECT event_type AS metric_name, k, env, timestamp_ns FROM ev"
+    f" UNION ALL SELECT event_type || '_total', k, env, timestamp_ns FROM ev) WHERE {_W} AND k::DOUBLE < 20 GROUP BY 1, 2",
+    "logs",
+)
 
 
 def _lowered_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,8 +566,19 @@ def _lowered_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ir.require(ir.run(doc, signals.catalog(spark, sf_dir))).select("bucket_ns", "service_name", _rounded("value").alias("value"))
 
 
-_add("r10_traceql", _lowered_traces, f"SELECT trace_id, span_id, duration_nanos AS duration FROM traces WHERE {_T} AND status_code = 'Error' AND priority = '2-HIGH' AND service_name = 'shop'", "traces")
-_add("r10_logql", _lowered_logs, f"SELECT {_B} AS bucket_ns, service_name, round(count(*) / 3600.0 + 1e-7, 4) + 0.0 AS value {_LQ} AND severity_text <> 'INFO' AND regexp_matches(k, '^[1-4]') GROUP BY 1, 2", "logs")
+_add(
+    "r10_traceql",
+    _lowered_traces,
+    f"SELECT trace_id, span_id, duration_nanos AS duration FROM traces WHERE {_T} AND status_code = 'Error' AND priority = '2-HIGH' AND service_name = 'shop'",
+    "traces",
+)
+_add(
+    "r10_logql",
+    _lowered_logs,
+    f"SELECT {_B} AS bucket_ns, service_name, round(count(*) / 3600.0 + 1e-7, 4) + 0.0 AS value {_LQ} AND severity_text <> 'INFO'"
+    f" AND regexp_matches(k, '^[1-4]') GROUP BY 1, 2",
+    "logs",
+)
 
 
 def _deep_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,7 +615,22 @@ def _ticket(text: str, *columns: str):
     return query
 
 
-_add("s08_signals", _ticket('sql:acme:prod:{"query":"SELECT l.service_name, count(*) AS n, max(m.value) AS top FROM logs l JOIN metrics_gauge m ON l.timestamp_ns = m.timestamp_ns AND l.service_name = m.service_name WHERE l.severity_text = \'ERROR\' GROUP BY 1"}'), f"WITH {ORACLE['logs']} SELECT l.service_name, count(*) AS n, max(m.value) AS top FROM logs l JOIN ev m ON l.timestamp_ns = m.timestamp_ns AND l.service_name = m.service_name WHERE l.severity_text = 'ERROR' GROUP BY 1")
+_add(
+    "s08_signals",
+    _ticket('sql:acme:prod:{"query":"SELECT l.service_name, count(*) AS n, max(m.value) AS top FROM logs l JOIN metrics_gauge m ON l.timestamp_ns = m.timestamp_ns AND l.service_name = m.service_name WHERE l.severity_text = \'ERROR\' GROUP BY 1"}'),
+    f"WITH {ORACLE['logs']} SELECT l.service_name, count(*) AS n, max(m.value) AS top FROM logs l JOIN ev m ON l.timestamp_ns = m.timestamp_ns"
+    f" AND l.service_name = m.service_name WHERE l.severity_text = 'ERROR' GROUP BY 1",
+)
 _add("s08_capped", _ticket('sql:acme:prod:{"query":"SELECT 1 AS one FROM logs","most":25}'), "SELECT 1 AS one FROM range(25)")
-_add("s08_ticket", _ticket(f'search_traces:acme:prod:{{"query":"{{ kind = client }}","start":{ALL_START // 10**9},"end":{ALL_END // 10**9},"min_duration":"10ms","limit":15}}'), _ssql("span_kind = 'Client' AND duration_nanos >= 10000000", 15), "traces")
-_add("s08_metrics_ticket", _ticket(f'query_promql:acme:prod:{{"query":"sum by (service) (view)","start":{START},"end":{END},"step":"1d"}}', "bucket_ns", "service_name", "value"), f"SELECT {_B} AS bucket_ns, service_name, sum(value) AS value FROM metrics WHERE {_W} AND metric_name = 'view' GROUP BY 1, 2".replace("sum(value) AS value", "round(sum(value), 6) AS value"), "metrics")
+_add(
+    "s08_ticket",
+    _ticket(f'search_traces:acme:prod:{{"query":"{{ kind = client }}","start":{ALL_START // 10**9},"end":{ALL_END // 10**9},"min_duration":"10ms","limit":15}}'),
+    _ssql("span_kind = 'Client' AND duration_nanos >= 10000000", 15),
+    "traces",
+)
+_add(
+    "s08_metrics_ticket",
+    _ticket(f'query_promql:acme:prod:{{"query":"sum by (service) (view)","start":{START},"end":{END},"step":"1d"}}', "bucket_ns", "service_name", "value"),
+    f"SELECT {_B} AS bucket_ns, service_name, sum(value) AS value FROM metrics WHERE {_W} AND metric_name = 'view' GROUP BY 1, 2".replace("sum(value) AS value", "round(sum(value), 6) AS value"),
+    "metrics",
+)
