@@ -273,6 +273,14 @@ def _log(v: Column, f) -> Column:
     return F.when(v == 0, F.lit(float("-inf"))).when(v < 0, F.lit(float("nan"))).otherwise(f(v))
 
 
+def number_text(v: Column) -> Column:
+    """A number as its shortest decimal text, never with an exponent; whole numbers without a point."""
+    text = v.cast("string")
+    plain = F.when(F.abs(v) >= 1e19, text.try_cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), "0+$", ""))
+    spelled = F.when(F.isnan(v), "NaN").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf").when(text.contains("E"), F.coalesce(plain, text)).otherwise(text)
+    return F.regexp_replace(spelled, r"\.0*$", "")
+
+
 _CALENDAR = {
     "day_of_week": lambda t: F.dayofweek(t) - 1, "day_of_month": F.dayofmonth, "day_of_year": F.dayofyear, "days_in_month": lambda t: F.day(F.last_day(t)),
     "hour": F.hour, "minute": F.minute, "month": F.month, "year": F.year,
@@ -391,8 +399,7 @@ class Evaluation:
             return mx.top(self.matrix(a.expr), int(self.number(a.param)), a.op == "topk")
         if a.op == "count_values":
             m = self.matrix(a.expr)
-            text = F.regexp_replace(F.col("value").cast("string"), r"\.0$", "")
-            return Matrix(m.frame.groupBy("bucket_ns", text.alias("service_name")).agg(F.count(F.lit(1)).cast("double").alias("value")), ("service_name",))
+            return Matrix(m.frame.groupBy("bucket_ns", number_text(F.col("value")).alias("service_name")).agg(F.count(F.lit(1)).cast("double").alias("value")), ("service_name",))
         param = self.number(a.param) if a.param is not None else None
         if isinstance(a.expr, Selector) and not a.expr.range_ns and a.expr.at_ns is None:
             m = self.samples(a.expr)  # an aggregate of a selector takes all samples of the step

@@ -180,7 +180,6 @@ _add(
     _BYSQL + " ORDER BY n DESC NULLS FIRST, 1, 2 LIMIT 7",
     "logs",
 )
-_add("a13_limit", _ir("logs", [_BY, {"limit": 1000}], "table"), _BYSQL, "logs")
 _add("a19_having", _ir("logs", [_BY, {"where": {"field": "n", "op": "gt", "value": 150}}], "table"), _BYSQL + " HAVING count(*) > 150", "logs")
 _add(
     "a14_heatmap",
@@ -651,10 +650,17 @@ _add(
     "SELECT span_id, concat_ws(',', 'deployment.environment=' || env, 'event.type=' || event_type, 'k=' || k) AS tokens FROM logs",
     "logs",
 )
+_SUFFIXES = ("_total", "_bucket", "_count", "_sum", "_created", "_info", "", "_totals")
 _add(
     "s10_remote_write_kind",
-    lambda s, d: signals.metrics_sum(s, d).select("metric_name", remote_write.kind(F.col("metric_name")).alias("kind")).distinct(),
-    "SELECT DISTINCT event_type || '_total' AS metric_name, 'sum' AS kind FROM events",
+    lambda s, d: (
+        signals._events(s, d)
+        .select(F.concat("event_type", F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.col("event_id") % len(_SUFFIXES) + 1).cast("int"))).alias("metric_name"))
+        .groupBy("metric_name", remote_write.kind(F.col("metric_name")).alias("kind"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    ),
+    f"SELECT event_type || ([{', '.join(repr(x) for x in _SUFFIXES)}])[event_id % {len(_SUFFIXES)} + 1] AS metric_name, CASE event_id % 8 WHEN 0 THEN 'sum' WHEN 1 THEN 'histogram'"
+    " WHEN 2 THEN 'sum' WHEN 3 THEN 'sum' WHEN 4 THEN 'sum' ELSE 'gauge' END AS kind, count(*) AS n FROM events GROUP BY 1, 2",
 )
 _add(
     "h04_arrays",
