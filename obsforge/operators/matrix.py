@@ -42,7 +42,7 @@ def aggregate(op: str, x: Column, param: float | None = None) -> Column:
 
 
 #: A quantile's rank is off by a share of 1 / ACCURACY at most; the state of a group is bounded by it.
-ACCURACY = 10_000
+ACCURACY = 100_000
 
 
 def approximate_quantile(x: Column, phi: float) -> Column:

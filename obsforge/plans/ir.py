@@ -337,8 +337,8 @@ def merged_histograms(frame: DataFrame, step_ns: int, by: list[tuple[str, Column
 def run(doc: dict, catalog: Catalog, tenant: str = "acme", dataset: str = "prod", now_ns: int = 0, exact: bool = False) -> Relation:
     """A lazy relation for a document; ``empty`` where the source has no table.
 
-    Quantiles are values whose rank is off by a ten-thousandth at most, or ``exact``, for which rows
-    are read twice more.
+    Quantiles are values whose rank is off by a share of 1 / ACCURACY at most, or ``exact``, for which
+    rows are read twice more.
     """
     return _Lowering(doc, catalog, tenant, dataset, now_ns, exact).run()
 

@@ -21,9 +21,7 @@ def query(spark: SparkSession, catalog: Catalog, text: str, tenant: str = "acme"
     plain = re.sub(r"--[^\n]*|/\*.*?\*/", " ", text, flags=re.S).strip().rstrip(";")
     if not re.match(r"(?i)(select|with|values|from)\b|\(", plain) or ";" in re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", "", plain):
         raise InvalidInput("only one query")
-    session = spark.newSession()  # whose views no other query sees
-    for key, value in _settings(spark):
-        session.conf.set(key, value)
+    session = _session(spark, tenant, dataset)
     catalog.find(tenant, dataset, "logs")  # an unknown tenant is an error
     for name in catalog.tables(tenant, dataset):
         frame = catalog.find(tenant, dataset, name)
@@ -36,9 +34,17 @@ def query(spark: SparkSession, catalog: Catalog, text: str, tenant: str = "acme"
     return out if most is None else out.limit(most)
 
 
-def _settings(spark: SparkSession) -> list[tuple[str, str]]:
-    """Settings of the caller's session that a new one would not have."""
-    return [(k, spark.conf.get(k)) for k in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled")]
+_sessions: dict[tuple[str, str, str], SparkSession] = {}
+
+
+def _session(spark: SparkSession, tenant: str, dataset: str) -> SparkSession:
+    """A session of the dataset's own, whose views no other dataset sees, with the caller's settings."""
+    key = (spark.sparkContext.applicationId, tenant, dataset)
+    if key not in _sessions:
+        _sessions[key] = spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled"):
+        _sessions[key].conf.set(name, spark.conf.get(name))
+    return _sessions[key]
 
 
 def _register(session: SparkSession, frame: DataFrame, name: str) -> None:

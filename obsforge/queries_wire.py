@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import histogram
 from .operators import otlp, profiles, remote_write, stats, transforms
+from .operators.matrix import ACCURACY
 from .plans import ir, logql, lowering, promql, registry, tickets, traceql
 from .queries import _B, _LQ, _SER, _T, _W, ALL_END, ALL_START, DAY, END, START, _add, _ir, _logql, _prom, _rounded, _ssql, _where
 from .sources import signals
@@ -487,7 +488,7 @@ def _rank_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _ir("logs", [{"aggregate": {"by": ["service.name"], "aggs": [{"fn": "quantile", "of": "duration", "arg": 0.9, "as": "v"}]}}], "table")(spark, sf_dir)
     rows = signals.logs(spark, sf_dir).where(F.col("timestamp_ns").between(START, END)).join(found, "service_name")
     ranks = rows.groupBy("service_name").agg(F.count_if(F.col("duration") < F.col("v")).alias("below"), F.count_if(F.col("duration") <= F.col("v")).alias("upto"), F.count("duration").alias("n"))
-    near = (F.col("below") <= 0.9 * F.col("n") + 1 + F.col("n") / 10_000) & (F.col("upto") >= 0.9 * F.col("n") - 1 - F.col("n") / 10_000)
+    near = (F.col("below") <= 0.9 * F.col("n") + 1 + F.col("n") / ACCURACY) & (F.col("upto") >= 0.9 * F.col("n") - 1 - F.col("n") / ACCURACY)
     return ranks.select("service_name", "n", near.alias("within_bound"))
 
 
