@@ -33,11 +33,11 @@ ZONES = 2
 _SPACE = r" \t\r\x0B\f"
 
 
-def words(line: Column) -> Column:
-    """The words of a line, or its letters if it is one long word without spaces; one empty word if it has none."""
-    w = F.split(F.trim(line, F.lit(" \t\r\x0b\f")), f"[{_SPACE}]+")
-    letters = (F.size(w) == 1) & (F.char_length(w[0]) >= MIN_LETTERS) & F.rlike(w[0], F.lit(_UNSPACED))
-    return F.when(letters, F.split(w[0], "")).otherwise(w)
+def words(lines_: Column) -> Column:
+    """The words of each line; its letters if it is one long word without spaces; one empty word if it has none."""
+    cut = F.transform(lines_, lambda x: F.split(F.trim(x, F.lit(" \t\r\x0b\f")), f"[{_SPACE}]+"))
+    letters = lambda w: (F.size(w) == 1) & (F.char_length(w[0]) >= MIN_LETTERS) & F.rlike(w[0], F.lit(_UNSPACED))
+    return F.transform(cut, lambda w: F.when(letters(w), F.split(w[0], "")).otherwise(w))
 
 
 def lines(text: Column) -> Column:
@@ -91,7 +91,7 @@ ORDER = ("o_none", "o_id", "o_print", "o_line")
 
 def kept_lines(documents: DataFrame, durable: Durable, min_words: int = MIN_WORDS, min_alike: int = MIN_ALIKE, edits: int = EDITS) -> DataFrame:
     """ORDER of each line that stays, one row for each different line of at least ``min_words`` words."""
-    each = documents.select(F.col("doc_id").isNull().cast("long").alias("o_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("o_id"), F.xxhash64("text").alias("o_print"), F.posexplode(F.transform(lines(F.col("text")), words)).alias("o_line", "w"))
+    each = documents.select(F.col("doc_id").isNull().cast("long").alias("o_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("o_id"), F.xxhash64("text").alias("o_print"), F.posexplode(words(lines(F.col("text")))).alias("o_line", "w"))
     each = each.withColumn("o_line", F.col("o_line").cast("long")).where((F.size("w") >= min_words) & (F.col("w")[0] != ""))
     n = F.size("w")
     zoned = [F.when(n >= min_alike, _zoned(i, n + more, F.col("w"))) for more in (0, 1) for i in range(ZONES)]
@@ -109,7 +109,7 @@ def kept_lines(documents: DataFrame, durable: Durable, min_words: int = MIN_WORD
     wanted = classes.join(F.broadcast(asked) if few else asked, "h1").select("h1", "h2", "o", "zones")
     by_doc = wanted.groupBy("o.o_none", "o.o_id", "o.o_print").agg(F.collect_list(F.struct("h1", "h2", "o", "zones")).alias("x"))
     texts = documents.select(F.col("doc_id").isNull().cast("long").alias("o_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("o_id"), F.xxhash64("text").alias("o_print"), "text")
-    found = texts.join(F.broadcast(by_doc) if few else by_doc, list(ORDER[:3])).select(lines(F.col("text")).alias("ls"), F.explode("x").alias("x")).select("x.*", words(F.get("ls", F.col("x.o.o_line").cast("int"))).alias("w"))
+    found = texts.join(F.broadcast(by_doc) if few else by_doc, list(ORDER[:3])).select(lines(F.col("text")).alias("ls"), F.explode("x").alias("x")).select("x.*", words(F.array(F.get("ls", F.col("x.o.o_line").cast("int"))))[0].alias("w"))
     # Repeated rows of a document bring a line more than once. The number follows the order of lines.
     found = found.dropDuplicates(["h1", "h2"]).repartitionByRange("o").sortWithinPartitions("o")
     found = durable.keep(found.select("h1", "h2", F.monotonically_increasing_id().alias("r"), "zones", "w"), "lines")

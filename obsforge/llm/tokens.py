@@ -9,7 +9,7 @@ import re
 import numpy as np
 
 #: Words, and parts of words, that an encoder keeps the ids of; beyond it begins anew. About 0.2 KB each.
-ROOM = 700_000
+ROOM = 200_000
 
 #: A word of Latin letters, and marks that the tokenizer cuts off it as a piece of their own.
 _LETTERS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?*#$%&|()]*)").fullmatch

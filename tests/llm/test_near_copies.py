@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from obsforge.llm import near_copies, op4_simhash
@@ -30,11 +31,13 @@ def brute(rows):
     return sorted((keys[i] for i in range(len(keys)) if find(i) == i), key=str)
 
 
-@pytest.mark.parametrize("crowd, pivots", [(20, 3), (2, 2), (2, 0)])
-def test_near_copies_against_all_pairs(spark, monkeypatch, crowd, pivots):
+@pytest.mark.parametrize("crowd, pivots, rounds, told", [(32, 3, 1, 200_000), (2, 2, 1, 200_000), (2, 0, 0, 0), (2, 1, 2, 0)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, crowd, pivots, rounds, told):
     """Copies with a word changed are mostly more than two bits apart, and all but one of a group go."""
     monkeypatch.setattr(near_copies, "CROWD", crowd)
     monkeypatch.setattr(near_copies, "PIVOTS", pivots)
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", told)
     rng = random.Random(7)
     rows = []
     for _ in range(8):
@@ -61,6 +64,21 @@ def test_one_row_of_each_group_stays(spark):
     assert op4_simhash.keep_first(docs.limit(0)).count() == 0
 
 
+def test_sketches_bound_what_parts_two_sets(spark):
+    """Never more bits than shingles part them, also where sets of other sizes have sketches of other lengths."""
+    rng = np.random.default_rng(2)
+    rows, want = [], []
+    for n in (1, 3, 60, 64, 65, 120, 130, 500, 520, 4000, 4100):
+        for gone in (0, 1, n // 10):
+            a = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+            b = np.concatenate([a[gone:], rng.integers(-(1 << 63), 1 << 63, n // 9)])
+            rows.append((near_copies.sketch(a).tolist(), near_copies.sketch(b).tolist()))
+            want.append(len(set(a.tolist()) ^ set(b.tolist())))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    got = [r.p for r in df.coalesce(1).select(near_copies.parted(df.a, df.b).alias("p")).collect()]
+    assert all(0.6 * w <= p <= w and (w - p) % 2 == 0 for p, w in zip(got, want, strict=True))
+
+
 def test_fingerprints_find_the_closest_pairs(spark):
     """What fingerprints link is looked at first; without them the groups are the same."""
     from obsforge.llm.common import Durable
