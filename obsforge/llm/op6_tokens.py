@@ -15,10 +15,10 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from .common import Durable, delete_folder, map_batches, shared_folder, table, utf8
 from .tokens import encoder, vocabulary
 
@@ -66,9 +66,7 @@ class TokenRollup:
         for status in fs.listStatus(path) if fs.exists(path) else []:
             name = status.getPath().getName()
             if name.startswith("batch="):
-                stream = fs.open(status.getPath())
-                told = bytes(stream.readAllBytes()).decode()
-                stream.close()
+                told = scratch.content_of(self.spark, status.getPath().toString()).decode()
                 found.append((status, name.removeprefix("batch="), told if len(told) == NAME else ""))
         return found
 
@@ -95,16 +93,7 @@ class TokenRollup:
 
     def _mark(self, batch: str, folder: str) -> bool:
         """Create a batch's marker; False if it is there, whoever created it."""
-        path, fs = self._path(f"batch={batch}")
-        try:
-            out = fs.create(path, False)
-        except Py4JJavaError:
-            if fs.exists(path):
-                return False
-            raise
-        out.write(bytearray(folder.encode()))
-        out.close()
-        return True
+        return scratch.create_once(self.spark, f"{self.folder}/batch={batch}", folder.encode())
 
     def sweep(self, older_than_ms: int) -> list[str]:
         """Delete folders that no marker tells, and empty markers, older than so many milliseconds; returns their names."""
