@@ -10,6 +10,8 @@ import numpy as np
 
 #: Words, and parts of words, that an encoder keeps the ids of; beyond it begins anew. About 0.2 KB each.
 ROOM = 200_000
+#: Words of more bytes are encoded anew each time, so the store is bounded in bytes too.
+LONG = 256
 
 #: A word of Latin letters, and marks that the tokenizer cuts off it as a piece of their own.
 _LETTERS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?*#$%&|()]*)").fullmatch
@@ -31,7 +33,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.room, self.known, self.parts = room, {}, {}
+        self.room, self.known, self.parts, self.long = room, {}, {}, []
         self.pieces, self.ends = _pieces(path)
 
     def _plain(self, words: list[bytes]) -> list[bytes]:
@@ -61,6 +63,11 @@ class WordEncoder:
         of = self.parts
         for w, (a, b) in zip(new, cut, strict=True):
             self.known[w] = of[a] + of[b] if a and b else of[a or b]
+            for x in (a, b):
+                if len(x) > LONG:
+                    self.long.append((of, x))
+            if len(w) > LONG:
+                self.long.append((self.known, w))
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text, one after the other."""
@@ -69,7 +76,11 @@ class WordEncoder:
             return b"".join([self.known[w] for w in words])
         except KeyError:
             self._learn(set(words))
-            return b"".join([self.known[w] for w in words])
+            out = b"".join([self.known[w] for w in words])
+            for store, w in self.long:
+                store.pop(w, None)
+            self.long.clear()
+            return out
 
 
 def _pieces(path: str):

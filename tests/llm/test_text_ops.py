@@ -89,6 +89,18 @@ def test_quality_rules_over_odd_rows(spark, odd):
     assert op5_rules.quality_rules(odd.limit(0), op5_rules.IsolationForest([])).count() == 0
 
 
+def test_forest_on_rows_that_it_is_not_calibrated_on(spark):
+    """Labels of four folds set the threshold, those of the fifth tell how it does."""
+    d = "/root/testdata/sf0.1"
+    documents, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    forest = op5_rules.fit(documents, labels.where(~fold))
+    judged = op5_rules.quality_rules(documents.join(labels.where(fold).select("doc_id"), "doc_id", "left_semi"), forest).join(labels, "doc_id").where("not base_failed")
+    got = {(r.quality, r.kept): r.n for r in judged.groupBy("quality", "kept").agg(F.count(F.lit(1)).alias("n")).collect()}
+    good, bad = (sum(n for (q, _), n in got.items() if q == k) for k in (1, 0))
+    assert got.get((1, True), 0) >= 0.95 * good and got.get((0, False), 0) >= 0.9 * bad and bad >= 20
+
+
 def test_rule_ensemble_learns_and_compiles(spark):
     rng = np.random.default_rng(1)
     x = rng.random((1500, len(op9_quality.FEATURES)))
@@ -165,8 +177,10 @@ def test_word_encoder_equals_tokenizer():
     rng = random.Random(4)
     kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCÀÉÖßé", ".,!?*'\"-_", "0123456789", "中文字", "́İΣς", "  \x85\x1c ", " \n\t"]
     texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(40))) for _ in range(1500)] + [t for _, t in ODD if t]
+    texts += ["ab" * 400 + "!" * 300 + " short " + "ab" * 400, "é" * 500]
     for t in texts:
         assert list(np.frombuffer(e.encode(t.encode()), "<u4")) == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert max(map(len, [*e.known, *e.parts])) <= 256  # long words are not kept
 
 
 def test_differencing_is_near_equal_and_complete():
