@@ -31,7 +31,7 @@ from .graph import connected_components
 SHINGLE_WORDS = 5
 #: Sets that meet at a shingle are compared pair by pair up to so many.
 CROWD = 32
-PIVOTS = 2
+PIVOTS = 1
 #: How often the shingles that crowds meet at are put last and documents meet anew.
 ROUNDS = 1
 #: Bits of a sketch: as many as a set has shingles, rounded up to a power of two, within these bounds.
@@ -253,7 +253,7 @@ class Links:
         durable = self.durable
         if near:
             self.add(near(self.nodes, durable))
-        met = durable.keep(self.labelled(self.posts()), "met")
+        met = durable.keep(self.posts().withColumn("label", F.col("node")), "met")
         self.add(_pairs(met.where(F.col("c") <= CROWD), ["s"]))
         # Crowds are told apart by size: similar sets are in the same class or the next, so they share one of two.
         kind = F.floor(F.log("size") / F.log(F.lit(1.26)))

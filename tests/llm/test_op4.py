@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from obsforge.llm import graph
 from obsforge.llm import op4_simhash as op
 from obsforge.llm.common import Durable
 from obsforge.llm.graph import connected_components
@@ -27,7 +28,9 @@ def components(values, near):
     return [find(i) for i in range(len(values))]
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("small", [20_000, 0])
+def test_components_against_union_find(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL_EDGES", small)
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Durable(spark)).collect()}
