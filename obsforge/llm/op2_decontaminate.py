@@ -34,12 +34,14 @@ MIN_ITEM = 5
 BROADCAST_SEEDS = 100_000
 #: Scripts that set no spaces between words: each of their letters is a token.
 _UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
+#: All such letters are in these ranges, which are looked for first: scripts are dear to tell, and most texts have none.
+_MAYBE_UNSPACED = r"[\u0e00-\u0e7f\u2e80-\x{10ffff}]"
 
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits in lower case; letters of scripts without spaces one by one."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    apart = F.when(F.rlike(low, F.lit(_UNSPACED)), F.regexp_replace(low, f"({_UNSPACED})", " $1 ")).otherwise(low)
+    apart = F.when(F.rlike(text, F.lit(_MAYBE_UNSPACED)), F.regexp_replace(low, f"({_UNSPACED})", " $1 ")).otherwise(low)
     return F.filter(F.split(apart, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
@@ -57,12 +59,17 @@ def short_mask(size: int) -> int:
     return size // 2 if size >= MIN_SUBSTITUTED else size
 
 
+def _number(mask: tuple[int, ...]) -> Column:
+    """What tells the hashes of one mask from those of another."""
+    return F.lit(sum(1 << k for k in mask))
+
+
 def _seeds(h: Column, masks: tuple[tuple[int, ...], ...]) -> Column:
     """For each mask, what it reads at each position where it fits."""
 
     def at(mask: tuple[int, ...]) -> Column:
         fits = F.size(h) - mask[-1]
-        read = F.transform(F.sequence(F.lit(0), fits - 1), lambda i: F.xxhash64(F.lit(str(mask)), *[h[i + k] for k in mask]))
+        read = F.transform(F.sequence(F.lit(0), fits - 1), lambda i: F.xxhash64(_number(mask), *[h[i + k] for k in mask]))
         return F.when(fits > 0, read).otherwise(F.array().cast("array<bigint>"))
 
     return F.array(*[at(m) for m in masks])
@@ -84,7 +91,7 @@ def benchmark_seeds(items: DataFrame, short: list[int]) -> DataFrame:
         width = len(masks[k])
         sizes = [m for m in range(MIN_ITEM, WINDOW) if short_mask(m) == width]
         some = items.where(F.size("b").isin(sizes)).select("item_id", F.explode(F.array_distinct(F.array(F.lit(0), F.when(F.size("b") >= MIN_SUBSTITUTED, F.size("b") - width).otherwise(0)))).alias("q"), "b")
-        seed = F.xxhash64(F.lit(str(masks[k])), *[F.get("b", F.col("q") + i) for i in range(width)])
+        seed = F.xxhash64(_number(masks[k]), *[F.get("b", F.col("q") + i) for i in range(width)])
         out = out.unionByName(some.select("item_id", F.lit(k).alias("mask"), "q", seed.alias("seed"), F.lit(None).cast("bigint").alias("before")))
     return out
 
