@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +18,17 @@ def attribute_stats(frame: DataFrame, containers: tuple[str, ...], cap: int = DI
     the most frequent values with their counts, by count and then value; none if capped. Values are
     counted apart before they meet by key, and of each task's values only the ``top`` first are ranked.
     """
-    held = [F.transform(F.map_entries(F.coalesce(F.col(c), F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))) for c in containers]
-    entries = F.array_distinct(F.flatten(F.array(*held)))
-    # Of a key's entries in a row, the first stands for the row.
-    marked = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("v"), (F.array_position(F.transform(entries, lambda x: x["key"]), e["key"]) == i + 1).cast("int").alias("first")))
+    held = [F.coalesce(F.col(c), F.create_map().cast("map<string,string>")) for c in containers]
+
+    def entries(j: int) -> Column:
+        """Of a container, what no earlier one has alike; of a key's entries in a row, the first stands for the row."""
+        before = lambda test: reduce(Column.__or__, map(test, held[:j]), F.lit(False))
+        own = F.map_entries(held[j])
+        own = F.filter(own, lambda e: ~before(lambda m: F.map_contains_key(m, e["key"]) & m[e["key"]].eqNullSafe(e["value"]))) if j else own
+        first = lambda e: (~before(lambda m: F.map_contains_key(m, e["key"]))).cast("int") if j else F.lit(1)
+        return F.transform(own, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("v"), first(e).alias("first")))
+
+    marked = F.concat(*[entries(j) for j in range(len(held))])
     each = frame.select(F.explode(marked).alias("e")).select("e.*")
     counted = each.groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("rows"))
     totals = counted.groupBy("key").agg(F.sum("rows").alias("present"), F.count("v").alias("distinct"))

@@ -22,10 +22,9 @@ def query(spark: SparkSession, catalog: Catalog, text: str, tenant: str = "acme"
     if not re.match(r"(?i)(select|with|values|from)\b|\(", plain) or ";" in re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", "", plain):
         raise InvalidInput("only one query")
     session = _session(spark, tenant, dataset)
-    catalog.find(tenant, dataset, "logs")  # an unknown tenant is an error
+    catalog.find(tenant, dataset, "")  # an unknown tenant is an error, whatever the query names
     for name in catalog.tables(tenant, dataset):
-        frame = catalog.find(tenant, dataset, name)
-        if frame is not None and re.search(rf"(?i)(?<![\w]){re.escape(name)}(?![\w])", plain):
+        if re.search(rf"(?i)(?<!\w){re.escape(name)}(?!\w)", plain) and (frame := catalog.find(tenant, dataset, name)) is not None:
             _register(session, frame, name)
     try:
         out = session.sql(plain)
