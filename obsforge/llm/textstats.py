@@ -76,19 +76,27 @@ def text_statistics(documents: DataFrame, *keep: str) -> DataFrame:
     return map_batches(documents.select(*keep, utf8("text").alias("__text")), each, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + SCHEMA)
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str, most: int, fold: tuple[int, int] | None = None) -> DataFrame:
-    """``doc_id``, ``y`` and ``text`` of about ``most`` ids with a label, or of all if there are fewer.
+def truth(labels: DataFrame, label: str, fold: tuple[int, int] | None = None) -> DataFrame:
+    """``doc_id`` and ``y`` of every id with a label.
 
     Labels are 0 or 1; null ids and labels are left out, several of one id are averaged and tied ones
-    left out. Of more ids than ``most``, those with a small hash are taken, a share of all 2^64 that
-    their number sets, so the sample is bounded, repeatable, as large as asked for at any size and
-    small enough to broadcast. Of several rows of an id, the one with the least text counts.
-    ``fold=(m, r)`` leaves out ids whose crc32, as text, is ``r`` modulo ``m``.
+    left out. ``fold=(m, r)`` leaves out ids whose crc32, as text, is ``r`` modulo ``m``.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
     if fold:
         known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold[0] != fold[1])
-    known = known.groupBy("doc_id").agg(F.avg("y").alias("y")).where("y <> 0.5").withColumn("y", (F.col("y") > 0.5).cast("int"))
+    return known.groupBy("doc_id").agg(F.avg("y").alias("y")).where("y <> 0.5").withColumn("y", (F.col("y") > 0.5).cast("int"))
+
+
+def labelled(documents: DataFrame, labels: DataFrame, label: str, most: int, fold: tuple[int, int] | None = None) -> DataFrame:
+    """``doc_id``, ``y`` and ``text`` of about ``most`` ids with a label, or of all if there are fewer.
+
+    Labels are those of ``truth``. Of more ids than ``most``, those with a small hash are taken, a
+    share of all 2^64 that their number sets, so the sample is bounded, repeatable, as large as asked
+    for at any size and small enough to broadcast. Of several rows of an id, the one with the least
+    text counts.
+    """
+    known = truth(labels, label, fold)
     n = known.count()
     if n > most:
         known = known.where(hashed_share(F.xxhash64("doc_id"), most / n))

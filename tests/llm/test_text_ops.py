@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from obsforge.llm import op5_rules, op6_tokens, op8_packing, op9_quality
-from obsforge.llm.textstats import labelled, repeated_words, statistics
+from obsforge.llm.textstats import COUNTS, FEATURES, labelled, repeated_words, statistics
 from obsforge.llm.tokens import WordEncoder, vocabulary
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "a few words stand here"), (4, "x" * 300_000), (5, "tie"), (5, "tie"), (6, "ünï cödé 中文 " * 20), (7, "line one two\n" * 400), (8, '<|endoftext|> it\'s "quoted" 123 á b')]
@@ -89,6 +89,22 @@ def test_quality_rules_over_odd_rows(spark, odd):
     assert op5_rules.quality_rules(odd.limit(0), op5_rules.IsolationForest([])).count() == 0
 
 
+def test_every_labelled_row_grows_the_forest_and_sets_its_threshold(spark):
+    """More labels than any sample of 20,000; the one row with an exclamation mark is the last that a sample by hash takes."""
+    n = 30_000
+    last = spark.range(n).orderBy(F.xxhash64("id").desc()).first().id
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(("word", "Word", "WORD")) + str(j) for j in range(12)) + "!" * (i == last), int(rng.random() < 0.8)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    forest = op5_rules.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    at = op5_rules.STATISTICS.index("exclaims_per_word")
+    assert any(at in f for f, *_ in forest.trees) and len(forest.trees) == op5_rules.TREES
+    picked = [len(COUNTS) + FEATURES.index(c) for c in op5_rules.STATISTICS]
+    x = np.array([statistics(text.encode()) for _, text, _ in rows])[:, picked]
+    again = op5_rules.IsolationForest(forest.trees, rows=forest.rows).calibrate(x, np.array([y == 1 for *_, y in rows]))
+    assert forest.threshold == again.threshold
+
+
 def test_forest_on_rows_that_it_is_not_calibrated_on(spark):
     """Labels of four folds set the threshold, those of the fifth tell how it does."""
     d = "/root/testdata/sf0.1"
