@@ -2,12 +2,13 @@
 
 The field tags the tokens of a sequence (words, and signs one by one) as the beginning of a secret,
 its inside or outside. Features are a token's shape and that of the run it is glued into, the words
-and signs around it and the file's. A sequence is the stretch of a line around anything that a secret
-cannot be without: a change between letters and digits or from lower to upper case inside a word, a
-cue that is assigned a value, a known prefix, or a password in a URL. Words elsewhere are outside.
+and signs around it and the file's. Every line of a text is a sequence. Lines whose best labels are
+outside by a bound on what any secret in them could gain are not decoded; the result is the same.
 
-It is learned from generated lines and from sequences of a bounded sample of documents, where the
-values of the fixed kinds are the secrets.
+It is learned from generated lines and from stretches of lines of a bounded sample of documents, those
+around anchors (a change between letters and digits or from lower to upper case inside a word, a cue
+that is assigned a value, a known prefix, or a password in a URL), where the values of the fixed kinds
+are the secrets.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from __future__ import annotations
 import math
 import random
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
@@ -41,7 +42,7 @@ SAMPLE_SEQUENCES = 4_000
 PIECE_TOKENS = 64
 GENERATED = 2_400
 STEPS = 120
-#: Characters before and after an anchor that its sequence takes in, up to the next white space, within the line.
+#: Characters before and after an anchor that its stretch takes in, up to the next white space, within the line.
 AROUND = 80
 
 _CUE = r"pass(?:word|wd|[_-]?phrase|code)?|pwd|secret|token|(?:api|access|private|signing|encryption)?[_-]?key|bearer|auth(?:orization)?|credentials?|cred|login|pin"
@@ -53,6 +54,9 @@ _ANCHOR = re.compile(
     r"|://[^\s/@:]+:[^\s/@]+@"
 )
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+_CONSONANTS = re.compile(r"(?i)[bcdfghjklmnpqrstvwxz]{6}")
+_PIECES = re.compile(r"[A-Za-z0-9]+")
+_WORD_PIECE = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]+|[0-9]{1,4}")
 _RUN = re.compile(r"""[^\s"'`<>()\[\]{},;:=|]+""")
 _CUES = frozenset("password passwd passphrase passcode pass pwd secret secrets token key apikey bearer authorization auth credential credentials cred login pin signature private".split())
 _COPULA = frozenset("is was are ist war est es lautet".split())
@@ -85,7 +89,7 @@ def _order(span: tuple[str, int, int]) -> tuple[int, int, int]:
 
 
 def entropy(s: str) -> float:
-    return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
+    return math.log2(len(s)) - sum([c * math.log2(c) for c in map(s.count, set(s)) if c > 1]) / len(s)
 
 
 class _Names(dict):
@@ -97,7 +101,7 @@ class _Names(dict):
 
 
 def _bucket(n: float, *edges: float) -> int:
-    return sum(n >= e for e in edges)
+    return bisect_right(edges, n)
 
 
 @lru_cache(1 << 14)
@@ -108,7 +112,7 @@ def _kind(token: str) -> str:
         return "digits"
     if not token.isascii():
         return "other"
-    if any(c.isdigit() for c in token):
+    if any(map(str.isdigit, token)):
         return "hexlike" if re.fullmatch("[0-9a-f]{8,}", token) else "letters and digits"
     return "lower" if token.islower() else "upper" if token.isupper() else "title" if token[1:].islower() else "mixed"
 
@@ -125,15 +129,15 @@ def _shape(token: str) -> tuple[str, ...]:
 def _run_shape(run: str) -> tuple[str, ...]:
     """Features of a stretch without white space, quotes and brackets."""
     n = len(run)
-    digits, lower, upper = sum(c.isdigit() for c in run), sum("a" <= c <= "z" for c in run), sum("A" <= c <= "Z" for c in run)
+    digits, lower, upper = any(map(str.isdigit, run)), re.search("[a-z]", run) is not None, re.search("[A-Z]", run) is not None
     kinds = ["0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "-" for c in run]
     turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n
-    parts = [p for p in re.split(r"[^A-Za-z0-9]+", run) if p]
-    worded = all(re.fullmatch(r"[A-Z]?[a-z]{2,}|[A-Z]+|[0-9]{1,4}", p) for p in parts)
+    parts = _PIECES.findall(run)
+    worded = all(map(_WORD_PIECE.fullmatch, parts))
     out = [f"run length:{_bucket(n, 4, 8, 12, 16, 24, 36)}", f"run entropy:{_bucket(entropy(run), 2, 2.6, 3.1, 3.6, 4.1)}", f"run turns:{_bucket(turns, 0.08, 0.2, 0.4)}", f"run worded:{worded} {len(parts) > 1}"]
     for name, holds in (
-        ("run digits and letters", digits and lower + upper), ("run three cases", digits and lower and upper), ("run inner case", re.search(r"[a-z][A-Z]", run)), ("run number", not lower + upper),
-        ("run mail", re.fullmatch(r"[^@]+@[^@]+\.[A-Za-z.]+", run)), ("run host or path", "/" in run and worded), ("run prefix", run.startswith(_PREFIXES)), ("run consonants", re.search(r"(?i)[bcdfghjklmnpqrstvwxz]{6}", run)),
+        ("run digits and letters", digits and (lower or upper)), ("run three cases", digits and lower and upper), ("run inner case", re.search(r"[a-z][A-Z]", run)), ("run number", not (lower or upper)),
+        ("run mail", re.fullmatch(r"[^@]+@[^@]+\.[A-Za-z.]+", run)), ("run host or path", "/" in run and worded), ("run prefix", run.startswith(_PREFIXES)), ("run consonants", _CONSONANTS.search(run)),
         ("run hex", n >= 16 and re.fullmatch("[0-9a-fA-F-]+", run)), ("run date", re.fullmatch(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\S*", run)), ("run signs", re.search(r"[+!$%^&*#~]", run)), ("run repeats", len(set(run)) * 3 < n), ("run caps", upper and not lower),
     ):
         if holds:
@@ -142,7 +146,7 @@ def _run_shape(run: str) -> tuple[str, ...]:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """The stretches of ``text`` that are tagged: lines around anchors, at most AROUND characters to each side and up to white space."""
+    """The stretches of a sampled ``text`` that are learned from (all lines are tagged): lines around anchors, at most AROUND characters to each side and up to white space."""
     out: list[tuple[int, int]] = []
     for m in _ANCHOR.finditer(text):
         if out and m.end() + AROUND <= out[-1][1]:
@@ -164,22 +168,39 @@ def windows(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def sequences(text: str, names: dict[str, int]) -> Iterator[Sequence]:
-    """The token sequences of a text; features without a number in ``names`` are left out."""
-    found = windows(text)
-    if not found:
-        return
-    file = [f"file code:{sum(map(text.count, '={};')) * 100 > len(text)}", f"file cue:{_KEYWORD.search(text) is not None}"]
-    for begin, end in found:
+def lines(text: str) -> Iterator[tuple[int, int]]:
+    """Where the lines of a text stand, blank ones left out."""
+    at = 0
+    for line in text.split("\n"):
+        if line and not line.isspace():
+            yield at, at + len(line)
+        at += len(line) + 1
+
+
+#: What is asked of a whole text: whether it reads as code, and whether it names a secret.
+File = tuple[bool, bool]
+
+
+def file_of(text: str) -> File:
+    return sum(map(text.count, "={};")) * 100 > len(text), _KEYWORD.search(text) is not None
+
+
+def sequences(text: str, names: dict[str, int], stretches: Iterable[tuple[int, int]] | None = None, about: File | None = None) -> Iterator[Sequence]:
+    """The token sequences of a text, one a line (or of the ``stretches`` given); features without a number in ``names`` are left out."""
+    code, cued = about or file_of(text)
+    file = [f"file code:{code}", f"file cue:{cued}"]
+    for begin, end in lines(text) if stretches is None else stretches:
         part = text[begin:end]
         spans = [m.span() for m in _TOKEN.finditer(part)]
         tokens = [part[a:b] for a, b in spans]
         kinds = [_kind(t) for t in tokens]
-        run_of: dict[int, tuple[int, int]] = {}
+        run_of: dict[int, tuple[int, int, tuple[str, ...]]] = {}
         for m in _RUN.finditer(part):
+            shape = _run_shape(m[0])
             for k in range(bisect_left(spans, (m.start(), 0)), bisect_left(spans, (m.end(), 0))):
-                run_of[k] = m.span()
+                run_of[k] = *m.span(), shape
         out, words = [], []  # words: how far back each cue stands
+        double = single = 0  # quotes so far
         for k, (a, b) in enumerate(spans):
             t, kind = tokens[k], kinds[k]
             f = [*file, "bias", *_shape(t)]
@@ -191,8 +212,7 @@ def sequences(text: str, names: dict[str, int]) -> Iterator[Sequence]:
             sign = "start" if back < 0 else ":=" if tokens[back] in ":=" or tokens[back] == ">" and back and tokens[back - 1] in "=-" else "copula" if tokens[back].lower() in _COPULA else "other"
             f += [cue, f"after {sign}", f"{cue} after {sign}", f"glued {k > 0 and spans[k - 1][1] == a} {kind}", f"last {kinds[k - 1] if k else 'none'} {kind}", f"next {kinds[k + 1] if k + 1 < len(spans) else 'none'} glued {k + 1 < len(spans) and spans[k + 1][0] == b}"]
             if k in run_of:
-                x, y = run_of[k]
-                shape = _run_shape(part[x:y])
+                x, y, shape = run_of[k]
                 first = "first" if x == a else "later"
                 quoted = x > 0 and part[x - 1] in "\"'`" and y < len(part) and part[y] == part[x - 1]
                 f += shape
@@ -201,8 +221,9 @@ def sequences(text: str, names: dict[str, int]) -> Iterator[Sequence]:
                     f.append(f"in url, user:{'@' in part[x:y] and part[x - 1] == ':' and part.find('@', x) > a} {first}")
             if k and tokens[k - 1] in "\"'`" or k + 1 < len(tokens) and tokens[k + 1] in "\"'`":
                 f.append(f"at quote {kind}")
-            if near and near[0] <= 4 and part.count('"', 0, a) % 2 + part.count("'", 0, a) % 2:
+            if near and near[0] <= 4 and double % 2 + single % 2:
                 f.append(f"in quotes after cue {kind}")
+            double, single = double + (t == '"'), single + (t == "'")
             out.append([names[x] for x in dict.fromkeys(f) if isinstance(names, _Names) or x in names])
             if kind != "sign":
                 words.append(t.lower())
@@ -233,9 +254,12 @@ class Field:
             out.append(int(b[out[-1]]))
         return out[::-1]
 
-    def spans(self, text: str) -> list[tuple[int, int]]:
+    def spans(self, text: str, outside: Outside | None = None) -> list[tuple[int, int]]:
+        """The secrets of a text, from the best labels of each of its lines; not worked out where ``outside`` knows them to be outside."""
         out: list[tuple[int, int]] = []
-        for at, x in sequences(text, self.names):
+        about = file_of(text)
+        some = lines(text) if outside is None else [x for x in lines(text) if not outside.sure(text[slice(*x)], about)]
+        for at, x in sequences(text, self.names, some, about):
             if at:
                 for (a, b), label in zip(at, self.viterbi(x), strict=True):
                     if label == 1:
@@ -245,6 +269,128 @@ class Field:
         return out
 
 
+_CONTEXT = {"lower": "zu", "title": "Zu", "upper": "ZU", "mixed": "zUz", "digits": "00", "letters and digits": "z0", "hexlike": "00000000a", "other": "é"}
+_NEVER = -math.inf
+
+
+_SIMPLE = re.compile(r"([A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]{1,14})([.,;:!?#*$%&|<>]{0,4})")
+
+
+class _Words(dict):
+    """What ``Outside.word`` tells of each word, asked once."""
+
+    def __init__(self, outside: Outside, about: File) -> None:
+        self.outside, self.about = outside, about
+
+    def __missing__(self, word: str) -> tuple[str, dict] | None:
+        self[word] = found = self.outside.word(word, self.about)
+        return found
+
+
+class Outside:
+    """Tells lines whose best labels are all outside, as ``Field.viterbi`` would find, from what their words have in common.
+
+    What a word (a stretch without white space) gains by a label over outside depends on its form, the
+    shapes of its tokens and runs and its signs, and on the kinds of the tokens next to it, as long as
+    no cue stands in the line. So the best that a secret can gain that lies in it, goes on into it,
+    begins in it, or goes all through it is worked out once a form and neighbours, by the features of
+    ``sequences`` and with the most that any step from label to label gives. A line where no secret
+    gains anything has none. Of a line with a cue, a URL or a word over LONG nothing is said.
+    """
+
+    LONG, KNOWN, FORMS = 64, 1 << 17, 1 << 14
+
+    def __init__(self, field: Field) -> None:
+        self.field = field
+        m = field.move
+        self.begin = float(max(m[LABELS, 1] - m[LABELS, 0], (m[:LABELS, 1] - m[0, 0]).max()))
+        self.inside = float((m[1:LABELS, 2] - m[0, 0]).max())
+        self.end = float(max(0.0, (m[1:LABELS, 0] - m[0, 0]).max()))
+        self.words: dict[File, _Words] = {}
+        self.forms: dict[tuple, dict] = {}
+        self.simple: dict[tuple, dict] = {}
+
+    def sure(self, line: str, about: File) -> bool:
+        """Whether the field labels all tokens of a line outside; False if that is not known."""
+        known = self.words.get(about)
+        if known is None or len(known) > self.KNOWN:
+            known = self.words[about] = _Words(self, about)
+        if len(self.forms) > self.FORMS or len(self.simple) > self.KNOWN:
+            self.forms.clear()
+            self.simple.clear()
+        words = line.split()
+        found = [known[w] for w in words]
+        if None in found:
+            return False
+        before, run = "", _NEVER
+        for word, (_, table), (after, _) in zip(words, found, [*found[1:], ("", None)], strict=True):
+            gains = table.get((before, after))
+            if gains is None:
+                gains = table[before, after] = self._gains(before, word, after, about)
+            whole, ends, begins, through, before = gains
+            if whole > 0 or run + ends > 0:
+                return False
+            run = max(run + through, begins)
+        return True
+
+    def word(self, word: str, about: File) -> tuple[str, dict] | None:
+        """The kind of a word's first token, for the word before it, and the gains of its form by neighbours."""
+        if m := _SIMPLE.fullmatch(word):  # how often its letters stand in it tells its lengths and entropies
+            core, signs = m.groups()
+            low = core.lower()
+            if low in _CUES:
+                return None
+            key = (about, core != low, signs, low in _COPULA, _CONSONANTS.search(low) is not None, *sorted(map(core.count, set(core))))
+            if not core.isascii():
+                parts = _PIECES.findall(core)
+                key += (all(map(_WORD_PIECE.fullmatch, parts)), len(parts) > 1, "A" <= core[0] <= "Z", re.search("[a-z]", core) is not None)
+            table = self.simple.get(key)
+            if table is None:
+                table = self.simple[key] = self._table(_TOKEN.findall(word), word, about)
+            return _CONTEXT["other"] if not core.isascii() else "Zu" if core != low else "zu", table
+        if len(word) > self.LONG or "://" in word:
+            return None
+        tokens = _TOKEN.findall(word)
+        if not _CUES.isdisjoint(t.lower() for t in tokens):
+            return None
+        first = tokens[0]
+        return ("'" if first in "\"'`" else "#") if not first[0].isalnum() else _CONTEXT[_kind(first)], self._table(tokens, word, about)
+
+    def _table(self, tokens: list[str], word: str, about: File) -> dict:
+        """The gains of a word's form, by neighbours."""
+        signs = tuple(t if not t[0].isalnum() else "is" if t.lower() in _COPULA else "a" for t in tokens)
+        form = (about, signs, tuple(map(_shape, tokens)), tuple(map(_run_shape, _RUN.findall(word))))
+        return self.forms.setdefault(form, {})
+
+    def _gains(self, before: str, word: str, after: str, about: File) -> tuple[float, float, float, float, str]:
+        """What a secret gains at most that lies in the word, goes on into it and ends there, begins in
+        it and goes on, or goes through it; and what stands for the line up to here, for the next word."""
+        (_, x), *_ = sequences(f"{before} {word} {after}", self.field.names, [(0, len(before) + len(word) + len(after) + 2)], about)
+        skip, n = len(_TOKEN.findall(before)), len(_TOKEN.findall(word))
+        whole = ends = begins = _NEVER
+        through = 0.0
+        for f in x[skip : skip + n]:
+            e = self.field.emit[f].sum(0)
+            begin, go = self.begin + float(e[1] - e[0]), self.inside + float(e[2] - e[0])
+            through += go
+            begins = max(begins + go, begin)
+            ends = max(ends, through)
+            whole = max(whole, begins)
+        room = 1e-6 + self.end  # for sums in another order
+        tokens = _TOKEN.findall(f"{before} {word}")
+        quoted = tokens[-1] in "\"'`"
+        while tokens and tokens[-1] in "\"'`":
+            tokens.pop()
+        last = tokens[-1] if tokens else ""
+        if last[:1].isalnum():
+            last = "ist" if last.lower() in _COPULA else _CONTEXT[_kind(last)]
+        elif last == ">" and tokens[-2:-1] in (["="], ["-"]):
+            last = "=>"
+        elif last and last not in ":=->":
+            last = "#"
+        return whole + room, ends + room, begins, through, f"{last} '" if quoted else last
+
+
 #: Features of each token, a label for each, and how often the sequence counts.
 Labelled = tuple[list[list[int]], list[int], float]
 
@@ -320,9 +466,9 @@ def learn(rows: list[Labelled], names: dict[str, int], steps: int = STEPS, penal
     return Field(dict(names), emit, move + never)
 
 
-def labelled(text: str, secrets: list[tuple[int, int]], names: dict[str, int]) -> Iterator[tuple[list[list[int]], list[int]]]:
+def labelled(text: str, secrets: list[tuple[int, int]], names: dict[str, int], stretches: Iterable[tuple[int, int]] | None = None) -> Iterator[tuple[list[list[int]], list[int]]]:
     """Each sequence of a text with its labels: begin at the first token in a secret, inside after it."""
-    for at, x in sequences(text, names):
+    for at, x in sequences(text, names, stretches):
         labels, inside = [], None
         for a, b in at:
             hit = next((k for k, (s, e) in enumerate(secrets) if a < e and s < b), None)
@@ -419,7 +565,7 @@ def generated(count: int = GENERATED, seed: int = 11) -> Iterator[tuple[str, lis
 
 
 def fit(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_sequences: int = SAMPLE_SEQUENCES) -> Field:
-    """A field learned from generated lines and from sequences of a sample of ``documents``.
+    """A field learned from generated lines and from ``windows`` of a sample of ``documents``.
 
     The sample is bounded and repeatable: about ``sample_documents`` documents, whose text has a
     small hash, and ``sample_sequences`` of their sequences, in pieces of PIECE_TOKENS. There the
@@ -436,7 +582,7 @@ def fit(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_s
         out: Counter = Counter()
         for t in batch.column(0):
             text = t.as_py()
-            for x, y in labelled(text, base_values(text), known):
+            for x, y in labelled(text, base_values(text), known, windows(text)):
                 if any(y) or not any(known["cue itself"] in f for f in x):
                     for k in range(0, len(y), PIECE_TOKENS):
                         part = y[k : k + PIECE_TOKENS]
@@ -458,19 +604,23 @@ def scan(documents: DataFrame, field: Field) -> DataFrame:
     rows, no result.
     """
 
-    def spans(text: str | None) -> list[tuple[str, int, int]]:
+    def spans(text: str | None, outside: Outside) -> list[tuple[str, int, int]]:
         if not text:
             return []
         found = base_spans(text)
         ends = list(accumulate((e for _, _, e in found), max))  # by start, the furthest end so far
         starts = [s for _, s, _ in found]
-        extra = [("crf", a, b) for a, b in field.spans(text) if not ((k := bisect_left(starts, b)) and ends[k - 1] > a)]
+        extra = [("crf", a, b) for a, b in field.spans(text, outside) if not ((k := bisect_left(starts, b)) and ends[k - 1] > a)]
         return sorted(found + extra, key=_order)
 
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
+    known: list[Outside] = []  # one a task
+
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t.as_py())] for t in batch.column(1)]
+        if not known:
+            known.append(Outside(field))
+        rows = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t.as_py(), known[0])] for t in batch.column(1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
     return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, "doc_id long, spans array<struct<kind: string, start: int, end: int>>")

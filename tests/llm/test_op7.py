@@ -186,6 +186,28 @@ def test_windows_cover_anchors_and_cost_in_proportion(field):
     assert field.spans("") == [] and field.spans("no anchors at all") == []
 
 
+@pytest.mark.parametrize("text, secret", [
+    ("key 'qzvntbxw-lrhspmjd-yfgcxkw'", "qzvntbxw-lrhspmjd-yfgcxkw"), ("password\t=\thunterlongpass", "hunterlongpass"), ('the passphrase "mela torre luna casa"', "mela torre luna casa"), ("api key\tqzvntbxwlrhspmjdyfgcxkw", "qzvntbxwlrhspmjdyfgcxkw"),
+])
+def test_secrets_away_from_anchors_are_found(spark, field, text, secret):
+    assert op.windows(text) == []
+    whole = f"some prose stands here\n{text}\nand here"
+    (row,) = op.scan(spark.createDataFrame([(1, whole)], "doc_id long, text string"), field).collect()
+    assert [whole[s.start : s.end] for s in row.spans] == [secret]
+
+
+def test_lines_that_are_not_decoded_are_outside(field):
+    """Where the bound says that nothing in a line is a secret, decoding the whole line says so too."""
+    rng = random.Random(4)
+    parts = "the Ab key = ' \" : x9Yz a-b -> is token qqwrtzkl éa Été. deadbeef01234567 :// a@b _ { } ; zz, Zz! sk-abcd1234efgh hunter2 https://u:pw1@h/x \t 12 0000 ( ) word ist pass « A kQzVnTbXwLrHsPmJdYfGcEaU > of*** Où|".split(" ")
+    texts = ["".join(rng.choice(parts) + rng.choice((" ", " ", "", " ", "\n")) for _ in range(rng.randrange(1, 14))) for _ in range(1500)] + [t for t, _ in planted(200)] + [t for t, _ in op.generated(300, 5)]
+    outside, skipped = op.Outside(field), 0
+    for text in texts:
+        assert field.spans(text, outside) == field.spans(text), text
+        skipped += sum(outside.sure(text[a:b], op.file_of(text)) for a, b in op.lines(text))
+    assert skipped > 1000 and sum(bool(field.spans(t)) for t in texts) > 300
+
+
 def test_scan_over_odd_rows(spark, field):
     rows = [(1, None), (2, ""), (3, " \n\t "), (None, "pwd=hunterlongpass"), (4, "x" * 300_000), (5, "tie"), (5, "tie")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, spans string")
