@@ -231,3 +231,15 @@ def test_scratch_folders_are_shared_on_a_cluster():
     conf = SimpleNamespace(get=lambda *_: None)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch.folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: conf)), "x")
+
+
+def test_a_write_takes_the_room_that_its_rows_need(spark, tmp_path):
+    path, settings = f"file://{tmp_path}/logs", list(lifecycle._TASK_BYTES)
+    before = [spark.conf.get(k, None) for k in settings]
+    lifecycle.write(_logs(spark, (1, 2), 500).withColumn("trace_id", F.col("body")), "logs", path, bloom=("trace_id",))
+    files = lifecycle.state(spark, path).files
+    assert len(files) == 2 and all(size < 100_000 for _, size in files.values())  # a Bloom filter of a fixed size is a megabyte
+    assert lifecycle.read(spark, path).where("trace_id = '2-7'").count() == 1
+    with lifecycle._small_tasks(spark):
+        assert [int(spark.conf.get(k)) for k in settings] == list(lifecycle._TASK_BYTES.values())
+    assert [spark.conf.get(k, None) for k in settings] == before
